@@ -12,7 +12,7 @@ scored as consecutive words of 32 letters, so that whole texts count however lon
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -25,7 +25,7 @@ from .common import schema_with, short_batches
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]{1,32}")
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 #: Probability of a letter that no piece covers.
 UNSEEN = 1e-7
 
@@ -273,16 +273,38 @@ class WordScores(dict):
         return found
 
 
-def classify(texts: pd.Series, model: LanguageModel, cache: WordScores) -> tuple[list[str], list[float]]:
-    langs, scores = [], []
+def classify(texts: Iterable[str | None], model: LanguageModel, cache: WordScores, most: int = 500_000) -> tuple[list[str], list[float]]:
+    """Language and score of each text; about ``most`` words are looked up at once."""
+    langs: list[str] = []
+    scores: list[float] = []
+    held: list[str] = []
+    ends: list[int] = []
+
+    def flush() -> None:
+        if not ends:
+            return
+        each = cache.of(held)
+        starts = np.array([0, *ends[:-1]], np.int64)
+        filled = starts < np.array(ends)
+        total = np.zeros((len(ends), len(model.languages)))
+        if filled.any():
+            total[filled] = np.add.reduceat(each, starts[filled], axis=0, dtype=float)
+        total += model.log_prior
+        odds = np.exp(total - total.max(axis=1, keepdims=True))
+        best = total.argmax(axis=1)
+        share = odds[np.arange(len(ends)), best] / odds.sum(axis=1)
+        langs.extend(model.languages[b] if f else UNKNOWN for b, f in zip(best, filled, strict=True))
+        scores.extend(np.where(filled, share, 0.0).tolist())
+        held.clear()
+        ends.clear()
+
     for text in texts:
-        if not model.languages or not text or not any(map(str.isalpha, text)):
-            langs.append(UNKNOWN)
-            scores.append(0.0)
-            continue
-        total = model.log_prior + cache.of(WORD.findall(text.lower())).sum(axis=0, dtype=float)
-        odds = np.exp(total - total.max())
-        best = int(total.argmax())
-        langs.append(model.languages[best])
-        scores.append(float(odds[best] / odds.sum()))
+        if model.languages and text and any(map(str.isalpha, text)):
+            held += WORD.findall(text.lower())
+        ends.append(len(held))
+        if len(held) >= most:
+            flush()
+    if not model.languages:
+        return [UNKNOWN] * len(ends), [0.0] * len(ends)
+    flush()
     return langs, scores

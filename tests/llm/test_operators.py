@@ -456,3 +456,16 @@ def test_redaction_merges_spans(spark, odd_docs, no_docs):
     assert secrets.redact(odd_docs, table=table).columns == odd_docs.columns
     assert secrets.redact(odd_docs, table=table).count() == odd_docs.count()
     assert secrets.redact(no_docs, table=table).count() == 0
+
+
+def test_language_of_a_batch_does_not_depend_on_its_cuts(real_docs):
+    model = langid.train(real_docs, langid.vocabulary(model_path()))
+    texts = [r["text"] for r in real_docs.select("text").limit(12).collect()] + [None, "", "12", "a"]
+    segmenter = langid.Segmenter(model.pieces)
+    make = lambda: langid.WordScores(segmenter, segmenter.by_node(model.probability))
+    whole = langid.classify(texts, model, make())
+    for most in (1, 300):
+        again = langid.classify(texts, model, make(), most)
+        assert again[0] == whole[0] and again[1] == pytest.approx(whole[1], abs=1e-6)
+    single = langid.classify(texts[:1], model, make())
+    assert single[0] == whole[0][:1]
