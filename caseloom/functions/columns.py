@@ -60,4 +60,4 @@ def calendar(date: Column) -> dict[str, Column]:
 
 def sample_hash(key: Column, seed: int) -> Column:
     """The reproducible order that samples are drawn by."""
-    return F.pmod(key * F.lit(1103515245) + F.lit(seed), F.lit(2147483647))
+    return F.pmod(key.cast("long") * F.lit(1103515245) + F.lit(seed), F.lit(2147483647))

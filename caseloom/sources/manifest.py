@@ -82,7 +82,7 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_submission(predictions: DataFrame, path: str, key: str = "case_id", value: str = "prediction") -> None:
-    """CSV with 17 significant digits; existing output is refused unless it holds the same rows."""
+    """CSV that reads back to the same doubles (17 digits, by Java's rules); existing output is refused unless it holds the same rows."""
     rows = predictions.select(F.col(key).cast("string").alias(key), F.format_string("%.17g", value).alias(value))
     spark = predictions.sparkSession
     try:
