@@ -67,8 +67,10 @@ def aggregate_history(
     subgroups: Sequence[str | None] = (None,),
     key: str = "case_id",
     ties: Sequence[str] = (),
+    ends: bool = True,
 ) -> DataFrame:
     """One row a case. dates hold days from the decision. ties order rows of equal group numbers.
+    ends False leaves out first and last values, and with them a sort.
 
     Subgroups are conditions inside the aggregates, so one pass serves all. First and last values come from
     one least and one greatest struct of all columns, nulls first, instead of a sort for each column. A case
@@ -99,7 +101,7 @@ def aggregate_history(
             found = {k: F.when(any_row > 0, x) for k, x in found.items()}
             any_row = F.when(any_row > 0, any_row)
         whole |= {name("rows", "count"): any_row} | found
-        if order and payload:
+        if ends and order and payload:
             row = F.when(here, F.struct(*order, *[F.col(c) for c in payload if c not in order]))
             for end, pick in (("first", F.min), ("last", F.max)):
                 ordered |= {(name(c, end), c in dates): (pick(row), c, f"{end}_{group}") for c in payload}
@@ -112,7 +114,7 @@ def aggregate_history(
         structs = {}
         for agg, _, at in ordered.values():
             structs.setdefault(at, agg)
-        ends = frame.groupBy(key).agg(*[x.alias(at) for at, x in structs.items()])
+        outer = frame.groupBy(key).agg(*[x.alias(at) for at, x in structs.items()])
         kind = lambda c, is_date: c.cast("float") if is_date else c
-        blocks.append(ends.select(key, *[kind(F.col(f"{at}.{c}"), is_date).alias(n) for (n, is_date), (_, c, at) in ordered.items()]))
+        blocks.append(outer.select(key, *[kind(F.col(f"{at}.{c}"), is_date).alias(n) for (n, is_date), (_, c, at) in ordered.items()]))
     return reduce(lambda a, b: a.join(b, key), blocks)

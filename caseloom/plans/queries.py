@@ -47,19 +47,19 @@ def depth_zero_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def case_history_numeric(spark: SparkSession, d: str) -> DataFrame:
-    found = short(aggregate_history(t.history(spark, d), "lines", 1, numeric=t.NUMERIC, ties=TIES))
+    found = short(aggregate_history(t.history(spark, d), "lines", 1, numeric=t.NUMERIC, ties=TIES, ends=False))
     return tidy(found.select("case_id", "rows__count", "num_group1__max", "num_group1__n_unique", *[f"{c}__{op}" for c in t.NUMERIC for op in ("min", "max", "mean", "std", "sum")]), 7)
 
 
 @query
 def case_history_dates(spark: SparkSession, d: str) -> DataFrame:
-    found = short(aggregate_history(t.history(spark, d), "lines", 1, dates=t.DATES, ties=TIES))
+    found = short(aggregate_history(t.history(spark, d), "lines", 1, dates=t.DATES, ties=TIES, ends=False))
     return tidy(found.select("case_id", *[f"shippedD__{op}" for op in ("min", "max", "mean", "std")]), 2)
 
 
 @query
 def case_history_categorical(spark: SparkSession, d: str) -> DataFrame:
-    found = short(aggregate_history(t.history(spark, d), "lines", 1, categorical=t.CATEGORICAL, ties=TIES))
+    found = short(aggregate_history(t.history(spark, d), "lines", 1, categorical=t.CATEGORICAL, ties=TIES, ends=False))
     return tidy(found.select("case_id", *[f"{c}__{op}" for c in t.CATEGORICAL for op in ("non_null_count", "n_unique", "diversity_ratio")]), 4)
 
 
@@ -71,13 +71,13 @@ def case_history_ordered(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def case_history_missingness(spark: SparkSession, d: str) -> DataFrame:
-    found = short(aggregate_history(t.history(spark, d), "lines", 1, t.NUMERIC, t.CATEGORICAL, t.DATES, ties=TIES))
+    found = short(aggregate_history(t.history(spark, d), "lines", 1, t.NUMERIC, t.CATEGORICAL, t.DATES, ties=TIES, ends=False))
     return tidy(found.select("case_id", "row_missing_fraction__mean", "row_missing_fraction__max"), 4)
 
 
 @query
 def recency_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = short(aggregate_history(t.history(spark, d), "lines", 1, dates=t.DATES, ties=TIES))
+    found = short(aggregate_history(t.history(spark, d), "lines", 1, dates=t.DATES, ties=TIES, ends=False))
     return found.select("case_id", *[f"shippedD__count_last_{w}d" for w in history.WINDOWS])
 
 
@@ -112,7 +112,7 @@ def union_relaxed(spark: SparkSession, d: str) -> DataFrame:
 @query
 def feature_assembly(spark: SparkSession, d: str) -> DataFrame:
     b = blocks.base_block(t.base(spark, d)).select("case_id", "WEEK_NUM", "target")
-    h = short(aggregate_history(t.history(spark, d), "lines", 1, ["quantityA"], ties=TIES)).select("case_id", "rows__count", "quantityA__sum")
+    h = short(aggregate_history(t.history(spark, d), "lines", 1, ["quantityA"], ties=TIES, ends=False)).select("case_id", "rows__count", "quantityA__sum")
     s = t.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("statusM"))
     return tidy(blocks.assemble(b, [h, s]), 4)
 
@@ -373,7 +373,7 @@ def schema_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    h = short(aggregate_history(t.history(spark, d), "lines", 1, ["quantityA", "priceA"], dates=t.DATES, ties=TIES))
+    h = short(aggregate_history(t.history(spark, d), "lines", 1, ["quantityA", "priceA"], dates=t.DATES, ties=TIES, ends=False))
     names = ["rows__count", "quantityA__mean", "quantityA__sum", "priceA__max", "shippedD__mean"]
     rows = t.base(spark, d).join(h.select("case_id", *[F.col(c).cast("double").alias(c) for c in names]), "case_id", "left")
     return rows.where("WEEK_NUM < 250"), rows.where("WEEK_NUM BETWEEN 250 AND 339"), names
