@@ -46,6 +46,12 @@ def schema_with(df: DataFrame, more: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt anew where a few large row groups would leave most cores without work; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def short_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_ROWS documents at most, so that a worker's memory is bounded."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, licenses, mixing, ppm, secrets, simhash, tokencount, topk, urlfilter
-from .common import bucket
+from .common import bucket, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+
+
 def model_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -31,25 +35,25 @@ def language_model(docs: DataFrame) -> langid.LanguageModel:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "lang")
     model = language_model(docs)
     held = F.coalesce(bucket("doc_id", HELD_MODULUS) == HELD_REMAINDER, F.lit(False))
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return tokencount.count_tokens(docs, model_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(documents(spark, sf_dir))
     n = F.size("places").cast("long")
     first, last = F.get("places", F.lit(0)).cast("long"), F.get("places", F.size("places") - 1).cast("long")
     return found.select("doc_id", "n_words", n.alias("n_base"), first.alias("first_word"), last.alias("last_word"), "base_labels", "labels", "score")
@@ -60,7 +64,7 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +77,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ppm.score(documents(spark, sf_dir))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.spans(documents(spark, sf_dir))
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = secrets.joined(F.filter("spans", lambda s: s["kind"] < 3))
     return found.select(
