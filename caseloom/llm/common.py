@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -46,6 +47,11 @@ def schema_with(df: DataFrame, more: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
+def beside(columns: list[pa.Array], more: list[pa.Array], schema: StructType) -> pa.RecordBatch:
+    """Columns of a batch and then more. Unlike pandas, Arrow keeps whole numbers exact in columns with nulls."""
+    return pa.RecordBatch.from_arrays([*columns, *more], schema.names)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt anew where a few large row groups would leave most cores without work; else df itself."""
     cores = df.sparkSession.sparkContext.defaultParallelism

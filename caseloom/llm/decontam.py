@@ -86,9 +86,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     per = round(1 / least_share)
     found = hits(docs, benchmark, id_col, text_col, item_col, item_text_col, n)
     columns = docs.columns
-    own = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.struct(*[F.col(c) for c in columns]).alias("row"))
+    own = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     joined = own.join(found.select(*KEY, "n_hit", "hit"), KEY, "left")
-    text = F.col(f"row.{text_col}")
+    text = F.col(f"row.`{text_col}`")
     dirty = F.col("n_hit").isNotNull() & (F.col("n_hit") * per >= F.size(words(text)))
     if not spans:
         return joined.where(~dirty).select("row.*")

@@ -18,10 +18,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, short_batches
+from .common import beside, schema_with, short_batches
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]{1,32}")
@@ -236,16 +237,16 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     schema = schema_with(docs.select(*kept), "lang_pred string, score double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(*held.value)
         segmenter = Segmenter(model.pieces)
         table = segmenter.by_node(model.probability)
         cache = WordScores(segmenter, table)
         for b in batches:
-            lang, score = classify(b[text_col], model, cache)
-            yield b.assign(lang_pred=lang, score=score)
+            lang, score = classify(b.column(text_col).to_pylist(), model, cache)
+            yield beside(b.columns, [pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema)
 
-    return docs.select(*kept).mapInPandas(run, schema)
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
 class WordScores(dict):

@@ -26,11 +26,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, materialize, row_key, schema_with, short_batches
+from .common import KEY, beside, keyed, materialize, row_key, schema_with, short_batches
 from .components import connected_components
 
 BITS, BYTES, NEAR = 64, 8, 3
@@ -69,11 +70,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = keyed(docs, id_col, text_col)
     schema = schema_with(rows.drop("k_body"), "fp long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.drop(columns="k_body").assign(fp=[fingerprint(t, width) for t in b["k_body"]])
+            *kept, body = b.columns
+            yield beside(kept, [pa.array([fingerprint(t, width) for t in body.to_pylist()], pa.int64())], schema)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def postings(fps: DataFrame) -> DataFrame:

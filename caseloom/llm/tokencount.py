@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, short_batches
+from .common import beside, schema_with, short_batches
 
 PRETOKEN = re.compile(r" *[^ \n]+| +|\n")
 CACHED_PRETOKENS = 300_000
@@ -102,18 +103,18 @@ def count_tokens(
     kept = [c for c in docs.columns if c.lower() not in added]
     schema = schema_with(docs.select(*kept), "n_tokens long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
         joined, lengths = table.value
         frequent = dict(zip(joined.split("\x00"), lengths.tolist(), strict=False)) if len(lengths) else {}
         cache = PretokenLengths(lambda x: processor.encode(x, num_threads=1), frequent)
         for b in batches:
             counts = []
-            for text in b[text_col]:
+            for text in b.column(text_col).to_pylist():
                 counts.append(sum(map(cache.__getitem__, pretokens(text))))
                 cache.trim()
-            yield b.assign(n_tokens=counts)
+            yield beside(b.columns, [pa.array(counts, pa.int64())], schema)
 
-    counted = docs.select(*kept).mapInPandas(run, schema)
+    counted = docs.select(*kept).mapInArrow(run, schema)
     n_bytes = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     return counted.select(*kept, n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -15,11 +15,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, schema_with
+from .common import ascii_lower, beside, schema_with
 
 TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -94,10 +94,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     sent = spark.sparkContext.broadcast({t: [astuple(r) for r in filed] for t, filed in index.items()})
     schema = schema_with(urls, "rule string, verdict string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {t: [(Rule(*r), re.compile(r[2], re.DOTALL)) for r in filed] for t, filed in sent.value.items()}
         for b in batches:
-            found = [judge_one(h, p, index) for h, p in zip(b["host"], b["path"], strict=True)]
-            yield b.assign(rule=[r for r, _ in found], verdict=[v for _, v in found])
+            found = [judge_one(h, p, index) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            yield beside(b.columns, [pa.array(x, pa.string()) for x in ([r for r, _ in found], [v for _, v in found])], schema)
 
-    return urls.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return urls.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -469,3 +469,27 @@ def test_language_of_a_batch_does_not_depend_on_its_cuts(real_docs):
         assert again[0] == whole[0] and again[1] == pytest.approx(whole[1], abs=1e-6)
     single = langid.classify(texts[:1], model, make())
     assert single[0] == whole[0][:1]
+
+
+# ids beside nulls
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    ids = [2**60 + 7, None, 2**53 + 1]
+    docs = spark.createDataFrame([(i, f"the cat sat on mat {k}", "en", 2**60 + 9 if k else None) for k, i in enumerate(ids)], "doc_id long, text string, lang string, b long").coalesce(1)
+    want = sorted(ids, key=repr)
+    model = langid.train(docs, langid.vocabulary(model_path()))
+    frames = [
+        langid.predict(docs, model),
+        tokencount.count_tokens(docs, model_path()),
+        simhash.near_duplicates(docs),
+        simhash.keep_one(docs, list_limit=2),
+        ppm.score(docs),
+        urlfilter.judge(docs, "doc_id", "text"),
+    ]
+    for f in frames[:3] + frames[4:]:
+        assert sorted((r[0] for r in f.select("doc_id").collect()), key=repr) == want
+    for f in frames[:2]:
+        assert sorted((r[0] for r in f.select("b").collect()), key=repr) == sorted([None, 2**60 + 9, 2**60 + 9], key=repr)
+    assert set(frames[3].columns) == set(docs.columns)
+    assert decontam.remove(docs, docs.limit(0).select(F.col("doc_id").alias("item_id"), "text")).count() == 3
