@@ -22,19 +22,24 @@ from .common import KEY, ascii_lower, keyed, row_key, words
 BROADCAST_WINDOWS = 500_000
 
 
+def window_hash(word_list: Column, start: Column | int, n: int) -> Column:
+    """Hash of the window of n words from start (from 0), by four of its words: all n are compared on a hit."""
+    return F.xxhash64(*[F.get(word_list, start + F.lit(i)) for i in sorted({0, n // 3, 2 * n // 3, n - 1})])
+
+
 def windows_of(word_list: Column, n: int) -> Column:
-    """(position, hash) of each window of n words."""
+    """Hashes of the windows of n words, by position."""
     at = F.sequence(F.lit(0), F.size(word_list) - n)
-    hashes = F.transform(at, lambda i: F.xxhash64(F.slice(word_list, i + 1, n)))
+    hashes = F.transform(at, lambda i: window_hash(word_list, i, n))
     return F.when(F.size(word_list) >= n, hashes)
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
-    """Distinct windows: h, size, win (its words), items (sorted ids as strings)."""
+    """Distinct windows: size, win (its words), items (sorted ids as strings)."""
     lists = benchmark.select(F.col(item_col).cast("string").alias("item"), words(ascii_lower(F.col(text_col))).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(n))
     each = lists.select("item", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("win"))
-    return each.groupBy("size", "win").agg(F.collect_set("item").alias("items")).withColumn("h", F.xxhash64("win"))
+    return each.groupBy("size", "win").agg(F.collect_set("item").alias("items"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
@@ -44,7 +49,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     lists = keyed(docs, id_col, text_col).select(*KEY, words(ascii_lower(F.col("k_body"))).alias("w"))
     found = []
     for size, count in sorted(by_size.items()):
-        one = windows.where(F.col("size") == size).select("h", "win", "items")
+        one = windows.where(F.col("size") == size).select(window_hash(F.col("win"), 0, size).alias("h"), "win", "items")
         scanned = lists.select(*KEY, "w", F.posexplode(windows_of(F.col("w"), size)).alias("at", "h"))
         if count <= BROADCAST_WINDOWS:
             met = scanned.join(F.broadcast(one), "h")
