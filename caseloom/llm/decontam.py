@@ -1,8 +1,11 @@
 """Benchmark decontamination with DataFrame functions alone.
 
-Benchmark items become windows of n consecutive normalised words (a shorter item is one window). Their
-hashes are broadcast while their number is small enough, and joined by shuffle beyond that. Documents are
-scanned window by window; a hash that fits is verified word by word.
+Benchmark items become windows of n consecutive normalised words (a shorter item is one window). Of each
+window, all its grams of n // 2 + 1 words are put into a hash set, which is broadcast while the number of
+windows is small enough, and joined by shuffle beyond that. Documents are scanned at every so many words, such
+that each window of theirs holds exactly one scanned gram. Where a gram is in the set, the windows around it
+are looked up by hash and verified word by word. A scanned gram carries the words around it, never a whole
+text, so the work is linear in a text's length.
 
 Null or wordless texts have no words and no hits; null or wordless items give no window. Rows that repeat
 id and text share one result, null ids among them. An empty benchmark hits nothing. Columns of the
@@ -22,16 +25,23 @@ from .common import KEY, ascii_lower, keyed, row_key, words
 BROADCAST_WINDOWS = 500_000
 
 
-def window_hash(word_list: Column, start: Column | int, n: int) -> Column:
-    """Hash of the window of n words from start (from 0), by four of its words: all n are compared on a hit."""
-    return F.xxhash64(*[F.get(word_list, start + F.lit(i)) for i in sorted({0, n // 3, 2 * n // 3, n - 1})])
+def gram_size(n: int) -> tuple[int, int]:
+    """Words of a gram, and how far scanned grams lie apart: a window of n words holds one scanned gram."""
+    size = n // 2 + 1
+    return size, n - size + 1
 
 
-def windows_of(word_list: Column, n: int) -> Column:
-    """Hashes of the windows of n words, by position."""
-    at = F.sequence(F.lit(0), F.size(word_list) - n)
-    hashes = F.transform(at, lambda i: window_hash(word_list, i, n))
-    return F.when(F.size(word_list) >= n, hashes)
+def hash_of(word_list: Column, start: Column | int, n: int) -> Column:
+    return F.xxhash64(*[F.get(word_list, start + F.lit(i)) for i in range(n)])
+
+
+def scanned_grams(word_list: Column, n: int) -> Column:
+    """Structs (start, h, c): c holds the words of all windows around the gram, null beyond the text's ends."""
+    size, step = gram_size(n)
+    around = lambda p: F.transform(F.sequence(p - (step - 1), p + (n - 1)), lambda i: F.get(word_list, i))
+    at = F.sequence(F.lit(0), F.size(word_list) - size, F.lit(step))
+    grams = F.transform(at, lambda p: F.struct((p - (step - 1)).alias("start"), hash_of(word_list, p, size).alias("h"), around(p).alias("c")))
+    return F.when(F.size(word_list) >= n, grams)
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
@@ -49,14 +59,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     lists = keyed(docs, id_col, text_col).select(*KEY, words(ascii_lower(F.col("k_body"))).alias("w"))
     found = []
     for size, count in sorted(by_size.items()):
-        one = windows.where(F.col("size") == size).select(window_hash(F.col("win"), 0, size).alias("h"), "win", "items")
-        scanned = lists.select(*KEY, "w", F.posexplode(windows_of(F.col("w"), size)).alias("at", "h"))
+        sized = windows.where(F.col("size") == size)
+        gram, step = gram_size(size)
+        one = sized.select(hash_of(F.col("win"), 0, size).alias("h"), "win", "items")
+        known = sized.select(F.explode(F.array(*[hash_of(F.col("win"), i, gram) for i in range(step)])).alias("h")).distinct()
         if count <= BROADCAST_WINDOWS:
-            met = scanned.join(F.broadcast(one), "h")
-        else:  # words stay behind in the shuffle by hash; hits fetch them for the check
-            met = scanned.drop("w").join(one, "h").join(lists, KEY)
-        met = met.where(F.slice("w", F.col("at") + 1, F.lit(size)) == F.col("win"))
-        found.append(met.select(*KEY, F.sequence("at", F.col("at") + size - 1).alias("run"), "items"))
+            one, known = F.broadcast(one), F.broadcast(known)
+        scanned = lists.select(*KEY, F.explode(scanned_grams(F.col("w"), size)).alias("gram")).select(*KEY, "gram.*")
+        near = scanned.join(known, "h", "left_semi")
+        around = F.array(*[F.struct((F.col("start") + i).alias("at"), F.slice("c", i + 1, size).alias("text_win"), hash_of(F.col("c"), i, size).alias("h")) for i in range(step)])
+        met = near.select(*KEY, F.explode(around).alias("x")).select(*KEY, "x.*").join(one, "h").where(F.col("text_win") == F.col("win"))
+        found.append(met.select(*KEY, F.sequence("at", F.col("at") + (size - 1)).alias("run"), "items"))
     if not found:
         none = keyed(docs, id_col, text_col).where(F.lit(False)).select(*KEY)
         return none.select(*KEY, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
