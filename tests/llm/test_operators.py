@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 from zlib import crc32
@@ -149,6 +150,28 @@ def test_contaminated_documents_and_spans_go(spark, odd_docs, items):
     assert decontam.remove(odd_docs, bench.where("false")).count() == odd_docs.count()
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 12, 13])
+def test_windows_of_any_size_are_found(spark, n):
+    """Texts of few distinct words, so that windows start and end anywhere."""
+    rng = random.Random(n)
+    make = lambda size: " ".join(rng.choice("abc" if n > 2 else "abcdefghijklm") for _ in range(size))
+    bench = [(k, make(rng.randint(1, n + 3))) for k in range(4)]
+    texts = [(k, " ".join([make(rng.randint(0, 9)), rng.choice(bench)[1], make(rng.randint(0, 9))])) for k in range(60)]
+    found = decontam.report(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), n=n)
+    want = []
+    for doc, text in texts:
+        w, hit, met = words(text), set(), set()
+        for item, t in bench:
+            b = words(t)
+            size = min(n, len(b))
+            for k in range(len(w) - size + 1):
+                if any(w[k : k + size] == b[j : j + size] for j in range(len(b) - size + 1)):
+                    hit.update(range(k, k + size))
+                    met.add(str(item))
+        want.append((doc, len(w), len(hit), sorted(met)))
+    assert [tuple(r) for r in found.select("doc_id", "n_words", "n_hit", "items").orderBy("doc_id").collect()] == want
+
+
 # license scans
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
