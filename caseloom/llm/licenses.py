@@ -2,8 +2,10 @@
 
 The hashes of all word pairs of a document are joined to the pairs of license templates. A match at document
 word d and template word t votes for the diagonal d - t; votes on one diagonal, and then on neighbouring
-diagonals (words put in or left out), add up to a span. A span counts when enough of the template's pairs
-are met, each verified by its words. Base phrases count where all their pairs stand on one diagonal.
+diagonals (words put in or left out), add up to a span. A span is a chain of matches, each later than the one
+before in document and template and at most NEIGHBOUR diagonals off, so that none counts twice; it counts
+when enough of the template's pairs are met, each verified by its words. Base phrases count where all their
+pairs stand on one diagonal.
 
 Null text counts as empty: no words, no places, labels '' and score 0. Rows that repeat id and text share
 one result, null ids among them.
@@ -11,8 +13,7 @@ one result, null ids among them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, ascii_lower, keyed, words
@@ -53,6 +54,21 @@ def templates() -> list[tuple[int, str, bool, int, int, str, str]]:
     return rows
 
 
+def longest_chain(matches: Column, reach: int) -> Column:
+    """Length of the longest chain among matches, structs (at, tpos) by at; none spans more than reach between neighbours."""
+    start = F.struct(F.lit(0).alias("best"), F.array().cast("array<struct<at:int,tpos:int,n:int>>").alias("late"))
+
+    def add(state: Column, m: Column) -> Column:
+        late = F.filter(state["late"], lambda r: r["at"] >= m["at"] - reach)
+        drift = lambda r: F.abs(m["at"] - m["tpos"] - r["at"] + r["tpos"])
+        before = F.filter(late, lambda r: (r["at"] < m["at"]) & (r["tpos"] < m["tpos"]) & (drift(r) <= NEIGHBOUR))
+        n = F.coalesce(F.array_max(F.transform(before, lambda r: r["n"])), F.lit(0)) + 1
+        own = F.struct(m["at"].alias("at"), m["tpos"].alias("tpos"), n.alias("n"))
+        return F.struct(F.greatest(state["best"], n).alias("best"), F.concat(late, F.array(own)).alias("late"))
+
+    return F.aggregate(matches, start, add, lambda state: state["best"])
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, places (sorted starts of base phrases), base_labels, labels, score.
 
@@ -65,14 +81,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1))))
     scanned = lists.select(*KEY, "w", F.posexplode(pairs).alias("at", "h"))
     met = scanned.join(F.broadcast(table), "h").where((F.element_at("w", F.col("at") + 1) == F.col("a")) & (F.element_at("w", F.col("at") + 2) == F.col("b")))
-    diagonal = met.groupBy(*KEY, "tpl", "label", "base", "votes", (F.col("at") - F.col("tpos")).alias("diagonal")).agg(F.size(F.collect_set("tpos")).alias("cast"))
+    diagonal = met.groupBy(*KEY, "tpl", "label", "base", "votes", (F.col("at") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("cast"))
 
-    near = W.partitionBy(*KEY, "tpl").orderBy("diagonal")
-    starts = (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(near), F.lit(-NEIGHBOUR - 1)) > NEIGHBOUR).cast("int")
-    spans = diagonal.withColumn("span", F.sum(starts).over(near)).groupBy(*KEY, "tpl", "label", "base", "votes", "span").agg(
-        F.least(F.sum("cast") / F.first("votes"), F.lit(1.0)).alias("cover"),
-        F.collect_list(F.when(F.col("base") & (F.col("cast") == F.col("votes")), F.col("diagonal"))).alias("places"),
+    lines = diagonal.groupBy(*KEY, "tpl", "label", "base", "votes").agg(
+        F.collect_list(F.struct("diagonal", "cast")).alias("lines"),
+        F.collect_list(F.when(F.col("base") & (F.size("cast") == F.col("votes")), F.col("diagonal"))).alias("places"),
     )
+    matches = F.array_sort(F.flatten(F.transform("lines", lambda s: F.transform(s["cast"], lambda t: F.struct((s["diagonal"] + t).alias("at"), t.alias("tpos"))))))
+    reach = max(r[4] for r in templates()) + NEIGHBOUR
+    chain = F.when(F.size("lines") == 1, F.size(F.get("lines", F.lit(0))["cast"])).otherwise(longest_chain(matches, reach))
+    spans = lines.withColumn("cover", chain / F.col("votes"))
     sure = (~F.col("base") & (F.col("cover") >= LEAST_COVER)) | (F.size("places") > 0)
     by_doc = spans.groupBy(*KEY).agg(
         F.array_sort(F.flatten(F.collect_list("places"))).alias("places"),

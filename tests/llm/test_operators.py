@@ -199,6 +199,31 @@ def test_edited_license_is_found(spark):
     assert found[3]["places"] == [0, 2, 4, 6] and found[3]["labels"] == "apache,cc-by,gpl"
 
 
+def longest(text, template):
+    """Pairs of a template in the longest chain of matches, tried one by one."""
+    w, t = words(text), template.split()
+    pairs = {(a, b): i for i, (a, b) in enumerate(zip(t, t[1:], strict=False)) if a not in licenses.STOP or b not in licenses.STOP}
+    met, best = [(i, pairs[p]) for i, p in enumerate(zip(w, w[1:], strict=False)) if p in pairs], {}
+    for d, p in met:
+        best[d, p] = 1 + max((n for (e, q), n in best.items() if e < d and q < p and abs(d - p - e + q) <= 3), default=0)
+    return max(best.values(), default=0) / len(pairs)
+
+
+def test_no_pair_of_a_template_counts_twice(spark):
+    rng = random.Random(4)
+    pool = "gnu lesser general public license mozilla version x".split()
+    texts = ["general public license general public license", "public license x public license x public license", "public license " * 2000, "license version mozilla public license"]
+    texts += ["gnu lesser x general y public license"] + [" ".join(rng.choices(pool, k=rng.randrange(40))) for _ in range(60)]
+    texts += ["permission is hereby granted x y free of charge z to any person a obtaining a copy b c of this software " * 2]
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [found[i]["labels"] for i in range(4)] == [""] * 4
+    for i, t in enumerate(texts):
+        cover = {p: longest(t, p) for p in licenses.TEMPLATES}
+        assert found[i]["score"] == pytest.approx(max([*cover.values(), *(longest(t, p) for p in licenses.BASE)]))
+        want = {licenses.TEMPLATES[p] for p, c in cover.items() if c >= 0.75} | {*places(t)[2].split(",")} - {""}
+        assert found[i]["labels"] == ",".join(sorted(want))
+
+
 # exact top-k
 
 
