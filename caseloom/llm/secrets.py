@@ -4,7 +4,9 @@ Long runs of letters, digits and a few marks are candidates. Two models of chara
 strings and one of ordinary words and identifiers, give each candidate a log-likelihood ratio; candidates
 above the margin are spans of kind ``random``. The models are trained from labelled samples: random strings
 written from digests (as hexadecimal and base64 text), and identifier-like words of a bounded sample of the
-corpus. Patterns of well-known secrets count whatever the models say.
+corpus. Patterns of well-known secrets count whatever the models say. A candidate that reaches beyond each of
+them is judged by all its characters outside of them together, and where that fails, by each part of
+LEAST_PART characters and more that they leave; random spans may so overlap others.
 
 Spans are in code points, end exclusive. Null text counts as empty and has no spans. Each row is judged by
 itself, so repeated rows give repeated results. Columns named as results are replaced.
@@ -24,6 +26,7 @@ ASSIGN_KEY = r"(?i:password|passwd|secret|token|api_?key)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+LEAST_PART = 20
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN_VALUE = 12
 
@@ -105,6 +108,23 @@ def ratio(body: Column, table: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.length(body)), F.lit(0.0), lambda s, i: s + F.get(values, code(i - 1) * CODES + code(i)))
 
 
+def outside(s: Column, base: Column) -> Column:
+    """The parts of a span s, of two characters and more, that no span of base, sorted by start, covers."""
+    none = F.array().cast("array<struct<at:int,kind:int,end:int,body:string>>")
+    start = F.struct(s["at"].alias("pos"), none.alias("out"))
+    crossed = F.filter(base, lambda b: (b["at"] < s["end"]) & (s["at"] < b["end"]))
+
+    def part(state: Column, end: Column) -> Column:
+        body = F.substring(s["body"], state["pos"] - s["at"] + 1, end - state["pos"])
+        span = F.struct(state["pos"].alias("at"), s["kind"].alias("kind"), end.alias("end"), body.alias("body"))
+        return F.when(end - state["pos"] > 1, F.concat(state["out"], F.array(span))).otherwise(state["out"])
+
+    def add(state: Column, b: Column) -> Column:
+        return F.struct(F.greatest(state["pos"], b["end"]).alias("pos"), part(state, b["at"]).alias("out"))
+
+    return F.aggregate(crossed, start, add, lambda state: part(state, s["end"]))
+
+
 def spans(docs: DataFrame, text_col: str = "text", table: list[float] | None = None) -> DataFrame:
     """docs with spans added: structs (at, kind, end, body) by start, then kind; kind indexes KINDS."""
     table = log_ratios(docs, text_col) if table is None else table
@@ -113,9 +133,14 @@ def spans(docs: DataFrame, text_col: str = "text", table: list[float] | None = N
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("k_row"), F.col(text_col).alias("k_text"))
     assign = F.filter(spans_of(text, ASSIGN, 0), lambda s: F.length(F.regexp_replace(s["body"], ASSIGN_HEAD, "")) >= ASSIGN_VALUE)
     base = own.select("k_row", "k_text", F.array_sort(F.concat(assign, spans_of(text, ACCESS, 1), spans_of(text, HEX, 2))).alias("k_base"))
-    free = lambda s: ~F.exists("k_base", lambda b: (b["at"] < s["end"]) & (s["at"] < b["end"]))
-    more = F.filter(spans_of(text, CANDIDATE, 3), lambda s: free(s) & (ratio(s["body"], table) >= MARGIN))
-    return base.select("k_row.*", F.array_sort(F.concat("k_base", more)).alias("spans"))
+    free = lambda s: ~F.exists("k_base", lambda b: (b["at"] <= s["at"]) & (s["end"] <= b["end"]))
+    candidates = base.select("k_row", "k_base", F.filter(spans_of(text, CANDIDATE, 3), free).alias("k_more"))
+    judge = lambda p: F.struct(p.alias("span"), ratio(p["body"], table).alias("r"))
+    judged = candidates.withColumn("k_parts", F.transform("k_more", lambda s: F.transform(outside(s, F.col("k_base")), judge)))
+    random = lambda p: (p["r"] >= MARGIN) & (p["span"]["end"] - p["span"]["at"] >= LEAST_PART)
+    whole = lambda parts: F.aggregate(parts, F.lit(0.0), lambda r, p: r + p["r"]) >= MARGIN
+    more = F.flatten(F.zip_with("k_more", "k_parts", lambda s, parts: F.when(whole(parts), F.array(s)).otherwise(F.transform(F.filter(parts, random), lambda p: p["span"]))))
+    return judged.select("k_row.*", F.array_sort(F.concat("k_base", more)).alias("spans"))
 
 
 def joined(found: Column) -> Column:

@@ -506,6 +506,26 @@ def test_redaction_merges_spans(spark, odd_docs, no_docs):
     assert secrets.redact(no_docs, table=table).count() == 0
 
 
+def test_random_strings_that_meet_base_spans_are_judged(spark, real_docs):
+    table = secrets.log_ratios(real_docs)
+    key, hexed = "aB3xK9mQ7zR2pL5vN8wT4yU6hJ1sDf", "0123456789abcdef0123"
+    texts = [f"k {key}/{hexed} end", f"k {hexed}/{key} end", f"k {key}-token=abcdefghijkl end", f"k {hexed} end", f"k internationalization_of_things/{hexed} end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = dict(rows(secrets.spans(docs, table=table), "doc_id", secrets.joined(F.col("spans"))))
+    assert got == {0: "random:2:53,hex:33:53", 1: "hex:2:22,random:2:53", 2: "random:2:39,assign:33:51", 3: "hex:2:22", 4: "hex:33:53"}
+    assert [t for _, t in rows(secrets.redact(docs, table=table), "doc_id", "text")][:3] == ["k [SECRET] end"] * 3
+
+
+def test_parts_of_candidates_outside_base_spans_are_judged(spark):
+    table = [0.0] * (secrets.CODES**2)
+    table[ord("Q") * secrets.CODES + ord("Q")] = 1.0
+    table[ord("-") * secrets.CODES + ord("-")] = -9.0
+    text = "x " + "Q" * 25 + "0123456789abcdef0" + "-" * 30 + " " + "Q" * 10 + "0123456789abcdef0" + "Q" * 19
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = rows(secrets.spans(docs, table=table), secrets.joined(F.col("spans")))
+    assert got == [("random:2:27,hex:27:44,random:75:121,hex:85:102",)], "the first candidate by one part, the second by its parts together"
+
+
 def test_language_of_a_batch_does_not_depend_on_its_cuts(real_docs):
     model = langid.train(real_docs, langid.vocabulary(model_path()))
     texts = [r["text"] for r in real_docs.select("text").limit(12).collect()] + [None, "", "12", "a"]
