@@ -13,6 +13,8 @@ from .common import bucket, spread
 Query = Callable[[SparkSession, str], DataFrame]
 
 HELD_MODULUS, HELD_REMAINDER = 4, 2
+#: Longest context, in bytes, by which texts are scored.
+LM_ORDER = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +79,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(documents(spark, sf_dir))
+    return ppm.score(documents(spark, sf_dir), order=LM_ORDER)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -450,6 +450,57 @@ def test_symbol_probabilities_sum_to_one():
     assert (10.0 ** model.table.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(model.table)), abs=1e-4)
 
 
+def long_probability(train, text, order):
+    """Like ppm_probabilities, for any order."""
+    table, pad = {}, [256] * order
+    for t in train:
+        s = [*pad, *(t or "").encode(), 256]
+        for k in range(order, len(s)):
+            for n in range(order + 1):
+                table.setdefault(tuple(s[k - n : k]), Counter())[s[k]] += 1
+    s, total = [*pad, *(text or "").encode(), 256], 0.0
+    for k in range(order, len(s)):
+        shut, left, p = set(), 1.0, None
+        for n in range(order, -1, -1):
+            here = {x: c for x, c in table.get(tuple(s[k - n : k]), {}).items() if x not in shut}
+            if not here:
+                continue
+            size, kinds = sum(here.values()), len(here)
+            whole = size + kinds if len(shut) + kinds < 257 else size
+            if s[k] in here:
+                p = left * here[s[k]] / whole
+                break
+            left *= kinds / whole
+            shut |= set(here)
+        total += math.log10(p if p is not None else left / (257 - len(shut)))
+    return total
+
+
+@pytest.mark.parametrize(("order", "window_tier"), [(5, 1_048_576), (5, 3), (6, 40)])
+def test_long_contexts_are_counted_and_blended(spark, order, window_tier):
+    rng = random.Random(order)
+    lines = ["released under the usual terms " * 2, "abracadabra banana", "", None, "Été ñandú 日本語", "aaaaaaaaaaaaaaaaaaaa"]
+    texts = [*lines, *["".join(rng.choices("ab c", k=rng.randrange(60))) for _ in range(40)], *(x and x[3:] + "\0x" for x in lines), bytes(range(128)).decode()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = lambda i: crc32(str(i).encode()) % 3 == 0
+    training = [t for i, t in enumerate(texts) if not held(i)]
+    got = rows(ppm.score(docs, modulus=3, order=order, window_tier=window_tier), "doc_id", "score")
+    assert sorted(i for i, _ in got) == list(range(len(texts)))
+    assert dict(got) == pytest.approx({i: long_probability(training, t, order) for i, t in enumerate(texts)})
+
+
+def test_copied_text_outscores_text_of_like_triples(spark, monkeypatch):
+    from caseloom.llm import queries
+
+    copied = "licensed to the reader as is without any warranty "
+    mixed = "".join(copied[i : i + 3] for i in random.Random(1).sample(range(len(copied) - 3), 16))
+    docs = spark.createDataFrame([(i, copied) for i in range(1, 30)] + [(100 + i, mixed) for i in range(40) if crc32(str(100 + i).encode()) % 10 == 0], "doc_id long, text string")
+    monkeypatch.setattr(queries, "documents", lambda spark, sf_dir: docs)
+    got = dict(rows(queries.op9_lm_scoring(spark, ""), "doc_id", "score"))
+    assert got[1] == pytest.approx(long_probability([copied] * sum(crc32(str(i).encode()) % 10 != 0 for i in range(1, 30)), copied, queries.LM_ORDER))
+    assert max(s for i, s in got.items() if i >= 100) < 10 * got[1]
+
+
 # secret scans
 
 PATTERNS = {
