@@ -577,6 +577,62 @@ def test_parts_of_candidates_outside_base_spans_are_judged(spark):
     assert got == [("random:2:27,hex:27:44,random:75:121,hex:85:102",)], "the first candidate by one part, the second by its parts together"
 
 
+ORDINARY = [
+    "550e8400-e29b-41d4-a716-446655440000",
+    "com/blog/2023/05/17/how-we-built-it-2023",
+    "VERSION_2024_10_RELEASE_CANDIDATE_3",
+    "MAX_NUMBER_OF_CONNECTIONS_PER_HOST",
+    "test_case_0123456789_abcdef_helper",
+    "0123-4567-8901-2345-6789",
+    "2024-01-15/2024-02-15/2024-03-15",
+    "src/main/java/org/apache/spark/sql/Dataset",
+    "getUserNameFromRequestHandlerFactory",
+    "Donaudampfschifffahrtsgesellschaft",
+    "Przedsiebiorstwonajwiekszych",
+    "1234567890123456",
+]
+
+
+def pair_ratio(text, table):
+    return sum(table[ord(a) * secrets.CODES + ord(b)] for a, b in zip(text, text[1:], strict=False))
+
+
+def test_ordinary_strings_are_no_secrets_and_random_ones_are(spark, real_docs):
+    """Strings of neither sample: all ordinary ones stay, and nearly all random ones are found, as plain Python scores them."""
+    table = secrets.log_ratios(real_docs)
+    rng = random.Random(11)
+    draw = lambda chars, n: "".join(rng.choices(chars, k=n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    keys = [draw(c, n) for n in (24, 32, 40) for c in (lower + upper + digits, lower + upper + digits + "+/", lower + digits, "0123456789ABCDEF") for _ in range(40)]
+    pool = "river green mountain Silver cloud paper engine quiet orange bridge".split()
+    plain = [*ORDINARY]
+    for _ in range(100):
+        a, b, c = rng.choices(pool, k=3)
+        plain += [f"{a}_{b}_{c}_{rng.randrange(10**4):04}", f"{a.upper()}_{b.upper()}_{c.upper()}", f"{a}/{b}/{rng.randrange(1990, 2040)}/{rng.randrange(1, 13):02}/{c}", f"{a}-{b}-{c}-{a}", f"{a}{b.title()}{c.title()}{a.title()}"]
+    docs = spark.createDataFrame([(i, f"( {t} )") for i, t in enumerate([*keys, *plain])], "doc_id int, text string")
+    spans = dict(rows(secrets.spans(docs, table=table), "doc_id", secrets.joined(F.col("spans"))))
+    found = [spans[i] != "" for i in range(len(spans))]
+    wrong = [t for t, f in zip(plain, found[len(keys) :], strict=True) if f and not re.fullmatch("[0-9a-f]{16,}", t)]
+    assert not {*wrong} & {*ORDINARY} and len(wrong) <= 0.01 * len(plain)
+    assert np.mean(found[: len(keys)]) > 0.97
+    got = secrets.spans(docs, table=table).select("doc_id", secrets.ratio(F.expr("substring(text, 3, length(text) - 4)"), table).alias("r")).orderBy("doc_id").collect()
+    assert [r["r"] for r in got] == pytest.approx([pair_ratio(t, [float(f"{x:.4f}") for x in table]) for t in [*keys, *plain]])
+
+
+def test_long_candidates_and_many_spans(spark):
+    table = [0.0] * (secrets.CODES**2)
+    table[ord("a") * secrets.CODES + ord("b")] = 1.0
+    hexed, long = "0123456789abcdef0 é ", "ab" * 5000
+    texts = [hexed * 3000, f"token={'x' * 12} {long} token={'y' * 5000}.{'z' * 40}==", "token=abcdefghijkl." * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = dict(rows(secrets.spans(docs, table=table), "doc_id", secrets.joined(F.col("spans"))))
+    assert got[0] == base_spans(texts[0]) and got[2] == base_spans(texts[2])
+    assert got[1] == base_spans(texts[1]).replace(",", f",random:19:{19 + len(long)},", 1)
+    cut = dict(rows(secrets.redact(docs, table=table), "doc_id", "text"))
+    assert cut[0] == "[SECRET] é " * 3000 and cut[1] == "[SECRET] [SECRET] [SECRET]"
+    assert spark.range(1).select(secrets.ratio(F.lit(long), table)).first()[0] == pytest.approx(5000)
+
+
 def test_language_of_a_batch_does_not_depend_on_its_cuts(real_docs):
     model = langid.train(real_docs, langid.vocabulary(model_path()))
     texts = [r["text"] for r in real_docs.select("text").limit(12).collect()] + [None, "", "12", "a"]
