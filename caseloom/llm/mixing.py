@@ -11,11 +11,15 @@ text 'null'. Sources with weight 0 or not named in given weights vanish. An empt
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sources up to this number are broadcast (an entry holds some 30 numbers at common rates).
-BROADCAST_SOURCES = 10_000
+from .common import materialize
+
+#: Step lists are broadcast up to this many steps in all, 32 MB; beyond it sources are joined by shuffle.
+BROADCAST_STEPS = 4_000_000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -25,17 +29,27 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def poisson_steps(rate: Column) -> Column:
-    """Cumulative probabilities P(count <= k) for k = 0.. until what is left can't be drawn."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    """Struct (least, steps): cumulative probabilities P(count <= k) for k from least until what is left can't be drawn.
+
+    Counts below least, 12 deviations and 30 below the mean, can't be drawn either, so the list grows with the
+    root of the rate. The first probability's factorial is Stirling's, exact to doubles beyond 30.
+    """
+    reach = 12 * F.sqrt(rate) + 30
+    least = F.greatest(F.floor(rate - reach), F.lit(0)).cast("int")
+    last = F.ceil(rate + reach).cast("int")
+    k = F.greatest(least, F.lit(1)).cast("double")
+    log_factorial = F.when(least > 0, k * F.log(k) - k + 0.5 * F.log(2 * math.pi * k) + 1 / (12 * k) - 1 / (360 * k * k * k)).otherwise(0.0)
+    log_first = F.when(least > 0, least * F.log(rate)).otherwise(0.0) - rate - log_factorial
     none = F.array().cast("array<double>")
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array_append(none, F.exp(-rate)).alias("steps"))
+    start = F.struct(log_first.alias("log_p"), F.exp(log_first).alias("sum"), F.array_append(none, F.exp(log_first)).alias("steps"))
 
     def add(state: Column, k: Column) -> Column:
         log_p = state["log_p"] + F.log(rate) - F.log(k.cast("double"))
         total = state["sum"] + F.exp(log_p)
         return F.struct(log_p.alias("log_p"), total.alias("sum"), F.array_append(state["steps"], total).alias("steps"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, add, lambda s: s["steps"])).otherwise(none)
+    steps = F.when(rate > 0, F.aggregate(F.sequence(least + 1, last), start, add, lambda s: s["steps"])).otherwise(none)
+    return F.struct(least.alias("least"), steps.alias("steps"))
 
 
 def rates(docs: DataFrame, source_col: str, weights: dict[str | None, float] | None, total: int | None) -> DataFrame:
@@ -62,13 +76,14 @@ def mix(
 ) -> DataFrame:
     """Columns of docs (any of the two new names replaced), copy_no (from 1) and shuffle_key, globally shuffled."""
     columns = [c for c in docs.columns if c.lower() not in ("copy_no", "shuffle_key")]
-    per_source = rates(docs, source_col, weights, total).select("src", poisson_steps(F.col("rate")).alias("steps"))
-    per_source = per_source.persist()
-    per_source = F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
+    per_source = materialize(rates(docs, source_col, weights, total).select("src", poisson_steps(F.col("rate")).alias("p")), "rates")
+    n_steps = per_source.agg(F.coalesce(F.sum(F.size("p.steps") + 16), F.lit(0))).first()[0]
+    per_source = F.broadcast(per_source) if n_steps <= BROADCAST_STEPS else per_source
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(source_col).alias("source_key"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id_text"))
     rated = own.join(per_source, F.col("source_key").eqNullSafe(F.col("src")))
-    drawn = rated.withColumn("u", uniform(seed, F.col("id_text"))).withColumn("times", F.size(F.filter("steps", lambda p: p <= F.col("u"))))
-    # A step list that is empty is a source to leave out; else u below the last step is certain.
+    count = F.when(F.size("p.steps") > 0, F.col("p.least") + F.size(F.filter("p.steps", lambda p: p <= F.col("u")))).otherwise(0)
+    drawn = rated.withColumn("u", uniform(seed, F.col("id_text"))).withColumn("times", count)
+    # A step list that is empty is a source to leave out; else u is all but certain to lie below the last step.
     copies = drawn.where("times > 0").select("row", "id_text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_no"))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col("id_text"), F.col("copy_no").cast("string")).cast("binary"))
     keyed = copies.withColumn("shuffle_key", key)

@@ -26,9 +26,9 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 
 OP7 = """WITH RECURSIVE r AS (SELECT source, (SELECT count(*) FROM documents) / (SELECT count(*) FROM (SELECT DISTINCT source FROM documents)) / CAST(count(*) AS DOUBLE) AS rate FROM documents GROUP BY source),
 steps AS (SELECT source, rate, 0 AS k, -rate AS lp, exp(-rate) AS total FROM r UNION ALL SELECT source, rate, k + 1, lp + ln(rate) - ln(k + 1), total + exp(lp + ln(rate) - ln(k + 1)) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
-u AS (SELECT doc_id, source, CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
-t AS (SELECT u.doc_id, u.source, count(*) FILTER (total <= u) AS times FROM u JOIN steps ON u.source IS NOT DISTINCT FROM steps.source GROUP BY ALL)
-SELECT doc_id, source, CAST(c AS INT) AS copy_no, md5('17:order:' || doc_id || ':' || c) AS shuffle_key FROM (SELECT doc_id, source, unnest(range(1, times + 1)) AS c FROM t)"""
+u AS (SELECT *, CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
+t AS (SELECT u.*, (SELECT count(*) FROM steps WHERE u.source IS NOT DISTINCT FROM steps.source AND total <= u.u) AS times FROM u)
+SELECT doc_id, text, lang, source, n_chars, CAST(c AS INT) AS copy_no, md5('17:order:' || doc_id || ':' || c) AS shuffle_key FROM (SELECT *, unnest(range(1, times + 1)) AS c FROM t)"""
 
 OP8 = f"""WITH p AS (SELECT page_id, {LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r(h, s, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),

@@ -70,8 +70,8 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sources are brought to the same weight."""
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """All sources are brought to the same weight; whole documents are repeated and shuffled."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
