@@ -2,11 +2,14 @@
 
 A rule is a regular expression over host and path together, with the literal tokens that any URL it fits
 must hold. Each rule is filed under the one of its tokens that is rarest over all URLs of the table; a URL
-fetches the rules filed under its own tokens, and only those expressions run. One pass without a shuffle
-judges the rows; the index is a broadcast of the rule list, which is a parameter.
-
-Null URLs, and those without ``://``, have empty host and path and are judged as such (no rule fits, so they
-are allowed). Repeated rows are judged each. An empty table stays empty.
+fetches the rules filed under its own tokens, and only those expressions run, each compiled when it is first
+fetched. Rules without a literal token are fetched by every URL. One pass without a shuffle judges the rows; the
+index is a broadcast of the rule list, which is a parameter.
+
+Of the base rules that fit, the strongest wins, and among equally strong ones the first of the list; without a
+base rule, any fitting rule that blocks does. Null URLs, and those without ``://``, have empty host and path and
+are judged as such. URLs are judged whole, however long. Repeated rows are judged each. An empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -64,40 +67,54 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
-    """Rules by their rarest token, counted over all URLs; ties go to the longer token."""
-    wanted = sorted({t for r in rules for t in r.tokens})
+def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[str, list[int]]:
+    """Places in rules by the rarest token, counted over all URLs; ties go to the longer token, rules without one to ''."""
+    wanted = urls.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
     text = F.lower(F.concat("host", F.lit(" "), "path"))
-    tokens = urls.select(F.explode(F.split(text, "[^a-z0-9]+")).alias("token")).where(F.col("token").isin(wanted))
-    seen = {r[0]: r[1] for r in tokens.groupBy("token").count().collect()}
-    index: dict[str, list[Rule]] = {}
-    for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (seen.get(t, 0), -len(t), t)), []).append(r)
+    tokens = urls.select(F.explode(F.split(text, "[^a-z0-9]+")).alias("token")).join(F.broadcast(wanted), "token", "left_semi")
+    seen = {r[0]: r[1] for r in tokens.groupBy("token").count().collect()}  # tokens of the rule list alone
+    index: dict[str, list[int]] = {}
+    for at, r in enumerate(rules):
+        index.setdefault(min(r.tokens, key=lambda t: (seen.get(t, 0), -len(t), t), default=""), []).append(at)
     return index
 
 
-def judge_one(host: str, path: str, index: dict[str, list[tuple[Rule, re.Pattern[str]]]]) -> tuple[str | None, str]:
-    site = host + path
-    tokens = set(TOKEN.findall(host + " " + path.lower()))
-    fits = [r for t in tokens if t in index for r, pattern in index[t] if pattern.match(site)]
-    base = max((r for r in fits if r.base), key=lambda r: r.strength, default=None)
-    if base:
-        return base.name, base.verdict
-    return None, "block" if any(r.verdict == "block" for r in fits) else "allow"
+class Judge:
+    """Verdicts of URLs; an expression is compiled when a URL first fetches it."""
+
+    def __init__(self, rules: list[Rule], index: dict[str, list[int]]) -> None:
+        self.rules, self.index = rules, index
+        self.always = index.get("", [])
+        self.patterns: dict[int, re.Pattern[str]] = {}
+
+    def fits(self, at: int, site: str) -> bool:
+        if (pattern := self.patterns.get(at)) is None:
+            pattern = self.patterns[at] = re.compile(self.rules[at].pattern, re.DOTALL)
+        return pattern.match(site) is not None
+
+    def __call__(self, host: str, path: str) -> tuple[str | None, str]:
+        site = host + path
+        fetched = [*self.always, *(at for t in set(TOKEN.findall(host + " " + path.lower())) for at in self.index.get(t, ()))]
+        found = [at for at in fetched if self.fits(at, site)]
+        base = min((at for at in found if self.rules[at].base), key=lambda at: (-self.rules[at].strength, at), default=None)
+        if base is not None:
+            return self.rules[base].name, self.rules[base].verdict
+        return None, "block" if any(self.rules[at].verdict == "block" for at in found) else "allow"
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[Rule] | None = None) -> DataFrame:
     """id, host, path, rule (a base rule's name, else null) and verdict for each row."""
     spark = pages.sparkSession
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    index = rarest_tokens(urls, [*BASE_RULES, *OWN_RULES] if rules is None else rules)
-    sent = spark.sparkContext.broadcast({t: [astuple(r) for r in filed] for t, filed in index.items()})
+    listed = [*BASE_RULES, *OWN_RULES] if rules is None else list(rules)
+    sent = spark.sparkContext.broadcast(([astuple(r) for r in listed], rarest_tokens(urls, listed)))
     schema = schema_with(urls, "rule string, verdict string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {t: [(Rule(*r), re.compile(r[2], re.DOTALL)) for r in filed] for t, filed in sent.value.items()}
+        rows, index = sent.value
+        verdict = Judge([Rule(*r) for r in rows], index)
         for b in batches:
-            found = [judge_one(h, p, index) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            found = [verdict(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
             yield beside(b.columns, [pa.array(x, pa.string()) for x in ([r for r, _ in found], [v for _, v in found])], schema)
 
     return urls.mapInArrow(run, schema).withColumnRenamed("id", id_col)
