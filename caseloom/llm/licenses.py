@@ -7,8 +7,9 @@ before in document and template and at most NEIGHBOUR diagonals off, so that non
 when enough of the template's pairs are met, each verified by its words. Base phrases count where all their
 pairs stand on one diagonal.
 
-Null text counts as empty: no words, no places, labels '' and score 0. Rows that repeat id and text share
-one result, null ids among them.
+Null text counts as empty: no words, no places, labels '' and score 0. Texts are scanned whole. Labels that tie
+are all given, sorted. Rows that repeat id and text share one result, null ids among them. An empty table gives
+no row. Columns of the documents but id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +39,6 @@ TEMPLATES = {
     "creative commons attribution 4 0 international license": "cc-by",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
-# A pair of these words alone casts no vote, being too common.
-STOP = "a and any are can in into is it of or the this to under use with without you".split()
 #: Share of a template's voting pairs that a span must meet, and how far diagonals may lie apart.
 LEAST_COVER, NEIGHBOUR = 0.75, 3
 
@@ -49,8 +48,7 @@ def templates() -> list[tuple[int, str, bool, int, int, str, str]]:
     rows = []
     for k, (phrase, label) in enumerate([*BASE.items(), *TEMPLATES.items()]):
         w = phrase.split()
-        pairs = [(i, a, b) for i, (a, b) in enumerate(zip(w, w[1:], strict=False)) if a not in STOP or b not in STOP]
-        rows += [(k, label, k < len(BASE), len(pairs), i, a, b) for i, a, b in pairs]
+        rows += [(k, label, k < len(BASE), len(w) - 1, i, a, b) for i, (a, b) in enumerate(zip(w, w[1:], strict=False))]
     return rows
 
 
