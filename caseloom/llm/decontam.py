@@ -1,28 +1,28 @@
 """Benchmark decontamination with DataFrame functions alone.
 
 Benchmark items become windows of n consecutive normalised words (a shorter item is one window). Of each
-window, all its grams of n // 2 + 1 words are put into a hash set, which is broadcast while the number of
-windows is small enough, and joined by shuffle beyond that. Documents are scanned at every so many words, such
-that each window of theirs holds exactly one scanned gram. Where a gram is in the set, the windows around it
-are looked up by hash and verified word by word. A scanned gram carries the words around it, never a whole
-text, so the work is linear in a text's length.
+window, all its grams of n // 2 + 1 words are put into a hash set, which is broadcast while it is small enough,
+and joined by shuffle beyond that. One scan looks at every document's grams at every so many words, such that
+each window of it holds exactly one scanned gram. Where a gram is in the set, the windows around it are looked up
+by hash and verified word by word. A scanned gram carries the words around it, never a whole text, so the work is
+linear in a text's length. A window that a document, or its copies, hold again and again is gathered once a place.
 
 Null or wordless texts have no words and no hits; null or wordless items give no window. Rows that repeat
-id and text share one result, null ids among them. An empty benchmark hits nothing. Columns of the
-documents that are named as results are replaced.
+id and text share one result, null ids among them; items that repeat an id count as one. An empty benchmark hits
+nothing, and no documents give no row. Columns of the documents that are named as results are replaced.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, ascii_lower, keyed, row_key, words
+from .common import KEY, ascii_lower, keyed, materialize, row_key, words
 
-#: Windows up to this number are broadcast: at 13 words each, some 200 MB at most.
-BROADCAST_WINDOWS = 500_000
+#: The hash set and its windows are broadcast up to this many bytes of words and items, in all.
+BROADCAST_BYTES = 200 << 20
 
 
 def gram_size(n: int) -> tuple[int, int]:
@@ -54,30 +54,40 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
     """Documents with hits: their key, n_hit (words inside any window), hit (those positions), items (sorted)."""
-    windows = benchmark_windows(benchmark, item_col, item_text_col, n).persist()
-    by_size = {r[0]: r[1] for r in windows.groupBy("size").count().collect()}
+    windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, n), "benchmark")
+    strings = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 16)
+    sizes = sorted((r[0], r[1]) for r in windows.groupBy("size").agg(F.sum(strings(F.col("win")) + strings(F.col("items")) + 16 * F.col("size"))).collect())
+    small = sum(bytes_ for _, bytes_ in sizes) <= BROADCAST_BYTES
+    near = lambda df: F.broadcast(df) if small else df
     lists = keyed(docs, id_col, text_col).select(*KEY, words(ascii_lower(F.col("k_body"))).alias("w"))
-    found = []
-    for size, count in sorted(by_size.items()):
-        sized = windows.where(F.col("size") == size)
-        gram, step = gram_size(size)
-        one = sized.select(hash_of(F.col("win"), 0, size).alias("h"), "win", "items")
-        known = sized.select(F.explode(F.array(*[hash_of(F.col("win"), i, gram) for i in range(step)])).alias("h")).distinct()
-        if count <= BROADCAST_WINDOWS:
-            one, known = F.broadcast(one), F.broadcast(known)
-        scanned = lists.select(*KEY, F.explode(scanned_grams(F.col("w"), size)).alias("gram")).select(*KEY, "gram.*")
-        near = scanned.join(known, "h", "left_semi")
-        around = F.array(*[F.struct((F.col("start") + i).alias("at"), F.slice("c", i + 1, size).alias("text_win"), hash_of(F.col("c"), i, size).alias("h")) for i in range(step)])
-        met = near.select(*KEY, F.explode(around).alias("x")).select(*KEY, "x.*").join(one, "h").where(F.col("text_win") == F.col("win"))
-        found.append(met.select(*KEY, F.sequence("at", F.col("at") + (size - 1)).alias("run"), "items"))
-    if not found:
-        none = keyed(docs, id_col, text_col).where(F.lit(False)).select(*KEY)
+    if not sizes:
+        none = lists.where(F.lit(False)).select(*KEY)
         return none.select(*KEY, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
-    each = reduce(DataFrame.unionAll, found)
-    sets = each.groupBy(*KEY).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("run")))).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+
+    def by_size(make: Callable[[int], Column]) -> Column:
+        chosen = F.when(F.col("size") == sizes[0][0], make(sizes[0][0]))
+        for size, _ in sizes[1:]:
+            chosen = chosen.when(F.col("size") == size, make(size))
+        return chosen
+
+    def grams(size: int) -> Column:
+        gram, step = gram_size(size)
+        return F.array(*[hash_of(F.col("win"), i, gram) for i in range(step)])
+
+    def around(size: int) -> Column:
+        return F.array(*[F.struct((F.col("start") + i).alias("at"), F.slice("c", i + 1, size).alias("text_win"), hash_of(F.col("c"), i, size).alias("h")) for i in range(gram_size(size)[1])])
+
+    one = windows.select("size", by_size(lambda size: hash_of(F.col("win"), 0, size)).alias("h"), "win", "items")
+    known = windows.select("size", F.explode(by_size(grams)).alias("h")).distinct()
+    none = F.array().cast("array<struct<size:int,start:int,h:bigint,c:array<string>>>")
+    sized = lambda size: F.transform(scanned_grams(F.col("w"), size), lambda g: F.struct(F.lit(size).alias("size"), g["start"].alias("start"), g["h"].alias("h"), g["c"].alias("c")))
+    found = F.concat(*[F.coalesce(sized(size), none) for size, _ in sizes])
+    scanned = lists.select(*KEY, F.explode(found).alias("gram")).select(*KEY, "gram.*")
+    met = scanned.join(near(known), ["size", "h"], "left_semi").select(*KEY, "size", F.explode(by_size(around)).alias("x")).select(*KEY, "size", "x.*")
+    hit = met.join(near(one), ["size", "h"]).where(F.col("text_win") == F.col("win"))
+    runs = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + (r["size"] - 1))))
+    sets = hit.groupBy(*KEY).agg(F.collect_set(F.struct("at", "size")).alias("runs"), F.collect_set("items").alias("items"))
+    sets = sets.select(*KEY, F.array_sort(F.array_distinct(runs)).alias("hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
     return sets.select(*KEY, F.size("hit").cast("long").alias("n_hit"), "hit", "items")
 
 
@@ -112,5 +122,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         return joined.where(~dirty).select("row.*")
     chunk = F.regexp_extract_all(text, F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     tail = F.regexp_extract(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
-    cut = F.concat(F.array_join(F.filter(chunk, lambda _, i: ~F.array_contains("hit", i)), ""), tail)
+    after = lambda k: F.coalesce(F.get("hit", k - 1) + 1, F.lit(0))
+    clean = F.transform(F.sequence(F.lit(0), F.size("hit")), lambda k: F.slice("chunk", after(k) + 1, F.coalesce(F.get("hit", k), F.size("chunk")) - after(k)))
+    cut = F.concat(F.array_join(F.flatten(clean), ""), tail)
+    joined = joined.withColumn("chunk", F.when(dirty, chunk))
     return joined.select(*[(F.when(dirty, cut).otherwise(text) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in columns])

@@ -130,7 +130,7 @@ def items(spark, tiny):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_contamination(spark, docs, items, broadcast, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 500_000 if broadcast else 0)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 200 << 20 if broadcast else 0)
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontam.report(docs, bench)
     found = found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated")
