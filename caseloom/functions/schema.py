@@ -1,4 +1,4 @@
-"""Names and column meaning: file identities, suffix rules, feature names and fingerprints. Plain Python."""
+"""Names and column meaning: file identities, suffix rules, feature names and fingerprints."""
 
 from __future__ import annotations
 
@@ -8,14 +8,19 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import types as T
+
 # Columns that are structure, never predictors, and names that would leak the target.
 STRUCTURAL = frozenset({"case_id", "target", "WEEK_NUM", "MONTH", "date_decision", "num_group1", "num_group2"})
 LEAKS = frozenset({"target", "score", "prediction", "predicted_target"})
 KINDS = ("numeric", "categorical", "date", "unsupported")
 
+# What a column's suffix means where its type says nothing. Columns ending in D are dates whatever their type.
+UNTYPED = {"M": "categorical", "A": "numeric", "P": "numeric", "L": "numeric"}
+DATE_SUFFIX = "D"
+
 _FILE = re.compile(r"(train|test)_(.+)\.parquet")
-_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-_TEMPORAL = ("date", "timestamp", "time", "duration", "interval")
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType, T.DayTimeIntervalType, T.YearMonthIntervalType)
 
 
 @dataclass(frozen=True)
@@ -44,20 +49,31 @@ def parse_file_name(name: str) -> TableIdentity:
     raise ValueError(f"no depth in {name}")
 
 
-def classify(name: str, kind: str) -> str:
-    """Meaning of a column of this name and Spark type; kind 'void' is a column without a type."""
-    kind = kind.lower()
+def typed(kind: str) -> T.DataType:
+    """The Spark type that a simple string, such as a catalog holds, stands for."""
+    return T.StructType.fromDDL(f"c {kind}")[0].dataType
+
+
+def holds_text(kind: T.DataType) -> bool:
+    parts = [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.keyType, kind.valueType] if isinstance(kind, T.MapType) else [f.dataType for f in kind] if isinstance(kind, T.StructType) else []
+    return isinstance(kind, T.StringType) or any(map(holds_text, parts))
+
+
+def by_type(kind: T.DataType) -> str:
+    if isinstance(kind, T.NumericType):
+        return "numeric"
+    if isinstance(kind, T.BooleanType) or holds_text(kind):
+        return "categorical"
+    return "date" if isinstance(kind, _TIMES) else "unsupported"
+
+
+def classify(name: str, kind: T.DataType) -> str:
+    """Meaning of a column of this name and Spark type; a void column has no type and goes by its suffix."""
     if name in STRUCTURAL:
         return "structural"
-    if name.endswith("D"):
+    if name.endswith(DATE_SUFFIX):
         return "date"
-    if kind in ("void", "null"):
-        return {"M": "categorical", "A": "numeric", "P": "numeric", "L": "numeric"}.get(name[-1:], "unsupported")
-    if kind.startswith(_NUMERIC):
-        return "numeric"
-    if "string" in kind or kind in ("boolean", "binary") or kind.startswith(("varchar", "char")):
-        return "categorical" if kind != "binary" else "unsupported"
-    return "date" if kind.startswith(_TEMPORAL) else "unsupported"
+    return UNTYPED.get(name[-1:], "unsupported") if isinstance(kind, T.NullType) else by_type(kind)
 
 
 def resolve(observations: Iterable[dict[str, str]]) -> dict[str, str]:
@@ -89,16 +105,26 @@ def fingerprint(fields: Sequence[tuple[str, str, bool]]) -> str:
     return hashlib.sha256(payload.encode()).hexdigest()
 
 
-def payload_sha256(payload: dict) -> str:
-    """Of a protocol without its own digest; keys in order."""
-    rest = {k: v for k, v in payload.items() if k != "protocol_sha256"}
-    return hashlib.sha256(json.dumps(rest, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-
+class Sealed:
+    """A protocol, and its digest over compact UTF-8 JSON with sorted keys, the digest itself left out."""
 
-def with_sha256(payload: dict) -> dict:
-    return {**payload, "protocol_sha256": payload_sha256(payload)}
+    KEY = "protocol_sha256"
 
+    def __init__(self, payload: dict) -> None:
+        self.content = {k: v for k, v in payload.items() if k != self.KEY}
 
-def check_sha256(payload: dict) -> None:
-    if payload.get("protocol_sha256") != payload_sha256(payload):
-        raise ValueError("the protocol does not fit its digest")
+    @property
+    def digest(self) -> str:
+        text = json.dumps(self.content, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def payload(self) -> dict:
+        return {**self.content, self.KEY: self.digest}
+
+    @classmethod
+    def opened(cls, payload: dict) -> Sealed:
+        """Refuses a payload whose digest does not fit."""
+        found = cls(payload)
+        if payload.get(cls.KEY) != found.digest:
+            raise ValueError("the protocol does not fit its digest")
+        return found

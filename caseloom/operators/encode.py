@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from caseloom.functions.columns import finite
 
 from .joins import small
+from .ranks import quantiles
 
 MISSING = "__missing__"
 
@@ -53,13 +53,19 @@ def encode_codes(rows: DataFrame, codes: DataFrame, columns: list[str], key: str
 
 
 def linear_parameters(train: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, median, mean, scale: of finite values, mean and scale after missing ones took the median; scale 1 if tiny."""
-    values = train.select([F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c).cast("double")).alias(c) for c in columns])
-    medians = values.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns]).first()
-    filled = values.select([F.coalesce(F.col(c), F.lit(float(medians[c]))).alias(c) for c in columns])
-    stats = filled.agg(*[F.struct(F.lit(c).alias("feature"), F.lit(float(medians[c])).alias("median"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c) for c in columns])
-    rows = stats.select(F.explode(F.array(*columns)).alias("r")).select("r.*")
-    return rows.select("feature", "median", "mean", F.when(F.col("sd") > 1e-6, F.col("sd")).otherwise(1.0).alias("scale"))
+    """feature, median, mean, scale: of finite values, mean and scale after missing ones took the median; scale 1 if tiny.
+
+    Values are counted by feature and value, so that the exact median needs no task that holds them all.
+    """
+    shift = F.col("value") - F.col("median")
+    value = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c).cast("double"))
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in columns])).alias("v")).select("v.*")
+    middle = quantiles(long, ["feature"], "value", [0.5]).select("feature", F.get("quantiles", F.lit(0)).alias("median"))
+    named = train.sparkSession.createDataFrame([(c,) for c in columns], "feature string").join(middle, "feature", "left")
+    medians = named.select("feature", F.coalesce("median", F.lit(0.0)).alias("median"))
+    away = long.join(F.broadcast(medians), "feature").select("feature", "median", F.coalesce(shift, F.lit(0.0)).alias("away"))  # one row of medians a feature
+    stats = away.groupBy("feature", "median").agg(F.avg("away").alias("away"), F.stddev_pop("away").alias("sd"))
+    return medians.join(stats, ["feature", "median"], "left").select("feature", "median", (F.col("median") + F.coalesce("away", F.lit(0.0))).alias("mean"), F.when(F.col("sd") > 1e-6, F.col("sd")).otherwise(1.0).alias("scale"))
 
 
 def standardise(rows: DataFrame, parameters: DataFrame, columns: list[str], key: str = "case_id") -> DataFrame:
@@ -68,36 +74,34 @@ def standardise(rows: DataFrame, parameters: DataFrame, columns: list[str], key:
     return rows.select(key, *[((F.coalesce(value(c), F.lit(p[c]["median"])) - p[c]["mean"]) / p[c]["scale"]).alias(c) for c in columns])
 
 
-def structural_screen(train: DataFrame, columns: list[str], categorical: list[str] = (), max_missing: float = 0.997, max_categories: int = 5000, batch: int = 96) -> DataFrame:
-    """feature, missing_fraction, n_unique (null counts), reason why it is rejected, if so."""
-    parts = []
-    for at in range(0, len(columns), batch):
-        some = columns[at : at + batch]
-        stats = [
-            F.struct(
-                F.lit(c).alias("feature"),
-                (F.count_if(F.col(c).isNull()) / F.count(F.lit(1))).alias("missing_fraction"),
-                (F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias("n_unique"),
-            ).alias(f"s{i}")
-            for i, c in enumerate(some)
-        ]
-        parts.append(train.agg(*stats).select(F.explode(F.array(*[f"s{i}" for i in range(len(some))])).alias("r")).select("r.*"))
-    found = reduce(DataFrame.unionAll, parts)
-    reason = (
-        F.when(F.col("missing_fraction") > max_missing, "missing")
-        .when(F.col("n_unique") <= 1, "constant")
-        .when(F.col("feature").isin(*categorical) & (F.col("n_unique") > max_categories), "cardinality")
-        if categorical
-        else F.when(F.col("missing_fraction") > max_missing, "missing").when(F.col("n_unique") <= 1, "constant")
+def structural_screen(train: DataFrame, columns: list[str], categorical: list[str] = (), max_missing: float = 0.997, max_categories: int = 5000) -> DataFrame:
+    """feature, missing_fraction, n_unique (null counts), reason why it is rejected, if so.
+
+    One scan turns columns to rows of feature and value, which are counted in each task before they are shuffled.
+    """
+    text = lambda c: (F.col(c) + F.lit(0)).cast("string") if isinstance(train.schema[c].dataType, FractionalType) else F.col(c).cast("string")
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), text(c).alias("value")) for c in columns])).alias("v")).select("v.*")
+    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.groupBy("feature").agg(
+        (F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("missing_fraction"),
+        F.count(F.lit(1)).alias("n_unique"),
     )
-    return found.withColumn("reason", reason)
+    reason = F.when(F.col("missing_fraction") > max_missing, "missing").when(F.col("n_unique") <= 1, "constant")
+    many = F.col("feature").isin(*categorical) & (F.col("n_unique") > max_categories)
+    return found.withColumn("reason", reason.when(many, "cardinality") if categorical else reason)
 
 
 def select_with_floor(ranking: DataFrame, most: int, floor: int) -> DataFrame:
-    """At least floor features of each block, then the best of the rest up to most. ranking: name, block, score, target_gain."""
+    """The floor best features of each block, block by block in order of their names, then the best of the rest, up to most.
+
+    ranking: name, block, score, target_gain; one row a feature enters the windows. place is the order of choice.
+    """
+    if most < 1:
+        raise ValueError("at least one feature must be chosen")
     best = [F.desc("score"), F.desc("target_gain"), F.asc("name")]
     in_block = ranking.withColumn("in_block", F.row_number().over(W.partitionBy("block").orderBy(*best)))
-    order = W.orderBy((F.col("in_block") > floor).cast("int"), *best)
+    sure = F.col("in_block") <= floor
+    order = W.orderBy((~sure).cast("int"), F.when(sure, F.col("block")), *best)
     return in_block.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("name", "block", "score", "place")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from caseloom.functions.columns import null_share, safe_ratio
 from caseloom.functions.schema import feature_name
 
+#: Where rows were stored, as scans write it.
+ORDINAL = "row_ordinal"
 WINDOWS = (30, 180, 365, 730, 1825)
 #: Aggregates beyond this number go to further passes over the same shuffle, for the limits of generated code.
 CHUNK = 240
@@ -66,16 +68,17 @@ def aggregate_history(
     windows: Sequence[int] = WINDOWS,
     subgroups: Sequence[str | None] = (None,),
     key: str = "case_id",
-    ties: Sequence[str] = (),
+    ties: Sequence[str] | None = None,
     ends: bool = True,
 ) -> DataFrame:
-    """One row a case. dates hold days from the decision. ties order rows of equal group numbers.
-    ends False leaves out first and last values, and with them a sort.
+    """One row a case. dates hold days from the decision. ties order rows of equal group numbers: by default the order
+    in which rows are stored, where the scan kept it as row_ordinal. ends False leaves out first and last values, and with them a sort.
 
     Subgroups are conditions inside the aggregates, so one pass serves all. First and last values come from
     one least and one greatest struct of all columns, nulls first, instead of a sort for each column. A case
     without rows of a subgroup has null there, and a case without rows at all has no row.
     """
+    ties = ([ORDINAL] if ORDINAL in frame.columns else []) if ties is None else ties
     order = [*order_columns(frame.columns, depth), *ties]
     payload = [*numeric, *categorical, *dates]
     share = null_share([F.col(c) for c in payload])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.columns import clipped
 
+from .ranks import below, order_bucket, quantiles
+
 SLOPE_PENALTY, RESIDUAL_PENALTY = 88.0, 0.5
 # The edges of the fixed reliability bins.
 FIXED_EDGES = (0.0, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.25, 0.5, 1.0)
@@ -19,11 +21,19 @@ def by_score(rows: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def auc(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """groups, n_rows, positives, auc: ties count half; null with one class alone."""
-    below = W.partitionBy(*groups).orderBy("prediction").rowsBetween(W.unboundedPreceding, -1)
-    ranked = by_score(rows, groups).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    """groups, n_rows, positives, auc: ties count half; null with one class alone.
+
+    Scores are ranked within buckets of their order, and only sums of buckets are ranked beyond them, so a pooled
+    group is no single task's work.
+    """
+    before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    scored = by_score(rows, groups).withColumn("bucket", order_bucket(F.col("prediction")))
+    ranked = scored.withColumn("neg_below", F.coalesce(F.sum("neg").over(before(*groups, "bucket").orderBy("prediction")), F.lit(0)))
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
-    return ranked.groupBy(*groups).agg((F.sum("pos") + F.sum("neg")).alias("n_rows"), F.sum("pos").alias("positives"), F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+    buckets = ranked.groupBy(*groups, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), wins.alias("wins"))
+    shifted = buckets.withColumn("shift", F.coalesce(F.sum("neg").over(before(*groups).orderBy("bucket")), F.lit(0)))
+    won = F.sum(F.col("wins") + F.col("pos") * F.col("shift"))
+    return shifted.groupBy(*groups).agg((F.sum("pos") + F.sum("neg")).alias("n_rows"), F.sum("pos").alias("positives"), F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def gini(rows: DataFrame, groups: list[str]) -> DataFrame:
@@ -46,9 +56,9 @@ def stability(weekly: DataFrame, groups: list[str]) -> DataFrame:
 
 def average_precision(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Step-wise area under precision and recall, one threshold a distinct score."""
-    down = W.partitionBy(*groups).orderBy(F.desc("prediction")).rowsBetween(W.unboundedPreceding, 0)
-    ranked = by_score(rows, groups).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    area = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    ranked = below(by_score(rows, groups), groups, "prediction", ["pos", "neg"], descending=True)
+    tp, fp = F.col("below_pos") + F.col("pos"), F.col("below_neg") + F.col("neg")
+    area = F.sum(F.col("pos") * tp / (tp + fp))
     return ranked.groupBy(*groups).agg(F.try_divide(area, F.sum("pos").cast("double")).alias("average_precision"))
 
 
@@ -81,31 +91,37 @@ def weekly_diagnostics(rows: DataFrame, groups: list[str]) -> DataFrame:
     return gini(rows, keys).join(sums, keys).select(*keys, "n_rows", "positives", "positive_rate", "mean_prediction", "gini")
 
 
-def _bins(rows: DataFrame, edge: Column) -> DataFrame:
-    return rows.withColumn("bin", edge).groupBy("bin").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("prediction").alias("mean_prediction"), F.avg("target").alias("observed_rate"))
+def _bins(rows: DataFrame, groups: list[str], edge: Column) -> DataFrame:
+    return rows.withColumn("bin", edge).groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("prediction").alias("mean_prediction"), F.avg("target").alias("observed_rate"))
 
 
-def quantile_edges(rows: DataFrame, bins: int) -> list[float]:
-    """Exact quantiles with linear interpolation, each once."""
-    shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    return sorted(set(rows.agg(F.percentile("prediction", shares)).first()[0] or []))
+def quantile_edges(rows: DataFrame, bins: int, groups: list[str]) -> DataFrame:
+    """groups, inner: the exact quantiles that lie inside, each once."""
+    found = quantiles(rows, groups, "prediction", [k / bins for k in range(bins + 1)])
+    inside = F.filter(F.array_distinct("quantiles"), lambda x: (x > F.get("quantiles", F.lit(0))) & (x < F.get("quantiles", F.lit(bins))))
+    return found.select(*groups, inside.alias("inner"))
+
+
+def _quantile_bins(rows: DataFrame, bins: int, groups: list[str], upper: bool) -> DataFrame:
+    edges = F.broadcast(quantile_edges(rows, bins, groups))
+    met = rows.join(edges, groups) if groups else rows.crossJoin(edges)  # one row a group
+    p = F.col("prediction")
+    return _bins(met, groups, F.size(F.filter("inner", lambda e: p >= e if upper else p > e)))
 
 
-def reliability_quantile(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """Quantile bins; a score equal to an inner edge goes to the upper bin."""
-    inner = quantile_edges(rows, bins)[1:-1]
-    return _bins(rows, sum((F.when(F.col("prediction") >= e, 1).otherwise(0) for e in inner), F.lit(0)))
+def reliability_quantile(rows: DataFrame, bins: int = 10, groups: list[str] | None = None) -> DataFrame:
+    """Quantile bins of each group; a score equal to an inner edge goes to the upper bin."""
+    return _quantile_bins(rows, bins, groups or [], True)
 
 
-def reliability_qcut(rows: DataFrame, bins: int = 10) -> DataFrame:
+def reliability_qcut(rows: DataFrame, bins: int = 10, groups: list[str] | None = None) -> DataFrame:
     """Quantile bins closed on the right; one bin if all scores are equal."""
-    inner = quantile_edges(rows, bins)[1:-1]
-    return _bins(rows, sum((F.when(F.col("prediction") > e, 1).otherwise(0) for e in inner), F.lit(0)))
+    return _quantile_bins(rows, bins, groups or [], False)
 
 
-def reliability_fixed(rows: DataFrame, edges: tuple[float, ...] = FIXED_EDGES) -> DataFrame:
+def reliability_fixed(rows: DataFrame, edges: tuple[float, ...] = FIXED_EDGES, groups: list[str] | None = None) -> DataFrame:
     """Bins by fixed edges, closed on the left, the last one on both sides."""
-    return _bins(rows, sum((F.when(F.col("prediction") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0)))
+    return _bins(rows, groups or [], sum((F.when(F.col("prediction") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0)))
 
 
 def correlation(wide: DataFrame, names: list[str]) -> DataFrame:

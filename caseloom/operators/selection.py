@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import gini, losses, probability_metrics, stability
+from .metrics import auc, average_precision, gini, losses, probability_metrics, stability
 
+# What candidates are ranked by, in this order, and the leader's percentages in its blends.
 RANKING = ["mean_stability DESC", "worst_stability DESC", "mean_gini DESC", "slope DESC", "residual_std ASC", "brier ASC"]
+LEADER_PERCENT = (50, 75, 90)
+
+#: A blend: its name, and its members with their weights.
+Blend = tuple[str, tuple[tuple[str, float], ...]]
 
 
-def fixed_candidates(names: list[str], leader: str) -> dict[str, dict[str, float]]:
-    """Singles, leader blends at 50, 75 and 90 percent, and two equal-weight blends: of all, and of all but the last."""
-    if leader not in names or len(set(names)) < len(names):
-        raise ValueError("the leader must be one of the distinct models")
-    found = {n: {n: 1.0} for n in names}
-    for n in names:
-        if n != leader:
-            found |= {f"{leader}_{w}_{n}": {leader: w / 100, n: 1 - w / 100} for w in (50, 75, 90)}
-    found["equal_all"] = {n: 1 / len(names) for n in names}
-    if len(names) > 2:
-        found["equal_first"] = {n: 1 / (len(names) - 1) for n in names[:-1]}
-    return found
+def declared_blends(models: list[str], leader: str, control: str) -> list[Blend]:
+    """Each model alone, the leader with each other one, and equal shares of all and of all but the control."""
+    if len({*models}) < len(models) or not {leader, control} <= {*models}:
+        raise ValueError("leader and control must be among the distinct models")
+    equal = lambda members: tuple((m, 1 / len(members)) for m in members)
+    pairs = product([m for m in models if m != leader], LEADER_PERCENT)
+    return [
+        *((m, ((m, 1.0),)) for m in models),
+        *((f"{leader}_{percent}_{m}", ((leader, percent / 100), (m, 1 - percent / 100))) for m, percent in pairs),
+        ("equal_all", equal(models)),
+        ("equal_without_control", equal([m for m in models if m != control])),
+    ]
 
 
-def weights_frame(spark: SparkSession, candidates: dict[str, dict[str, float]], models: list[str]) -> DataFrame:
-    for name, weights in candidates.items():
-        if set(weights) - set(models):
+def check_blends(blends: list[Blend], models: list[str]) -> None:
+    for name, members in blends:
+        if {m for m, _ in members} - {*models}:
             raise ValueError(f"{name} names an unknown model")
-        if any(not 0 < w <= 1 for w in weights.values()) or abs(sum(weights.values()) - 1) > 1e-12:
+        if any(not 0 < w <= 1 for _, w in members) or abs(sum(w for _, w in members) - 1) > 1e-12:
             raise ValueError(f"the weights of {name} must be in (0, 1] and sum to 1")
-    rows = [(c, m, float(w)) for c, weights in candidates.items() for m, w in weights.items()]
-    return spark.createDataFrame(rows, "candidate string, model string, weight double")
 
 
-def blend(predictions: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted sums by candidate and case. predictions: model, case_id, fold, WEEK_NUM, target, prediction."""
-    met = predictions.join(F.broadcast(weights), "model")
-    return met.groupBy("candidate", "case_id", "fold", "WEEK_NUM", "target").agg(F.sum(F.col("weight") * F.col("prediction")).alias("prediction"))
+def blend(predictions: DataFrame, blends: list[Blend], models: list[str]) -> DataFrame:
+    """Weighted sums by candidate and case. predictions: model, case_id, fold, WEEK_NUM, target, prediction.
+
+    A case's scores come together in one row first; blends are expressions over it, and multiply rows after the shuffle.
+    """
+    check_blends(blends, models)
+    wide = predictions.groupBy("case_id", "fold", "WEEK_NUM", "target").agg(*[F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(f"of_{i}") for i, m in enumerate(models)])
+    score = lambda members: sum((F.col(f"of_{models.index(m)}") * w for m, w in members), F.lit(0.0))
+    made = F.explode(F.array(*[F.struct(F.lit(name).alias("candidate"), score(members).alias("prediction")) for name, members in blends]))
+    return wide.select("case_id", "fold", "WEEK_NUM", "target", made.alias("b")).select("b.candidate", "case_id", "fold", "WEEK_NUM", "target", "b.prediction")
 
 
 def evaluate(blended: DataFrame) -> DataFrame:
@@ -47,30 +58,48 @@ def evaluate(blended: DataFrame) -> DataFrame:
     return stability(gini(blended, [*keys, "WEEK_NUM"]), keys).join(losses(blended, keys), keys)
 
 
+def pooled(blended: DataFrame) -> DataFrame:
+    """Per candidate, over all folds at once: AUC, average precision, Brier score and log loss."""
+    keys = ["candidate"]
+    return auc(blended, keys).join(average_precision(blended, keys), keys).join(losses(blended, keys), keys)
+
+
+def _summary(over: WindowSpec | None = None) -> dict[str, Column]:
+    """What candidates are ranked by, from rows of folds; of a window's rows if one is given."""
+    of = lambda c: c if over is None else c.over(over)
+    return {
+        "mean_stability": of(F.avg("stability")),
+        "worst_stability": of(F.min("stability")),
+        "std_stability": of(F.stddev_pop("stability")),
+        "mean_gini": of(F.avg("mean_gini")),
+        "slope": of(F.avg("slope")),
+        "residual_std": of(F.avg("residual_std")),
+        "brier": of(F.avg("brier")),
+    }
+
+
+def _best_first(incumbent: str) -> list[Column]:
+    """By RANKING, the incumbent first among equals, then by name."""
+    order = [F.col(c).desc() if way == "DESC" else F.col(c).asc() for c, way in (x.split() for x in RANKING)]
+    return [*order, (F.col("candidate") != incumbent).cast("int"), F.col("candidate")]
+
+
 def summarise_folds(folds: DataFrame, key: str = "candidate") -> DataFrame:
-    return folds.groupBy(key).agg(
-        F.avg("stability").alias("mean_stability"),
-        F.min("stability").alias("worst_stability"),
-        F.stddev_pop("stability").alias("std_stability"),
-        F.avg("mean_gini").alias("mean_gini"),
-        F.avg("slope").alias("slope"),
-        F.avg("residual_std").alias("residual_std"),
-        F.avg("brier").alias("brier"),
-    )
+    return folds.groupBy(key).agg(*[c.alias(n) for n, c in _summary().items()])
 
 
 def rank(summary: DataFrame, incumbent: str) -> DataFrame:
-    """Places 1.. by RANKING, the incumbent first among equals, then by name. One row a candidate enters the window."""
-    order = [F.expr(x.split()[0]).desc() if x.endswith("DESC") else F.expr(x.split()[0]).asc() for x in RANKING]
-    return summary.withColumn("place", F.row_number().over(W.orderBy(*order, (F.col("candidate") != incumbent).cast("int"), "candidate")))
+    """Places 1.. of candidates, of which one row each enters the window."""
+    return summary.withColumn("place", F.row_number().over(W.orderBy(*_best_first(incumbent))))
 
 
 def prequential(folds: DataFrame, incumbent: str) -> DataFrame:
     """For each fold but the first, the best candidate by the folds before it, and what it then reached."""
     before = W.partitionBy("candidate").orderBy("fold").rowsBetween(W.unboundedPreceding, -1)
-    past = folds.select("candidate", "fold", "stability", F.avg("stability").over(before).alias("past_mean"), F.min("stability").over(before).alias("past_worst")).where("past_mean IS NOT NULL")
-    order = W.partitionBy("fold").orderBy(F.desc("past_mean"), F.desc("past_worst"), (F.col("candidate") != incumbent).cast("int"), "candidate")
-    return past.withColumn("k", F.row_number().over(order)).where("k = 1").select("fold", "candidate", "past_mean", "stability")
+    past = folds.select("candidate", "fold", F.col("stability").alias("reached"), *[c.alias(n) for n, c in _summary(before).items()]).where("mean_stability IS NOT NULL")
+    order = W.partitionBy("fold").orderBy(*_best_first(incumbent))
+    first = past.withColumn("k", F.row_number().over(order)).where("k = 1")
+    return first.select("fold", "candidate", F.col("mean_stability").alias("past_mean"), F.col("reached").alias("stability"))
 
 
 def ablation(rows: DataFrame, control: str) -> DataFrame:

@@ -57,7 +57,7 @@ def blended() -> str:
     for m in names[1:]:
         for w in (50, 75, 90):
             weights += [(f"{leader}_{w}_{m}", leader, w / 100), (f"{leader}_{w}_{m}", m, 1 - w / 100)]
-    weights += [("equal_all", m, 0.25) for m in names] + [("equal_first", m, 1 / 3) for m in names[:-1]]
+    weights += [("equal_all", m, 0.25) for m in names] + [("equal_without_control", m, 1 / 3) for m in names if m != "m2"]
     rows = ", ".join(f"('{c}', '{m}', CAST({w!r} AS DOUBLE))" for c, m, w in weights)
     return f"""{PRED}, w(candidate, model, weight) AS (VALUES {rows}),
 b AS (SELECT candidate, case_id, fold, WEEK_NUM, target, round(sum(weight * prediction), 9) AS prediction FROM p JOIN w USING (model) GROUP BY ALL)"""
@@ -69,14 +69,9 @@ br AS (SELECT candidate, fold, avg((prediction - target) ** 2) AS brier FROM b G
 
 
 def reliability(bin_of: str) -> str:
-    return f"""WITH {PRED}, one AS (SELECT * FROM p WHERE model = 'm1'),
-q AS (SELECT list_distinct(quantile_cont(prediction, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM one),
-e AS (SELECT list_filter(edges, lambda x: x > list_min(edges) AND x < list_max(edges)) AS inner_edges FROM q)
-SELECT CAST({bin_of} AS INT) AS bin, count(*) AS n_rows, round(avg(prediction), 6) AS mean_prediction, round(avg(target), 6) AS observed_rate FROM one, e GROUP BY 1"""
-
-
-def folds(row: str) -> str:
-    return f"SELECT {row} FROM range(5) t(k)"
+    return f"""WITH {PRED}, q AS (SELECT model, list_distinct(quantile_cont(prediction, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM p GROUP BY model),
+e AS (SELECT model, list_filter(edges, lambda x: x > list_min(edges) AND x < list_max(edges)) AS inner_edges FROM q)
+SELECT model, CAST({bin_of} AS INT) AS bin, count(*) AS n_rows, round(avg(prediction), 6) AS mean_prediction, round(avg(target), 6) AS observed_rate FROM p JOIN e USING (model) GROUP BY 1, 2"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -93,12 +88,17 @@ tr AS (SELECT * FROM o WHERE y < 1999), re AS (SELECT * REPLACE (CASE WHEN case_
     share = lambda c: f"s_{c} AS (SELECT coalesce({c}, '__missing__') AS k, count(*) / (SELECT count(*) FROM tr) AS s FROM tr GROUP BY 1)"
     code = lambda c: f"c_{c} AS (SELECT k, row_number() OVER (ORDER BY k) AS s FROM (SELECT DISTINCT coalesce({c}, '__missing__') AS k FROM tr))"
     ranking = "r AS (SELECT 'f_' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name, p_brand AS block, CAST((p_partkey * 7) % 50 AS DOUBLE) AS target_gain, CAST((p_partkey * 11) % 40 AS DOUBLE) AS drift_gain FROM part), sc AS (SELECT *, round(target_gain / (SELECT max(target_gain) FROM r) * greatest(0, 1 - 0.35 * drift_gain / (SELECT max(drift_gain) FROM r)), 6) AS score FROM r)"
+    chosen = "i AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, target_gain DESC, name) AS ib FROM sc), o AS (SELECT *, row_number() OVER (ORDER BY ib > 3, CASE WHEN ib <= 3 THEN block END, score DESC, target_gain DESC, name) AS place FROM i)"
+    mean = f"{PRED}, mp AS (SELECT case_id, WEEK_NUM, target, fold, round(avg(prediction), 9) AS prediction FROM p GROUP BY ALL)"
+    blocks = f"""{HISTORY}, hl AS (SELECT case_id, count(*) AS lines, round(coalesce(sum(quantityA), 0), 4) AS quantity FROM h GROUP BY case_id),
+fb AS (SELECT b.*, hl.lines, hl.quantity, o_orderstatus AS status, round(o_totalprice, 4) AS price FROM base b LEFT JOIN hl USING (case_id) JOIN orders ON o_orderkey = b.case_id)"""
     profile = "pr AS (SELECT WEEK_NUM, count(*) AS n_rows, count(DISTINCT target) = 2 AS eligible, min(date_decision) AS date_min, max(date_decision) AS date_max FROM base GROUP BY 1)"
     pairs = [(a, b) for k, a in enumerate([*MODELS, "flat"]) for b in [*MODELS, "flat"][k + 1 :]]
     score = lambda m: "0.5" if m == "flat" else f"max(CASE WHEN model = '{m}' THEN prediction END)"
     fixed = (0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.25, 0.5)
     bad = """CASE WHEN case_id % 97 = 0 THEN NULL WHEN case_id % 97 = 1 THEN CAST('NaN' AS DOUBLE) WHEN case_id % 97 = 2 THEN 1.5 ELSE prediction END"""
     weeks = "WEEK_NUM BETWEEN 302 AND 340"
+    clip = "greatest(least(prediction, 1 - 1e-7), 1e-7)"
     deep = """d AS (SELECT o_custkey AS case_id, o_orderkey AS num_group1, CAST(l_linenumber AS BIGINT) AS num_group2, l_quantity AS quantityA, l_returnflag AS flagM FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
     return {
         "decision_calendar": f"""WITH {BASE} SELECT case_id, WEEK_NUM, MONTH, target, year(date_decision) AS "date_decision__year", month(date_decision) AS "date_decision__month", day(date_decision) AS "date_decision__day", isodow(date_decision) AS "date_decision__weekday", dayofyear(date_decision) AS "date_decision__ordinal_day" FROM base""",
@@ -109,16 +109,19 @@ SELECT case_id, a AS "amountA__value", s AS "statusM__value", CAST((a IS NULL) A
         "case_history_categorical": f"""WITH {HISTORY} SELECT case_id, {', '.join(f'count({c}) AS "{c}__non_null_count", {n_unique(c)} AS "{c}__n_unique", {ratio(c)} AS "{c}__diversity_ratio"' for c in CATEGORICAL)} FROM h GROUP BY case_id""",
         "case_history_ordered": f"""WITH {HISTORY}, a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY {order}) = 1), z AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY {back}) = 1)
 SELECT a.case_id, {', '.join(f'{pick("a." + c)} AS "{c}__first", {pick("z." + c)} AS "{c}__last"' if c not in CATEGORICAL else f'a.{c} AS "{c}__first", z.{c} AS "{c}__last"' for c in TIES)} FROM a JOIN z USING (case_id)""",
+        "case_history_stored_order": f"""WITH r AS (SELECT l_orderkey AS case_id, l_linenumber // 3 AS g, row_number() OVER () AS at, l_quantity AS q, l_extendedprice AS p, nullif(l_returnflag, 'N') AS f FROM lineitem),
+a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY g, at) = 1), z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY g DESC, at DESC) = 1)
+SELECT a.case_id, round(a.q, 4) AS "quantityA__first", round(z.q, 4) AS "quantityA__last", round(a.p, 4) AS "priceA__first", round(z.p, 4) AS "priceA__last", a.f AS "flagM__first", z.f AS "flagM__last" FROM a JOIN z USING (case_id)""",
         "case_history_missingness": f"""WITH {HISTORY} SELECT case_id, round(CAST(CAST(avg({missing}) AS FLOAT) AS DOUBLE), 4) AS "row_missing_fraction__mean", round(CAST(CAST(max({missing}) AS FLOAT) AS DOUBLE), 4) AS "row_missing_fraction__max" FROM h GROUP BY case_id""",
         "recency_counts": f"""WITH {HISTORY} SELECT case_id, {', '.join(f'count(*) FILTER (shippedD BETWEEN -{w} AND 0) AS "shippedD__count_last_{w}d"' for w in (30, 180, 365, 730, 1825))} FROM h GROUP BY case_id""",
         "person_subgroups": f"""WITH {HISTORY}, {sub('all', 'true').replace('all AS', '"all" AS', 1)}, {sub('applicant', 'num_group1 = 0')}, {sub('related', 'num_group1 > 0')} SELECT * FROM "all" LEFT JOIN applicant USING (case_id) LEFT JOIN related USING (case_id)""",
         "depth_two_history": f"""WITH {deep}, a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY num_group1, num_group2, quantityA, flagM) = 1), z AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY num_group1 DESC, num_group2 DESC, quantityA DESC, flagM DESC) = 1),
 g AS (SELECT case_id, count(*) AS "rows__count", max(num_group1) AS "num_group1__max", count(DISTINCT num_group1) AS "num_group1__n_unique", max(num_group2) AS "num_group2__max", count(DISTINCT num_group2) AS "num_group2__n_unique", round(sum(quantityA), 4) AS "quantityA__sum" FROM d GROUP BY case_id)
 SELECT g.*, a.quantityA AS "quantityA__first", z.quantityA AS "quantityA__last", a.flagM AS "flagM__first", z.flagM AS "flagM__last" FROM g JOIN a USING (case_id) JOIN z USING (case_id)""",
-        "union_relaxed": """SELECT statusL, count(*) AS n, round(sum(tax), 4) AS tax, round(sum(amount), 4) AS amount FROM (SELECT CAST(CAST(l_quantity AS INT) AS VARCHAR) AS statusL, l_tax AS tax, NULL AS amount FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_returnflag, NULL, l_quantity FROM lineitem WHERE l_linenumber = 2) GROUP BY statusL""",
+        "union_relaxed": """SELECT statusL, count(*) AS n, round(sum(tax), 4) AS tax, round(sum(amount), 4) AS amount FROM (SELECT CAST(CAST(l_quantity AS INT) AS VARCHAR) AS statusL, l_tax AS tax, NULL AS amount FROM lineitem WHERE l_linenumber % 2 = 1 UNION ALL SELECT l_returnflag, NULL, l_quantity FROM lineitem WHERE l_linenumber % 2 = 0) GROUP BY statusL""",
         "feature_assembly": f"""WITH {HISTORY}, g AS (SELECT case_id, count(*) AS "rows__count", round(coalesce(sum(quantityA), 0), 4) AS "quantityA__sum" FROM h GROUP BY case_id)
-SELECT b.case_id, b.WEEK_NUM, b.target, g."rows__count", g."quantityA__sum", CASE WHEN b.case_id % 3 = 0 THEN o_orderstatus END AS "statusM" FROM base b JOIN orders ON o_orderkey = b.case_id LEFT JOIN g ON g.case_id = b.case_id""",
-        "population_guard_join": f"""WITH {BASE} SELECT WEEK_NUM, count(*) AS n, count(DISTINCT case_id) AS cases FROM lineitem JOIN base ON l_orderkey = case_id WHERE case_id % 2 = 0 GROUP BY WEEK_NUM""",
+SELECT b.case_id, b.WEEK_NUM, b.target, g."rows__count", g."quantityA__sum", o_orderstatus AS "statusM" FROM base b JOIN orders ON o_orderkey = b.case_id LEFT JOIN g ON g.case_id = b.case_id""",
+        "population_guard_join": f"""WITH {BASE} SELECT WEEK_NUM, count(*) AS n, count(DISTINCT case_id) AS cases FROM lineitem JOIN base ON l_orderkey = case_id WHERE l_tax > 0 GROUP BY WEEK_NUM""",
         "block_contract": """SELECT * FROM (VALUES ('case_id_first', true), ('case_id_not_null', true), ('case_id_unique', true), ('target_only_in_base', true)) v("check", passed)""",
         "deterministic_sample": f"""WITH {BASE} SELECT case_id, WEEK_NUM FROM base ORDER BY (case_id * 1103515245 + 42) % 2147483647, case_id LIMIT 500""",
         "case_partitions": f"""WITH {BASE}, k AS (SELECT case_id, (row_number() OVER (ORDER BY case_id) - 1) // 1000 AS part FROM base) SELECT part, min(case_id) AS least, max(case_id) AS greatest, count(*) AS n_cases FROM k GROUP BY part""",
@@ -131,14 +134,15 @@ SELECT 'empty' AS "check", 0 AS violations UNION ALL SELECT 'case_id_null', coun
         "holdout_candidates": f"""WITH {BASE}, {profile}, n AS (SELECT *, row_number() OVER (ORDER BY WEEK_NUM DESC) AS e, count(*) OVER () AS weeks FROM pr), c AS (SELECT f.fraction, ceil(round(f.fraction * n.weeks, 9)) AS size, n.* FROM n, (VALUES (0.15::DOUBLE), (0.20), (0.25), (0.30)) f(fraction)),
 a AS (SELECT fraction, CAST(max(size) AS BIGINT) AS holdout_weeks, min(CASE WHEN e <= size THEN WEEK_NUM END) AS holdout_start, sum(CASE WHEN e > size THEN n_rows ELSE 0 END) AS train_rows, sum(CASE WHEN e <= size THEN n_rows ELSE 0 END) AS holdout_rows, count(*) FILTER (e > size) AS train_weeks, count(*) FILTER (e <= size AND eligible) AS metric_weeks FROM c GROUP BY fraction)
 SELECT *, train_weeks >= 20 AND metric_weeks >= 8 AS eligible FROM a QUALIFY row_number() OVER (PARTITION BY holdout_weeks ORDER BY fraction) = 1""",
-        "expanding_folds": folds(f"CAST(k + 1 AS INT) AS fold, 0 AS train_min, CAST({FIRST} + 8 * k - 1 AS INT) AS train_max, CAST({FIRST} + 8 * k AS INT) AS validation_min, CAST({FIRST} + 8 * k + 7 AS INT) AS validation_max"),
+        "expanding_folds": f"""WITH {BASE}, w AS (SELECT min(WEEK_NUM) AS a, max(WEEK_NUM) AS z FROM base) SELECT CAST(k + 1 AS INT) AS fold, a AS train_min, CAST(z - 40 + 8 * k AS INT) AS train_max, CAST(z - 39 + 8 * k AS INT) AS validation_min, CAST(z - 32 + 8 * k AS INT) AS validation_max FROM w, range(5) t(k)""",
         "fold_assignment": f"""WITH {BASE} SELECT {FOLD} AS fold, WEEK_NUM, count(*) AS n FROM base WHERE WEEK_NUM BETWEEN {FIRST} AND {WEEK_MAX} GROUP BY ALL""",
         "frequency_encode": f"""WITH {people}, {share('priorityM')}, {share('statusM')} SELECT case_id, round(CAST(CAST(coalesce(a.s, 0) AS FLOAT) AS DOUBLE), 2) AS "priorityM", round(CAST(CAST(coalesce(b.s, 0) AS FLOAT) AS DOUBLE), 2) AS "statusM", round(CAST(CAST(amountA AS FLOAT) AS DOUBLE), 2) AS "amountA" FROM re LEFT JOIN s_priorityM a ON a.k = coalesce(priorityM, '__missing__') LEFT JOIN s_statusM b ON b.k = coalesce(statusM, '__missing__')""",
         "category_codes": f"""WITH {people}, {code('priorityM')}, {code('statusM')} SELECT case_id, coalesce(a.s, 0) AS "priorityM", coalesce(b.s, 0) AS "statusM" FROM re LEFT JOIN c_priorityM a ON a.k = coalesce(priorityM, '__missing__') LEFT JOIN c_statusM b ON b.k = coalesce(statusM, '__missing__')""",
         "standardize_linear": f"""WITH {people}, m AS (SELECT median(amountA) AS md FROM tr), f AS (SELECT avg(coalesce(amountA, md)) AS mu, stddev_pop(coalesce(amountA, md)) AS sd FROM tr, m) SELECT case_id, round((coalesce(amountA, md) - mu) / sd, 4) AS "amountA", CAST(0 AS DOUBLE) AS "constantA" FROM re, m, f""",
         "structural_screen": f"""WITH {LINES} {' UNION ALL '.join(f"SELECT '{n}' AS feature, round(count(*) FILTER ({c} IS NULL) / count(*), 6) AS missing_fraction, count(DISTINCT {c}) + max(CAST(({c} IS NULL) AS INT)) AS n_unique, {r} AS reason FROM lines" for n, c, r in (('quantityA', 'quantityA', 'NULL'), ('priceA', 'priceA', 'NULL'), ('flagM', 'flagM', 'NULL'), ('emptyA', 'nullif(1, 1)', "'missing'"), ('sameM', "'x'", "'constant'")))}""",
         "drift_scores": f"WITH {ranking} SELECT name, block, score FROM sc",
-        "block_floor_select": f"""WITH {ranking}, i AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, target_gain DESC, name) AS ib FROM sc), o AS (SELECT *, row_number() OVER (ORDER BY ib > 3, score DESC, target_gain DESC, name) AS place FROM i) SELECT name, block, score, place FROM o WHERE place <= 150""",
+        "block_floor_select": f"""WITH {ranking}, {chosen} SELECT name, block, score, place FROM o WHERE place <= 150""",
+        "block_floor_tight": f"""WITH {ranking}, {chosen} SELECT name, block, score, place FROM o WHERE place <= 40""",
         "feature_accounting": f"""WITH {ranking} SELECT block AS family, CASE WHEN target_gain > 40 THEN 'selected' WHEN target_gain < 5 THEN 'missing' WHEN target_gain < 10 THEN 'constant' ELSE 'eligible' END AS decision, count(*) AS features FROM r GROUP BY ALL""",
         "weekly_gini": f"WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')} SELECT model, WEEK_NUM, n_rows, positives, round(auc, 6) AS auc, round(2 * auc - 1, 6) AS gini FROM wk",
         "weekly_diagnostics": f"WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')}, s AS (SELECT model, WEEK_NUM, avg(target) AS r, avg(prediction) AS m FROM p GROUP BY ALL) SELECT model, WEEK_NUM, n_rows, positives, round(r, 6) AS positive_rate, round(m, 6) AS mean_prediction, round(2 * auc - 1, 6) AS gini FROM wk JOIN s USING (model, WEEK_NUM)",
@@ -152,21 +156,41 @@ SELECT *, train_weeks >= 20 AND metric_weeks >= 8 AS eligible FROM a QUALIFY row
         "blend_candidates": f"WITH {blended()} SELECT candidate, fold, count(*) AS n, round(avg(prediction), 6) AS mean_prediction, round(max(prediction), 6) AS max_prediction FROM b GROUP BY ALL",
         "candidate_ranking": f"""WITH {evaluated()}, s AS (SELECT candidate, avg(stability) AS mean_stability, min(stability) AS worst_stability, stddev_pop(stability) AS std_stability, avg(mean_gini) AS mean_gini, avg(slope) AS slope, avg(residual_std) AS residual_std, avg(brier) AS brier FROM ev GROUP BY candidate)
 SELECT candidate, round(mean_stability, 6) AS mean_stability, round(worst_stability, 6) AS worst_stability, round(std_stability, 6) AS std_stability, round(mean_gini, 6) AS mean_gini, round(slope, 6) AS slope, round(residual_std, 6) AS residual_std, round(brier, 6) AS brier, row_number() OVER (ORDER BY mean_stability DESC, worst_stability DESC, mean_gini DESC, slope DESC, residual_std, brier, candidate <> 'm1', candidate) AS place FROM s""",
-        "prequential_choice": f"""WITH {evaluated()}, b4 AS (SELECT x.candidate, x.fold, x.stability, avg(y.stability) AS past_mean, min(y.stability) AS past_worst FROM ev x JOIN ev y ON x.candidate = y.candidate AND y.fold < x.fold GROUP BY ALL)
-SELECT fold, candidate, round(past_mean, 6) AS past_mean, round(stability, 6) AS stability FROM b4 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY past_mean DESC, past_worst DESC, candidate <> 'm1', candidate) = 1""",
+        "pooled_candidates": f"""WITH {blended()}, {auc('b', 'candidate', 'au')}, {precision('b', 'candidate', 'ap')}, lo AS (SELECT candidate, avg((prediction - target) ** 2) AS brier, avg(-ln(CASE WHEN target = 1 THEN {clip} ELSE 1 - {clip} END)) AS log_loss FROM b GROUP BY candidate)
+SELECT candidate, n_rows, positives, round(auc, 6) AS auc, round(average_precision, 6) AS average_precision, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss FROM au JOIN ap USING (candidate) JOIN lo USING (candidate)""",
+        "prequential_choice": f"""WITH {evaluated()}, b4 AS (SELECT x.candidate, x.fold, x.stability, avg(y.stability) AS m1, min(y.stability) AS m2, avg(y.mean_gini) AS m3, avg(y.slope) AS m4, avg(y.residual_std) AS m5, avg(y.brier) AS m6 FROM ev x JOIN ev y ON x.candidate = y.candidate AND y.fold < x.fold GROUP BY ALL)
+SELECT fold, candidate, round(m1, 6) AS past_mean, round(stability, 6) AS stability FROM b4 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY m1 DESC, m2 DESC, m3 DESC, m4 DESC, m5, m6, candidate <> 'm1', candidate) = 1""",
         "ablation_delta": f"""WITH {PRED}, pp AS (SELECT model AS condition, * EXCLUDE (model) FROM p UNION ALL SELECT model, * EXCLUDE (model) REPLACE (0 AS fold) FROM p), {auc('pp', 'condition, fold, WEEK_NUM', 'wk')}, {stability('wk', 'condition, fold', 'st')}, {auc('pp', 'condition, fold', 'au')}, m AS (SELECT condition, fold, stability, auc FROM st JOIN au USING (condition, fold))
 SELECT m.condition, m.fold, round(m.stability, 6) AS stability, round(m.auc, 6) AS auc, round(m.stability - c.stability, 6) AS delta_stability, round(m.auc - c.auc, 6) AS delta_auc FROM m JOIN m c ON c.fold = m.fold AND c.condition = 'm1'""",
         "evidence_review": f"""WITH {PRED}, {auc('p', 'model, fold, WEEK_NUM', 'wk')}, {stability('wk', 'model, fold', 'st')} SELECT model, fold, round(mean_gini, 6) AS mean_gini, round(88 * least(0, slope), 6) AS trend_penalty, round(-0.5 * residual_std, 6) AS residual_penalty, round(stability, 6) AS stability FROM st QUALIFY row_number() OVER (PARTITION BY model ORDER BY stability, fold) = 1""",
         "prediction_correlation": f"""WITH {PRED}, w AS (SELECT case_id, {', '.join(f'{score(m)} AS {m}' for m in [*MODELS, 'flat'])} FROM p GROUP BY case_id) {' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, {'max(CAST(NULL AS DOUBLE))' if b == 'flat' else f'round(corr({a}, {b}), 6)'} AS correlation FROM w" for a, b in pairs)}""",
-        "prediction_violations": f"""WITH {PRED}, v AS (SELECT CASE WHEN case_id % 89 = 0 THEN 1 ELSE case_id END AS k, WEEK_NUM, target, {bad} AS x FROM p WHERE model = 'm1')
+        "prediction_violations": f"""WITH {mean}, v AS (SELECT CASE WHEN case_id % 89 = 0 THEN 1 ELSE case_id END AS k, WEEK_NUM, target, {bad} AS x FROM mp)
 SELECT 'null_values' AS "check", count(*) AS violations FROM v WHERE x IS NULL UNION ALL SELECT 'repeated_cases', count(*) - count(DISTINCT k) FROM v UNION ALL SELECT 'target_not_binary', 0 UNION ALL SELECT 'not_finite', count(*) FROM v WHERE isnan(x) UNION ALL SELECT 'out_of_range', count(*) FROM v WHERE x > 1 UNION ALL SELECT 'one_class_weeks', count(*) FROM (SELECT WEEK_NUM FROM v GROUP BY 1 HAVING count(DISTINCT target) <> 2) UNION ALL SELECT 'odd_weeks', count(DISTINCT WEEK_NUM) FROM v WHERE NOT ({weeks}) UNION ALL SELECT 'missing_weeks', 39 - count(DISTINCT WEEK_NUM) FROM v WHERE {weeks}""",
-        "alignment_violations": f"""WITH {PRED}, a AS (SELECT DISTINCT case_id FROM p) SELECT 'm2' AS model, case_id, CASE WHEN case_id % 50 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM a WHERE case_id % 50 = 0 OR case_id % 70 = 0
+        "alignment_violations": f"""WITH {PRED}, a AS (SELECT DISTINCT case_id FROM p) SELECT 'm2' AS model, case_id, 'changed' AS problem FROM a WHERE case_id % 70 = 0
 UNION ALL SELECT 'm3', case_id, 'missing' FROM a WHERE case_id % 60 = 0 AND case_id <> 0 UNION ALL SELECT 'm3', -case_id, 'extra' FROM a WHERE case_id % 60 = 0 AND case_id <> 0""",
         "metric_verification": """SELECT * FROM (VALUES ('m2', 'brier', false), ('m4', 'brier', true), ('m4', 'log_loss', true)) v(model, metric, missing)""",
-        "sample_order": f"""WITH {PRED} SELECT case_id, -case_id AS ordinal, round(prediction, 6) AS prediction FROM p WHERE model = 'm1' AND case_id % 3 = 0 ORDER BY ordinal""",
+        "sample_order": f"""WITH {mean} SELECT case_id, -case_id AS ordinal, round(prediction, 6) AS prediction FROM mp ORDER BY ordinal""",
         "catalog_profile": f"""WITH {BASE}, {LINES}, c AS (SELECT case_id, count(*) AS n FROM lines GROUP BY 1)
 SELECT (SELECT count(*) FROM lines) AS n_rows, 8 AS n_columns, 0 AS null_keys, count(*) AS unique_keys, max(n) AS max_rows_per_key, (SELECT round(greatest({', '.join(f'1 - count({c}) / count(*)' for c in TIES[:-1])}), 6) FROM lines) AS max_missing_fraction, 'lines' AS file FROM c
 UNION ALL SELECT count(*), 5, 0, count(DISTINCT case_id), 1, 0.0, 'base' FROM base""",
-        "table_summary": """SELECT 'train' AS split, 'lines' AS family, 1 AS depth, 4 AS files, count(*) AS n_rows, 'a,b' AS schemas FROM lineitem WHERE l_linenumber BETWEEN 1 AND 4""",
-        "schema_diff": """SELECT * FROM (VALUES ('amountA', 'type:double/string'), ('statusM', 'missing_right'), ('openedD', 'missing_left')) v(name, difference)""",
+        "table_summary": """SELECT 'train' AS split, 'base' AS family, 0 AS depth, 1 AS files, (SELECT count(*) FROM orders) AS rows, 0 AS bytes, 1 AS schemas UNION ALL SELECT 'train', 'lines', 1, 2, (SELECT count(*) FROM lineitem), 0, 2""",
+        "catalog_contract": """SELECT * FROM (VALUES ('contract', false, '4 files'), ('error', false, 'test: target present'), ('warning', true, 'lines_1: train_lines_1_1.parquet differs physically from train_lines_1_0.parquet')) v("check", passed, detail)""",
+        "schema_diff": """WITH c AS (SELECT table_name AS t, substr(column_name, 3) AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS kind FROM information_schema.columns),
+a AS (SELECT name, kind FROM c WHERE t = 'customer' AND name <> 'acctbal'), b AS (SELECT name, CASE WHEN name = 'nationkey' THEN 'string' ELSE kind END AS kind FROM c WHERE t = 'supplier' AND name <> 'acctbal')
+SELECT name, CASE WHEN a.kind IS NULL THEN 'missing_left' WHEN b.kind IS NULL THEN 'missing_right' ELSE 'type:' || a.kind || '/' || b.kind END AS difference FROM a FULL JOIN b USING (name) WHERE a.kind IS DISTINCT FROM b.kind""",
+        "feature_index": """SELECT * FROM (VALUES ('MONTH', 'base', 'int', false), ('WEEK_NUM', 'base', 'int', false), ('lines', 'lines_depth1', 'bigint', false), ('quantity', 'lines_depth1', 'double', false), ('price', 'orders_depth0', 'double', false), ('status', 'orders_depth0', 'string', true)) v(name, block, kind, categorical)""",
+        "block_totals": """SELECT 'base' AS block, count(*) AS n_rows, 2 AS feature_columns, 0 AS categorical_columns FROM orders UNION ALL SELECT 'lines_depth1', (SELECT count(DISTINCT l_orderkey) FROM lineitem), 2, 0 UNION ALL SELECT 'orders_depth0', (SELECT count(*) FROM orders), 2, 1""",
+        "fold_frame": f"""WITH {blocks} SELECT case_id, target, WEEK_NUM, MONTH, lines, quantity, price, status, CASE WHEN WEEK_NUM <= {WEEK_MAX - 8} THEN 'train' ELSE 'validation' END AS side FROM fb WHERE WEEK_NUM BETWEEN 0 AND {WEEK_MAX}""",
+        "fold_sample": f"""WITH {BASE}, s AS (SELECT *, CASE WHEN WEEK_NUM < {FIRST} THEN 'train' ELSE 'validation' END AS side FROM base WHERE WEEK_NUM BETWEEN 0 AND {FIRST + 7}), k AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY (case_id * 1103515245 + CASE side WHEN 'train' THEN 42 ELSE 43 END) % 2147483647, case_id) AS n FROM s)
+SELECT case_id, target, WEEK_NUM, side FROM k WHERE n <= CASE side WHEN 'train' THEN 300 ELSE 200 END""",
+        "frame_violations": f"""WITH {BASE} SELECT 'empty' AS "check", 0 AS violations UNION ALL SELECT 'case_id_null', 0 UNION ALL SELECT 'case_id_repeated', 0 UNION ALL SELECT 'week_outside', count(*) FROM base WHERE WEEK_NUM NOT BETWEEN 10 AND 300 UNION ALL SELECT 'target_not_binary', count(*) FROM base WHERE case_id % 90 = 0 UNION ALL SELECT 'one_class', 0""",
+        "inference_frame": f"""WITH {blocks} SELECT case_id, lines, quantity, price, status FROM fb""",
+        "evaluation_report": f"""WITH {mean}, x AS (SELECT 1 AS k, * FROM mp), {suite('x', 'k', 'prediction').replace('FROM p GROUP BY', 'FROM x GROUP BY')}, {auc('mp', 'WEEK_NUM', 'we')},
+q AS (SELECT list_distinct(quantile_cont(prediction, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM mp), e AS (SELECT list_filter(edges, lambda x: x > list_min(edges) AND x < list_max(edges)) AS inner_edges FROM q),
+bins AS (SELECT CAST(len(list_filter(inner_edges, lambda x: prediction > x)) AS INT) AS bin, CAST(count(*) AS DOUBLE) AS n_rows, round(avg(prediction), 6) AS mean_prediction, round(avg(target), 6) AS observed_rate FROM mp, e GROUP BY 1),
+wide AS (SELECT * EXCLUDE (k), (SELECT avg(target) FROM mp) AS positive_rate FROM suite),
+parts AS (SELECT 'whole' AS section, 0 AS key, metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM wide) ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL SELECT 'week', WEEK_NUM, metric, value FROM (UNPIVOT (SELECT WEEK_NUM, CAST(n_rows AS DOUBLE) AS n_rows, CAST(positives AS DOUBLE) AS positives, 2 * auc - 1 AS gini FROM we) ON n_rows, positives, gini INTO NAME metric VALUE value)
+UNION ALL SELECT 'bin', bin, metric, value FROM (UNPIVOT bins ON n_rows, mean_prediction, observed_rate INTO NAME metric VALUE value))
+SELECT section, key, metric, round(value, 6) AS value FROM parts""",
     }

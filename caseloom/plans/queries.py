@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.operators import blocks, encode, history, joins, learning, metrics, selection, temporal
+from caseloom.operators import blocks, encode, frames, history, joins, learning, metrics, selection, temporal
 from caseloom.operators.history import aggregate_history
 from caseloom.sources import catalog
 from caseloom.sources.scan import meanings, normalise
@@ -69,6 +69,15 @@ def case_history_ordered(spark: SparkSession, d: str) -> DataFrame:
     return tidy(found.select("case_id", *[f"{c}__{op}" for c in TIES for op in ("first", "last")]), 4)
 
 
+@query
+def case_history_stored_order(spark: SparkSession, d: str) -> DataFrame:
+    """First and last values where group numbers tie: rows keep the order in which they are stored."""
+    kinds = {"quantityA": "numeric", "priceA": "numeric", "flagM": "categorical"}
+    raw = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.floor(F.col("l_linenumber") / 3).alias("num_group1"), F.col("l_quantity").alias("quantityA"), F.col("l_extendedprice").alias("priceA"), F.nullif("l_returnflag", F.lit("N")).alias("flagM"))
+    found = short(aggregate_history(normalise(raw, kinds, None), "lines", 1, ["quantityA", "priceA"], ["flagM"]))
+    return tidy(found.select("case_id", *[f"{c}__{end}" for c in kinds for end in ("first", "last")]), 4)
+
+
 @query
 def case_history_missingness(spark: SparkSession, d: str) -> DataFrame:
     found = short(aggregate_history(t.history(spark, d), "lines", 1, t.NUMERIC, t.CATEGORICAL, t.DATES, ties=TIES, ends=False))
@@ -102,8 +111,8 @@ def union_relaxed(spark: SparkSession, d: str) -> DataFrame:
     """Two shards that disagree on the type of a column, and on which columns they have."""
     li = t.table(spark, d, "lineitem")
     key = F.col("l_orderkey").alias("case_id")
-    a = li.where("l_linenumber = 1").select(key, F.col("l_quantity").cast("int").alias("statusL"), F.col("l_tax").alias("taxA"))
-    b = li.where("l_linenumber = 2").select(key, F.col("l_returnflag").alias("statusL"), F.col("l_quantity").cast("string").alias("amountA"))
+    a = li.where("l_linenumber % 2 = 1").select(key, F.col("l_quantity").cast("int").alias("statusL"), F.col("l_tax").alias("taxA"))
+    b = li.where("l_linenumber % 2 = 0").select(key, F.col("l_returnflag").alias("statusL"), F.col("l_quantity").cast("string").alias("amountA"))
     kinds = meanings([a, b])
     both = normalise(a, kinds, None).unionByName(normalise(b, kinds, None, 1), allowMissingColumns=True)
     return both.groupBy("statusL").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("taxA"), 4).alias("tax"), F.round(F.sum("amountA"), 4).alias("amount"))
@@ -113,14 +122,16 @@ def union_relaxed(spark: SparkSession, d: str) -> DataFrame:
 def feature_assembly(spark: SparkSession, d: str) -> DataFrame:
     b = blocks.base_block(t.base(spark, d)).select("case_id", "WEEK_NUM", "target")
     h = short(aggregate_history(t.history(spark, d), "lines", 1, ["quantityA"], ties=TIES, ends=False)).select("case_id", "rows__count", "quantityA__sum")
-    s = t.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("statusM"))
+    s = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("statusM"))
     return tidy(blocks.assemble(b, [h, s]), 4)
 
 
 @query
 def population_guard_join(spark: SparkSession, d: str) -> DataFrame:
-    some = t.base(spark, d).where("case_id % 2 = 0").select("case_id", "WEEK_NUM")
-    met = joins.many_to_one(t.lines(spark, d), some, ["case_id"])
+    """Lines without tax are given no case here, so the guard drops them."""
+    known = t.base(spark, d).select("case_id", "WEEK_NUM")
+    rows = t.table(spark, d, "lineitem").select(F.when(F.col("l_tax") > 0, F.col("l_orderkey")).alias("case_id"))
+    met = joins.many_to_one(rows, known, ["case_id"])
     return met.groupBy("WEEK_NUM").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("cases"))
 
 
@@ -177,7 +188,9 @@ def holdout_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def expanding_folds(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.folds_frame(spark, t.folds())
+    """Folds over the weeks that the base has."""
+    first, last = t.base(spark, d).agg(F.min("WEEK_NUM"), F.max("WEEK_NUM")).first()
+    return temporal.folds_frame(spark, temporal.expanding_folds(first, last, 5, 8, 20))
 
 
 @query
@@ -233,6 +246,13 @@ def block_floor_select(spark: SparkSession, d: str) -> DataFrame:
     return tidy(encode.select_with_floor(scored, 150, 3))
 
 
+@query
+def block_floor_tight(spark: SparkSession, d: str) -> DataFrame:
+    """Fewer places than blocks ask for: they go block by block."""
+    scored = encode.drift_scores(_ranking(spark, d)).withColumn("score", F.round("score", 6))
+    return tidy(encode.select_with_floor(scored, 40, 3))
+
+
 @query
 def feature_accounting(spark: SparkSession, d: str) -> DataFrame:
     r = _ranking(spark, d).select(F.col("block").alias("family"), F.when(F.col("target_gain") < 5, "missing").when(F.col("target_gain") < 10, "constant").alias("reason"), (F.col("target_gain") > 40).alias("selected"))
@@ -271,22 +291,22 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reliability_quantile(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(metrics.reliability_quantile(t.predictions(spark, d).where("model = 'm1'")))
+    return tidy(metrics.reliability_quantile(t.predictions(spark, d), groups=["model"]))
 
 
 @query
 def reliability_qcut(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(metrics.reliability_qcut(t.predictions(spark, d).where("model = 'm1'")))
+    return tidy(metrics.reliability_qcut(t.predictions(spark, d), groups=["model"]))
 
 
 @query
 def reliability_fixed(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(metrics.reliability_fixed(t.predictions(spark, d).where("model = 'm1'")))
+    return tidy(metrics.reliability_fixed(t.predictions(spark, d), groups=["model"]))
 
 
 def _blended(spark: SparkSession, d: str) -> DataFrame:
-    weights = selection.weights_frame(spark, selection.fixed_candidates(list(t.MODELS), t.LEADER), list(t.MODELS))
-    return selection.blend(t.predictions(spark, d), weights).withColumn("prediction", F.round("prediction", 9))
+    blends = selection.declared_blends(list(t.MODELS), t.LEADER, t.CONTROL)
+    return selection.blend(t.predictions(spark, d), blends, list(t.MODELS)).withColumn("prediction", F.round("prediction", 9))
 
 
 @query
@@ -299,6 +319,11 @@ def candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
     return tidy(selection.rank(selection.summarise_folds(selection.evaluate(_blended(spark, d))), t.LEADER))
 
 
+@query
+def pooled_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(selection.pooled(_blended(spark, d)))
+
+
 @query
 def prequential_choice(spark: SparkSession, d: str) -> DataFrame:
     return tidy(selection.prequential(selection.evaluate(_blended(spark, d)), t.LEADER))
@@ -323,7 +348,7 @@ def prediction_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prediction_violations(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.predictions(spark, d).where("model = 'm1'")
+    rows = t.mean_predictions(spark, d)
     bad = rows.withColumn("prediction", F.expr("CASE WHEN case_id % 97 = 0 THEN NULL WHEN case_id % 97 = 1 THEN double('NaN') WHEN case_id % 97 = 2 THEN 1.5 ELSE prediction END")).withColumn("case_id", F.expr("CASE WHEN case_id % 89 = 0 THEN 1 ELSE case_id END"))
     return metrics.prediction_violations(bad, list(range(302, 341)))
 
@@ -331,23 +356,24 @@ def prediction_violations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def alignment_violations(spark: SparkSession, d: str) -> DataFrame:
     p = t.predictions(spark, d)
-    first, second = p.where("model = 'm1'"), p.where("model = 'm2' AND case_id % 50 != 0").withColumn("target", F.expr("CASE WHEN case_id % 70 = 0 THEN 1 - target ELSE target END"))
-    third = p.where("model = 'm3'").withColumn("case_id", F.expr("CASE WHEN case_id % 60 = 0 THEN -case_id ELSE case_id END"))
-    return joins.aligned_violations({"m1": first, "m2": second, "m3": third}, "case_id", ["target", "WEEK_NUM", "fold"])
+    of = {m: p.where(F.col("model") == m) for m in t.MODELS}
+    of["m2"] = of["m2"].withColumn("target", F.expr("CASE WHEN case_id % 70 = 0 THEN 1 - target ELSE target END"))
+    of["m3"] = of["m3"].withColumn("case_id", F.expr("CASE WHEN case_id % 60 = 0 THEN -case_id ELSE case_id END"))
+    return joins.aligned_violations(of, "case_id", ["target", "WEEK_NUM", "fold"])
 
 
 @query
 def metric_verification(spark: SparkSession, d: str) -> DataFrame:
-    """Published values against recomputed ones: two are off, one is missing."""
+    """Published values against recomputed ones: one is off, two are missing."""
     actual = metrics.losses(t.predictions(spark, d), ["model"])
-    expected = actual.where("model != 'm4'").withColumn("brier", F.expr("CASE WHEN model = 'm2' THEN brier + 0.001 ELSE brier END"))
+    expected = actual.select("model", F.expr("CASE WHEN model = 'm2' THEN brier + 0.001 WHEN model != 'm4' THEN brier END").alias("brier"), F.expr("CASE WHEN model != 'm4' THEN log_loss END").alias("log_loss"))
     return metrics.compare(actual, expected, ["model"], ["brier", "log_loss"]).select("model", "metric", F.col("expected").isNull().alias("missing"))
 
 
 @query
 def sample_order(spark: SparkSession, d: str) -> DataFrame:
-    p = t.predictions(spark, d).where("model = 'm1'").select("case_id", "prediction")
-    sample = t.predictions(spark, d).where("model = 'm1' AND case_id % 3 = 0").select("case_id", (-F.col("case_id")).alias("ordinal"))
+    p = t.mean_predictions(spark, d).select("case_id", "prediction")
+    sample = temporal.assign_folds(t.base(spark, d), temporal.folds_frame(spark, t.folds())).select("case_id", (-F.col("case_id")).alias("ordinal"))
     return tidy(joins.in_sample_order(sample, p, "case_id", "ordinal"))
 
 
@@ -357,19 +383,87 @@ def catalog_profile(spark: SparkSession, d: str) -> DataFrame:
     return tidy(catalog.file_profiles(frames, "case_id"))
 
 
+def _entries(spark: SparkSession, d: str) -> list[catalog.CatalogEntry]:
+    """The base, and line items as two shards, under the names of stored files."""
+    rows = t.lines(spark, d).withColumn("line", F.col("num_group1"))
+    odd, even = rows.where("line % 2 = 0").drop("line"), rows.where("line % 2 = 1").drop("line").withColumn("quantityA", F.col("quantityA").cast("int"))
+    frames = {"train_base.parquet": t.base(spark, d), "train_lines_1_0.parquet": odd, "train_lines_1_1.parquet": even}
+    return [catalog.frame_entry(df, name) for name, df in frames.items()]
+
+
 @query
 def table_summary(spark: SparkSession, d: str) -> DataFrame:
-    li = t.table(spark, d, "lineitem")
-    shards = [("train", "lines", 1, k, li.where(f"l_linenumber = {k}").count(), "a" if k < 3 else "b") for k in range(1, 5)]
-    df = spark.createDataFrame(shards, "split string, family string, depth int, shard int, n long, schema string")
-    return df.groupBy("split", "family", "depth").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("n_rows"), F.array_join(F.array_sort(F.collect_set("schema")), ",").alias("schemas"))
+    return catalog.summarise(spark, _entries(spark, d)).withColumn("schemas", F.size("schemas"))
+
+
+@query
+def catalog_contract(spark: SparkSession, d: str) -> DataFrame:
+    """A test base that still holds the target is an error; shards that differ in a type of the same meaning, a warning."""
+    test = catalog.frame_entry(t.base(spark, d), "test_base.parquet")
+    return catalog.contract_frame(spark, [*_entries(spark, d), test])
 
 
 @query
 def schema_diff(spark: SparkSession, d: str) -> DataFrame:
-    a = spark.createDataFrame([("case_id", "bigint"), ("amountA", "double"), ("statusM", "string"), ("target", "int")], "name string, kind string")
-    b = spark.createDataFrame([("case_id", "bigint"), ("amountA", "string"), ("openedD", "date")], "name string, kind string")
-    return catalog.schema_diff(a, b, ("target",))
+    """Customers against suppliers, without the prefix of their columns; the nation's key is text on one side."""
+    plain = lambda name: t.table(spark, d, name).select([F.col(c).alias(c[2:]) for c in t.table(spark, d, name).columns])
+    suppliers = plain("supplier").withColumn("nationkey", F.col("nationkey").cast("string"))
+    return catalog.schema_diff(catalog.schema_frame(plain("customer")), catalog.schema_frame(suppliers), ("acctbal",))
+
+
+def _blocks(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    h = short(aggregate_history(t.history(spark, d), "lines", 1, ["quantityA"], ties=TIES, ends=False)).select("case_id", F.col("rows__count").alias("lines"), F.col("quantityA__sum").alias("quantity"))
+    s = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    return {"base": t.base(spark, d).select("case_id", "target", "WEEK_NUM", "MONTH"), "lines_depth1": h, "orders_depth0": s}
+
+
+@query
+def feature_index(spark: SparkSession, d: str) -> DataFrame:
+    found = frames.index_features(_blocks(spark, d))
+    return spark.createDataFrame([(f.name, f.block, f.kind, f.categorical) for f in found], "name string, block string, kind string, categorical boolean")
+
+
+@query
+def block_totals(spark: SparkSession, d: str) -> DataFrame:
+    return frames.block_totals(_blocks(spark, d))
+
+
+@query
+def fold_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Training and validation rows of the last fold, with features of three blocks."""
+    parts, fold = _blocks(spark, d), t.folds()[-1]
+    chosen = [f for f in frames.index_features(parts) if f.name != "WEEK_NUM"]
+    train, rest = frames.fold_frames(parts["base"], parts, chosen, (fold.train_min, fold.train_max), (fold.validation_min, fold.validation_max))
+    return tidy(frames.concat_exact([train.withColumn("side", F.lit("train")), rest.withColumn("side", F.lit("validation"))], ["case_id"]), 4)
+
+
+@query
+def fold_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A fold whose sides are capped: a reproducible sample of each."""
+    parts, fold = _blocks(spark, d), t.folds()[0]
+    train, rest = frames.fold_frames(parts["base"], parts, [], (fold.train_min, fold.train_max), (fold.validation_min, fold.validation_max), caps=(300, 200))
+    return train.withColumn("side", F.lit("train")).unionByName(rest.withColumn("side", F.lit("validation")))
+
+
+@query
+def frame_violations(spark: SparkSession, d: str) -> DataFrame:
+    bad = t.base(spark, d).withColumn("target", F.expr("CASE WHEN case_id % 90 = 0 THEN NULL ELSE target END"))
+    return frames.frame_violations(bad, (10, 300))
+
+
+@query
+def inference_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The features of each case of a base without a target."""
+    parts = {b: df.drop("target") for b, df in _blocks(spark, d).items()}
+    chosen = [f for f in frames.index_features(parts) if f.block != "base"]
+    return tidy(frames.inference_frame(t.base(spark, d).drop("target"), parts, chosen), 4)
+
+
+@query
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    fold = t.folds()
+    weeks = range(fold[0].validation_min, fold[-1].validation_max + 1)
+    return tidy(frames.evaluation_report(t.mean_predictions(spark, d), [*weeks]))
 
 
 def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -12,7 +12,7 @@ FIRST_DAY = "1995-01-01"
 WEEK_MAX = 339
 #: Multiplier, weight of the target: four models' scores are made of them.
 MODELS = {"m1": (7919, 0.20), "m2": (104729, 0.15), "m3": (1299709, 0.10), "m4": (15485863, 0.05)}
-LEADER = "m1"
+LEADER, CONTROL = "m1", "m2"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +65,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assign_folds(base(spark, sf_dir), folds_frame(spark, folds()))
     made = [F.struct(F.lit(m).alias("model"), F.round(F.pmod(F.col("case_id") * a, F.lit(997)) / 1250.0 + F.lit(c) * F.col("target"), 6).alias("prediction")) for m, (a, c) in MODELS.items()]
     return rows.select("case_id", "WEEK_NUM", "target", "fold", F.explode(F.array(*made)).alias("m")).select("m.model", "case_id", "WEEK_NUM", "target", "fold", "m.prediction")
+
+
+def mean_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, WEEK_NUM, target, fold, prediction: one row a case, the mean of the models' scores."""
+    return predictions(spark, sf_dir).groupBy("case_id", "WEEK_NUM", "target", "fold").agg(F.round(F.avg("prediction"), 9).alias("prediction"))

@@ -9,7 +9,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.schema import classify, fingerprint, parse_file_name
+from caseloom.functions.schema import DATE_SUFFIX, by_type, classify, fingerprint, parse_file_name, typed
 
 
 @dataclass(frozen=True)
@@ -33,32 +33,37 @@ class CatalogEntry:
 
 
 def type_counts(df: DataFrame) -> dict[str, int]:
-    kinds = [classify(f.name, f.dataType.simpleString()) for f in df.schema]
+    kinds = [classify(f.name, f.dataType) for f in df.schema]
     return {k: kinds.count(k) for k in ("numeric", "categorical", "date")}
 
 
 def profile(df: DataFrame, key: str = "case_id") -> DataFrame:
-    """One row: n_rows, n_columns, null_keys, unique_keys, max_rows_per_key, max_missing_fraction."""
-    per_key = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    known = [F.sum(f"c{i}") for i in range(len(df.columns))]
-    total = F.coalesce(F.sum("n"), F.lit(0))
-    most = F.greatest(*[1 - x / total for x in known], F.lit(0.0)) if known else F.lit(0.0)
-    return per_key.agg(
-        total.alias("n_rows"),
-        F.lit(len(df.columns)).cast("long").alias("n_columns"),
+    """One row: n_rows, n_columns, null_keys, unique_keys, max_rows_per_key, max_missing_fraction.
+
+    Values are counted without a shuffle; only keys and their numbers are shuffled.
+    """
+    known = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    most = F.greatest(*[1 - F.col(f"c{i}") / F.col("n_rows") for i in range(len(df.columns))], F.lit(0.0)) if df.columns else F.lit(0.0)
+    per_key = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    keys = per_key.agg(
         F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("null_keys"),
         F.count("k").alias("unique_keys"),
         F.coalesce(F.max(F.when(F.col("k").isNotNull(), F.col("n"))), F.lit(0)).alias("max_rows_per_key"),
-        F.when(total > 0, most).alias("max_missing_fraction"),
     )
+    whole = known.crossJoin(keys)  # one row each
+    return whole.select("n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), "null_keys", "unique_keys", "max_rows_per_key", F.when(F.col("n_rows") > 0, most).alias("max_missing_fraction"))
 
 
-def catalog_entry(spark: SparkSession, path: str, size: int = 0) -> CatalogEntry:
-    df = spark.read.parquet(path)
-    t = parse_file_name(path.rstrip("/").rpartition("/")[2])
+def frame_entry(df: DataFrame, file: str, size: int = 0) -> CatalogEntry:
+    """What a catalog holds of a frame that is stored under this name."""
+    t = parse_file_name(file.rstrip("/").rpartition("/")[2])
     columns = tuple((f.name, f.dataType.simpleString()) for f in df.schema)
     p = profile(df).first() if "case_id" in df.columns else {"n_rows": df.count(), "null_keys": 0, "unique_keys": 0, "max_rows_per_key": 0}
-    return CatalogEntry(path, t.split, t.family, t.depth, p["n_rows"], columns, size, p["null_keys"], p["unique_keys"], p["max_rows_per_key"])
+    return CatalogEntry(file, t.split, t.family, t.depth, p["n_rows"], columns, size, p["null_keys"], p["unique_keys"], p["max_rows_per_key"])
+
+
+def catalog_entry(spark: SparkSession, path: str, size: int = 0) -> CatalogEntry:
+    return frame_entry(spark.read.parquet(path), path, size)
 
 
 def summarise(spark: SparkSession, entries: list[CatalogEntry]) -> DataFrame:
@@ -82,9 +87,11 @@ def schema_diff(left: DataFrame, right: DataFrame, exclude: tuple[str, ...] = ()
 
 
 def _family(name: str, kind: str) -> str:
-    if name.endswith("D"):
+    if name.endswith(DATE_SUFFIX):
         return "date"
-    return {"void": "any", "null": "any"}.get(kind) or {"numeric": "numeric", "categorical": "text", "date": "time"}.get(classify("x", kind), kind)
+    if kind == "void":
+        return "any"
+    return {"numeric": "numeric", "categorical": "text", "date": "time"}.get(by_type(typed(kind)), kind)
 
 
 def compatible(name: str, a: str, b: str) -> bool:
@@ -144,6 +151,14 @@ def validate(entries: list[CatalogEntry], may_be_empty: tuple[str, ...] = ()) ->
     return {"errors": errors, "warnings": warnings}
 
 
+def contract_frame(spark: SparkSession, entries: list[CatalogEntry], may_be_empty: tuple[str, ...] = ()) -> DataFrame:
+    """(check, passed, detail): what validate finds, one row a finding, and one that says whether there was any error."""
+    found = validate(entries, may_be_empty)
+    rows = [("contract", not found["errors"], f"{len(entries)} files")]
+    rows += [(level, level == "warning", text) for level, texts in (("error", found["errors"]), ("warning", found["warnings"])) for text in texts]
+    return spark.createDataFrame(rows, "check string, passed boolean, detail string")
+
+
 def entries_frame(spark: SparkSession, entries: list[CatalogEntry]) -> DataFrame:
     rows = [{k: v for k, v in asdict(e).items() if k != "columns"} | {"n_columns": len(e.columns)} for e in entries]
     return spark.createDataFrame(rows)

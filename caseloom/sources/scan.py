@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.columns import lenient, relative_days
 from caseloom.functions.schema import assert_no_leak, classify, resolve
+from caseloom.operators.history import ORDINAL
 from caseloom.operators.joins import assert_unique
 
-ORDINAL = "row_ordinal"
 KEYS = ("case_id", "num_group1", "num_group2")
 
 
@@ -21,7 +21,7 @@ def read_shard(spark: SparkSession, path: str) -> DataFrame:
 
 def meanings(shards: list[DataFrame]) -> dict[str, str]:
     """From all shards of both splits. A column of all nulls and no type reads as int, and counts as its suffix says."""
-    return resolve({f.name: classify(f.name, f.dataType.simpleString()) for f in s.schema} for s in shards)
+    return resolve({f.name: classify(f.name, f.dataType) for f in s.schema} for s in shards)
 
 
 def normalise(shard: DataFrame, kinds: dict[str, str], decisions: DataFrame | None, number: int = 0, bounds: tuple[int, int] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import schema
 from caseloom.functions.columns import calendar, decision_date, finite, relative_days, safe_ratio, sample_hash
-from caseloom.operators import blocks, encode, history, joins, learning, metrics, selection, temporal
+from caseloom.operators import blocks, encode, frames, history, joins, learning, metrics, ranks, selection, temporal
 from caseloom.sources import catalog, manifest, scan
 from caseloom.streaming.weekly import weekly_counts
 
@@ -39,8 +39,8 @@ def test_bad_file_names(name):
         schema.parse_file_name(name)
 
 
-def test_meaning_of_columns():
-    found = [schema.classify(n, k) for n, k in [("case_id", "bigint"), ("openedD", "string"), ("amountA", "void"), ("kindM", "void"), ("xL", "boolean"), ("x", "binary"), ("x", "array<string>"), ("y", "decimal(10,2)"), ("z", "void"), ("w", "timestamp_ntz")]]
+def test_meaning_of_columns(spark):
+    found = [schema.classify(n, schema.typed(k)) for n, k in [("case_id", "bigint"), ("openedD", "string"), ("amountA", "void"), ("kindM", "void"), ("xL", "boolean"), ("x", "binary"), ("x", "array<string>"), ("y", "decimal(10,2)"), ("z", "void"), ("w", "timestamp_ntz")]]
     assert found == ["structural", "date", "numeric", "categorical", "categorical", "unsupported", "categorical", "numeric", "unsupported", "date"]
 
 
@@ -55,10 +55,11 @@ def test_leaks_names_and_digests():
     assert schema.feature_name("person", 1, "amountA", "mean", "applicant") == "person__d1__applicant__amountA__mean"
     a, b = ("x", "int", True), ("y", "string", True)
     assert schema.fingerprint([a, b]) != schema.fingerprint([b, a])
-    payload = schema.with_sha256({"weeks": [1, 2]})
-    schema.check_sha256(payload)
+    payload = schema.Sealed({"weeks": [1, 2], "name": "é"}).payload()
+    assert payload["protocol_sha256"] == hashlib.sha256('{"name":"é","weeks":[1,2]}'.encode()).hexdigest()
+    assert schema.Sealed.opened(payload).payload() == payload
     with pytest.raises(ValueError):
-        schema.check_sha256(payload | {"weeks": [2]})
+        schema.Sealed.opened(payload | {"weeks": [2]})
 
 
 # dates, casts and other traps
@@ -189,7 +190,7 @@ def entry(file, split="train", family="base", depth=0, rows=5, columns=(("case_i
     return catalog.CatalogEntry(file, split, family, depth, rows, tuple(columns), **more)
 
 
-def test_contract():
+def test_contract(spark):
     test = entry("t", "test", columns=(("case_id", "bigint"), ("WEEK_NUM", "int")))
     assert catalog.validate([entry("a"), test]) == {"errors": [], "warnings": []}
     bad = {
@@ -209,6 +210,7 @@ def test_contract():
     found = catalog.validate([entry("a"), test, *drift])
     assert not found["errors"] and any("physically" in w for w in found["warnings"])
     assert catalog.validate([entry("a")])["warnings"] == ["no test split"]
+    assert [tuple(r)[:2] for r in catalog.contract_frame(spark, [entry("a", rows=0), test]).collect()] == [("contract", False), ("error", False)]
 
 
 def test_catalog_entry_and_summary(spark, tmp_path):
@@ -279,6 +281,10 @@ def test_block_floor(spark):
     rows = [("a1", "a", 9.0, 1.0), ("a2", "a", 8.0, 1.0), ("a3", "a", 7.0, 1.0), ("b1", "b", 1.0, 1.0), ("b2", "b", 0.5, 1.0)]
     found = encode.select_with_floor(spark.createDataFrame(rows, "name string, block string, score double, target_gain double"), 3, 1)
     assert {r["name"] for r in found.collect()} == {"a1", "a2", "b1"}
+    tight = encode.select_with_floor(spark.createDataFrame(rows[3:] + [("a0", "a", 0.1, 1.0)], "name string, block string, score double, target_gain double"), 2, 2)
+    assert {r["name"] for r in tight.collect()} == {"a0", "b1"}
+    with pytest.raises(ValueError):
+        encode.select_with_floor(tight, 0, 1)
 
 
 # metrics
@@ -329,20 +335,108 @@ def test_reliability_sides(spark):
 
 
 def test_candidates_and_weights(spark):
-    found = selection.fixed_candidates(["a", "b", "c", "d"], "a")
-    assert len(found) == 15 and all(abs(sum(w.values()) - 1) < 1e-12 for w in found.values())
-    for bad in ({"x": {"q": 1.0}}, {"x": {"a": 0.5}}, {"x": {"a": 1.5, "b": -0.5}}):
+    found = selection.declared_blends(["a", "b", "c", "d"], "a", "b")
+    assert len(dict(found)) == 15 and all(abs(sum(w for _, w in members) - 1) < 1e-12 for _, members in found)
+    assert [m for m, _ in dict(found)["equal_without_control"]] == ["a", "c", "d"]
+    for bad in ((("q", 1.0),), (("a", 0.5),), (("a", 1.5), ("b", -0.5))):
         with pytest.raises(ValueError):
-            selection.weights_frame(spark, bad, ["a", "b"])
+            selection.check_blends([("x", bad)], ["a", "b"])
+    with pytest.raises(ValueError, match="control"):
+        selection.declared_blends(["a", "b"], "a", "z")
 
 
 def test_later_folds_cannot_change_a_choice(spark):
     rows = [(c, f, float(v)) for c, vs in {"a": [1, 1, 1, 1], "b": [0, 3, 0, 9]}.items() for f, v in enumerate(vs, 1)]
-    make = lambda x: {r["fold"]: r["candidate"] for r in selection.prequential(spark.createDataFrame(x, "candidate string, fold int, stability double"), "a").collect()}
+    zero = [F.lit(0.0).alias(c) for c in ("mean_gini", "slope", "residual_std", "brier")]
+    make = lambda x: {r["fold"]: r["candidate"] for r in selection.prequential(spark.createDataFrame(x, "candidate string, fold int, stability double").select("*", *zero), "a").collect()}
     assert make(rows) == {2: "a", 3: "b", 4: "a"}
     assert make([r if r[:2] != ("a", 4) else ("a", 4, -99.0) for r in rows]) == make(rows)
 
 
+@pytest.mark.parametrize("key, better", [("mean_gini", 0.9), ("slope", 0.9), ("residual_std", -0.9), ("brier", -0.9)])
+def test_equal_stability_is_told_apart_by_the_other_keys(spark, key, better):
+    keys = ["stability", "mean_gini", "slope", "residual_std", "brier"]
+    rows = [(c, f, *[better if c == "b" and k == key else 0.1 for k in keys]) for c in "ab" for f in (1, 2)]
+    found = selection.prequential(spark.createDataFrame(rows, "candidate string, fold int, " + ", ".join(f"{k} double" for k in keys)), "a")
+    assert one(found)["candidate"] == "b"
+
+
+# frames
+
+
+def test_feature_frames(spark):
+    base = spark.createDataFrame([(k, k % 2, k // 2) for k in range(12)], "case_id long, target int, WEEK_NUM int")
+    block = spark.createDataFrame([(k, float(k), "x") for k in range(0, 12, 3)], "case_id long, xA double, kM string")
+    features = frames.index_features({"base": base, "b": block})
+    assert [(f.name, f.block, f.categorical) for f in features] == [("kM", "b", True), ("xA", "b", False), ("WEEK_NUM", "base", False)]
+    with pytest.raises(ValueError, match="is in b and in c"):
+        frames.index_features({"b": block, "c": block})
+    with pytest.raises(ValueError, match="one split"):
+        frames.check_parity({"a": base, "b": block}, {"a": base})
+    with pytest.raises(ValueError, match="hold the target"):
+        frames.check_parity({"a": base}, {"a": base})
+    train, rest = frames.fold_frames(base, {"base": base, "b": block}, features, (0, 2), (3, 4))
+    assert (train.count(), rest.count()) == (6, 4) and train.where("xA IS NULL").count() == 4
+    with pytest.raises(ValueError, match="reach into"):
+        frames.fold_frames(base, {}, [], (0, 3), (3, 4))
+    small = frames.fold_frames(base, {"b": block}, features[:2], (0, 2), (3, 5), caps=(2, 3))
+    assert [x.count() for x in small] == [2, 3] and [sorted(x.collect()) for x in frames.fold_frames(base, {"b": block}, features[:2], (0, 2), (3, 5), caps=(2, 3))] == [sorted(x.collect()) for x in small]
+    bad = {r["check"]: r["violations"] for r in frames.frame_violations(base.unionAll(base.limit(1)), (0, 3)).collect()}
+    assert (bad["case_id_repeated"], bad["week_outside"], bad["one_class"]) == (1, 4, 0)
+
+
+def test_batches_score_like_the_whole(spark):
+    base = spark.createDataFrame([(k, "2020-01-01", 0) for k in range(6)], "case_id long, date_decision string, WEEK_NUM int")
+    block = spark.createDataFrame([(k, float(k)) for k in range(3)], "case_id long, xA double")
+    features = frames.index_features({"b": block})
+    whole = frames.inference_frame(base, {"b": block}, features)
+    parts = [frames.inference_frame(base, {"b": block}, features, base.where(w)) for w in ("case_id < 2", "case_id >= 2")]
+    assert joins.same_rows(whole, frames.concat_exact(parts, ["case_id"])) and whole.where("xA IS NULL").count() == 3
+    for odd, words in ((base.withColumn("target", F.lit(1)), "target_present"), (base.unionAll(base), "case_id_repeated"), (base.withColumn("case_id", F.lit(-1)), "negative"), (base.withColumn("case_id", F.lit(0.5)), "not_whole"), (base.withColumn("date_decision", F.lit("x")), "date_invalid"), (base.limit(0), "empty")):
+        with pytest.raises(ValueError, match=words):
+            frames.inference_frame(odd, {"b": block}, features)
+    with pytest.raises(ValueError, match="blocks are missing"):
+        frames.inference_frame(base, {}, features)
+    with pytest.raises(ValueError, match="features are missing"):
+        frames.inference_frame(base, {"b": block.drop("xA")}, features)
+    with pytest.raises(ValueError, match="unknown"):
+        frames.inference_frame(base, {"b": block}, features, base.select((F.col("case_id") + 1).alias("case_id")))
+    with pytest.raises(ValueError, match="another schema"):
+        frames.concat_exact([whole, whole.withColumn("xA", F.lit(1))])
+
+
+def test_evaluation_needs_its_weeks(spark):
+    rows = spark.createDataFrame([(w, y, p) for w in (1, 2) for y, p in ((0, 0.1), (0, 0.2), (1, 0.8), (1, 0.9))], "WEEK_NUM int, target int, prediction double")
+    found = {(r["section"], r["key"], r["metric"]): r["value"] for r in frames.evaluation_report(rows.withColumn("case_id", F.lit(1)), [1, 2]).collect()}
+    assert found["whole", 0, "auc"] == found["week", 2, "gini"] == 1.0 and found["whole", 0, "positive_rate"] == 0.5
+    assert sum(v for (s, _, m), v in found.items() if s == "bin" and m == "n_rows") == 8
+    with pytest.raises(ValueError, match="expected"):
+        frames.evaluation_report(rows, [1])
+    with pytest.raises(ValueError, match="one class"):
+        frames.evaluation_report(rows.where("WEEK_NUM = 1 OR target = 1"), [1, 2])
+
+
+# ranks
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.floats(-1e300, 1e300), st.sampled_from([0.0, -0.0, 1e-300, 5e-324, 0.5, 1.0, -1.0, 0.1, 0.1000000001])), min_size=1, max_size=30))
+def test_quantiles_and_running_sums_equal_numpy(spark, values):
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = ranks.quantiles(df, [], "x", [0.0, 0.25, 0.5, 1.0]).first()["quantiles"]
+    assert got == pytest.approx(np.quantile(np.array(values) / 4, [0.0, 0.25, 0.5, 1.0]) * 4, rel=1e-9, abs=1e-320)
+    rows = df.distinct().withColumn("n", F.lit(1))
+    below = {r["x"]: r["below_n"] for r in ranks.below(rows, [], "x", ["n"]).collect()}
+    assert below == {x: sum(y < x for y in {*values}) for x in {*values}}
+
+
+def test_pooled_ranks_are_no_single_task(spark):
+    """Windows over distinct scores are dealt by bucket too; the one over buckets sees their sums alone."""
+    df = spark.range(1000).select(F.lit(1).alias("g"), (F.col("id") % 2).cast("int").alias("target"), (F.col("id") / 1000.0).alias("prediction"))
+    plan = metrics.auc(df, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan and metrics.auc(df, ["g"]).first()["auc"] == pytest.approx(brute_auc([(i % 2, i / 1000) for i in range(1000)]))
+
+
 # learners
 
 
