@@ -109,8 +109,8 @@ SELECT case_id, a AS "amountA__value", s AS "statusM__value", CAST((a IS NULL) A
         "case_history_categorical": f"""WITH {HISTORY} SELECT case_id, {', '.join(f'count({c}) AS "{c}__non_null_count", {n_unique(c)} AS "{c}__n_unique", {ratio(c)} AS "{c}__diversity_ratio"' for c in CATEGORICAL)} FROM h GROUP BY case_id""",
         "case_history_ordered": f"""WITH {HISTORY}, a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY {order}) = 1), z AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY {back}) = 1)
 SELECT a.case_id, {', '.join(f'{pick("a." + c)} AS "{c}__first", {pick("z." + c)} AS "{c}__last"' if c not in CATEGORICAL else f'a.{c} AS "{c}__first", z.{c} AS "{c}__last"' for c in TIES)} FROM a JOIN z USING (case_id)""",
-        "case_history_stored_order": f"""WITH r AS (SELECT l_orderkey AS case_id, l_linenumber // 3 AS g, row_number() OVER () AS at, l_quantity AS q, l_extendedprice AS p, nullif(l_returnflag, 'N') AS f FROM lineitem),
-a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY g, at) = 1), z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY g DESC, at DESC) = 1)
+        "case_history_stored_order": f"""WITH r AS (SELECT l_orderkey AS case_id, l_linenumber // 3 AS g, row_number() OVER () AS pos, l_quantity AS q, l_extendedprice AS p, nullif(l_returnflag, 'N') AS f FROM lineitem),
+a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY g, pos) = 1), z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY g DESC, pos DESC) = 1)
 SELECT a.case_id, round(a.q, 4) AS "quantityA__first", round(z.q, 4) AS "quantityA__last", round(a.p, 4) AS "priceA__first", round(z.p, 4) AS "priceA__last", a.f AS "flagM__first", z.f AS "flagM__last" FROM a JOIN z USING (case_id)""",
         "case_history_missingness": f"""WITH {HISTORY} SELECT case_id, round(CAST(CAST(avg({missing}) AS FLOAT) AS DOUBLE), 4) AS "row_missing_fraction__mean", round(CAST(CAST(max({missing}) AS FLOAT) AS DOUBLE), 4) AS "row_missing_fraction__max" FROM h GROUP BY case_id""",
         "recency_counts": f"""WITH {HISTORY} SELECT case_id, {', '.join(f'count(*) FILTER (shippedD BETWEEN -{w} AND 0) AS "shippedD__count_last_{w}d"' for w in (30, 180, 365, 730, 1825))} FROM h GROUP BY case_id""",
