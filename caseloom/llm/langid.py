@@ -4,9 +4,12 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 sum over all ways to cut it into pieces (forward algorithm); a text's is the product over its words. Piece
 probabilities are fitted by expectation maximisation on word counts of a bounded labelled sample.
 
+A word is a run of letters, in lower case, with a mark before it. Forward sums are rescaled on the way, so that
+words of any length keep their probability, at a memory of some hundred bytes a letter of the longest word.
+
 Null text, or text without a letter: ``und`` with score 0. Ties go to the alphabetically first language.
-Repeated rows are scored each; without training rows every text is ``und``. A run of over 32 letters is
-scored as consecutive words of 32 letters, so that whole texts count however long they are.
+Repeated rows are scored each; without training rows, or in an empty table, no language is learnt and every text
+is ``und``. Columns named as results are replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, schema_with, short_batches
+from .common import beside, schema_with
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]{1,32}")
-CACHED_WORDS = 600_000
+WORD = re.compile(r"[^\W\d_]+")
+#: Words that a worker's cache holds, and letters of the longest of them.
+CACHED_WORDS, CACHED_LETTERS = 600_000, 64
+#: Steps after which forward sums are rescaled: none falls below UNSEEN ** RESCALED.
+RESCALED = 16
 #: Probability of a letter that no piece covers.
 UNSEEN = 1e-7
 
@@ -39,7 +45,7 @@ class LanguageModel:
     probability: np.ndarray  # pieces x languages
 
 
-def vocabulary(model_file: str, max_piece_chars: int = 8) -> list[str]:
+def vocabulary(model_file: str) -> list[str]:
     """Lower-case letter pieces of a public piece model; a leading mark stands for a word's start."""
     import sentencepiece
 
@@ -47,7 +53,7 @@ def vocabulary(model_file: str, max_piece_chars: int = 8) -> list[str]:
     found = set()
     for i in range(model.get_piece_size()):
         body = (piece := model.id_to_piece(i)).removeprefix("▁")
-        if len(piece) <= max_piece_chars and (piece == "▁" or body.isalpha()) and body == body.lower():
+        if (piece == "▁" or body.isalpha()) and body == body.lower():
             found.add(piece)
     return sorted(found)
 
@@ -100,40 +106,50 @@ class Segmenter:
         table[self.node_of] = probability
         return table
 
-    def forward(self, nodes: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    def steps(self, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities by node: of pieces of one letter, none of which is impossible, and of all others."""
+        table = self.by_node(probability)
+        return np.where(self.single[:, None], np.maximum(table, UNSEEN), table), table
+
+    def forward(self, nodes: list[np.ndarray], tables: tuple[np.ndarray, np.ndarray], back: bool = False) -> list[np.ndarray]:
+        """Log sums over all segmentations of the first 0, 1, .. letters; with back, of the last 0, 1, .. letters."""
         m, n = nodes[0].shape
-        first = np.where(self.single[:, None], np.maximum(table, UNSEEN), table)
-        alpha = np.zeros((n + 1, m, table.shape[1]))
-        alpha[0] = 1
-        for end in range(1, n + 1):
-            for k in range(min(len(nodes), end)):
-                at = nodes[k][:, end - k - 1]
-                alpha[end] += alpha[end - k - 1] * (first if k == 0 else table)[at]
-        return alpha
+        recent = [np.ones((m, tables[0].shape[1]))]
+        shift = np.zeros(recent[0].shape)
+        found = [shift]
+        for done in range(1, n + 1):
+            total = np.zeros(shift.shape)
+            for k in range(min(len(nodes), done)):
+                at = nodes[k][:, n - done if back else done - k - 1]
+                total += recent[-1 - k] * tables[k > 0][at]
+            recent = [*recent[1 - len(nodes) :], total] if len(nodes) > 1 else [total]
+            found.append(np.log(total) + shift)
+            if done % RESCALED == 0:
+                recent = [r / total for r in recent]
+                shift = found[-1]
+        return found
 
     def expected(self, words: list[str], count: np.ndarray, probability: np.ndarray) -> np.ndarray:
         """Expected uses of each node in these words under one language's probabilities (one column)."""
         uses = np.zeros(self.n_nodes)
-        table = self.by_node(probability)
-        first = np.where(self.single[:, None], np.maximum(table, UNSEEN), table)
+        tables = self.steps(probability)
+        logs = [np.log(np.maximum(t[:, 0], 1e-300)) for t in tables]
         for same in by_length(words):
             nodes = self.nodes([words[i] for i in same])
-            alpha = self.forward(nodes, table)[:, :, 0]
-            n = len(alpha) - 1
-            beta = np.zeros_like(alpha)
-            beta[n] = count[same] / alpha[n]
-            for start in range(n - 1, -1, -1):
-                for k in range(min(len(nodes), n - start)):
+            before, behind = ([x[:, 0] for x in self.forward(nodes, tables, back)] for back in (False, True))
+            n = len(before) - 1
+            for k in range(len(nodes)):
+                for start in range(n - k):
                     at = nodes[k][:, start]
-                    p = (first if k == 0 else table)[at, 0]
-                    uses += np.bincount(at, alpha[start] * p * beta[start + k + 1], self.n_nodes)
-                    beta[start] += p * beta[start + k + 1]
+                    p = np.exp(before[start] + logs[k > 0][at] + behind[n - start - k - 1] - before[n])
+                    uses += np.bincount(at, p * count[same] * (tables[k > 0][at, 0] > 0), self.n_nodes)
         return uses
 
-    def log_probability(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(words), table.shape[1]))
+    def log_probability(self, words: list[str], probability: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), probability.shape[1]))
+        tables = self.steps(probability)
         for same in by_length(words):
-            out[same] = np.log(self.forward(self.nodes([words[i] for i in same]), table)[-1])
+            out[same] = self.forward(self.nodes([words[i] for i in same]), tables)[-1]
         return out
 
 
@@ -174,7 +190,8 @@ def train(
 ) -> LanguageModel:
     """Fit piece probabilities on about docs_per_language rows of each language, chosen by a hash of order_by.
 
-    Priors are shares over all labelled rows. Rows with null text, language or key take no part.
+    Priors are shares over all labelled rows. Rows with null text or language take no part; null keys are hashed like
+    others, so that they are drawn together or not at all.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if keep is None else keep))
@@ -193,7 +210,6 @@ def train(
         share = F.when(F.col(lang_col) == lang, min(1.0, docs_per_language / counts[lang])).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col(order_by), F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20)
     sample = rows.where(drawn).select(place.cast("int").alias("lang"), F.col(text_col).alias("text"))
-    short_batches(spark)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -219,8 +235,8 @@ def train(
                 yield pd.DataFrame({"lang": lang, "node": node, "uses": uses[lang, node]})
 
             table = np.zeros((k, segmenter.n_nodes))
-            for r in types.mapInPandas(expect, "lang int, node int, uses double").groupBy("lang", "node").agg(F.sum("uses").alias("uses")).collect():
-                table[r[0], r[1]] = r[2]
+            sums = types.mapInPandas(expect, "lang int, node int, uses double").groupBy("lang", "node").agg(F.sum("uses").alias("uses")).toArrow()
+            table[sums["lang"].to_numpy(), sums["node"].to_numpy()] = sums["uses"].to_numpy()
             seen = table[:, segmenter.node_of].T + 0.01
             probability = seen / seen.sum(axis=0)
             held.unpersist()
@@ -232,7 +248,6 @@ def train(
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (the posterior of lang_pred) added; columns of those names are replaced."""
     spark = docs.sparkSession
-    short_batches(spark)
     held = spark.sparkContext.broadcast((model.languages, model.log_prior, model.pieces, model.probability))
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     schema = schema_with(docs.select(*kept), "lang_pred string, score double")
@@ -240,8 +255,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(*held.value)
         segmenter = Segmenter(model.pieces)
-        table = segmenter.by_node(model.probability)
-        cache = WordScores(segmenter, table)
+        cache = WordScores(segmenter, model.probability)
         for b in batches:
             lang, score = classify(b.column(text_col).to_pylist(), model, cache)
             yield beside(b.columns, [pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema)
@@ -250,12 +264,12 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
 
 
 class WordScores(dict):
-    """Word -> row of its log probabilities; starts anew beyond CACHED_WORDS."""
+    """Word -> row of its log probabilities. Words of over CACHED_LETTERS letters are forgotten after use, all beyond CACHED_WORDS."""
 
-    def __init__(self, segmenter: Segmenter, table: np.ndarray) -> None:
-        self.segmenter, self.table = segmenter, table
+    def __init__(self, segmenter: Segmenter, probability: np.ndarray) -> None:
+        self.segmenter, self.probability = segmenter, probability
         self.new: list[str] = []
-        self.rows = np.zeros((0, table.shape[1]), np.float32)
+        self.rows = np.zeros((0, probability.shape[1]), np.float32)
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
@@ -264,13 +278,20 @@ class WordScores(dict):
 
     def of(self, words: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        long = False
         if self.new:
-            self.rows = np.concatenate([self.rows, self.segmenter.log_probability(["▁" + w for w in self.new], self.table).astype(np.float32)])
+            self.rows = np.concatenate([self.rows, self.segmenter.log_probability(["▁" + w for w in self.new], self.probability).astype(np.float32)])
+            long = max(map(len, self.new)) > CACHED_LETTERS
             self.new = []
         found = self.rows[at]
         if len(self) > CACHED_WORDS:
             self.clear()
             self.rows = self.rows[:0]
+        elif long:
+            kept = [w for w in self if len(w) <= CACHED_LETTERS]
+            self.rows = self.rows[[self[w] for w in kept]]
+            self.clear()
+            self.update(zip(kept, range(len(kept)), strict=True))
         return found
 
 
