@@ -1,89 +1,144 @@
 """Exact top-k inner-product search: ball-tree branch and bound over shards.
 
-Candidates are dealt to shards of bounded size and queries to blocks of bounded size by hashes of their ids;
-each pair of a block and a group of shards is one task. A shard's ball tree is searched node by node in
-descending order of the inner-product upper bound, and a query carries its current kth score from one
-shard of the group to the next, so later shards are pruned by what earlier ones found.
+Candidates are dealt to shards of bounded size and queries to blocks of bounded size by hashes; each pair of a
+block and a shard is one task. First each query probes one shard alone: the kth score that it finds there is a
+floor below which no shard need look, and goes with the query into all tasks. In a task, the nodes of the shard's
+ball tree are bounded for the whole block at once, subtrees below a query's floor are cut off, and each query
+visits its remaining leaves in descending order of the inner-product upper bound, until the bound falls below its
+current kth score.
 
 Scores are exact integers. Rows whose id or vector is null, or whose vector holds a null or non-finite
 component, take no part; neither do candidates of another length than the query, or with the query's own
-id. Repeated ids each count as candidates. Ties go to the smaller id. Scores must fit 64 bits.
+id. Repeated ids each count as candidates; rows that repeat id and vector are counted before they are dealt, so
+that no shard outgrows its size. Where the query's own id repeats with other vectors, its least vector asks. Ties
+go to the smaller id. Scores must fit 64 bits. An empty table, or one without queries, gives no row.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEAF = 32
+from .common import materialize
+
+LEAF = 64
+#: Whole numbers up to this are exact as doubles.
+EXACT = float(1 << 53)
 
 
 class BallTree:
-    """Over integer vectors; a leaf holds LEAF rows, or any number of equal ones."""
+    """Over whole-number vectors, halved along the widest axis down to leaves of at most LEAF rows."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        self.children: list[tuple[int, int] | None] = []
-        self.rows: list[np.ndarray] = []
+        order = np.arange(len(ids))
+        self.first, self.last, self.child = [0], [len(ids)], [0]
         centres, radii = [], []
-        pending = [np.arange(len(ids))]
-        while pending:
-            rows = pending.pop()
-            at, v = len(self.rows), vectors[rows].astype(float)
+        at = 0
+        while at < len(self.first):
+            low, high = self.first[at], self.last[at]
+            v = vectors[order[low:high]].astype(float)
             centre = v.mean(axis=0)
             away = v - centre
-            radius = float(np.sqrt((away * away).sum(axis=1).max()))
-            self.rows.append(rows)
-            self.children.append(None)
             centres.append(centre)
-            radii.append(radius)
-            if at:
-                parent, side = self.parent_of.pop()
-                pair = self.children[parent] or (0, 0)
-                self.children[parent] = (at, pair[1]) if side == 0 else (pair[0], at)
-            else:
-                self.parent_of: list[tuple[int, int]] = []
-            axis = int(away.var(axis=0).argmax()) if v.shape[1] else 0
-            if v.shape[1] and len(rows) > LEAF and np.ptp(v[:, axis]) > 0:
-                middle = np.argsort(v[:, axis], kind="stable")
-                half = len(rows) // 2
-                pending += [rows[middle[half:]], rows[middle[:half]]]
-                self.parent_of += [(at, 1), (at, 0)]
+            radii.append(float(np.sqrt((away * away).sum(axis=1).max())))
+            if high - low > LEAF:
+                axis = int(away.var(axis=0).argmax()) if v.shape[1] else 0
+                if v.shape[1]:
+                    order[low:high] = order[low:high][np.argsort(v[:, axis], kind="stable")]
+                middle = (low + high) // 2
+                self.child[at] = len(self.first)
+                self.first += [low, middle]
+                self.last += [middle, high]
+                self.child += [0, 0]
+            at += 1
+        self.ids, self.vectors = ids[order], vectors[order]
         self.centres, self.radii = np.array(centres), np.array(radii)
 
-    def search(self, query: np.ndarray, own: int, best: list[tuple[int, int]], k: int) -> None:
-        """Improve best, a heap of (score, -id) of at most k."""
-        size = float(np.sqrt((query.astype(float) ** 2).sum()))
-        bound = self.centres @ query.astype(float) + self.radii * size
-        bound += 1e-9 * (1 + np.abs(self.centres) @ np.abs(query.astype(float)) + self.radii * size)
-        frontier = [(-bound[0], 0)]
-        while frontier:
-            upper, node = heapq.heappop(frontier)
-            if len(best) == k and -upper < best[0][0]:
-                return
-            if (pair := self.children[node]) is not None:
-                for child in pair:
-                    if len(best) < k or bound[child] >= best[0][0]:
-                        heapq.heappush(frontier, (-bound[child], child))
-                continue
-            rows = self.rows[node]
-            score, ids = self.vectors[rows] @ query, self.ids[rows]
-            if len(rows) > 4 * k:
-                top = np.lexsort((ids, -score))[: 2 * k + int((ids == own).sum())]
-                score, ids = score[top], ids[top]
-            for s, i in zip(score.tolist(), ids.tolist(), strict=True):
-                if i == own:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """Upper bounds, queries x nodes, of the inner product with any row of a node; a little above, for rounding."""
+        q = queries.astype(float)
+        size = np.sqrt((q * q).sum(axis=1))[:, None]
+        slack = 1e-9 * (1 + np.abs(q) @ np.abs(self.centres).T + size * self.radii)
+        return q @ self.centres.T + size * self.radii + slack
+
+
+class Best:
+    """The k best of each query so far: score, then smaller id."""
+
+    def __init__(self, n: int, k: int, kind: type, floor: np.ndarray) -> None:
+        self.lowest = -np.inf if kind is float else np.iinfo(np.int64).min
+        self.score = np.full((n, k), self.lowest, kind)
+        self.id = np.full((n, k), np.iinfo(np.int64).max, np.int64)
+        self.floor = floor.astype(kind)
+
+    def least(self, at: np.ndarray) -> np.ndarray:
+        return np.maximum(self.floor[at], self.score[at, -1])
+
+    def offer(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> None:
+        """Scores (queries at x ids) that are allowed."""
+        good = allowed & (score >= self.least(at)[:, None])
+        some = np.flatnonzero(good.any(axis=1))
+        if not len(some):
+            return
+        rows, k = at[some], self.score.shape[1]
+        score = np.concatenate([self.score[rows], np.where(good[some], score[some], self.lowest)], axis=1)
+        both = np.concatenate([self.id[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
+        order = np.lexsort((both, -score if score.dtype == float else ~score), axis=1)[:, :k]
+        self.score[rows], self.id[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(both, order, 1)
+
+
+def search_tree(tree: BallTree, own: np.ndarray, queries: np.ndarray, best: Best) -> None:
+    """Improve best by a tree's rows other than each query's own."""
+    bound = tree.bounds(queries)
+    child = np.array(tree.child)
+    alive = np.ones(bound.shape, bool)
+    for node in range(len(child)):  # a parent comes before its children
+        alive[:, node] &= bound[:, node] >= best.floor
+        if child[node]:
+            alive[:, child[node]] = alive[:, child[node] + 1] = alive[:, node]
+    leaves = np.flatnonzero(child == 0)
+    bound = np.where(alive[:, leaves], bound[:, leaves], -np.inf)
+    order = np.argsort(-bound, axis=1, kind="stable")
+    kind = best.score.dtype
+    vectors, asked = tree.vectors.astype(kind), queries.astype(kind)
+    open_ = np.arange(len(queries))
+    for turn in range(len(leaves)):
+        leaf = order[open_, turn]
+        upper = bound[open_, leaf]
+        go = (upper > -np.inf) & (upper >= best.least(open_))
+        open_, leaf = open_[go], leaf[go]
+        if not len(open_):
+            return
+        by = np.argsort(leaf, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
+            at, node = open_[part], leaves[leaf[part[0]]]
+            low, high = tree.first[node], tree.last[node]
+            ids = tree.ids[low:high]
+            best.offer(at, asked[at] @ vectors[low:high].T, ids, ids != own[at][:, None])
+
+
+def searched(asks: pd.DataFrame, have: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, vec_id and score of the k best rows of have (id, v, n copies) for each query (own, q, floor)."""
+    out = []
+    size = have["v"].map(len)
+    for length, mine in asks.groupby(asks["q"].map(len)):
+        there = have[size == length]
+        if not len(there):
+            continue
+        stack = lambda v, length=length: np.stack(v.to_numpy()).astype(np.int64).reshape(len(v), length)
+        copies = np.minimum(there["n"].to_numpy(), k)
+        vectors, queries = stack(there["v"]), stack(mine["q"])
+        most = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * length
+        tree = BallTree(np.repeat(there["id"].to_numpy(), copies), np.repeat(vectors, copies, axis=0))
+        floor = mine["floor"].to_numpy(float, na_value=-np.inf)
+        best = Best(len(mine), k, float, floor) if most < EXACT else Best(len(mine), k, np.int64, np.maximum(floor - np.abs(floor) * 1e-9, -float(1 << 62)))
+        search_tree(tree, mine["own"].to_numpy(), queries, best)
+        row, place = np.nonzero(best.score > best.lowest)
+        out.append(pd.DataFrame({"query_id": mine["own"].to_numpy()[row], "vec_id": best.id[row, place], "score": best.score[row, place].astype(np.int64)}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -102,37 +157,27 @@ def search(
     k: int = 5,
     scale: int = 256,
     shard_rows: int = 4096,
-    shards_a_task: int = 4,
     block_rows: int = 4096,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best other rows."""
     good = vectors.where(F.col(id_col).isNotNull() & F.coalesce(usable(F.col(vector_col)), F.lit(False)))
     rows = good.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("asks"))
+    rows = materialize(rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")), "vectors")
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    groups = max(1, -(-n // (shard_rows * shards_a_task)))
-    blocks = max(1, -(-asked // block_rows))
-    place = F.xxhash64("id", F.lit("shard"))
-    task = [F.col("block"), F.col("grp")]
-    candidates = rows.select("id", "v", F.pmod(place, F.lit(groups)).alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    place = F.xxhash64("id", F.lit("block"))
-    queries = queries.select("id", "v", F.pmod(place, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"))
-
-    def run(asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        have = have.assign(size=have["v"].map(len), shard=np.arange(len(have)) // shard_rows)
-        trees: dict[int, list[BallTree]] = {}
-        for (size, _), part in have.groupby(["size", "shard"]):
-            matrix = np.stack(part["v"].to_numpy()).astype(np.int64) if size else np.zeros((len(part), 0), np.int64)
-            trees.setdefault(int(size), []).append(BallTree(part["id"].to_numpy(), matrix))
-        for own, v in zip(asks["id"].tolist(), asks["v"], strict=True):
-            best: list[tuple[int, int]] = []
-            for tree in trees.get(len(v), []):
-                tree.search(np.asarray(v, np.int64), own, best, k)
-            out += [(own, -i, s) for s, i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    met = queries.groupBy(*task).cogroup(candidates.groupBy(*task)).applyInPandas(run, "query_id long, vec_id long, score long")
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
+    dealt = lambda of, *by: F.pmod(F.xxhash64(*by), F.lit(of)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = rows.select("id", "v", "n", dealt(shards, "id", "v").alias("shard"))
+    queries = rows.where("asks").groupBy(F.col("id").alias("own")).agg(F.min("v").alias("q"))
+
+    def search_shards(asks: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
+        run = lambda a, b: searched(a, b, k)
+        return asks.groupBy(*keys).cogroup(have.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+
+    probes = queries.select("own", "q", F.lit(None).cast("double").alias("floor"), dealt(shards, "own", F.lit("probe")).alias("shard"))
+    met = search_shards(probes, candidates, ["shard"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").cast("double").alias("least"))
+    floors = met.select(F.col("query_id").alias("own"), F.when(F.col("found") == k, F.col("least")).alias("floor"))
+    asks = queries.join(floors, "own", "left").select("own", "q", "floor", dealt(blocks, "own", F.lit("block")).alias("block"), every(shards).alias("shard"))
+    found = search_shards(asks, candidates.select("*", every(blocks).alias("block")), ["block", "shard"])
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
