@@ -10,18 +10,20 @@ are chosen so that any five positions hold one, so pairs that may link meet in a
 that meet, shared positional bytes are tallied; pairs that reach 5 are verified bit by bit. A posting yields a
 spanning forest of its links, not its pairs. Its fingerprints are distinct, copies having been merged before.
 
-Postings of more than ``list_limit`` fingerprints are linked exactly in another way: each of their
-fingerprints writes all points within 2 bits of it. Two fingerprints link exactly if one lies within 1 bit of
-a point that the other lies within 2 bits of, and all fingerprints at a point link to one within 1 bit of it.
-This is linear in the number of fingerprints.
-
-Null and wordless texts have fingerprint zero, linked like any other. A component's id is its smallest
-non-null id. Rows that repeat an id are rows of their own.
+A posting of more than POSTING fingerprints is cut into finer ones: the bits that its key leaves open fall into
+four parts, of which two fingerprints that link share at least one, since they differ in 3 bits at most. Each part
+with its bits is a posting of its own, and is cut again while it is too long; 11 open bits leave no more than
+POSTING distinct fingerprints. Sizes are counted before postings are dealt, so no task receives a long one.
+
+Null and wordless texts have fingerprint zero, linked like any other. Texts count whole, however long. A
+component's id is its smallest non-null id. Rows that repeat an id are rows of their own. An empty table gives no
+row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,11 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, beside, keyed, materialize, row_key, schema_with, short_batches
+from .common import KEY, beside, keyed, materialize, row_key, schema_with
 from .components import connected_components
 
 BITS, BYTES, NEAR = 64, 8, 3
 SHARED = BYTES - NEAR
+#: Fingerprints of a posting that are compared with each other.
+POSTING = 2048
+#: Odd factors that finer keys are mixed with: postings that fall together by chance are verified like any other.
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def position_sets(size: int = SHARED - 1) -> list[tuple[int, ...]]:
@@ -66,7 +72,6 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """KEY, k_id and fp for each row."""
-    short_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     schema = schema_with(rows.drop("k_body"), "fp long")
 
@@ -79,17 +84,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def postings(fps: DataFrame) -> DataFrame:
-    """(key, fp): the key holds the number of a position set and a hash-free join of its bytes."""
+    """(key, open, fp): the key holds the number of a position set and a hash-free join of its bytes; open: the other bits."""
     byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(BYTES)]
 
-    def key(number: int, positions: tuple[int, ...]) -> Column:
+    def posting(number: int, positions: tuple[int, ...]) -> Column:
         k = F.lit(number).cast("long")
         for p in positions:
             k = F.shiftleft(k, 8).bitwiseOR(byte[p])
-        return k
+        rest = sum(255 << 8 * i for i in range(BYTES) if i not in positions)
+        return F.struct(k.alias("key"), F.lit(signed(rest)).cast("long").alias("open"))
+
+    made = F.array(*[posting(n, p) for n, p in enumerate(position_sets())])
+    return fps.select("fp", F.explode(made).alias("p")).select("p.*", "fp")
+
+
+def signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def parts(open_bits: int) -> list[int]:
+    """The open bits in NEAR + 1 parts: whoever differs in NEAR bits shares a part."""
+    bits = [1 << i for i in range(BITS) if open_bits >> i & 1]
+    return [sum(bits[i :: NEAR + 1]) for i in range(NEAR + 1)]
+
+
+def cut(long: DataFrame) -> DataFrame:
+    """The finer postings (key, open, fp) of postings that are too long."""
 
-    keys = F.array(*[key(n, p) for n, p in enumerate(position_sets())])
-    return fps.select("fp", F.explode(keys).alias("key"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for open_bits, rows in b.groupby("open"):
+                key, fp = rows["key"].to_numpy().view(np.uint64), rows["fp"].to_numpy()
+                for part in parts(int(open_bits) & ((1 << BITS) - 1)):
+                    inside = fp.view(np.uint64) & np.uint64(part)
+                    finer = key * np.uint64(MIX[0]) + inside * np.uint64(MIX[1]) + np.uint64(part) * np.uint64(MIX[2])
+                    finer = (finer ^ (finer >> np.uint64(29))) * np.uint64(MIX[0])
+                    yield pd.DataFrame({"key": finer.view(np.int64), "open": np.int64(int(open_bits) & ~signed(part)), "fp": fp})
+
+    return long.mapInPandas(run, "key long, open long, fp long")
 
 
 def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,24 +141,21 @@ def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[label[joined]], fp[joined]
 
 
-def links(fps: DataFrame, list_limit: int = 2000) -> DataFrame:
-    """Links (a, b) that span each component of the distinct fingerprints fps."""
-    spark = fps.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings(fps).repartition(n, "key").sortWithinPartitions("key", "fp")
+def posting_links(level: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components within each posting."""
+    n = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = level.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Streams sorted postings; a list never outgrows list_limit in memory."""
-        key, held, over = None, [np.zeros(0, np.int64)], False
+        """Streams sorted postings; most hold one fingerprint alone and are skipped."""
+        key, held = None, [np.zeros(0, np.int64)]
 
-        def close() -> pd.DataFrame | None:
+        def close() -> Iterator[pd.DataFrame]:
             fp = np.concatenate(held)
-            if over or len(fp) > list_limit:
-                return pd.DataFrame({"a": fp, "b": fp, "dense": True})
-            if len(fp) < 2:
-                return None
-            a, b = forest(fp)
-            return pd.DataFrame({"a": a, "b": b, "dense": False}) if len(a) else None
+            if len(fp) > 1:
+                a, b = forest(fp)
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b})
 
         for batch in batches:
             keys, fp = batch["key"].to_numpy(), batch["fp"].to_numpy()
@@ -137,56 +166,50 @@ def links(fps: DataFrame, list_limit: int = 2000) -> DataFrame:
                 long[0] = long[-1] = True
             for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
                 if keys[s] != key:
-                    if (done := close()) is not None:
-                        yield done
-                    key, held, over = keys[s], [], False
+                    yield from close()
+                    key, held = keys[s], []
                 held.append(fp[s:e])
-                if sum(map(len, held)) > list_limit:
-                    over = True
-                    yield close()
-                    held = [np.zeros(0, np.int64)]
-        if (done := close()) is not None:
-            yield done
-
-    found = materialize(dealt.mapInPandas(run, "a long, b long, dense boolean"), "links")
-    dense = found.where("dense").select(F.col("a").alias("fp")).distinct()
-    plain = found.where("NOT dense").select("a", "b")
-    return plain.unionAll(dense_links(dense)) if found.where("dense").head(1) else plain
-
-
-def dense_links(fps: DataFrame) -> DataFrame:
-    """Exact links, linear in the number of fingerprints, through the points around each."""
-    one = [1 << i if i < 63 else -(1 << 63) for i in range(BITS)]
-    near = F.array(F.lit(0).cast("long"), *[F.lit(m).cast("long") for m in one])
-    within_1 = fps.select("fp", F.explode(F.transform(near, lambda m: m.bitwiseXOR(F.col("fp")))).alias("point"))
-    hub = within_1.groupBy("point").agg(F.min("fp").alias("hub"))
-    within_2 = within_1.select("fp", F.explode(F.transform(near, lambda m: m.bitwiseXOR(F.col("point")))).alias("point")).distinct()
-    met = within_2.join(hub, "point").where("fp != hub")
-    return met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
-
-
-def classified(docs: DataFrame, id_col: str, text_col: str, list_limit: int) -> DataFrame:
+        yield from close()
+
+    return dealt.mapInPandas(run, "a long, b long")
+
+
+def links(fps: DataFrame, posting: int = POSTING) -> DataFrame:
+    """Links (a, b) that span each component of the distinct fingerprints fps; postings longer than posting are cut."""
+    level, found = postings(fps), []
+    while True:
+        size = level.groupBy("key", "open").count()
+        long = materialize(size.where((F.col("count") > posting) & (F.bit_count("open") > max(NEAR, posting.bit_length() - 1))).select("key", "open"), "long")
+        if not long.head(1):
+            found.append(materialize(posting_links(level), "links"))
+            return reduce(DataFrame.unionAll, found)
+        found.append(materialize(posting_links(level.join(long, ["key", "open"], "left_anti")), "links"))
+        level = materialize(cut(level.join(long, ["key", "open"], "left_semi")), "postings")
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str, posting: int) -> DataFrame:
     """KEY, k_id, fp, label (of the component) and component_id for each row."""
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("k_id").alias("least"))
-    classes = connected_components(links(fps.select("fp"), list_limit))
+    fps = materialize(rows.groupBy("fp").agg(F.min("k_id").alias("least")), "classes")
+    classes = connected_components(links(fps.select("fp"), posting))
     of_fp = fps.join(classes, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = of_fp.groupBy("label").agg(F.min("least").alias("component_id"))
     return rows.join(of_fp.select("fp", "label").join(least, "label"), "fp", "left")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_limit: int = 2000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = POSTING) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hexadecimal digits), component_id."""
-    found = classified(docs, id_col, text_col, list_limit)
+    found = classified(docs, id_col, text_col, posting)
     return found.select(F.col("k_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_limit: int = 2000) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = POSTING) -> DataFrame:
     """Of each component the row with the smallest id stays, with all columns.
 
-    If that id repeats within the component, one row of them stays; so it does if all ids are null.
+    If that id repeats within the component, one row of them stays, that of the least key and then of the least
+    columns, read as JSON; so it does if all ids are null.
     """
-    found = classified(docs, id_col, text_col, list_limit)
+    found = classified(docs, id_col, text_col, posting)
     heads = found.where(F.col("k_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct(*KEY)).alias("head")).select("head.*")
     own = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return own.join(heads, KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")
+    return own.join(heads, KEY, "left_semi").groupBy(*KEY).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
