@@ -14,7 +14,9 @@ descend to shorter contexts, each once, whatever number of documents holds it.
 The word baseline counts words over all training texts. A broadcast tier of the commonest words serves most
 lookups, the others are joined by word: those are rare, so no key of that join is hot.
 
-Null text counts as empty: the end mark alone. Rows that repeat an id are scored each; null ids train.
+Null text counts as empty: the end mark alone. Long texts are counted and scored in stretches of CHUNK bytes, each
+with the context before it. Rows that repeat an id are scored each; null ids train. An empty table gives no row;
+columns of the documents but id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket, materialize, schema_with, short_batches
+from .common import bucket, materialize, schema_with
 
 SYMBOLS, END = 257, 256
 #: Longest order whose windows fit 64 bits.
@@ -39,7 +41,7 @@ CHUNK, HELD_WORDS, HELD_WINDOWS = 4 << 20, 400_000, 2_000_000
 TIER, TIER_BYTES = 131_072, 64
 #: Windows of the broadcast tier at most, and steps of a doubling by which their least count is found.
 WINDOW_TIER, STEPS = 1_048_576, 16
-#: Bytes that are scored at once, few enough for a processor's cache, and factors that windows are hashed by.
+#: Bytes that are scored at once, as far as texts allow, few enough for a processor's cache, and factors that windows are hashed by.
 SCORED, FACTORS = 1 << 18, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -66,9 +68,13 @@ def cells(texts: list[bytes], order: int = 2) -> np.ndarray:
     return window[inside[order:]]
 
 
-def chunks(texts: Iterator[bytes], most: int = CHUNK) -> Iterator[list[bytes]]:
+def chunks(texts: Iterator[bytes], most: int = CHUNK, alone: int = CHUNK) -> Iterator[list[bytes]]:
+    """Texts of about most bytes together; one of over alone bytes comes by itself."""
     held, size = [], 0
     for t in texts:
+        if held and len(t) > alone:
+            yield held
+            held, size = [], 0
         held.append(t)
         size += len(t)
         if size >= most:
@@ -78,6 +84,17 @@ def chunks(texts: Iterator[bytes], most: int = CHUNK) -> Iterator[list[bytes]]:
         yield held
 
 
+def stretches(part: list[bytes], order: int, most: int = CHUNK) -> Iterator[np.ndarray]:
+    """cells of a part from chunks; those of one long text in stretches, which hold the same windows."""
+    if len(part) != 1 or len(part[0]) <= most:
+        yield cells(part, order)
+        return
+    text = part[0]
+    for at in range(0, len(text), most):
+        window = cells([text[max(0, at - order) : at + most]], order)
+        yield window[min(at, order) : None if at + most >= len(text) else -1]
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows, ascending, and the sums of their counts."""
     window, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -96,14 +113,15 @@ def window_counts(training: DataFrame, text_col: str, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, fresh, size = None, [], 0
         for part in chunks(t for b in batches for t in encoded(b.column(0))):
-            fresh.append(np.unique(cells(part, order), return_counts=True))
-            size += len(fresh[-1][0])
-            if size > HELD_WINDOWS:
-                held = merged([*([held] if held else []), *fresh])
-                fresh, size = [], 0
-                if len(held[0]) > HELD_WINDOWS:
-                    yield batch(*held)
-                    held = None
+            for window in stretches(part, order):
+                fresh.append(np.unique(window, return_counts=True))
+                size += len(fresh[-1][0])
+                if size > HELD_WINDOWS:
+                    held = merged([*([held] if held else []), *fresh])
+                    fresh, size = [], 0
+                    if len(held[0]) > HELD_WINDOWS:
+                        yield batch(*held)
+                        held = None
         if held or fresh:
             yield batch(*merged([*([held] if held else []), *fresh]))
 
@@ -202,52 +220,6 @@ def escaped_windows(counts: DataFrame, unseen: DataFrame, order: int) -> DataFra
     return met.groupBy("of").agg(path.alias("path")).select(F.col("of").alias("w"), F.aggregate("path", start, step, rest).alias("lp"))
 
 
-class ByteModel:
-    """log10 probabilities of order two as one dense table: what ``score`` finds for that order, on one machine."""
-
-    def __init__(self, cell: np.ndarray, n: np.ndarray) -> None:
-        order_0 = np.bincount(cell % SYMBOLS, n, SYMBOLS)
-        order_1 = np.bincount(cell % (SYMBOLS * SYMBOLS), n, SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS)
-        contexts = np.unique(cell // SYMBOLS)
-        self.row = np.full(SYMBOLS * SYMBOLS, -1, np.int32)
-        self.row[contexts] = np.arange(len(contexts))
-        low = self.blend([order_1, np.broadcast_to(order_0, order_1.shape)])
-        self.table = np.zeros((len(contexts) + SYMBOLS, SYMBOLS), np.float32)
-        self.table[len(contexts) :] = np.log10(low)
-        for at in range(0, len(contexts), 2048):
-            part = contexts[at : at + 2048]
-            counts = np.zeros((len(part), SYMBOLS))
-            first, last = np.searchsorted(cell, [part[0] * SYMBOLS, (part[-1] + 1) * SYMBOLS])
-            counts[self.row[cell[first:last] // SYMBOLS] - at, cell[first:last] % SYMBOLS] = n[first:last]
-            self.table[at : at + len(part)] = np.log10(self.blend([counts, order_1[part % SYMBOLS], np.broadcast_to(order_0, counts.shape)]))
-        rest = self.row < 0
-        self.row[rest] = len(contexts) + np.flatnonzero(rest) % SYMBOLS
-
-    @staticmethod
-    def blend(orders: list[np.ndarray]) -> np.ndarray:
-        """Escape method C with exclusion, from the longest context to the shortest."""
-        p = np.zeros(orders[0].shape)
-        left = np.ones((len(p), 1))
-        open_symbols = np.ones(p.shape, bool)
-        for counts in orders:
-            c = np.where(open_symbols, counts, 0)
-            n, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-            spare = (open_symbols & (c == 0)).any(axis=1, keepdims=True)
-            whole = np.where(spare, n + d, n)  # no escape where no symbol is left to escape to
-            p += left * np.divide(c, whole, out=np.zeros_like(p), where=whole > 0)
-            left = left * np.where(n > 0, np.where(spare, d / np.maximum(n + d, 1), 0.0), 1.0)
-            open_symbols &= c == 0
-        unseen = open_symbols.sum(axis=1, keepdims=True)
-        return p + np.where(open_symbols, left / np.maximum(unseen, 1), 0.0)
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        cell = cells(texts)
-        each = self.table[self.row[cell // SYMBOLS], cell % SYMBOLS].astype(float)
-        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        return np.add.reduceat(each, np.cumsum(size) - size)
-
-
 def word_counts(training: DataFrame, text_col: str) -> DataFrame:
     """word (bytes, A-Z lower-cased), n: over all training texts, combined in each task first."""
 
@@ -282,7 +254,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     if not 1 <= order <= MOST_ORDER:
         raise ValueError(f"order must lie between 1 and {MOST_ORDER}")
     spark = docs.sparkSession
-    short_batches(spark)
     held: Column = F.coalesce(bucket(id_col, modulus) == held_remainder, F.lit(False))
     training = docs.where(~held)
     counts = materialize(word_counts(training, text_col), "words")
@@ -309,16 +280,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
             out: list[list] = [[], [], [], [], []]
             far_w, far_m, far_size = [], [], []
             for part in chunks(encoded(b.column(0)), SCORED):
-                size = np.fromiter(map(len, part), np.int64, len(part)) + 1
-                window = cells(part, order)
-                lp, lost = model.look_up(window)
-                out[3] += np.add.reduceat(lp, np.cumsum(size) - size).tolist()
-                distinct, which = np.unique(window[lost], return_inverse=True)
-                each_doc = max(1, len(distinct))
-                code, m = np.unique(np.searchsorted(np.cumsum(size), lost, "right") * each_doc + which, return_counts=True)
-                far_w.append(distinct[code % each_doc])
-                far_m.append(m)
-                far_size.append(np.bincount(code // each_doc, minlength=len(part)))
+                if len(part) == 1:
+                    sums, missed = [], []
+                    for window in stretches(part, order):
+                        lp, lost = model.look_up(window)
+                        sums.append(float(lp.sum()))
+                        missed.append(np.unique(window[lost], return_counts=True))
+                    distinct, m = merged(missed)
+                    out[3].append(sum(sums))
+                    far_w.append(distinct)
+                    far_m.append(m)
+                    far_size.append(np.array([len(distinct)]))
+                else:
+                    size = np.fromiter(map(len, part), np.int64, len(part)) + 1
+                    window = cells(part, order)
+                    lp, lost = model.look_up(window)
+                    out[3] += np.add.reduceat(lp, np.cumsum(size) - size).tolist()
+                    distinct, which = np.unique(window[lost], return_inverse=True)
+                    each_doc = max(1, len(distinct))
+                    code, m = np.unique(np.searchsorted(np.cumsum(size), lost, "right") * each_doc + which, return_counts=True)
+                    far_w.append(distinct[code % each_doc])
+                    far_m.append(m)
+                    far_size.append(np.bincount(code // each_doc, minlength=len(part)))
                 for text in part:
                     found = text.lower().split()
                     each = np.fromiter(map(near.__getitem__, found), float, len(found))
