@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +17,11 @@ from pyspark.sql.types import StructType
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of digits, ASCII letters and anything outside ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of an Arrow batch: whole documents travel to Python, so batches are kept short.
-BATCH_ROWS = 1000
 
 _own_folder: list[str] = []
+#: Paths that materialize has written and nothing has deleted yet.
+_written: list[str] = []
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +42,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/caseloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _path_of[found] = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.remove(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize wrote for df, which nothing reads any more. Other frames are left alone."""
+    if (path := _path_of.pop(df, None)) in _written:
+        _delete(df.sparkSession, path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make() materialised; what was materialised on the way to it is deleted."""
+    before = set(_written)
+    found = materialize(make(), name)
+    for path in [p for p in _written if p not in before and p != _path_of[found]]:
+        _delete(found.sparkSession, path)
+    return found
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all that materialize has written in this process; call it when no result is read any more."""
+    for path in [*_written]:
+        _delete(spark, path)
 
 
 def schema_with(df: DataFrame, more: str) -> StructType:
@@ -58,12 +91,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS documents at most, so that a worker's memory is bounded."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. lower() is quicker and the same where all is ASCII."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def large_star(links: DataFrame) -> DataFrame:
@@ -38,5 +38,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state == mark or not state[0]:
             break
         mark = state
-        now = materialize(small_star(large_star(now)), "star")
+        before, now = now, materialize(small_star(large_star(now)), "star")
+        discard(before)
     return now.select(F.col("b").alias("fp"), F.col("a").alias("label")).unionAll(now.select(F.col("a").alias("fp"), F.col("a").alias("label")).distinct())
