@@ -46,7 +46,7 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not word else sum(p[x] * total(word[len(x) :]) for x in pieces if word.startswith(x))
 
     s = langid.Segmenter(pieces)
-    found = np.exp(s.log_probability(["▁aba", "▁b", "▁abab"], s.by_node(np.array(list(p.values()))[:, None])))
+    found = np.exp(s.log_probability(["▁aba", "▁b", "▁abab"], np.array(list(p.values()))[:, None]))
     assert found[:, 0] == pytest.approx([total("▁aba"), total("▁b"), total("▁abab")])
     uses = s.expected(["▁aba"], np.array([2.0]), np.array(list(p.values()))[:, None])
     ways = {("▁", "a", "b", "a"), ("▁", "ab", "a"), ("▁", "a", "ba"), ("▁a", "b", "a"), ("▁a", "ba")}
@@ -57,10 +57,75 @@ def test_forward_sums_all_segmentations():
 
 def test_edges_are_found_by_search_where_no_table_fits():
     s = langid.Segmenter(["a", "ab", "b", "é"])
-    table = s.by_node(np.full((4, 1), 0.25))
-    dense = s.log_probability(["abé", "aqb"], table)
+    probability = np.full((4, 1), 0.25)
+    dense = s.log_probability(["abé", "aqb"], probability)
     s.dense = None
-    assert s.log_probability(["abé", "aqb"], table) == pytest.approx(dense)
+    assert s.log_probability(["abé", "aqb"], probability) == pytest.approx(dense)
+
+
+def forward_log(word, p):
+    """Log of the sum over all segmentations, letter by letter, as fractions."""
+    from fractions import Fraction
+
+    total = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        here = Fraction(0)
+        for start in range(max(0, end - 16), end):
+            piece = word[start:end]
+            q = p.get(piece, 0.0)
+            here += total[start] * Fraction(max(q, 1e-7) if len(piece) == 1 else q)
+        total.append(here)
+    return math.log(total[-1].numerator) - math.log(total[-1].denominator)
+
+
+def test_words_of_any_length_keep_their_probability():
+    pieces = sorted(["▁", "a", "b", "ab", "ba", "aba", "bbbbbbbb"])
+    probability = np.random.default_rng(2).dirichlet(np.ones(len(pieces)), 2).T
+    words = ["▁" + "ab" * 40, "▁" + "q" * 100, "▁" + "b" * 301, "▁a", "▁é" + "ba" * 17]
+    s = langid.Segmenter(pieces)
+    found = s.log_probability(words, probability)
+    for k in range(2):
+        p = dict(zip(pieces, probability[:, k].tolist(), strict=True))
+        assert found[:, k] == pytest.approx([forward_log(w, p) for w in words])
+        uses = s.expected(words, np.ones(len(words)), probability[:, [k]])
+        step = 1e-6
+        for x, node in zip(pieces, s.node_of, strict=True):
+            more = p | {x: p[x] * (1 + step)}
+            slope = sum(forward_log(w, more) - forward_log(w, p) for w in words) / step
+            assert uses[node] == pytest.approx(slope, abs=1e-3)
+
+
+def test_languages_equal_brute_force(spark):
+    """Training and prediction, document by document, with dicts."""
+    pieces = sorted(["▁", *"abcdeilnorstu", "▁the", "▁le", "er", "en", "▁de", "tion", "ou", "in", "st"])
+    rng = random.Random(8)
+    pool = {"en": "the cat sat in the stone inn the notion", "fr": "le tour de la cour est une notion le rire", "de": "der bär ist in der stube und en"}
+    docs = [(i, " ".join(rng.choices(pool[lang].split(), k=6)), lang) for i in range(60) for lang in [rng.choice(sorted(pool))]]
+    odd = [(100, None, "en"), (101, "12 !", "fr"), (102, "the " + "tour" * 20, None), (103, "", None), (None, "The NOTION", None)]
+    df = spark.createDataFrame([*docs, *odd], "doc_id long, text string, lang string")
+    keep = lambda i: i is None or crc32(str(i).encode()) % 4 != 2
+    model = langid.train(df, pieces, keep=F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(True)))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model).collect()}
+
+    letters = lambda t: ["▁" + w for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    training = [(t, lang) for i, t, lang in [*docs, *odd] if lang and t is not None and keep(i)]
+    size = Counter(lang for _, lang in training)
+    p = {lang: {x: 1 / len(pieces) for x in pieces} for lang in size}
+    for _ in range(3):
+        for lang in size:
+            words, q = Counter(w for t, g in training if g == lang for w in letters(t)), p[lang]
+            base = {w: forward_log(w, q) for w in words}
+            step = 1e-6
+            uses = {x: sum(n * (forward_log(w, q | {x: q[x] * (1 + step)}) - base[w]) / step for w, n in words.items() if x in w) + 0.01 for x in pieces}
+            p[lang] = {x: u / sum(uses.values()) for x, u in uses.items()}
+    for i, t, _ in [*docs, *odd]:
+        if not letters(t):
+            assert got[i] == ("und", 0.0)
+            continue
+        total = {lang: math.log(size[lang] / len(training)) + sum(forward_log(w, p[lang]) for w in letters(t)) for lang in size}
+        best = max(sorted(total), key=total.get)
+        assert got[i][0] == best
+        assert got[i][1] == pytest.approx(1 / sum(math.exp(x - total[best]) for x in total.values()), abs=1e-3)
 
 
 def test_language_of_held_out_texts(real_docs):
@@ -287,16 +352,16 @@ def test_position_sets_cover():
     assert len(chosen) < 30
 
 
-@pytest.mark.parametrize("list_limit", [2000, 2])
-def test_near_duplicates(docs, list_limit):
+@pytest.mark.parametrize("posting", [2048, 2])
+def test_near_duplicates(docs, posting):
     if docs.count() > 100:
         docs = docs.where("doc_id < 400")
-    found = simhash.near_duplicates(docs, list_limit=list_limit)
+    found = simhash.near_duplicates(docs, posting=posting)
     assert rows(found, "doc_id", "fingerprint", "component_id") == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("list_limit", [2000, 3])
-def test_links_span_the_components(spark, list_limit):
+@pytest.mark.parametrize("posting", [2048, 3])
+def test_links_span_the_components(spark, posting):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63 - 1, 6)
     fps = {0, -1}
@@ -307,7 +372,7 @@ def test_links_span_the_components(spark, list_limit):
                 x ^= 1 << bit if bit < 63 else -(1 << 63)
             fps.add(x)
     fps = sorted(fps)
-    link = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), list_limit)
+    link = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), posting)
     found = {tuple(r) for r in link.collect()}
     near = [(a, b) for k, a in enumerate(fps) for b in fps[:k] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3]
     want, got = components(fps, near), components(fps, found)
@@ -485,10 +550,13 @@ def test_lm_scores(docs):
             assert g[6] == pytest.approx(e[6], rel=1e-4)
 
 
-def test_symbol_probabilities_sum_to_one():
-    cell = np.unique(ppm.cells([b"abracadabra", b"", b"banana"]), return_counts=True)
-    model = ppm.ByteModel(*cell)
-    assert (10.0 ** model.table.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(model.table)), abs=1e-4)
+@pytest.mark.parametrize("most", [1, 3, 7, 100])
+def test_stretches_of_a_text_hold_its_windows(most):
+    text = bytes(range(60)) + b"abracadabra"
+    found = np.concatenate(list(ppm.stretches([text], 5, most)))
+    assert found.tolist() == ppm.cells([text], 5).tolist()
+    assert [len(p) for p in ppm.chunks(iter([b"a", b"bcd", b"e", b"f", b"ghi"]), 4, 3)] == [2, 3]
+    assert [len(p) for p in ppm.chunks(iter([b"a", b"bcdefg", b"e"]), 4, 3)] == [1, 1, 1]
 
 
 def long_probability(train, text, order):
@@ -678,7 +746,7 @@ def test_language_of_a_batch_does_not_depend_on_its_cuts(real_docs):
     model = langid.train(real_docs, langid.vocabulary(model_path()))
     texts = [r["text"] for r in real_docs.select("text").limit(12).collect()] + [None, "", "12", "a"]
     segmenter = langid.Segmenter(model.pieces)
-    make = lambda: langid.WordScores(segmenter, segmenter.by_node(model.probability))
+    make = lambda: langid.WordScores(segmenter, model.probability)
     whole = langid.classify(texts, model, make())
     for most in (1, 300):
         again = langid.classify(texts, model, make(), most)
@@ -699,7 +767,7 @@ def test_large_ids_beside_nulls_stay_exact(spark):
         langid.predict(docs, model),
         tokencount.count_tokens(docs, model_path()),
         simhash.near_duplicates(docs),
-        simhash.keep_one(docs, list_limit=2),
+        simhash.keep_one(docs, posting=2),
         ppm.score(docs),
         urlfilter.judge(docs, "doc_id", "text"),
     ]
