@@ -6,7 +6,10 @@
 4. secret scans: each secret is replaced by a mask, and n_chars follows the text.
 5. mixing: sources are brought to equal weight, and copies shuffled globally.
 
-All but the last return the columns of documents. An empty table passes through as an empty one.
+All but the last return the columns of documents. An empty table passes through as an empty one. Null texts count as
+texts without a letter and go in the first stage; of repeated rows one stays in the second. Further columns, whatever
+their names, travel along, but for those named as results of the last stage. Once a stage is written, what it read and
+gathered on the way is deleted; the last stage's own input stays until ``discard_all`` or the folder's owner deletes it.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import decontam, langid, mixing, secrets, simhash
-from caseloom.llm.common import materialize
+from caseloom.llm.common import discard, settled
 from caseloom.llm.queries import language_model, table
 
 
@@ -49,12 +52,13 @@ STAGES = [
     ("source_mixing", source_mixing),
 ]
 
-#: Trained models and fingerprints are beyond SQL: tests hold the stages against brute force.
+#: Trained models and fingerprints are beyond SQL: tests hold each stage, and run, against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
