@@ -111,8 +111,8 @@ class Segmenter:
         table = self.by_node(probability)
         return np.where(self.single[:, None], np.maximum(table, UNSEEN), table), table
 
-    def forward(self, nodes: list[np.ndarray], tables: tuple[np.ndarray, np.ndarray], back: bool = False) -> list[np.ndarray]:
-        """Log sums over all segmentations of the first 0, 1, .. letters; with back, of the last 0, 1, .. letters."""
+    def forward(self, nodes: list[np.ndarray], tables: tuple[np.ndarray, np.ndarray], back: bool = False, whole: bool = False) -> np.ndarray:
+        """Log sums over all segmentations of the first 0, 1, .. letters (with back, of the last), or with whole of all letters alone."""
         m, n = nodes[0].shape
         recent = [np.ones((m, tables[0].shape[1]))]
         shift = np.zeros(recent[0].shape)
@@ -123,11 +123,12 @@ class Segmenter:
                 at = nodes[k][:, n - done if back else done - k - 1]
                 total += recent[-1 - k] * tables[k > 0][at]
             recent = [*recent[1 - len(nodes) :], total] if len(nodes) > 1 else [total]
-            found.append(np.log(total) + shift)
+            if not whole:
+                found.append(np.log(total) + shift)
             if done % RESCALED == 0:
                 recent = [r / total for r in recent]
-                shift = found[-1]
-        return found
+                shift = np.log(total) + shift
+        return np.log(recent[-1]) + shift if whole else np.stack(found)
 
     def expected(self, words: list[str], count: np.ndarray, probability: np.ndarray) -> np.ndarray:
         """Expected uses of each node in these words under one language's probabilities (one column)."""
@@ -136,20 +137,19 @@ class Segmenter:
         logs = [np.log(np.maximum(t[:, 0], 1e-300)) for t in tables]
         for same in by_length(words):
             nodes = self.nodes([words[i] for i in same])
-            before, behind = ([x[:, 0] for x in self.forward(nodes, tables, back)] for back in (False, True))
-            n = len(before) - 1
-            for k in range(len(nodes)):
-                for start in range(n - k):
-                    at = nodes[k][:, start]
-                    p = np.exp(before[start] + logs[k > 0][at] + behind[n - start - k - 1] - before[n])
-                    uses += np.bincount(at, p * count[same] * (tables[k > 0][at, 0] > 0), self.n_nodes)
+            before, behind = (self.forward(nodes, tables, back)[:, :, 0].T for back in (False, True))
+            n = before.shape[1] - 1
+            for k, at in enumerate(nodes):
+                p = np.exp(before[:, : n - k] + logs[k > 0][at] + behind[:, : n - k][:, ::-1] - before[:, n:])
+                weight = p * count[same][:, None] * (tables[k > 0][:, 0][at] > 0)
+                uses += np.bincount(at.ravel(), weight.ravel(), self.n_nodes)
         return uses
 
     def log_probability(self, words: list[str], probability: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), probability.shape[1]))
         tables = self.steps(probability)
         for same in by_length(words):
-            out[same] = self.forward(self.nodes([words[i] for i in same]), tables)[-1]
+            out[same] = self.forward(self.nodes([words[i] for i in same]), tables, whole=True)
         return out
 
 
