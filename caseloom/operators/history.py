@@ -30,9 +30,11 @@ def _plain(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def distinct_with_null(c: Column, here: Column) -> Column:
-    """Null counts as one value."""
-    return F.count_distinct(F.when(here, c)) + F.coalesce(F.max((here & c.isNull()).cast("int")), F.lit(0))
+def distinct_with_null(c: Column, here: Column, large_cases: bool = False) -> Column:
+    """Null counts as one value. A set holds a case's distinct values; for large cases Spark counts them, at a copy of each row a column."""
+    value = F.when(here, c)
+    known = F.count_distinct(value) if large_cases else F.size(F.collect_set(value)).cast("long")
+    return known + F.coalesce(F.max((here & c.isNull()).cast("int")), F.lit(0))
 
 
 def numeric_aggregates(c: Column, here: Column) -> dict[str, Column]:
@@ -53,8 +55,8 @@ def date_aggregates(c: Column, here: Column, windows: Sequence[int]) -> dict[str
     return out | {f"count_last_{w}d": F.count_if(here & c.between(-w, 0)) for w in windows}
 
 
-def categorical_aggregates(c: Column, here: Column) -> dict[str, Column]:
-    known, kinds = F.count(F.when(here, c)), distinct_with_null(c, here)
+def categorical_aggregates(c: Column, here: Column, large_cases: bool = False) -> dict[str, Column]:
+    known, kinds = F.count(F.when(here, c)), distinct_with_null(c, here, large_cases)
     return {"non_null_count": known, "n_unique": kinds, "diversity_ratio": safe_ratio(kinds, known).cast("float")}
 
 
@@ -70,6 +72,7 @@ def aggregate_history(
     key: str = "case_id",
     ties: Sequence[str] | None = None,
     ends: bool = True,
+    large_cases: bool = False,
 ) -> DataFrame:
     """One row a case. dates hold days from the decision. ties order rows of equal group numbers: by default the order
     in which rows are stored, where the scan kept it as row_ordinal. ends False leaves out first and last values, and with them a sort.
@@ -93,10 +96,10 @@ def aggregate_history(
         name = lambda column, op: feature_name(family, depth, column, op, group)  # noqa: B023, E731
         for g in order_columns(frame.columns, depth):
             found[name(g, "max")] = F.max(F.when(here, F.col(g)))
-            found[name(g, "n_unique")] = distinct_with_null(F.col(g), here)
+            found[name(g, "n_unique")] = distinct_with_null(F.col(g), here, large_cases)
         found[name("row_missing_fraction", "mean")] = F.avg(F.when(here, share)).cast("float")
         found[name("row_missing_fraction", "max")] = F.max(F.when(here, share)).cast("float")
-        for columns, make in ((numeric, numeric_aggregates), (dates, lambda c, h: date_aggregates(c, h, windows)), (categorical, categorical_aggregates)):
+        for columns, make in ((numeric, numeric_aggregates), (dates, lambda c, h: date_aggregates(c, h, windows)), (categorical, lambda c, h: categorical_aggregates(c, h, large_cases))):
             for c in columns:
                 found |= {name(c, op): x for op, x in make(F.col(c), here).items()}
         any_row = F.count_if(here)

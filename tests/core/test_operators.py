@@ -103,10 +103,19 @@ def test_chunks_and_partitions_do_not_change_results(cases, monkeypatch):
     make = lambda df: sorted(map(str, (r.asDict() for r in history.aggregate_history(df, "h", 1, ["amountA"], ["kindM"], ["eventD"], subgroups=("all", "applicant", "related")).collect())))
     whole = make(cases)
     assert make(cases.repartition(7)) == whole
+    large = history.aggregate_history(cases, "h", 1, ["amountA"], ["kindM"], ["eventD"], subgroups=("all", "applicant", "related"), large_cases=True)
+    assert sorted(map(str, (r.asDict() for r in large.collect()))) == whole
     monkeypatch.setattr(history, "CHUNK", 5)
     assert make(cases) == whole
 
 
+def test_no_row_is_multiplied(cases):
+    plan = history.aggregate_history(cases, "h", 1, ["amountA"], ["kindM"], ["eventD"], subgroups=("all", "applicant", "related"))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    screen = encode.structural_screen(cases, ["amountA", "kindM", "eventD"])._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in screen
+
+
 def test_subgroups_and_nan(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 1, float("nan")), (1, 2, 4.0), (2, 3, float("nan"))], "case_id long, num_group1 long, xA double")
     found = {r["case_id"]: r for r in history.aggregate_history(df, "p", 1, ["xA"], subgroups=("all", "applicant", "related")).collect()}
