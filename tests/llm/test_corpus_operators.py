@@ -344,6 +344,17 @@ def brute(data):
     return sorted(((i, f"{f:016x}", least.get(of[f])) for i, f in fps), key=repr)
 
 
+def test_short_postings_give_the_same_duplicates(odd_docs):
+    found = simhash.near_duplicates(odd_docs, posting=2)
+    assert rows(found, "doc_id", "fingerprint", "component_id") == brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
+
+
+def test_parts_of_open_bits():
+    for open_bits in ((1 << 64) - 1, 0xFFFFFFFF, 0xF0F0, 0b1011011):
+        found = simhash.parts(open_bits)
+        assert len(found) == 4 and sum(found) == open_bits and all(a & b == 0 for k, a in enumerate(found) for b in found[:k])
+
+
 def test_position_sets_cover():
     from itertools import combinations
 
@@ -352,11 +363,8 @@ def test_position_sets_cover():
     assert len(chosen) < 30
 
 
-@pytest.mark.parametrize("posting", [2048, 2])
-def test_near_duplicates(docs, posting):
-    if docs.count() > 100:
-        docs = docs.where("doc_id < 400")
-    found = simhash.near_duplicates(docs, posting=posting)
+def test_near_duplicates(docs):
+    found = simhash.near_duplicates(docs)
     assert rows(found, "doc_id", "fingerprint", "component_id") == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
