@@ -17,14 +17,23 @@ def decision_date(c: Column, kind: T.DataType) -> Column:
     return F.try_to_date(c, "yyyy-MM-dd") if isinstance(kind, T.StringType) else c.try_cast("date")
 
 
+# Forms of dates in text, years first or days first, as history columns may hold them.
+DATE_FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd.MM.yyyy")
+
+
+def text_date(c: Column) -> Column:
+    """The day that a text names in one of DATE_FORMS; null otherwise."""
+    return F.coalesce(*[F.try_to_date(c, form) for form in DATE_FORMS])
+
+
 def relative_days(c: Column, kind: T.DataType, decision: Column) -> Column:
-    """Days from the decision: numbers are days already, ISO text and dates are subtracted, all else is null."""
+    """Days from the decision: numbers are days already, dates and their text are subtracted, all else is null."""
     if isinstance(kind, T.NumericType):
         return c.cast("float")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.datediff(c.cast("date"), decision).cast("float")
     if isinstance(kind, T.StringType):
-        return F.datediff(F.try_to_date(c, "yyyy-MM-dd"), decision).cast("float")
+        return F.datediff(text_date(c), decision).cast("float")
     return F.lit(None).cast("float")
 
 

@@ -49,6 +49,27 @@ def score(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
     return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias("prediction"))
 
 
+def score_ensemble(models: dict[str, PipelineModel], weights: dict[str, float], rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Weighted mean of the models' probabilities, in one pass over rows; weights are positive and sum to 1."""
+    if {*models} != {*weights} or any(w <= 0 for w in weights.values()) or abs(sum(weights.values()) - 1) > 1e-12:
+        raise ValueError("each model needs a positive weight, and weights sum to 1")
+    total, scored = F.lit(0.0), rows
+    for name, model in models.items():
+        extra = model.transform(scored.select(*rows.columns, *[c for c in scored.columns if c.startswith("of__")]))
+        scored = extra.withColumn(f"of__{name}", vector_to_array("probability")[1])
+        total += F.col(f"of__{name}") * weights[name]
+    return scored.select(*keep, total.alias("prediction"))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """An existing path is refused."""
+    model.write().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def gain_screen(train: DataFrame, validation: DataFrame, features: list[str], seed: int = 42, rounds: int = 10) -> DataFrame:
     """name, target_gain, drift_gain, score: importance for the target, less that for telling train from validation."""
     guard(train, validation, features)

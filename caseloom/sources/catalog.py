@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.schema import DATE_SUFFIX, by_type, classify, fingerprint, parse_file_name, typed
 
+from .scan import by_schema
+
 
 @dataclass(frozen=True)
 class CatalogEntry:
@@ -66,6 +68,28 @@ def catalog_entry(spark: SparkSession, path: str, size: int = 0) -> CatalogEntry
     return frame_entry(spark.read.parquet(path), path, size)
 
 
+def build_catalog(spark: SparkSession, paths: list[str], key: str = "case_id") -> list[CatalogEntry]:
+    """Entries of many files, profiled together where their schemas are equal: one pass a schema, one row a file on the driver."""
+    found = []
+    for some, df in by_schema(spark, paths):
+        columns = tuple((f.name, f.dataType.simpleString()) for f in df.schema)
+        value = F.col(key) if key in df.columns else F.lit(None)
+        per_key = df.groupBy(F.col("_metadata.file_path").alias("path"), value.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"))
+        known = F.col("k").isNotNull()
+        per_file = per_key.groupBy("path").agg(F.sum("n"), F.max("size"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)), F.count("k"), F.coalesce(F.max(F.when(known, F.col("n"))), F.lit(0)))
+        stored = [tuple(r) for r in per_file.collect()]
+        for path in some:
+            own = [r for r in stored if f"/{path.strip('/')}" in r[0]]  # a path may be a folder of files
+            n, size, nulls = (sum(r[i] for r in own) for i in (1, 2, 3))
+            t = parse_file_name(path.rstrip("/").rpartition("/")[2])
+            kinds, most = (own[0][4], own[0][5]) if len(own) == 1 else (0, 0)
+            if len(own) > 1 and key in df.columns:
+                p = profile(spark.read.parquet(path), key).first()  # a case may be in several files of a folder
+                kinds, most = p["unique_keys"], p["max_rows_per_key"]
+            found.append(CatalogEntry(path, t.split, t.family, t.depth, n, columns, size, nulls if key in df.columns else 0, kinds, most))
+    return sorted(found, key=lambda e: e.file)
+
+
 def summarise(spark: SparkSession, entries: list[CatalogEntry]) -> DataFrame:
     """Per split, family and depth: files, rows, bytes and the distinct schemas."""
     rows = [(e.split, e.family, e.depth, e.rows, e.bytes, e.fingerprint) for e in entries]

@@ -61,13 +61,24 @@ def normalise(shard: DataFrame, kinds: dict[str, str], decisions: DataFrame | No
     return rows.select(*out, ORDINAL)
 
 
+def by_schema(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], DataFrame]]:
+    """Paths of equal schema, and one frame over them all: a plan grows with schemas, not with shards."""
+    alike: dict[str, list[str]] = {}
+    for p in paths:
+        alike.setdefault(read_shard(spark, p).schema.json(), []).append(p)
+    return [(some, spark.read.parquet(*some)) for some in alike.values()]
+
+
 def scan_source(spark: SparkSession, paths: list[str], decisions: DataFrame | None, other_paths: list[str] | None = None, bounds: tuple[int, int] | None = None, check: bool = True) -> tuple[DataFrame, dict[str, str]]:
-    """All shards of a source as one frame, and the meaning of its columns (other_paths: the other split's shards)."""
-    shards = [read_shard(spark, p) for p in paths]
-    kinds = meanings([*shards, *(read_shard(spark, p) for p in other_paths or [])])
+    """All shards of a source as one frame, and the meaning of its columns (other_paths: the other split's shards).
+
+    Rows are stored in the order of their files' paths.
+    """
+    shards = [df for _, df in by_schema(spark, paths)]
+    kinds = meanings([*shards, *(df for _, df in by_schema(spark, other_paths or []))])
     if decisions is not None and check:
         assert_unique(decisions, ["case_id"], "decisions")
-    parts = [normalise(s, kinds, decisions, k, bounds) for k, s in enumerate(shards)]
+    parts = [normalise(s, kinds, decisions, 0, bounds) for s in shards]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), kinds
 
 

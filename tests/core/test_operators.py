@@ -71,6 +71,8 @@ def test_dates(spark):
     assert all(r[0] == r[1] for r in df.select(decision_date(F.col("t"), df.schema["t"].dataType), "d").collect())
     leap = one(df.limit(1).select(*[c.alias(k) for k, c in calendar(F.col("d")).items()]))
     assert leap == {"year": 2020, "month": 2, "day": 29, "weekday": 6, "ordinal_day": 60}
+    forms = spark.createDataFrame([("2020/02/20",), ("20.02.2020",), ("20-02-2020",), ("02-2020",), ("2020-02-30",)], "t string")
+    assert [r[0] for r in forms.select(relative_days(F.col("t"), forms.schema["t"].dataType, F.lit("2020-02-19").cast("date"))).collect()] == [1.0, 1.0, 1.0, None, None]
     days = df.limit(1).select(relative_days(F.lit("2020-02-19"), df.schema["t"].dataType, F.col("d")), relative_days(F.lit(-3), spark.range(1).schema["id"].dataType, F.col("d"))).first()
     assert tuple(days) == (-10.0, -3.0)
 
@@ -150,6 +152,19 @@ def test_drifted_shards(spark, tmp_path):
         scan.normalise(decisions.withColumn("target", F.lit(1)), {}, None)
 
 
+def test_shards_of_equal_schema_are_read_together(spark, tmp_path):
+    for k in range(4):
+        rows = [(k % 2, 7, float(10 * k + i)) for i in range(3)]
+        spark.createDataFrame(rows, "case_id long, num_group1 long, xA double").coalesce(1).write.parquet(f"{tmp_path}/train_h_1_{k}.parquet")
+    paths = [f"{tmp_path}/train_h_1_{k}.parquet" for k in range(4)]
+    found, kinds = scan.scan_source(spark, paths, None)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    ends = {r["case_id"]: (r["h__d1__xA__first"], r["h__d1__xA__last"]) for r in history.aggregate_history(found, "h", 1, ["xA"]).collect()}
+    assert ends == {0: (0.0, 22.0), 1: (10.0, 32.0)}, "equal group numbers keep the order of storage"
+    entries = catalog.build_catalog(spark, paths)
+    assert [(e.rows, e.unique_cases, e.max_rows_per_case, e.null_case_ids) for e in entries] == [(3, 1, 3, 0)] * 4 and all(e.bytes > 0 for e in entries)
+
+
 def test_bounds_reach_the_file(spark, tmp_path):
     spark.range(10).select(F.col("id").alias("case_id"), F.col("id").cast("double").alias("xA")).write.parquet(f"{tmp_path}/t")
     found, _ = scan.scan_source(spark, [f"{tmp_path}/t"], None, bounds=(2, 4))
@@ -449,7 +464,7 @@ def test_pooled_ranks_are_no_single_task(spark):
 # learners
 
 
-def test_learning_guards(spark):
+def test_learning_guards(spark, tmp_path):
     rng = np.random.default_rng(1)
     data = [(k, int(k // 40), int(x > 0), float(x + rng.normal() / 4), None if k % 9 == 0 else 1.0) for k, x in enumerate(rng.normal(size=240))]
     df = spark.createDataFrame(data, "case_id long, WEEK_NUM int, target int, f double, g double")
@@ -460,6 +475,15 @@ def test_learning_guards(spark):
     for model in (learning.fit_logistic(train, ["f", "g"]), learning.fit_trees(train, ["f", "g"], 3, validation=rest)):
         scored = learning.score(model, rest, ["case_id", "target", "WEEK_NUM"]).withColumn("k", F.lit(1))
         assert metrics.auc(scored, ["k"]).first()["auc"] > 0.9
+    both = {"a": learning.fit_logistic(train, ["f", "g"]), "b": learning.fit_trees(train, ["f", "g"], 2)}
+    learning.save(both["b"], f"{tmp_path}/m")
+    again = learning.score(learning.load(f"{tmp_path}/m"), rest, ["case_id"])
+    parts = {n: {r["case_id"]: r["prediction"] for r in learning.score(m, rest, ["case_id"]).collect()} for n, m in both.items()}
+    assert {r["case_id"]: r["prediction"] for r in again.collect()} == parts["b"]
+    mixed = learning.score_ensemble(both, {"a": 0.9, "b": 0.1}, rest, ["case_id"])
+    assert {r["case_id"]: r["prediction"] for r in mixed.collect()} == pytest.approx({k: 0.9 * parts["a"][k] + 0.1 * parts["b"][k] for k in parts["a"]})
+    with pytest.raises(ValueError):
+        learning.score_ensemble(both, {"a": 0.5, "b": 0.4}, rest, ["case_id"])
     assert learning.median_rounds([5, 1, 9]) == 5
     assert learning.without_blocks(["a__d1__x", "b__d2__y"], {"b__d2"}) == ["a__d1__x"]
 
