@@ -12,6 +12,7 @@ from caseloom.functions.columns import calendar, decision_date, null_share, samp
 from caseloom.functions.schema import assert_no_leak, feature_name
 
 from .joins import one_to_one
+from .ranks import below
 
 
 def base_block(base: DataFrame) -> DataFrame:
@@ -69,15 +70,10 @@ def deterministic_sample(frame: DataFrame, n: int, seed: int, key: str = "case_i
 
 
 def case_partitions(base: DataFrame, rows: int, key: str = "case_id") -> DataFrame:
-    """Disjoint ranges of at most rows ids: number, least and greatest id, count.
+    """Disjoint ranges of at most rows ids: number, least and greatest id, count. Null ids are in none.
 
-    Ids are ranked within ranges of the sorted data and shifted by the ranges' sizes, so no task sees all.
+    Ids are ranked within buckets of their order and shifted by the buckets' sizes, so no task sees all.
     """
-    dealt = base.select(key).distinct().repartitionByRange(key).withColumn("_at", F.spark_partition_id())
-    dealt = dealt.persist()
-    sizes = dealt.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_at", (F.sum("_n").over(W.orderBy("_at")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_at").orderBy(key))
-    ranked = dealt.withColumn("_rank", rank).join(F.broadcast(before), "_at")
-    part = F.floor((F.col("_rank") + F.col("_before") - 1) / F.lit(rows)).alias("part")
-    return ranked.groupBy(part).agg(F.min(key).alias("least"), F.max(key).alias("greatest"), F.count(F.lit(1)).alias("n_cases"))
+    ids = base.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_n", F.lit(1))
+    part = F.floor(F.col("below__n") / F.lit(rows)).alias("part")
+    return below(ids, [], key, ["_n"]).groupBy(part).agg(F.min(key).alias("least"), F.max(key).alias("greatest"), F.count(F.lit(1)).alias("n_cases"))

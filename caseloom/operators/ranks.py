@@ -25,7 +25,10 @@ def order_bucket(c: Column) -> Column:
 
 
 def below(rows: DataFrame, groups: list[str], value: str, sums: list[str], descending: bool = False) -> DataFrame:
-    """rows, one a group and value, with below_<s>: the sum of s over the values before, in the given order."""
+    """rows, one a group and value, with below_<s>: the sum of s over the values before, in the given order.
+
+    Rows whose value is null or NaN have no place and are left out.
+    """
     dealt = rows.withColumn("_bucket", order_bucket(F.col(value)))
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
