@@ -36,5 +36,14 @@ m AS (SELECT p.page_id, p.host, p.path, r.h || r.s AS rule, r.v FROM p LEFT JOIN
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN len(list_intersect(string_split_regex(host, '[^a-z0-9]+'), {SPAM_WORDS!r})) > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM m"""
 
 
+LICENSE_BASE = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
+p(phrase, label) AS (VALUES ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit')),
+f AS (SELECT rid, label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(list_slice(w, i + 1, i + len(string_split(phrase, ' '))), ' ') = phrase)) AS k FROM d, p),
+g AS (SELECT rid, count(*) AS n, min(k) AS a, max(k) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (rid)"""
+
+TOKEN_BYTES = "SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op5_exact_topk": OP5, "op7_source_mixing": OP7, "op8_url_filter": OP8}
+    return {"license_base": LICENSE_BASE, "token_bytes": TOKEN_BYTES, "op3_decontamination": OP3, "op5_exact_topk": OP5, "op7_source_mixing": OP7, "op8_url_filter": OP8}

@@ -96,6 +96,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_license_scan returns of the base phrases: the part of it that SQL can express."""
+    return op4_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2_token_counts returns of the texts' sizes: the part of it that SQL can express."""
+    return op2_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_language_id, op2_token_counts, op3_decontamination, op4_license_scan, op5_exact_topk, op6_simhash_near_dedup, op7_source_mixing, op8_url_filter, op9_lm_scoring, op10_secret_scan]
+    found = [license_base, token_bytes, op1_language_id, op2_token_counts, op3_decontamination, op4_license_scan, op5_exact_topk, op6_simhash_near_dedup, op7_source_mixing, op8_url_filter, op9_lm_scoring, op10_secret_scan]
     return {f.__name__: f for f in found}
