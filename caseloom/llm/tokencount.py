@@ -6,7 +6,8 @@ its pre-tokens. Two tiers look them up in each task: a broadcast table of freque
 from a bounded sample of documents, then a cache in the worker; only what neither holds is encoded. The
 sample decides on speed alone, never on a count.
 
-Null text counts as empty: 0 bytes, 0 tokens. Repeated rows count each.
+Null text counts as empty: 0 bytes, 0 tokens. Texts count whole, however long. Repeated rows count each; an empty
+table stays empty. Columns named as results are replaced.
 """
 
 from __future__ import annotations
@@ -69,13 +70,18 @@ def frequent_pretokens(docs: DataFrame, text_col: str, sample_docs: int, size: i
     sample = docs.select(F.col(text_col).alias("text")).sample(fraction=min(1.0, sample_docs / total), seed=7)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counted in each task, and passed on before there are too many to hold."""
         seen: Counter[str] = Counter()
         for b in batches:
             for t in b["text"]:
                 seen.update(x for x in pretokens(t) if len(x) <= CACHED_CHARS and "\x00" not in x)
-        yield pd.DataFrame([x for x, _ in seen.most_common(size)], columns=["token"])
+                if len(seen) > CACHED_PRETOKENS:
+                    yield pd.DataFrame(seen.items(), columns=["token", "n"])
+                    seen.clear()
+        yield pd.DataFrame(seen.items(), columns=["token", "n"])
 
-    return [r[0] for r in sample.repartition(1).mapInPandas(count, "token string").collect()]
+    counted = sample.mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return [r[0] for r in counted.orderBy(F.desc("n"), "token").limit(size).collect()]
 
 
 def count_tokens(
