@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegralType, StringType
 from caseloom.functions.columns import decision_date, sample_hash
 from caseloom.functions.schema import LEAKS
 
+from .blocks import case_partitions
 from .joins import one_to_one
 from .metrics import gini, probability_metrics, reliability_qcut
 
@@ -132,6 +133,31 @@ def inference_frame(base: DataFrame, blocks: Mapping[str, DataFrame], features:
     return one_to_one(ids, chosen, [CASE]).select(CASE, *[f.name for f in features])
 
 
+def score_batches(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequence[Feature], score: Callable[[DataFrame], DataFrame], folder: str, rows: int) -> DataFrame:
+    """score(inference_frame) of a base, in ranges of at most rows cases, each written to a folder of its own below folder.
+
+    Ranges that an earlier run has finished are read, not scored again; the caller names a new folder for new inputs
+    or models. score gives case_id and prediction, of which each case must have one in [0, 1].
+    """
+    if rows < 1:
+        raise ValueError("a batch holds at least one case")
+    spark = base.sparkSession
+    paths = []
+    for batch in case_partitions(base, rows).orderBy("part").collect():  # one row a batch
+        path = f"{folder}/part={batch['part']:06d}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            cases = base.where(F.col(CASE).between(batch["least"], batch["greatest"]))
+            score(inference_frame(cases, blocks, features)).select(CASE, "prediction").write.mode("overwrite").parquet(path)
+        paths.append(path)
+    found = spark.read.parquet(*paths)
+    p = F.col("prediction")
+    n, kinds, bad = found.agg(F.count(F.lit(1)), F.count_distinct(CASE), F.count_if(p.isNull() | F.isnan(p) | (p < 0) | (p > 1))).first()
+    if not n == kinds == base.count() or bad:
+        raise ValueError("predictions do not cover the cases one to one, or lie outside [0, 1]")
+    return found
+
+
 def evaluation_report(rows: DataFrame, weeks: Sequence[int], bins: int = 10) -> DataFrame:
     """(section, key, metric, value): the whole suite, each week, and reliability by quantile bins.
 

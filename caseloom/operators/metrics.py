@@ -54,6 +54,27 @@ def stability(weekly: DataFrame, groups: list[str]) -> DataFrame:
     return out.select(*groups, "weeks", "mean_gini", "slope", F.when(F.col("weeks") > 1, F.col("residual_std")).alias("residual_std"), F.when(F.col("weeks") > 1, score).alias("stability"))
 
 
+def weekly_violations(weekly: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, check, violations of weekly Ginis: missing weeks or values, weeks that repeat, values outside [-1, 1]."""
+    g = F.col("gini")
+    counts = {
+        "missing": F.count_if(F.col("WEEK_NUM").isNull() | g.isNull() | F.isnan(g)),
+        "repeated_weeks": F.count("WEEK_NUM") - F.count_distinct("WEEK_NUM"),
+        "out_of_range": F.count_if(~F.isnan(g) & (F.abs(g) > 1)),
+        "too_few_weeks": F.when(F.count_distinct("WEEK_NUM") < 2, 1).otherwise(0),
+    }
+    one = weekly.groupBy(*groups).agg(*[c.cast("long").alias(k) for k, c in counts.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("violations")) for k in counts]))
+    return one.select(*groups, rows.alias("r")).select(*groups, "r.*")
+
+
+def penalties(weekly: DataFrame, groups: list[str]) -> DataFrame:
+    """stability() with what the trend and the residuals take from the mean: the three parts add up to the score."""
+    found = stability(weekly, groups)
+    trend = SLOPE_PENALTY * F.least(F.lit(0.0), F.col("slope"))
+    return found.withColumn("trend_penalty", F.when(F.col("weeks") > 1, trend)).withColumn("residual_penalty", -RESIDUAL_PENALTY * F.col("residual_std"))
+
+
 def average_precision(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Step-wise area under precision and recall, one threshold a distinct score."""
     ranked = below(by_score(rows, groups), groups, "prediction", ["pos", "neg"], descending=True)

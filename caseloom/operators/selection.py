@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import auc, average_precision, gini, losses, probability_metrics, stability
+from .metrics import auc, average_precision, gini, losses, penalties, probability_metrics, stability
 
 # What candidates are ranked by, in this order, and the leader's percentages in its blends.
 RANKING = ["mean_stability DESC", "worst_stability DESC", "mean_gini DESC", "slope DESC", "residual_std ASC", "brier ASC"]
@@ -113,8 +113,7 @@ def ablation(rows: DataFrame, control: str) -> DataFrame:
 
 def evidence(weekly: DataFrame) -> DataFrame:
     """Per model: the weakest fold and how its score is made up. weekly: model, fold, WEEK_NUM, gini."""
-    folds = stability(weekly, ["model", "fold"])
-    parts = folds.withColumn("trend_penalty", 88.0 * F.least(F.lit(0.0), F.col("slope"))).withColumn("residual_penalty", -0.5 * F.col("residual_std"))
+    parts = penalties(weekly, ["model", "fold"])
     first = W.partitionBy("model").orderBy("stability", "fold")
     return parts.withColumn("k", F.row_number().over(first)).where("k = 1").select("model", "fold", "mean_gini", "trend_penalty", "residual_penalty", "stability")
 

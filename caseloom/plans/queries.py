@@ -269,6 +269,20 @@ def weekly_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return tidy(metrics.weekly_diagnostics(t.predictions(spark, d), ["model"]))
 
 
+@query
+def weekly_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly values with faults: a fifth week that comes again as the sixth, and values too large for a Gini."""
+    weekly = metrics.gini(t.predictions(spark, d), ["model", "WEEK_NUM"])
+    odd = weekly.withColumn("gini", F.expr("CASE WHEN WEEK_NUM % 7 = 0 THEN 1.5 WHEN WEEK_NUM % 11 = 0 THEN NULL ELSE gini END")).withColumn("WEEK_NUM", F.expr("CASE WHEN WEEK_NUM % 10 = 5 THEN WEEK_NUM + 1 ELSE WEEK_NUM END"))
+    return metrics.weekly_violations(odd, ["model"])
+
+
+@query
+def penalty_parts(spark: SparkSession, d: str) -> DataFrame:
+    found = metrics.penalties(metrics.gini(t.predictions(spark, d), ["model", "fold", "WEEK_NUM"]), ["model", "fold"])
+    return tidy(found.select("model", "fold", "weeks", "mean_gini", "trend_penalty", "residual_penalty", "stability"))
+
+
 @query
 def stability_score(spark: SparkSession, d: str) -> DataFrame:
     return tidy(metrics.stability(metrics.gini(t.predictions(spark, d), ["model", "WEEK_NUM"]), ["model"]))

@@ -429,6 +429,23 @@ def test_batches_score_like_the_whole(spark):
         frames.concat_exact([whole, whole.withColumn("xA", F.lit(1))])
 
 
+def test_batches_are_scored_once(spark, tmp_path):
+    base = spark.createDataFrame([(k, "2020-01-01", 0) for k in range(7)], "case_id long, date_decision string, WEEK_NUM int")
+    block = spark.createDataFrame([(k, k / 10) for k in range(7)], "case_id long, xA double")
+    features, calls = frames.index_features({"b": block}), []
+
+    def score(frame):
+        calls.append(1)
+        return frame.select("case_id", F.col("xA").alias("prediction"))
+
+    for _ in range(2):
+        found = frames.score_batches(base, {"b": block}, features, score, f"{tmp_path}/s", 3)
+        assert sorted((r["case_id"], r["prediction"]) for r in found.select("case_id", "prediction").collect()) == [(k, k / 10) for k in range(7)]
+    assert len(calls) == 3
+    with pytest.raises(ValueError, match="outside"):
+        frames.score_batches(base, {"b": block}, features, lambda f: f.select("case_id", (F.col("xA") + 5).alias("prediction")), f"{tmp_path}/t", 9)
+
+
 def test_evaluation_needs_its_weeks(spark):
     rows = spark.createDataFrame([(w, y, p) for w in (1, 2) for y, p in ((0, 0.1), (0, 0.2), (1, 0.8), (1, 0.9))], "WEEK_NUM int, target int, prediction double")
     found = {(r["section"], r["key"], r["metric"]): r["value"] for r in frames.evaluation_report(rows.withColumn("case_id", F.lit(1)), [1, 2]).collect()}
