@@ -45,5 +45,44 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z A
 TOKEN_BYTES = "SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes FROM documents"
 
 
+OP11 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+pos AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS s FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and means, one pair of tables each."""
+    with_tables = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"x AS MATERIALIZED (SELECT vec_id, j, list_slice(e, j * len(e) // {parts} + 1, (j + 1) * len(e) // {parts}) AS x FROM v, (SELECT unnest(range({parts})) AS j))",
+        f"c0 AS MATERIALIZED (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS k, x AS c FROM x QUALIFY row_number() OVER (PARTITION BY j ORDER BY vec_id) <= {entries})",
+    ]
+    for r in range(rounds + 1):
+        away = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        with_tables.append(f"a{r} AS MATERIALIZED (SELECT vec_id, j, x, k, {away} AS away FROM x JOIN c{r} USING (j) QUALIFY row_number() OVER (PARTITION BY vec_id, j ORDER BY {away}, k) = 1)")
+        if r < rounds:
+            mean = f"m{r} AS (SELECT j, k, list(m ORDER BY p) AS m FROM (SELECT j, k, p, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT j, k, unnest(x) AS y, generate_subscripts(x, 1) AS p FROM a{r}) GROUP BY j, k, p) GROUP BY j, k)"
+            with_tables += [mean, f"c{r + 1} AS MATERIALIZED (SELECT j, k, coalesce(m, c) AS c FROM c{r} LEFT JOIN m{r} USING (j, k))"]
+    with_tables += [
+        f"codes AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY j) AS code, CAST(sum(away) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)",
+        f"book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, k)) AS codebooks_sha256 FROM c{rounds})",
+    ]
+    return f"WITH {', '.join(with_tables)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes JOIN v USING (vec_id), book"
+
+
+OP13 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS s FROM documents),
+h AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, list_transform([1, 9, 17, 25], lambda p: CAST('0x' || substr(s, p, 8) AS BIGINT)) AS h FROM d),
+b AS (SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS z,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS prefix, array_to_string(list_slice(u, a + 1, z), '') AS middle, array_to_string(list_slice(u, z + 1, len(u)), '') AS suffix FROM b)
+SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"license_base": LICENSE_BASE, "token_bytes": TOKEN_BYTES, "op3_decontamination": OP3, "op5_exact_topk": OP5, "op7_source_mixing": OP7, "op8_url_filter": OP8}
+    return {"license_base": LICENSE_BASE, "token_bytes": TOKEN_BYTES, "op3_decontamination": OP3, "op5_exact_topk": OP5, "op7_source_mixing": OP7, "op8_url_filter": OP8, "op11_substring_dedup": OP11, "op12_vector_codes": vector_codes(), "op13_fill_in_middle": OP13}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, mixing, ppm, secrets, simhash, tokencount, topk, urlfilter
-from .common import bucket, spread
+from . import decontam, fim, langid, licenses, mixing, ppm, secrets, simhash, substrings, tokencount, topk, urlfilter, vectorcodes
+from .common import bucket, materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +97,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vectorcodes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    coded = materialize(coded.select("vec_id", "code", "error", "label"), "codes")
+    per_label = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    digits = ",".join(str(x) for book in codebooks for entry in book.tolist() for x in entry)
+    digest = F.lit(hashlib.sha256(digits.encode()).hexdigest())
+    return coded.join(per_label, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(documents(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4_license_scan returns of the base phrases: the part of it that SQL can express."""
     return op4_license_scan(spark, sf_dir).drop("labels", "score")
@@ -107,5 +129,5 @@ def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [license_base, token_bytes, op1_language_id, op2_token_counts, op3_decontamination, op4_license_scan, op5_exact_topk, op6_simhash_near_dedup, op7_source_mixing, op8_url_filter, op9_lm_scoring, op10_secret_scan]
+    found = [license_base, token_bytes, op1_language_id, op2_token_counts, op3_decontamination, op4_license_scan, op5_exact_topk, op6_simhash_near_dedup, op7_source_mixing, op8_url_filter, op9_lm_scoring, op10_secret_scan, op11_substring_dedup, op12_vector_codes, op13_fill_in_middle]
     return {f.__name__: f for f in found}
