@@ -45,14 +45,14 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z A
 TOKEN_BYTES = "SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes FROM documents"
 
 
-OP11 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+OP11 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
 late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
-pos AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS s FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+pos AS (SELECT rid, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS s FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY rid),
 lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN lost USING (doc_id)"""
 
 
 def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
