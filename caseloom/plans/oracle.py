@@ -14,6 +14,33 @@ LINES = """lines AS (SELECT l_orderkey AS case_id, CAST(l_linenumber - 1 AS BIGI
   CASE WHEN l_discount <= 0.08 THEN l_discount END AS discountP, nullif(l_returnflag, 'N') AS flagM,
   l_linestatus AS statusL, CAST(l_shipdate AS DATE) AS ship FROM lineitem)"""
 HISTORY = f"{BASE}, {LINES}, h AS (SELECT l.*, CAST(l.ship - b.date_decision AS DOUBLE) AS shippedD FROM lines l JOIN base b USING (case_id))"
+# Columns of the given tables, the key first; of nested ones footers state no nulls.
+COLUMNS = {
+    "benchmark": "item_id text",
+    "conversations": "conv_id turn role text",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id label",
+    "events": "event_id ts user_id event_type value props",
+    "labels": "doc_id quality toxic",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "nation": "n_nationkey n_name n_regionkey",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "pages": "page_id url html",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "region": "r_regionkey r_name",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+}
+NESTED = {"embeddings": 1}
+
+
+def stored_table(name: str) -> str:
+    """What footers know of a table, counted."""
+    columns = COLUMNS[name].split()
+    missing = ", ".join(f"1 - count({c}) / CAST(count(*) AS DOUBLE)" for c in columns)
+    return f"SELECT '{name}' AS source, count(*) AS n_rows, {len(columns) + NESTED.get(name, 0)} AS n_columns, {len(columns)} AS known_null_columns, round(greatest({missing}), 6) AS max_missing, CAST(min({columns[0]}) AS BIGINT) AS least_key, CAST(max({columns[0]}) AS BIGINT) AS greatest_key FROM {name}"
+
+
 FIRST = WEEK_MAX - 39
 FOLD = f"CAST((WEEK_NUM - {FIRST}) // 8 + 1 AS INT)"
 PRED = f"{BASE}, p AS (" + " UNION ALL ".join(
@@ -150,6 +177,7 @@ SELECT *, train_weeks >= 20 AND metric_weeks >= 8 AS eligible FROM a QUALIFY row
 SELECT model, 'missing' AS "check", count(*) FILTER (g IS NULL) AS violations FROM o GROUP BY model UNION ALL SELECT model, 'repeated_weeks', count(*) - count(DISTINCT w) FROM o GROUP BY model UNION ALL SELECT model, 'out_of_range', count(*) FILTER (abs(g) > 1) FROM o GROUP BY model UNION ALL SELECT model, 'too_few_weeks', 0 FROM o GROUP BY model""",
         "penalty_parts": f"""WITH {PRED}, {auc('p', 'model, fold, WEEK_NUM', 'wk')}, {stability('wk', 'model, fold', 'st')} SELECT model, fold, weeks, round(mean_gini, 6) AS mean_gini, round(88 * least(0, slope), 6) AS trend_penalty, round(-0.5 * residual_std, 6) AS residual_penalty, round(stability, 6) AS stability FROM st""",
         "stability_score": f"WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')}, {stability('wk', 'model', 'st')} SELECT model, weeks, round(mean_gini, 6) AS mean_gini, round(slope, 6) AS slope, round(residual_std, 6) AS residual_std, round(stability, 6) AS stability FROM st",
+        "footer_catalog": " UNION ALL ".join(map(stored_table, COLUMNS)),
         "probability_metrics": f"WITH {PRED}, {suite('p', 'model', 'prediction')} SELECT * FROM suite",
         "clipped_metrics": f"WITH {PRED}, pc AS (SELECT * REPLACE (greatest(least(prediction, 1 - 1e-7), 1e-7) AS prediction) FROM p), {suite('pc', 'model', 'greatest(least(prediction, 1 - 1e-7), 1e-7)')} SELECT * FROM suite",
         "average_precision": f"WITH {PRED}, {precision('p', 'model, fold', 'ap')} SELECT model, fold, round(average_precision, 6) AS average_precision FROM ap",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import blocks, encode, frames, history, joins, learning, metrics, selection, temporal
 from caseloom.operators.history import aggregate_history
-from caseloom.sources import catalog
+from caseloom.sources import catalog, footers
 from caseloom.sources.scan import meanings, normalise
 
 from . import tables as t
@@ -397,6 +397,14 @@ def catalog_profile(spark: SparkSession, d: str) -> DataFrame:
     return tidy(catalog.file_profiles(frames, "case_id"))
 
 
+@query
+def footer_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, missing values and key bounds of all stored tables, from their footers alone."""
+    below = F.substring_index(F.substr("path", F.lit(len(footers.qualified(spark, d)) + 2)), "/", 1)
+    found = footers.table_catalog(footers.described(spark, [d]), F.regexp_replace(below, r"\.parquet$", ""))
+    return tidy(found.select("source", "n_rows", "n_columns", "known_null_columns", "max_missing", "least_key", "greatest_key"))
+
+
 def _entries(spark: SparkSession, d: str) -> list[catalog.CatalogEntry]:
     """The base, and line items as two shards, under the names of stored files."""
     rows = t.lines(spark, d).withColumn("line", F.col("num_group1"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from functools import reduce
 from itertools import groupby
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.schema import DATE_SUFFIX, by_type, classify, fingerprint, parse_file_name, typed
 
-from .scan import by_schema
+from .footers import Opener, described, max_missing, open_file, qualified, stored_path
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,9 @@ class CatalogEntry:
     null_case_ids: int = 0
     unique_cases: int = 0
     max_rows_per_case: int = 0
+    #: Of stored files: from their footers; unknown for frames, and missing values for folders of several files.
+    row_groups: int | None = None
+    max_missing: float | None = None
 
     @property
     def fingerprint(self) -> str:
@@ -68,26 +73,71 @@ def catalog_entry(spark: SparkSession, path: str, size: int = 0) -> CatalogEntry
     return frame_entry(spark.read.parquet(path), path, size)
 
 
-def build_catalog(spark: SparkSession, paths: list[str], key: str = "case_id") -> list[CatalogEntry]:
-    """Entries of many files, profiled together where their schemas are equal: one pass a schema, one row a file on the driver."""
-    found = []
-    for some, df in by_schema(spark, paths):
-        columns = tuple((f.name, f.dataType.simpleString()) for f in df.schema)
-        value = F.col(key) if key in df.columns else F.lit(None)
-        per_key = df.groupBy(F.col("_metadata.file_path").alias("path"), value.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"))
-        known = F.col("k").isNotNull()
-        per_file = per_key.groupBy("path").agg(F.sum("n"), F.max("size"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)), F.count("k"), F.coalesce(F.max(F.when(known, F.col("n"))), F.lit(0)))
-        stored = [tuple(r) for r in per_file.collect()]
-        for path in some:
-            own = [r for r in stored if f"/{path.strip('/')}" in r[0]]  # a path may be a folder of files
-            n, size, nulls = (sum(r[i] for r in own) for i in (1, 2, 3))
-            t = parse_file_name(path.rstrip("/").rpartition("/")[2])
-            kinds, most = (own[0][4], own[0][5]) if len(own) == 1 else (0, 0)
-            if len(own) > 1 and key in df.columns:
-                p = profile(spark.read.parquet(path), key).first()  # a case may be in several files of a folder
-                kinds, most = p["unique_keys"], p["max_rows_per_key"]
-            found.append(CatalogEntry(path, t.split, t.family, t.depth, n, columns, size, nulls if key in df.columns else 0, kinds, most))
-    return sorted(found, key=lambda e: e.file)
+def build_catalog(spark: SparkSession, paths: list[str], key: str = "case_id", opener: Opener = open_file) -> list[CatalogEntry]:
+    """Entries of many files, or folders of files: sizes, columns and missing values from footers, keys by a scan of the key alone.
+
+    One row a file reaches the driver. A scan that does not count the rows that the footers state is refused.
+    """
+    found = [r.asDict() for r in described(spark, paths, opener).select("path", "bytes", "rows", "row_groups", "schema_sha256", max_missing().alias("max_missing"), F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["kind"].alias("kind"))).alias("columns")).collect()]
+    given = {plain(qualified(spark, p)): p for p in paths}
+    for r in found:
+        r["source"] = next((given[x] for x in _upwards(r["path"]) if x in given), None)
+    if odd := sorted(r["path"] for r in found if r["source"] is None):
+        raise ValueError(f"listed below no given path: {odd[0]}")
+    if empty := sorted({*paths} - {r["source"] for r in found}):
+        raise ValueError(f"no files below {empty[0]}")
+    profiles = _key_profiles(spark, found, key)
+    entries = []
+    for path in paths:
+        own = [r for r in found if r["source"] == path]
+        t = parse_file_name(path.rstrip("/").rpartition("/")[2])
+        columns = tuple((c["name"], c["kind"]) for c in own[0]["columns"])
+        n, size = (sum(r[k] for r in own) for k in ("rows", "bytes"))
+        nulls, kinds, most, counted = profiles.get(path, (0, 0, 0, 0))
+        if counted != n and key in dict(columns):
+            raise ValueError(f"{path}: the scan counts {counted} rows, the footers {n}")
+        groups = None if any(r["row_groups"] is None for r in own) else sum(r["row_groups"] for r in own)
+        missing = max((r["max_missing"] for r in own if r["max_missing"] is not None), default=None) if len(own) == 1 else None
+        entries.append(CatalogEntry(path, t.split, t.family, t.depth, n, columns, size, nulls, kinds, most, groups, missing))
+    return sorted(entries, key=lambda e: e.file)
+
+
+def plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
+
+
+def _upwards(path: str) -> Iterator[str]:
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+
+
+def _key_profiles(spark: SparkSession, found: list[dict], key: str) -> dict[str, tuple[int, int, int, int]]:
+    """Null keys, distinct keys, most rows a key, and rows, of each source, from the key column of its files alone."""
+    of = spark.createDataFrame([(r["path"], r["source"]) for r in found], "path string, source string")
+    parts = []
+    for kind, files in _by(found, lambda r: next((c["kind"] for c in r["columns"] if c["name"] == key), None)).items():
+        if kind is not None:  # keys of equal type are read together
+            rows = spark.read.schema(f"`{key}` {kind}").parquet(*[r["path"] for r in files])
+            per_file = rows.groupBy(stored_path().alias("path"), F.col(f"`{key}`").cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(per_file)
+    if not parts:
+        return {}
+    met = reduce(DataFrame.unionAll, parts).join(of, "path", "left")
+    per_key = met.groupBy("source", "k").agg(F.sum("n").alias("n"))
+    known = F.col("k").isNotNull()
+    per_source = per_key.groupBy("source").agg(F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)), F.count("k"), F.coalesce(F.max(F.when(known, F.col("n"))), F.lit(0)), F.sum("n"))
+    stored = {r[0]: tuple(r)[1:] for r in per_source.collect()}  # one row a source
+    if None in stored:
+        raise ValueError(f"{stored[None][3]} rows come from files that were not listed")
+    return stored
+
+
+def _by(rows: list[dict], key: Callable[[dict], object]) -> dict:
+    grouped: dict = {}
+    for r in rows:
+        grouped.setdefault(key(r), []).append(r)
+    return grouped
 
 
 def summarise(spark: SparkSession, entries: list[CatalogEntry]) -> DataFrame:
@@ -184,8 +234,9 @@ def contract_frame(spark: SparkSession, entries: list[CatalogEntry], may_be_empt
 
 
 def entries_frame(spark: SparkSession, entries: list[CatalogEntry]) -> DataFrame:
-    rows = [{k: v for k, v in asdict(e).items() if k != "columns"} | {"n_columns": len(e.columns)} for e in entries]
-    return spark.createDataFrame(rows)
+    names = "file string, split string, family string, depth int, rows long, bytes long, null_case_ids long, unique_cases long, max_rows_per_case long, row_groups int, max_missing double"
+    rows = [(*(v for k, v in asdict(e).items() if k != "columns"), len(e.columns)) for e in entries]
+    return spark.createDataFrame(rows, f"{names}, n_columns int")
 
 
 def file_profiles(frames: dict[str, DataFrame], key: str) -> DataFrame:

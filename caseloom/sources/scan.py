@@ -12,6 +12,8 @@ from caseloom.functions.schema import assert_no_leak, classify, resolve
 from caseloom.operators.history import ORDINAL
 from caseloom.operators.joins import assert_unique
 
+from .footers import described
+
 KEYS = ("case_id", "num_group1", "num_group2")
 
 
@@ -62,11 +64,15 @@ def normalise(shard: DataFrame, kinds: dict[str, str], decisions: DataFrame | No
 
 
 def by_schema(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], DataFrame]]:
-    """Paths of equal schema, and one frame over them all: a plan grows with schemas, not with shards."""
-    alike: dict[str, list[str]] = {}
-    for p in paths:
-        alike.setdefault(read_shard(spark, p).schema.json(), []).append(p)
-    return [(some, spark.read.parquet(*some)) for some in alike.values()]
+    """Files of equal schema below the paths, and one frame over them all: a plan grows with schemas, not with shards.
+
+    Schemas come from footers, read in tasks; one footer a schema is read on the driver.
+    """
+    if not paths:
+        return []
+    alike = described(spark, paths).groupBy("schema_sha256").agg(F.array_sort(F.collect_list("path")).alias("files")).orderBy(F.col("files")[0])
+    groups = [r["files"] for r in alike.collect()]  # one name a file
+    return [(files, spark.read.schema(read_shard(spark, files[0]).schema).parquet(*files)) for files in groups]
 
 
 def scan_source(spark: SparkSession, paths: list[str], decisions: DataFrame | None, other_paths: list[str] | None = None, bounds: tuple[int, int] | None = None, check: bool = True) -> tuple[DataFrame, dict[str, str]]:
