@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, materialize, schema_with
+from .common import beside, discard, materialize, schema_with
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Odd multipliers of the rolling hashes, with good bits.
@@ -127,26 +127,29 @@ def place() -> Column:
     return F.struct("id", "k", "start")
 
 
-def with_first(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
-    """rows whose key is in several of them, with the least place of that key."""
-    first = rows.groupBy(*by).agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times"), *more)
-    return rows.join(first.where("times > 1").drop("times"), by)
-
-
 def repeats(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """id, k, start, n, first: blocks and single windows that have an earlier place. docs: id, k, text."""
+    """id, k, start, n, first: blocks and single windows that have an earlier place. docs: id, k, text.
+
+    What is looked up is written first, so that each join has a plain shuffle on both sides, whose hot keys Spark splits.
+    """
     found = materialize(blocks(docs, window, gram), "blocks")
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("words").alias("a"), F.max("words").alias("b"))
-    shared = found.join(grams.where("times > 1").select("gram", (F.col("a") != F.col("b")).alias("several")), "gram")
-    shared = materialize(shared, "shared")
-    whole = with_first(shared, ["gram", "words"]).where(place() != F.col("first")).select("id", "k", "start", "n", "first")
+    grams = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram"), "grams")
+    shared = materialize(found.join(grams, "gram"), "shared")
+    discard(found)
+    discard(grams)
+    least = [F.min(place()).alias("first"), F.count(F.lit(1)).alias("times")]
+    firsts = materialize(shared.groupBy("gram", "words").agg(*least, F.min("n").alias("windows")), "firsts")
+    again = firsts.where("times > 1").select("gram", "words", "first")
+    whole = shared.join(again, ["gram", "words"]).where(place() != F.col("first")).select("id", "k", "start", "n", "first")
     # Blocks that no equal one precedes, under grams of several blocks: their windows are looked up.
-    own = F.min(F.struct("id", "k", "start", "n")).alias("own")
-    alone = shared.where("several").groupBy("gram", "words").agg(own).select("own.*")
-    wanted = alone.groupBy("id", "k").agg(F.collect_list(F.struct("start", "n")).alias("blocks"))
-    texts = docs.join(wanted.select(F.col("id").alias("b_id"), F.col("k").alias("b_k"), "blocks"), (F.col("k") == F.col("b_k")) & F.col("id").eqNullSafe(F.col("b_id")))
-    single = with_first(materialize(windows(texts, window), "windows"), ["w_a", "w_b"]).where(place() != F.col("first"))
-    return whole.unionAll(single.select("id", "k", "start", F.lit(1).alias("n"), "first"))
+    several = materialize(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram"), "several")
+    alone = firsts.join(several, "gram").select("first.*", F.col("windows").alias("n"))
+    wanted = alone.groupBy(F.col("id").alias("b_id"), F.col("k").alias("b_k")).agg(F.collect_list(F.struct("start", "n")).alias("blocks"))
+    texts = docs.join(wanted, (F.col("k") == F.col("b_k")) & F.col("id").eqNullSafe(F.col("b_id")))
+    single = materialize(windows(texts, window), "windows")
+    twice = materialize(single.groupBy("w_a", "w_b").agg(*least).where("times > 1").drop("times"), "twice")
+    late = single.join(twice, ["w_a", "w_b"]).where(place() != F.col("first"))
+    return whole.unionAll(late.select("id", "k", "start", F.lit(1).alias("n"), "first"))
 
 
 def parse(found: list[tuple[int, int, object, int]], window: int) -> list[tuple[int, int, object, int]]:
