@@ -41,6 +41,22 @@ def stored_table(name: str) -> str:
     return f"SELECT '{name}' AS source, count(*) AS n_rows, {len(columns) + NESTED.get(name, 0)} AS n_columns, {len(columns)} AS known_null_columns, round(greatest({missing}), 6) AS max_missing, CAST(min({columns[0]}) AS BIGINT) AS least_key, CAST(max({columns[0]}) AS BIGINT) AS greatest_key FROM {name}"
 
 
+def first_cut(name: str, source: str, features: list[str], bins: int = 32) -> str:
+    """CTEs that end in one of (name, gain): the best cut of all rows of source by each feature, missing values on either side."""
+    long = " UNION ALL ".join(f"SELECT '{f}' AS name, CAST({f} AS DOUBLE) AS x, CAST(target AS DOUBLE) AS y FROM {source}" for f in features)
+    shares = ", ".join(str(k / bins) for k in range(1, bins))
+    side = lambda g, h: f"power({g} / 1073741824.0, 2) / ({h} / 1073741824.0 + 1)"
+    return f"""{name}_l AS MATERIALIZED ({long}),
+{name}_e AS (SELECT name, list_distinct(quantile_cont(x, [{shares}])) AS e FROM {name}_l WHERE x IS NOT NULL GROUP BY name),
+{name}_p AS (SELECT avg(CAST(target AS DOUBLE)) AS p FROM {source}),
+{name}_b AS (SELECT name, CASE WHEN x IS NULL THEN -1 ELSE len(list_filter(e, lambda c: c < x)) END AS b, CAST(round((p - y) * 1073741824) AS BIGINT) AS g, CAST(round(p * (1 - p) * 1073741824) AS BIGINT) AS h FROM {name}_l JOIN {name}_e USING (name), {name}_p),
+{name}_s AS (SELECT name, b, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {name}_b GROUP BY ALL),
+{name}_w AS (SELECT name, b, sum(CASE WHEN b >= 0 THEN g END) OVER w AS lg, sum(CASE WHEN b >= 0 THEN h END) OVER w AS lh, sum(CASE WHEN b >= 0 THEN n END) OVER w AS ln, sum(CASE WHEN b < 0 THEN g ELSE 0 END) OVER a AS mg, sum(CASE WHEN b < 0 THEN h ELSE 0 END) OVER a AS mh, sum(CASE WHEN b < 0 THEN n ELSE 0 END) OVER a AS mn, sum(g) OVER a AS tg, sum(h) OVER a AS th, sum(n) OVER a AS tn FROM {name}_s WINDOW w AS (PARTITION BY name ORDER BY b), a AS (PARTITION BY name)),
+{name}_c AS (SELECT name, lg + k * mg AS lg, lh + k * mh AS lh, ln + k * mn AS ln, tg, th, tn FROM {name}_w, (VALUES (0), (1)) v(k) WHERE b >= 0),
+{name} AS (SELECT name, greatest(max({side('lg', 'lh')} + {side('(tg - lg)', '(th - lh)')} - {side('tg', 'th')}), 0) AS gain FROM {name}_c WHERE ln >= 20 AND tn - ln >= 20 GROUP BY name)"""
+
+
+FEATURES = ["rows__count", "quantityA__mean", "quantityA__sum", "priceA__max", "shippedD__mean"]
 FIRST = WEEK_MAX - 39
 FOLD = f"CAST((WEEK_NUM - {FIRST}) // 8 + 1 AS INT)"
 PRED = f"{BASE}, p AS (" + " UNION ALL ".join(
@@ -177,6 +193,10 @@ SELECT *, train_weeks >= 20 AND metric_weeks >= 8 AS eligible FROM a QUALIFY row
 SELECT model, 'missing' AS "check", count(*) FILTER (g IS NULL) AS violations FROM o GROUP BY model UNION ALL SELECT model, 'repeated_weeks', count(*) - count(DISTINCT w) FROM o GROUP BY model UNION ALL SELECT model, 'out_of_range', count(*) FILTER (abs(g) > 1) FROM o GROUP BY model UNION ALL SELECT model, 'too_few_weeks', 0 FROM o GROUP BY model""",
         "penalty_parts": f"""WITH {PRED}, {auc('p', 'model, fold, WEEK_NUM', 'wk')}, {stability('wk', 'model, fold', 'st')} SELECT model, fold, weeks, round(mean_gini, 6) AS mean_gini, round(88 * least(0, slope), 6) AS trend_penalty, round(-0.5 * residual_std, 6) AS residual_penalty, round(stability, 6) AS stability FROM st""",
         "stability_score": f"WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')}, {stability('wk', 'model', 'st')} SELECT model, weeks, round(mean_gini, 6) AS mean_gini, round(slope, 6) AS slope, round(residual_std, 6) AS residual_std, round(stability, 6) AS stability FROM st",
+        "first_cut_screen": f"""WITH {HISTORY}, a AS (SELECT case_id, count(*) AS rows__count, avg(quantityA) AS quantityA__mean, coalesce(sum(quantityA), 0) AS quantityA__sum, max(priceA) AS priceA__max, CAST(avg(shippedD) AS FLOAT) AS shippedD__mean FROM h GROUP BY case_id),
+f AS MATERIALIZED (SELECT b.WEEK_NUM, b.target, a.* FROM base b LEFT JOIN a USING (case_id) WHERE WEEK_NUM BETWEEN 0 AND 339), tr AS (SELECT * FROM f WHERE WEEK_NUM < 250), bo AS (SELECT * EXCLUDE (target), CASE WHEN WEEK_NUM < 250 THEN 0 ELSE 1 END AS target FROM f),
+{first_cut('t', 'tr', FEATURES)}, {first_cut('d', 'bo', FEATURES)}, m AS (SELECT name, t.gain AS target_gain, d.gain AS drift_gain, t.gain / max(t.gain) OVER () AS ts, d.gain / max(d.gain) OVER () AS ds FROM t JOIN d USING (name))
+SELECT name, round(target_gain, 4) AS target_gain, round(drift_gain, 4) AS drift_gain, round(ts * greatest(0, 1 - 0.35 * ds), 4) AS score FROM m""",
         "footer_catalog": " UNION ALL ".join(map(stored_table, COLUMNS)),
         "probability_metrics": f"WITH {PRED}, {suite('p', 'model', 'prediction')} SELECT * FROM suite",
         "clipped_metrics": f"WITH {PRED}, pc AS (SELECT * REPLACE (greatest(least(prediction, 1 - 1e-7), 1e-7) AS prediction) FROM p), {suite('pc', 'model', 'greatest(least(prediction, 1 - 1e-7), 1e-7)')} SELECT * FROM suite",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.operators import blocks, encode, frames, history, joins, learning, metrics, selection, temporal
+from caseloom.operators import blocks, boosting, encode, frames, history, joins, learning, metrics, selection, temporal
 from caseloom.operators.history import aggregate_history
 from caseloom.sources import catalog, footers
 from caseloom.sources.scan import meanings, normalise
@@ -506,7 +506,31 @@ def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
 @query
 def gbt_screen(spark: SparkSession, d: str) -> DataFrame:
     train, rest, names = _features(spark, d)
-    return tidy(learning.gain_screen(train, rest, names, rounds=5))
+    learning.guard(train, rest, names)
+    return tidy(boosting.gain_screen(train, rest, names, settings=boosting.Settings(rounds=5, depth=3, bins=32)))
+
+
+@query
+def first_cut_screen(spark: SparkSession, d: str) -> DataFrame:
+    """The screen by each feature's best single cut: gains of the first level of the target's and the drift's model."""
+    train, rest, names = _features(spark, d)
+    learning.guard(train, rest, names)
+    of = boosting.Settings(bins=32)
+    both = train.withColumn("target", F.lit(0)).unionByName(rest.withColumn("target", F.lit(1)))
+    target, drift = (boosting.first_level_gains(df, tuple(names), of).withColumnRenamed("gain", f"{k}_gain") for k, df in (("target", train), ("drift", both)))
+    return tidy(encode.drift_scores(target.join(drift, "name")), 4)
+
+
+@query
+def boosting_curve(spark: SparkSession, d: str) -> DataFrame:
+    """AUC after each round on the weeks behind training, of the three ways in which trees grow."""
+    train, rest, names = _features(spark, d)
+    learning.guard(train, rest, names)
+    made = []
+    for growth in boosting.GROWTHS:
+        model = boosting.boost(train, rest, names, boosting.Settings(rounds=4, depth=3, bins=32, patience=2, growth=growth, leaves=6))
+        made.append(model.curve_frame(spark).select(F.lit(growth).alias("growth"), "round", "auc", (F.col("round") == model.best_round).alias("best")))
+    return tidy(frames.concat_exact(made, ["growth", "round"]))
 
 
 def queries() -> dict[str, Query]:
