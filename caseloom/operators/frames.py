@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections import Counter
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,6 @@ from pyspark.sql.types import IntegralType, StringType
 from caseloom.functions.columns import decision_date, sample_hash
 from caseloom.functions.schema import LEAKS
 
-from .blocks import case_partitions
 from .joins import one_to_one
 from .metrics import gini, probability_metrics, reliability_qcut
 
@@ -49,50 +50,95 @@ def check_parity(train: Mapping[str, DataFrame], test: Mapping[str, DataFrame])
         raise ValueError(f"test blocks hold the target: {', '.join(sorted(held))}")
 
 
-def feature_frame(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequence[Feature], weeks: tuple[int, int], max_rows: int | None = None, seed: int = 42) -> DataFrame:
-    """case_id, target, WEEK_NUM and the chosen features of a week interval, ends included; cases without a block's row have null.
+@dataclass(frozen=True)
+class Side:
+    """A named span of weeks, ends included; most draws so many of its cases by a hash with this seed."""
 
-    max_rows draws that many cases by a reproducible hash before the blocks are joined.
+    name: str
+    first: int
+    last: int
+    most: int | None = None
+    seed: int = 42
+
+    @property
+    def here(self) -> Column:
+        return F.col(WEEK).between(self.first, self.last)
+
+
+def request_faults(features: Sequence[Feature], sides: Sequence[Side]) -> list[str]:
+    """What is wrong with a request for a frame, before any row is read."""
+    names = Counter(f.name for f in features)
+    spans = sorted(sides, key=lambda s: (s.first, s.last))
+    return [
+        *(f"{n} is asked for {k} times" for n, k in names.items() if k > 1),
+        *(f"{n} would give the target away" for n in sorted(LEAKS & names.keys())),
+        *(f"{s.name}: weeks {s.first} to {s.last} are no span" for s in sides if not 0 <= s.first <= s.last),
+        *(f"{s.name}: no case is asked for" for s in sides if s.most is not None and s.most < 1),
+        *(f"the weeks of {a.name} reach into those of {b.name}" for a, b in pairwise(spans) if a.last >= b.first),
+        *(f"a side named {n} appears {k} times" for n, k in Counter(s.name for s in sides).items() if k > 1),
+    ]
+
+
+def sided_frame(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequence[Feature], sides: Sequence[Side], check: bool = True) -> DataFrame:
+    """side, case_id, target, WEEK_NUM and the chosen features of the cases of all sides, each block joined once.
+
+    Cases without a block's row have null. With check, violations of frame_violations in any whole side, before cases are
+    drawn, are refused; base alone is read for that.
     """
-    if weeks[0] < 0 or weeks[1] < weeks[0]:
-        raise ValueError("invalid week interval")
-    if max_rows is not None and max_rows < 1:
-        raise ValueError("max_rows must be positive")
-    names = [f.name for f in features]
-    if len({*names}) < len(names):
-        raise ValueError("a feature is chosen twice")
-    if leaks := LEAKS & {*names}:
-        raise ValueError(f"chosen features hold the target: {', '.join(sorted(leaks))}")
-    own = [f.name for f in features if f.block == "base" and f.name != WEEK]
-    rows = base.select(CASE, TARGET, WEEK, *own).where(F.col(WEEK).between(*weeks))
-    if max_rows is not None:
-        rows = rows.orderBy(sample_hash(F.col(CASE), seed), CASE).limit(max_rows)
-    chosen = {b: [f.name for f in features if f.block == b] for b in blocks if b != "base"}
-    return one_to_one(rows, [blocks[b].select(CASE, *wanted) for b, wanted in chosen.items() if wanted], [CASE])
-
-
-def frame_violations(frame: DataFrame, weeks: tuple[int, int]) -> DataFrame:
-    """(check, violations) of a modelling frame: ids, weeks, a binary target of two classes."""
+    if faults := request_faults(features, sides):
+        raise ValueError("; ".join(faults))
+    side = F.coalesce(*[F.when(s.here, F.lit(s.name)) for s in sides])
+    weeks = F.col(WEEK).between(min(s.first for s in sides), max(s.last for s in sides))
+    of_base = [f.name for f in features if f.block == "base" and f.name != WEEK]
+    rows = base.where(weeks).select(side.alias("side"), CASE, TARGET, WEEK, *of_base).where(F.col("side").isNotNull())
+    if check:
+        per_side = frame_violations(rows, None, ["side"]).where("violations > 0").collect()  # a few rows a side
+        empty = {s.name for s in sides} - {r["side"] for r in rows.groupBy("side").count().collect()}
+        if bad := sorted(f"{r['side']}: {r['check']}" for r in per_side) + sorted(f"{n}: empty" for n in empty):
+            raise ValueError(f"the frame fails: {', '.join(bad)}")
+    if any(s.most is not None for s in sides):
+        drawn = [rows.where(F.col("side") == s.name) for s in sides]
+        rows = reduce(DataFrame.unionAll, [df if s.most is None else df.orderBy(sample_hash(F.col(CASE), s.seed), CASE).limit(s.most) for df, s in zip(drawn, sides, strict=True)])
+    wanted = {b: [f.name for f in features if f.block == b] for b in blocks if b != "base"}
+    return one_to_one(rows, [blocks[b].select(CASE, *names) for b, names in wanted.items() if names], [CASE], check=check)
+
+
+def feature_frame(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequence[Feature], weeks: tuple[int, int], max_rows: int | None = None, seed: int = 42, check: bool = True) -> DataFrame:
+    """One side alone: case_id, target, WEEK_NUM and the chosen features of the cases of some weeks."""
+    return sided_frame(base, blocks, features, [Side("all", *weeks, max_rows, seed)], check).drop("side")
+
+
+def frame_violations(frame: DataFrame, weeks: tuple[int, int] | None, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, check, violations) of a modelling frame: ids, weeks, a binary target of two classes."""
+    inside = F.col(WEEK).between(*weeks) if weeks else F.col(WEEK).isNotNull()
     counts = {
         "empty": F.when(F.count(F.lit(1)) == 0, 1).otherwise(0),
         "case_id_null": F.count_if(F.col(CASE).isNull()),
         "case_id_repeated": F.count(CASE) - F.count_distinct(CASE),
-        "week_outside": F.count_if(~F.coalesce(F.col(WEEK).between(*weeks), F.lit(False))),
+        "week_outside": F.count_if(~F.coalesce(inside, F.lit(False))),
         "target_not_binary": F.count_if(~F.coalesce(F.col(TARGET).isin(0, 1), F.lit(False))),
         "one_class": F.when(F.count_distinct(TARGET) == 2, 0).otherwise(1),
     }
-    one = frame.agg(*[c.cast("long").alias(k) for k, c in counts.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("violations")) for k in counts])).alias("r")).select("r.*")
+    return _listed(frame.groupBy(*groups).agg(*[c.cast("long").alias(k) for k, c in counts.items()]), [*counts], groups)
+
 
+def _listed(wide: DataFrame, checks: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
+    """Columns of counts as rows of check and violations."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("violations")) for k in checks]))
+    return wide.select(*groups, pairs.alias("r")).select(*groups, "r.*")
 
-def fold_frames(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequence[Feature], train: tuple[int, int], validation: tuple[int, int], seed: int = 42, caps: tuple[int | None, int | None] = (None, None)) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows of a fold, whose weeks may not overlap; capped sides draw with seeds of their own."""
+
+def fold_sides(train: tuple[int, int], validation: tuple[int, int], seed: int = 42, caps: tuple[int | None, int | None] = (None, None)) -> list[Side]:
+    """The sides of a fold: training weeks before validation's; a capped validation draws with the next seed."""
     if train[1] >= validation[0]:
         raise ValueError("training weeks reach into validation")
-    if any(caps):
-        return feature_frame(base, blocks, features, train, caps[0], seed), feature_frame(base, blocks, features, validation, caps[1], seed + 1)
-    both = feature_frame(base, blocks, features, (train[0], validation[1]))
-    return both.where(F.col(WEEK) <= train[1]), both.where(F.col(WEEK).between(*validation))
+    return [Side("train", *train, caps[0], seed), Side("validation", *validation, caps[1], seed + 1)]
+
+
+def fold_frames(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequence[Feature], train: tuple[int, int], validation: tuple[int, int], seed: int = 42, caps: tuple[int | None, int | None] = (None, None), check: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a fold apart. Where both are used at once, sided_frame reads each block once for both."""
+    both = sided_frame(base, blocks, features, fold_sides(train, validation, seed, caps), check)
+    return tuple(both.where(F.col("side") == name).drop("side") for name in ("train", "validation"))
 
 
 def inference_violations(base: DataFrame) -> DataFrame:
@@ -107,8 +153,7 @@ def inference_violations(base: DataFrame) -> DataFrame:
         "case_id_negative": F.count_if(F.col(CASE).try_cast("long") < 0),
         "date_invalid": F.count_if(date.isNull()),
     }
-    one = base.agg(*[c.cast("long").alias(k) for k, c in counts.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("violations")) for k in counts])).alias("r")).select("r.*")
+    return _listed(base.agg(*[c.cast("long").alias(k) for k, c in counts.items()]), [*counts])
 
 
 def inference_frame(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequence[Feature], cases: DataFrame | None = None) -> DataFrame:
@@ -133,31 +178,6 @@ def inference_frame(base: DataFrame, blocks: Mapping[str, DataFrame], features:
     return one_to_one(ids, chosen, [CASE]).select(CASE, *[f.name for f in features])
 
 
-def score_batches(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequence[Feature], score: Callable[[DataFrame], DataFrame], folder: str, rows: int) -> DataFrame:
-    """score(inference_frame) of a base, in ranges of at most rows cases, each written to a folder of its own below folder.
-
-    Ranges that an earlier run has finished are read, not scored again; the caller names a new folder for new inputs
-    or models. score gives case_id and prediction, of which each case must have one in [0, 1].
-    """
-    if rows < 1:
-        raise ValueError("a batch holds at least one case")
-    spark = base.sparkSession
-    paths = []
-    for batch in case_partitions(base, rows).orderBy("part").collect():  # one row a batch
-        path = f"{folder}/part={batch['part']:06d}"
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-            cases = base.where(F.col(CASE).between(batch["least"], batch["greatest"]))
-            score(inference_frame(cases, blocks, features)).select(CASE, "prediction").write.mode("overwrite").parquet(path)
-        paths.append(path)
-    found = spark.read.parquet(*paths)
-    p = F.col("prediction")
-    n, kinds, bad = found.agg(F.count(F.lit(1)), F.count_distinct(CASE), F.count_if(p.isNull() | F.isnan(p) | (p < 0) | (p > 1))).first()
-    if not n == kinds == base.count() or bad:
-        raise ValueError("predictions do not cover the cases one to one, or lie outside [0, 1]")
-    return found
-
-
 def evaluation_report(rows: DataFrame, weeks: Sequence[int], bins: int = 10) -> DataFrame:
     """(section, key, metric, value): the whole suite, each week, and reliability by quantile bins.
 

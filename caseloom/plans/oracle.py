@@ -235,6 +235,7 @@ SELECT name, CASE WHEN a.kind IS NULL THEN 'missing_left' WHEN b.kind IS NULL TH
         "fold_sample": f"""WITH {BASE}, s AS (SELECT *, CASE WHEN WEEK_NUM < {FIRST} THEN 'train' ELSE 'validation' END AS side FROM base WHERE WEEK_NUM BETWEEN 0 AND {FIRST + 7}), k AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY (case_id * 1103515245 + CASE side WHEN 'train' THEN 42 ELSE 43 END) % 2147483647, case_id) AS n FROM s)
 SELECT case_id, target, WEEK_NUM, side FROM k WHERE n <= CASE side WHEN 'train' THEN 300 ELSE 200 END""",
         "frame_violations": f"""WITH {BASE} SELECT 'empty' AS "check", 0 AS violations UNION ALL SELECT 'case_id_null', 0 UNION ALL SELECT 'case_id_repeated', 0 UNION ALL SELECT 'week_outside', count(*) FROM base WHERE WEEK_NUM NOT BETWEEN 10 AND 300 UNION ALL SELECT 'target_not_binary', count(*) FROM base WHERE case_id % 90 = 0 UNION ALL SELECT 'one_class', 0""",
+        "batch_scores": f"""WITH {blocks} SELECT case_id, round(1 / (1 + coalesce(lines, 0) + coalesce(quantity, 0) / 50), 9) AS prediction, CAST((row_number() OVER (ORDER BY case_id) - 1) // 1000 AS INT) AS part FROM fb""",
         "inference_frame": f"""WITH {blocks} SELECT case_id, lines, quantity, price, status FROM fb""",
         "evaluation_report": f"""WITH {mean}, x AS (SELECT 1 AS k, * FROM mp), {suite('x', 'k', 'prediction').replace('FROM p GROUP BY', 'FROM x GROUP BY')}, {auc('mp', 'WEEK_NUM', 'we')},
 q AS (SELECT list_distinct(quantile_cont(prediction, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM mp), e AS (SELECT list_filter(edges, lambda x: x > list_min(edges) AND x < list_max(edges)) AS inner_edges FROM q),

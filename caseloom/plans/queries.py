@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.operators import blocks, boosting, encode, frames, history, joins, learning, metrics, selection, temporal
+from caseloom.operators import batches, blocks, boosting, encode, frames, history, joins, learning, metrics, selection, sgd, temporal
 from caseloom.operators.history import aggregate_history
 from caseloom.sources import catalog, footers
 from caseloom.sources.scan import meanings, normalise
+from caseloom.sources.workspace import workspace
 
 from . import tables as t
 
@@ -452,19 +453,19 @@ def block_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fold_frame(spark: SparkSession, d: str) -> DataFrame:
-    """Training and validation rows of the last fold, with features of three blocks."""
+    """Training and validation rows of the last fold, with features of three blocks, each block joined once."""
     parts, fold = _blocks(spark, d), t.folds()[-1]
     chosen = [f for f in frames.index_features(parts) if f.name != "WEEK_NUM"]
-    train, rest = frames.fold_frames(parts["base"], parts, chosen, (fold.train_min, fold.train_max), (fold.validation_min, fold.validation_max))
-    return tidy(frames.concat_exact([train.withColumn("side", F.lit("train")), rest.withColumn("side", F.lit("validation"))], ["case_id"]), 4)
+    sides = frames.fold_sides((fold.train_min, fold.train_max), (fold.validation_min, fold.validation_max))
+    return tidy(frames.sided_frame(parts["base"], parts, chosen, sides), 4)
 
 
 @query
 def fold_sample(spark: SparkSession, d: str) -> DataFrame:
     """A fold whose sides are capped: a reproducible sample of each."""
     parts, fold = _blocks(spark, d), t.folds()[0]
-    train, rest = frames.fold_frames(parts["base"], parts, [], (fold.train_min, fold.train_max), (fold.validation_min, fold.validation_max), caps=(300, 200))
-    return train.withColumn("side", F.lit("train")).unionByName(rest.withColumn("side", F.lit("validation")))
+    sides = frames.fold_sides((fold.train_min, fold.train_max), (fold.validation_min, fold.validation_max), caps=(300, 200))
+    return frames.sided_frame(parts["base"], parts, [], sides)
 
 
 @query
@@ -481,6 +482,18 @@ def inference_frame(spark: SparkSession, d: str) -> DataFrame:
     return tidy(frames.inference_frame(t.base(spark, d).drop("target"), parts, chosen), 4)
 
 
+@query
+def batch_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A closed-form score of all cases in batches, written by one job; the second run finds all done and reads them."""
+    parts = {b: df.drop("target") for b, df in _blocks(spark, d).items()}
+    chosen = [f for f in frames.index_features(parts) if f.name in ("lines", "quantity", "price")]
+    score = lambda df: df.select("case_id", F.round(1 / (1 + F.coalesce("lines", F.lit(0)) + F.coalesce("quantity", F.lit(0)) / 50), 9).alias("prediction"))
+    folder = workspace(spark, "scores")
+    for _ in range(2):
+        found = batches.score_batches(t.base(spark, d).drop("target"), parts, chosen, score, folder, 1000, model="closed form")
+    return tidy(found, 9)
+
+
 @query
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     fold = t.folds()
@@ -533,5 +546,15 @@ def boosting_curve(spark: SparkSession, d: str) -> DataFrame:
     return tidy(frames.concat_exact(made, ["growth", "round"]))
 
 
+@query
+def averaged_sgd(spark: SparkSession, d: str) -> DataFrame:
+    """The linear baseline by averaged descent: mean loss of each round, and Gini of each week behind training."""
+    train, rest, names = _features(spark, d)
+    learning.guard(train, rest, names)
+    model = sgd.fit(train, names, rounds=6)
+    weekly = metrics.gini(model.score(rest, ["target", "WEEK_NUM"]), ["WEEK_NUM"])
+    return tidy(model.losses_frame(spark).select(F.lit("loss").alias("metric"), F.col("round").alias("at"), F.col("loss").alias("value")).unionAll(weekly.select(F.lit("gini"), "WEEK_NUM", "gini")))
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import schema
 from caseloom.functions.columns import calendar, decision_date, finite, relative_days, safe_ratio, sample_hash
-from caseloom.operators import blocks, encode, frames, history, joins, learning, metrics, ranks, selection, temporal
+from caseloom.operators import batches, blocks, encode, frames, history, joins, learning, metrics, ranks, selection, temporal
 from caseloom.sources import catalog, manifest, scan
 from caseloom.streaming.weekly import weekly_counts
 
@@ -430,20 +430,54 @@ def test_batches_score_like_the_whole(spark):
 
 
 def test_batches_are_scored_once(spark, tmp_path):
-    base = spark.createDataFrame([(k, "2020-01-01", 0) for k in range(7)], "case_id long, date_decision string, WEEK_NUM int")
-    block = spark.createDataFrame([(k, k / 10) for k in range(7)], "case_id long, xA double")
-    features, calls = frames.index_features({"b": block}), []
+    base = spark.createDataFrame([(k, "2020-01-01", 0) for k in range(70)], "case_id long, date_decision string, WEEK_NUM int")
+    block = spark.createDataFrame([(k, k / 100) for k in range(70)], "case_id long, xA double")
+    features, seen = frames.index_features({"b": block}), []
 
     def score(frame):
-        calls.append(1)
+        seen.append(frame.count())
         return frame.select("case_id", F.col("xA").alias("prediction"))
 
+    run = lambda score=score, base=base, block=block, folder="s", **more: batches.score_batches(base, {"b": block}, features, score, f"{tmp_path}/{folder}", 3, **more)
     for _ in range(2):
-        found = frames.score_batches(base, {"b": block}, features, score, f"{tmp_path}/s", 3)
-        assert sorted((r["case_id"], r["prediction"]) for r in found.select("case_id", "prediction").collect()) == [(k, k / 10) for k in range(7)]
-    assert len(calls) == 3
+        assert sorted((r["case_id"], r["prediction"], r["part"]) for r in run().collect()) == [(k, k / 100, k // 3) for k in range(70)]
+    assert seen == [70], "24 ranges in one go, and none again"
+    for path in (tmp_path / "s" / "manifest").glob("part-*.json"):  # an interrupted run: two batches are not in the manifest
+        lines = [x for x in path.read_text().splitlines() if json.loads(x)["part"] not in (4, 9)]
+        path.write_text("\n".join(lines))
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    assert run().count() == 70 and seen == [70, 6]
+    for odd in ({"model": "other"}, {"base": base.where("case_id < 60")}, {"block": block.withColumn("xA", F.col("xA") / 2)}):
+        with pytest.raises(ValueError, match="other inputs"):
+            run(**odd)
+    assert run(inputs="abc", folder="by_digest").count() == 70
+    part = next((tmp_path / "s" / "parts" / "part=7").glob("*.parquet"))
+    spark.createDataFrame([(21, 0.5), (22, 0.5), (23, 0.5)], "case_id long, prediction double").coalesce(1).write.parquet(f"{tmp_path}/odd")
+    next((tmp_path / "odd").glob("*.parquet")).replace(part)
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="batch 7"):
+        run()
     with pytest.raises(ValueError, match="outside"):
-        frames.score_batches(base, {"b": block}, features, lambda f: f.select("case_id", (F.col("xA") + 5).alias("prediction")), f"{tmp_path}/t", 9)
+        run(lambda f: f.select("case_id", (F.col("xA") + 5).alias("prediction")), folder="t")
+    with pytest.raises(ValueError, match="one to one"):
+        run(lambda f: f.where("case_id != 5").select("case_id", F.col("xA").alias("prediction")), folder="u")
+
+
+def test_requests_for_frames_are_checked(spark):
+    base = spark.createDataFrame([(k, k % 2, k // 2) for k in range(12)], "case_id long, target int, WEEK_NUM int")
+    f = frames.Feature("x", "b", "int", False)
+    faults = frames.request_faults([f, f, frames.Feature("score", "b", "int", False)], [frames.Side("a", 3, 1), frames.Side("b", 0, 5, 0), frames.Side("b", 5, 6)])
+    for words in ("x is asked for 2 times", "score would give", "a: weeks 3 to 1", "b: no case", "reach into", "b appears 2"):
+        assert any(words in x for x in faults), words
+    with pytest.raises(ValueError, match="late: empty"):
+        frames.sided_frame(base, {}, [], [frames.Side("early", 0, 2), frames.Side("late", 50, 60)])
+    with pytest.raises(ValueError, match="early: case_id_repeated"):
+        frames.sided_frame(base.unionAll(base.limit(1)), {}, [], [frames.Side("early", 0, 2)])
+    with pytest.raises(ValueError, match="one_class"):
+        frames.sided_frame(base.where("target = 1"), {}, [], [frames.Side("early", 0, 2)])
+    both = frames.sided_frame(base, {}, [], [frames.Side("late", 4, 5), frames.Side("early", 0, 1)])
+    assert {(r["side"], r["count"]) for r in both.groupBy("side").count().collect()} == {("late", 4), ("early", 4)}
+    assert frames.sided_frame(base.where("target = 1"), {}, [], [frames.Side("early", 0, 2)], check=False).count() == 3
 
 
 def test_evaluation_needs_its_weeks(spark):
