@@ -16,7 +16,7 @@ from caseloom.functions.columns import decision_date, sample_hash
 from caseloom.functions.schema import LEAKS
 
 from .joins import one_to_one
-from .metrics import gini, probability_metrics, reliability_qcut
+from .metrics import cell_bins, metrics_from_cells, score_cells, weekly_from_cells
 
 CASE, TARGET, WEEK = "case_id", "target", "WEEK_NUM"
 
@@ -181,23 +181,27 @@ def inference_frame(base: DataFrame, blocks: Mapping[str, DataFrame], features:
 def evaluation_report(rows: DataFrame, weeks: Sequence[int], bins: int = 10) -> DataFrame:
     """(section, key, metric, value): the whole suite, each week, and reliability by quantile bins.
 
-    rows: WEEK_NUM, target, prediction. The weeks must be exactly those expected, each with both classes.
+    rows: WEEK_NUM, target, prediction. The weeks must be exactly those expected, each with both classes. Rows are read
+    once; all sections follow from their distinct scores. The report has a row a week, bin and metric, made on the driver.
     """
-    weekly = gini(rows, [WEEK])
-    seen = {r[WEEK]: r["positives"] in (0, r["n_rows"]) for r in weekly.collect()}  # one row a week
-    if {*seen} != {*weeks}:
-        raise ValueError("the weeks are not those expected")
-    if single := sorted(w for w, one_class in seen.items() if one_class):
-        raise ValueError(f"weeks of one class: {', '.join(map(str, single))}")
-    whole = probability_metrics(rows.withColumn("_all", F.lit(1)), ["_all"]).drop("_all").join(rows.agg(F.avg(TARGET).alias("positive_rate")))
-    parts = [("whole", F.lit(0), whole), ("week", F.col(WEEK), weekly.select(WEEK, "n_rows", "positives", "gini")), ("bin", F.col("bin"), reliability_qcut(rows, bins))]
-
-    def long(section: str, key: Column, df: DataFrame) -> DataFrame:
-        metrics = [c for c in df.columns if c not in (WEEK, "bin")]
-        made = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics]))
-        return df.select(F.lit(section).alias("section"), key.cast("int").alias("key"), made.alias("m")).select("section", "key", "m.*")
-
-    return reduce(DataFrame.unionAll, [long(*p) for p in parts])
+    everyone = rows.select(F.lit(1).alias("all"), WEEK, TARGET, "prediction")
+    cells = score_cells(everyone, ["all"]).persist()
+    try:
+        weekly = [r.asDict() for r in weekly_from_cells(cells, ["all"]).select(WEEK, "n_rows", "positives", "gini").collect()]
+        if {r[WEEK] for r in weekly} != {*weeks}:
+            raise ValueError("the weeks are not those expected")
+        if single := sorted(r[WEEK] for r in weekly if r["positives"] in (0, r["n_rows"])):
+            raise ValueError(f"weeks of one class: {', '.join(map(str, single))}")
+        (whole,) = metrics_from_cells(cells, ["all"]).drop("all").collect()
+        binned = cell_bins(cells.where("pooled = 1"), bins).collect()
+    finally:
+        cells.unpersist()
+    whole = whole.asDict() | {"positive_rate": whole["positives"] / whole["n_rows"]}
+    parts = [("whole", 0, whole)]
+    parts += [("week", r.pop(WEEK), r) for r in weekly]
+    parts += [("bin", r.pop("bin"), r) for r in (b.asDict() for b in binned)]
+    lines = [(section, int(key), metric, None if v is None else float(v)) for section, key, values in parts for metric, v in values.items()]
+    return rows.sparkSession.createDataFrame(lines, "section string, key int, metric string, value double")
 
 
 def concat_exact(parts: Sequence[DataFrame], key: Sequence[str] = ()) -> DataFrame:

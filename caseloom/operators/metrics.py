@@ -46,12 +46,20 @@ def stability(weekly: DataFrame, groups: list[str]) -> DataFrame:
     Weeks without a Gini are left out; fewer than two weeks give null. The trend is by the real week number.
     """
     w = weekly.where(F.col("gini").isNotNull())
-    x, y = F.col("WEEK_NUM").cast("double"), F.col("gini")
-    fit = w.groupBy(*groups).agg(F.count(F.lit(1)).alias("weeks"), F.avg(y).alias("mean_gini"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("v"), F.var_pop(y).alias("r"))
+    return _scored(w.groupBy(*groups).agg(*_trend(F.col("gini"))), groups, [])
+
+
+def _trend(y: Column) -> list[Column]:
+    """Aggregates of weekly values by week, of rows that have a value."""
+    x = F.when(y.isNotNull(), F.col("WEEK_NUM").cast("double"))
+    return [F.count(y).alias("weeks"), F.avg(y).alias("mean_gini"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("v"), F.var_pop(y).alias("r")]
+
+
+def _scored(fit: DataFrame, groups: list[str], more: list[str]) -> DataFrame:
     slope = F.when(F.col("weeks") > 1, F.try_divide("c", "v"))
     out = fit.withColumn("slope", slope).withColumn("residual_std", F.sqrt(F.greatest(F.lit(0.0), F.col("r") - F.coalesce("slope", F.lit(0.0)) * F.col("c"))))
     score = F.col("mean_gini") + SLOPE_PENALTY * F.least(F.lit(0.0), F.col("slope")) - RESIDUAL_PENALTY * F.col("residual_std")
-    return out.select(*groups, "weeks", "mean_gini", "slope", F.when(F.col("weeks") > 1, F.col("residual_std")).alias("residual_std"), F.when(F.col("weeks") > 1, score).alias("stability"))
+    return out.select(*groups, "weeks", "mean_gini", "slope", F.when(F.col("weeks") > 1, F.col("residual_std")).alias("residual_std"), F.when(F.col("weeks") > 1, score).alias("stability"), *more)
 
 
 def weekly_violations(weekly: DataFrame, groups: list[str]) -> DataFrame:
@@ -91,19 +99,67 @@ def losses(rows: DataFrame, groups: list[str], clip_all: bool = False) -> DataFr
     return rows.groupBy(*groups).agg(F.avg(brier * brier).alias("brier"), F.avg(-F.log(F.when(y == 1, q).otherwise(1 - q))).alias("log_loss"))
 
 
+def score_cells(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, pooled, week, prediction, pos, neg: each distinct score of a week, and of all weeks (pooled 1, week null).
+
+    One scan and one shuffle of combined scores, from which all metrics follow. Null and NaN scores are left out.
+    """
+    levels = F.array(F.struct(F.lit(0).alias("pooled"), F.col("WEEK_NUM").alias("week")), F.struct(F.lit(1).alias("pooled"), F.lit(None).cast(rows.schema["WEEK_NUM"].dataType).alias("week")))
+    known = rows.where(F.col("prediction").isNotNull() & ~F.isnan("prediction"))
+    both = known.select(*groups, F.inline(levels), "prediction", "target")
+    return both.groupBy(*groups, "pooled", "week", "prediction").agg(F.sum("target").alias("pos"), F.sum(1 - F.col("target")).alias("neg"))
+
+
+def _by_week(cells: DataFrame, groups: list[str], clip_all: bool = False) -> DataFrame:
+    """groups, pooled, WEEK_NUM and the metrics of each week, and of all weeks: n_rows, positives, auc and the rest.
+
+    Scores are ranked within buckets of their order; sums of buckets are ranked by group, and come back to the scores as
+    one row a bucket. What is summed up by bucket is dealt by group, so weeks and groups need no further shuffle.
+    """
+    keys = [*groups, "pooled", "week"]
+    before = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    dealt = cells.select(*groups, "pooled", F.coalesce("week", F.lit(-1)).alias("week"), "prediction", "pos", "neg", order_bucket(F.col("prediction")).alias("bucket"))
+    inside = before(*keys, "bucket").orderBy("prediction")
+    dealt = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"in_{c}") for c in ("pos", "neg")])
+    buckets = dealt.groupBy(*keys, "bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg")).repartition(*groups)
+    sums = [F.coalesce(F.sum(f"b_{c}").over(before(*keys).orderBy("bucket")), F.lit(0)).alias(f"shift_{c}") for c in ("pos", "neg")]
+    totals = [F.sum(f"b_{c}").over(W.partitionBy(*keys)).alias(f"all_{c}") for c in ("pos", "neg")]
+    met = dealt.join(buckets.select(*keys, "bucket", *sums, *totals), [*keys, "bucket"])
+    p, q = F.col("prediction"), clipped(F.col("prediction"))
+    b = q if clip_all else p
+    tp, fp = (F.col(f"all_{c}") - F.col(f"shift_{c}") - F.col(f"in_{c}") for c in ("pos", "neg"))
+    won = F.col("pos") * (F.col("shift_neg") + F.col("in_neg") + F.col("neg") / 2.0)
+    parts = {
+        "positives": F.col("pos"),
+        "negatives": F.col("neg"),
+        "auc": won,
+        "average_precision": F.col("pos") * tp / (tp + fp),
+        "brier": F.col("pos") * (b - 1) * (b - 1) + F.col("neg") * b * b,
+        "log_loss": -(F.col("pos") * F.log(q) + F.col("neg") * F.log(1 - q)),
+    }
+    of_bucket = met.groupBy(*keys, "bucket").agg(*[F.sum(x).alias(k) for k, x in parts.items()]).repartition(*groups)
+    whole = of_bucket.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in parts])
+    n, pos = F.col("positives") + F.col("negatives"), F.col("positives").cast("double")
+    return whole.select(*groups, "pooled", F.when(F.col("pooled") == 0, F.col("week")).alias("WEEK_NUM"), n.alias("n_rows"), "positives", F.try_divide("auc", pos * F.col("negatives")).alias("auc"), F.try_divide("average_precision", pos).alias("average_precision"), (F.col("brier") / n).alias("brier"), (F.col("log_loss") / n).alias("log_loss"))
+
+
+def weekly_from_cells(cells: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, WEEK_NUM, n_rows, positives, auc, gini."""
+    return _by_week(cells, groups).where("pooled = 0").select(*groups, "WEEK_NUM", "n_rows", "positives", "auc", (2 * F.col("auc") - 1).alias("gini"))
+
+
+def metrics_from_cells(cells: DataFrame, groups: list[str], clip_all: bool = False) -> DataFrame:
+    """probability_metrics of score_cells."""
+    names = ["n_rows", "positives", "auc", "average_precision", "brier", "log_loss"]
+    weekly = F.when(F.col("pooled") == 0, 2 * F.col("auc") - 1)
+    pooled = [F.max(F.when(F.col("pooled") == 1, F.col(c))).alias(c) for c in names]
+    return _scored(_by_week(cells, groups, clip_all).groupBy(*groups).agg(*_trend(weekly), *pooled), groups, names)
+
+
 def probability_metrics(rows: DataFrame, groups: list[str], clip_all: bool = False) -> DataFrame:
-    """The whole suite: stability parts, AUC, average precision, Brier score and log loss."""
+    """The whole suite, from one scan: stability parts, AUC, average precision, Brier score and log loss; groups has a column at least."""
     r = rows.withColumn("prediction", clipped(F.col("prediction"))) if clip_all else rows
-    parts = [
-        stability(gini(r, [*groups, "WEEK_NUM"]), groups),
-        auc(r, groups).select(*groups, "n_rows", "positives", "auc"),
-        average_precision(r, groups),
-        losses(rows, groups, clip_all),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, groups)
-    return out
+    return metrics_from_cells(score_cells(r, groups), groups, clip_all)
 
 
 def weekly_diagnostics(rows: DataFrame, groups: list[str]) -> DataFrame:
@@ -140,6 +196,16 @@ def reliability_qcut(rows: DataFrame, bins: int = 10, groups: list[str] | None =
     return _quantile_bins(rows, bins, groups or [], False)
 
 
+def cell_bins(cells: DataFrame, bins: int) -> DataFrame:
+    """reliability_qcut of one group's pooled score_cells."""
+    weighted = cells.withColumn("n", F.col("pos") + F.col("neg"))
+    q = quantiles(weighted, [], "prediction", [k / bins for k in range(bins + 1)], "n").first()["quantiles"]
+    inner = [x for x in dict.fromkeys(q) if q[0] < x < q[-1]]
+    place = sum((F.when(F.col("prediction") > e, 1).otherwise(0) for e in inner), F.lit(0))
+    total = F.sum("n")
+    return weighted.groupBy(place.alias("bin")).agg(total.alias("n_rows"), (F.sum(F.col("prediction") * F.col("n")) / total).alias("mean_prediction"), (F.sum("pos") / total).alias("observed_rate"))
+
+
 def reliability_fixed(rows: DataFrame, edges: tuple[float, ...] = FIXED_EDGES, groups: list[str] | None = None) -> DataFrame:
     """Bins by fixed edges, closed on the left, the last one on both sides."""
     return _bins(rows, groups or [], sum((F.when(F.col("prediction") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0)))

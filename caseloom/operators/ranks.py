@@ -39,12 +39,16 @@ def below(rows: DataFrame, groups: list[str], value: str, sums: list[str], desce
     return met.select(*rows.columns, *[(F.col(f"_inside_{s}") + F.col(f"_shift_{s}")).alias(f"below_{s}") for s in sums])
 
 
-def quantiles(rows: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
-    """groups, quantiles: exact, with linear interpolation between neighbours; null and NaN take no part."""
+def quantiles(rows: DataFrame, groups: list[str], value: str, shares: list[float], weight: str | None = None) -> DataFrame:
+    """groups, quantiles: exact, with linear interpolation between neighbours; null and NaN take no part.
+
+    weight: a column that says how many equal rows a row stands for.
+    """
     known = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
-    counted = known.groupBy(*groups, F.col(value).cast("double").alias("_value")).agg(F.count(F.lit(1)).alias("n"))
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = known.groupBy(*groups, F.col(value).cast("double").alias("_value")).agg(times.alias("n"))
     ranked = below(counted, groups, "_value", ["n"])
-    size = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    size = known.groupBy(*groups).agg(times.alias("_size"))
     met = ranked.join(F.broadcast(size), groups) if groups else ranked.crossJoin(F.broadcast(size))  # one row a group
     at = [(F.col("_size") - 1) * F.lit(s) for s in shares]
     value_at = lambda rank: F.max(F.when((F.col("below_n") <= rank) & (rank < F.col("below_n") + F.col("n")), F.col("_value")))

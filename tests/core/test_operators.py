@@ -551,3 +551,18 @@ def test_weekly_stream(spark, tmp_path):
     q.stop()
     found = {str(r["week_start"])[:10]: (r["n_rows"], r["positives"]) for r in spark.table("weekly").collect()}
     assert found == {"2024-01-01": (2, 1), "2024-01-08": (3, 1)}
+
+
+def test_metrics_need_one_scan(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(g, w, int(y), float(p)) for g in "ab" for w in range(4) for y, p in zip(rng.random(60) < 0.3, rng.random(60).round(2))]
+    spark.createDataFrame(rows, "g string, WEEK_NUM int, target int, prediction double").write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    found = metrics.probability_metrics(df, ["g"])
+    got = {r["g"]: r for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ShuffleQueryStage") <= 6
+    parts = [metrics.stability(metrics.gini(df, ["g", "WEEK_NUM"]), ["g"]), metrics.auc(df, ["g"]), metrics.average_precision(df, ["g"]), metrics.losses(df, ["g"])]
+    for part in parts:
+        for r in part.collect():
+            assert all(got[r["g"]][c] == pytest.approx(v) for c, v in r.asDict().items())
