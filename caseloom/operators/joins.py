@@ -73,3 +73,21 @@ def in_sample_order(sample: DataFrame, predictions: DataFrame, key: str, ordinal
 def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that both sides hold."""
     return a.select(key).distinct().join(b.select(key), key, "left_semi")
+
+
+def key_parity(splits: dict[str, dict[str, DataFrame]], key: str = "case_id", base: str = "base") -> DataFrame:
+    """(split, block, missing, extra, nulls): how many keys of a split's base a block lacks, or has beside them, in one pass.
+
+    A key gets a bit for each block that holds it; keys are grouped by their bits, and those few groups give all counts.
+    """
+    names = {split: [base, *sorted(b for b in blocks if b != base)] for split, blocks in splits.items()}
+    if any(base not in blocks or len(blocks) > 63 for blocks in splits.values()):
+        raise ValueError(f"a split needs {base}, and 62 blocks beside it at most")
+    bits = [splits[s][b].select(F.lit(s).alias("split"), F.col(key).cast("string").alias("k"), F.lit(1 << i).cast("long").alias("bit")) for s, blocks in names.items() for i, b in enumerate(blocks)]
+    rows = reduce(DataFrame.unionAll, bits)
+    masks = rows.where(F.col("k").isNotNull()).groupBy("split", "k").agg(F.bit_or("bit").alias("mask")).groupBy("split", "mask").agg(F.count(F.lit(1)).alias("n"))
+    nulls = rows.where(F.col("k").isNull()).groupBy("split", F.col("bit").alias("bit")).agg(F.count(F.lit(1)).alias("nulls"))
+    named = splits[next(iter(splits))][base].sparkSession.createDataFrame([(s, b, 1 << i) for s, blocks in names.items() for i, b in enumerate(blocks) if i], "split string, block string, bit long")
+    has, of_base = F.col("mask").bitwiseAND(F.col("bit")) != 0, F.col("mask").bitwiseAND(F.lit(1)) != 0
+    counts = named.join(masks, "split", "left").groupBy("split", "block", "bit").agg(F.coalesce(F.sum(F.when(of_base & ~has, F.col("n"))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.when(~of_base & has, F.col("n"))), F.lit(0)).alias("extra"))
+    return counts.join(nulls, ["split", "bit"], "left").select("split", "block", "missing", "extra", F.coalesce("nulls", F.lit(0)).cast("long").alias("nulls"))

@@ -193,6 +193,10 @@ SELECT *, train_weeks >= 20 AND metric_weeks >= 8 AS eligible FROM a QUALIFY row
 SELECT model, 'missing' AS "check", count(*) FILTER (g IS NULL) AS violations FROM o GROUP BY model UNION ALL SELECT model, 'repeated_weeks', count(*) - count(DISTINCT w) FROM o GROUP BY model UNION ALL SELECT model, 'out_of_range', count(*) FILTER (abs(g) > 1) FROM o GROUP BY model UNION ALL SELECT model, 'too_few_weeks', 0 FROM o GROUP BY model""",
         "penalty_parts": f"""WITH {PRED}, {auc('p', 'model, fold, WEEK_NUM', 'wk')}, {stability('wk', 'model, fold', 'st')} SELECT model, fold, weeks, round(mean_gini, 6) AS mean_gini, round(88 * least(0, slope), 6) AS trend_penalty, round(-0.5 * residual_std, 6) AS residual_penalty, round(stability, 6) AS stability FROM st""",
         "stability_score": f"WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')}, {stability('wk', 'model', 'st')} SELECT model, weeks, round(mean_gini, 6) AS mean_gini, round(slope, 6) AS slope, round(residual_std, 6) AS residual_std, round(stability, 6) AS stability FROM st",
+        "verified_predictions": f"WITH {PRED} SELECT model, fold, count(*) AS n, round(avg(prediction), 6) AS mean_prediction, sum(target) AS positives FROM p GROUP BY ALL",
+        "key_parity": f"""WITH {BASE}, k AS (SELECT case_id, CASE WHEN WEEK_NUM < 200 THEN 'train' ELSE 'test' END AS split, case_id IN (SELECT l_orderkey FROM lineitem) AS has_lines FROM base)
+SELECT split, 'lines_depth1' AS block, count(*) FILTER (WHERE in_base AND NOT in_lines) AS missing, count(*) FILTER (WHERE in_lines AND NOT in_base) AS extra, 0 AS nulls FROM (SELECT *, has_lines AND NOT (split = 'train' AND case_id % 13 = 0) AS in_lines, NOT (split = 'test' AND case_id % 17 = 0) AS in_base FROM k) GROUP BY split
+UNION ALL SELECT split, 'orders_depth0', count(*) FILTER (WHERE in_base AND NOT in_orders), count(*) FILTER (WHERE in_orders AND NOT in_base), count(*) FILTER (WHERE NOT in_orders) FROM (SELECT *, NOT (split = 'test' AND case_id % 19 = 0) AS in_orders, NOT (split = 'test' AND case_id % 17 = 0) AS in_base FROM k) GROUP BY split""",
         "first_cut_screen": f"""WITH {HISTORY}, a AS (SELECT case_id, count(*) AS rows__count, avg(quantityA) AS quantityA__mean, coalesce(sum(quantityA), 0) AS quantityA__sum, max(priceA) AS priceA__max, CAST(avg(shippedD) AS FLOAT) AS shippedD__mean FROM h GROUP BY case_id),
 f AS MATERIALIZED (SELECT b.WEEK_NUM, b.target, a.* FROM base b LEFT JOIN a USING (case_id) WHERE WEEK_NUM BETWEEN 0 AND 339), tr AS (SELECT * FROM f WHERE WEEK_NUM < 250), bo AS (SELECT * EXCLUDE (target), CASE WHEN WEEK_NUM < 250 THEN 0 ELSE 1 END AS target FROM f),
 {first_cut('t', 'tr', FEATURES)}, {first_cut('d', 'bo', FEATURES)}, m AS (SELECT name, t.gain AS target_gain, d.gain AS drift_gain, t.gain / max(t.gain) OVER () AS ts, d.gain / max(d.gain) OVER () AS ds FROM t JOIN d USING (name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import batches, blocks, boosting, encode, frames, history, joins, learning, metrics, selection, sgd, temporal
 from caseloom.operators.history import aggregate_history
-from caseloom.sources import catalog, footers
+from caseloom.sources import catalog, footers, verified
 from caseloom.sources.scan import meanings, normalise
 from caseloom.sources.workspace import workspace
 
@@ -406,6 +406,29 @@ def footer_catalog(spark: SparkSession, d: str) -> DataFrame:
     return tidy(found.select("source", "n_rows", "n_columns", "known_null_columns", "max_missing", "least_key", "greatest_key"))
 
 
+@query
+def verified_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Fold predictions of four models, stored and read again under manifests of their files."""
+    folder, p = workspace(spark, "folds"), t.predictions(spark, d)
+    p.write.partitionBy("model").parquet(folder)
+    sources = {m: (f"{folder}/model={m}", verified.tree_manifest(spark, f"{folder}/model={m}", "*.parquet")) for m in t.MODELS}
+    folds = {f.fold: (f.validation_min, f.validation_max) for f in t.folds()}
+    found = verified.read_fold_predictions(spark, sources, folds)
+    return tidy(found.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean_prediction"), F.sum("target").alias("positives")))
+
+
+@query
+def key_parity(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of two blocks against their base in two splits by week: gaps on both sides, and null keys."""
+    parts = _blocks(spark, d)
+    split = lambda w: {b: df.join(t.base(spark, d).where(w).select("case_id"), "case_id", "left_semi") for b, df in parts.items()}
+    train, test = split("WEEK_NUM < 200"), split("WEEK_NUM >= 200")
+    train["lines_depth1"] = train["lines_depth1"].where("case_id % 13 != 0")
+    test["base"] = test["base"].where("case_id % 17 != 0")
+    test["orders_depth0"] = test["orders_depth0"].withColumn("case_id", F.expr("nullif(case_id % 19, 0) * 0 + case_id"))
+    return joins.key_parity({"train": train, "test": test})
+
+
 def _entries(spark: SparkSession, d: str) -> list[catalog.CatalogEntry]:
     """The base, and line items as two shards, under the names of stored files."""
     rows = t.lines(spark, d).withColumn("line", F.col("num_group1"))

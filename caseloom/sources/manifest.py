@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.schema import TableIdentity, parse_file_name
 
+from .footers import list_files
+from .verified import digested
+
 MANIFEST = "file string, key string, bytes long, sha256 string"
 
 
@@ -29,21 +32,21 @@ def parquet_records(manifest: DataFrame) -> DataFrame:
 
 
 def directory_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, bytes and sha256 of each file below a folder, by Spark's own readers."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+    """path, bytes and sha256 of each file below a folder; contents are streamed by tasks."""
+    return digested(spark, path, glob).orderBy("path")
 
 
 def verify(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """Manifest rows whose file is missing, or differs in size or digest."""
+    """Manifest rows whose file is missing, or differs in size or digest. A name that two found files share is refused."""
     names = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("bytes").alias("found_bytes"), F.col("sha256").alias("found_sha256"))
+    if twice := names.join(manifest.select("file"), "file", "left_semi").groupBy("file").count().where("count > 1").head(1):
+        raise ValueError(f"{twice[0]['file']} is there twice: name files by their paths, and use differences()")
     return manifest.join(names, "file", "left").where("found_bytes IS NULL OR bytes != found_bytes OR sha256 != found_sha256")
 
 
 def local_records(spark: SparkSession, path: str) -> list[str]:
     """Paths of test_*.parquet; a name in two places is refused."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "test_*.parquet").load(path)
-    paths = sorted(r[0] for r in files.select("path").collect())
+    paths = sorted(r[0] for r in list_files(spark, [path], "test_*.parquet").collect())
     names = [p.rpartition("/")[2] for p in paths]
     if len(set(names)) < len(names):
         raise ValueError("a file name appears twice")
