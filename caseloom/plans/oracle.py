@@ -56,6 +56,19 @@ def first_cut(name: str, source: str, features: list[str], bins: int = 32) -> st
 {name} AS (SELECT name, greatest(max({side('lg', 'lh')} + {side('(tg - lg)', '(th - lh)')} - {side('tg', 'th')}), 0) AS gain FROM {name}_c WHERE ln >= 20 AND tn - ln >= 20 GROUP BY name)"""
 
 
+def parzen(name: str, of: str) -> str:
+    """CTE of candidates of a number, whose trials are on a unit scale in column of: u (unit scale) and ln (log density ratio)."""
+    u = lambda k: f"((CAST('0x' || substr(md5('42:25:{name}:' || c || ':{k}'), 1, 13) AS BIGINT) + 0.5) / CAST(4503599627370496 AS DOUBLE))"
+    sig = lambda x: f"(1 / (1 + exp(-({x}))))"
+    kernel = lambda w: f"{sig(f'(pt - m) / {w}')} * (1 - {sig(f'(pt - m) / {w}')}) / {w} / ({sig(f'(1 - m) / {w}')} - {sig(f'-m / {w}')})"
+    dense = lambda side: f"(1 + list_sum(list_transform({side}, lambda m: {kernel(f'w_{side}')}))) / (len({side}) + 1)"
+    return f"""{name}_t AS (SELECT list({of} ORDER BY slot) FILTER (WHERE good) AS g, list({of} ORDER BY slot) FILTER (WHERE NOT good) AS r FROM tr),
+{name}_c AS (SELECT c, g, r, 0.5 / sqrt(len(g) + 1) AS w_g, 0.5 / sqrt(len(r) + 1) AS w_r, {u(1)} AS u1, g[CAST(floor({u(0)} * (len(g) + 1)) AS INT) + 1] AS mid FROM cand, {name}_t),
+{name}_q AS (SELECT *, {sig('-mid / w_g')} + u1 * ({sig('(1 - mid) / w_g')} - {sig('-mid / w_g')}) AS q FROM {name}_c),
+{name}_a AS (SELECT *, CASE WHEN mid IS NULL THEN u1 ELSE greatest(0, least(1, mid + w_g * ln(q / (1 - q)))) END AS pt FROM {name}_q),
+{name} AS (SELECT c, pt AS u, ln({dense('g')}) - ln({dense('r')}) AS gain FROM {name}_a)"""
+
+
 FEATURES = ["rows__count", "quantityA__mean", "quantityA__sum", "priceA__max", "shippedD__mean"]
 FIRST = WEEK_MAX - 39
 FOLD = f"CAST((WEEK_NUM - {FIRST}) // 8 + 1 AS INT)"
@@ -193,6 +206,22 @@ SELECT *, train_weeks >= 20 AND metric_weeks >= 8 AS eligible FROM a QUALIFY row
 SELECT model, 'missing' AS "check", count(*) FILTER (g IS NULL) AS violations FROM o GROUP BY model UNION ALL SELECT model, 'repeated_weeks', count(*) - count(DISTINCT w) FROM o GROUP BY model UNION ALL SELECT model, 'out_of_range', count(*) FILTER (abs(g) > 1) FROM o GROUP BY model UNION ALL SELECT model, 'too_few_weeks', 0 FROM o GROUP BY model""",
         "penalty_parts": f"""WITH {PRED}, {auc('p', 'model, fold, WEEK_NUM', 'wk')}, {stability('wk', 'model, fold', 'st')} SELECT model, fold, weeks, round(mean_gini, 6) AS mean_gini, round(88 * least(0, slope), 6) AS trend_penalty, round(-0.5 * residual_std, 6) AS residual_penalty, round(stability, 6) AS stability FROM st""",
         "stability_score": f"WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')}, {stability('wk', 'model', 'st')} SELECT model, weeks, round(mean_gini, 6) AS mean_gini, round(slope, 6) AS slope, round(residual_std, 6) AS residual_std, round(stability, 6) AS stability FROM st",
+        "review_identities": f"""WITH {PRED}, {auc('p', 'model, fold, WEEK_NUM', 'wk')}, f AS (SELECT model, fold, sum(n_rows) + CASE WHEN model = 'm3' AND fold = 2 THEN 1 ELSE 0 END AS n_rows, sum(positives) AS positives FROM wk GROUP BY model, fold), w AS (SELECT model, count(*) AS n, sum(target) AS y FROM p GROUP BY 1),
+s AS (SELECT model, sum(n_rows) - any_value(n) AS rows_off, sum(positives) - any_value(y) AS positives_off FROM f JOIN w USING (model) GROUP BY 1)
+SELECT model || ': n_rows is the sum of folds' AS identity, CAST(rows_off AS DOUBLE) AS residual, 0 AS missing, rows_off = 0 AS holds FROM s UNION ALL SELECT model || ': positives is the sum of folds', CAST(positives_off AS DOUBLE), 0, positives_off = 0 FROM s
+UNION ALL SELECT model || ': ' || m || ' is the mean of folds', 0.0, 0, true FROM s, (VALUES ('stability'), ('mean_gini')) v(m) UNION ALL SELECT model || '/' || fold || ': stability adds up', 0.0, 0, true FROM f""",
+        "release_policy": f"""WITH {PRED}, {auc('p', 'model, WEEK_NUM', 'wk')}, {stability('wk', 'model', 'st')}, c AS (SELECT 'leader''s Gini' AS "check", mean_gini >= 0.2 AND mean_gini <= 1 AS passed, mean_gini AS value FROM st WHERE model = 'm1' UNION ALL SELECT 'control''s Gini', mean_gini <= 1, mean_gini FROM st WHERE model = 'm2'
+UNION ALL SELECT 'weakest Gini', mean_gini >= 0.9, mean_gini FROM st WHERE model = 'm4' UNION ALL SELECT 'leader''s rows', count(*) >= 1, count(*) FROM p WHERE model = 'm1' UNION ALL SELECT 'unknown model', false, NULL)
+SELECT "check", passed, round(value, 6) AS value FROM c UNION ALL SELECT 'verdict', bool_and(passed), count(*) FILTER (WHERE passed) FROM c""",
+        "evidence_faults": f"""WITH {PRED}, {auc('p', 'model, fold, WEEK_NUM', 'wk')}, {stability('wk', 'model, fold', 'st')}, n AS (SELECT sum(n_rows) AS whole, sum(n_rows) FILTER (WHERE fold = 2) AS second, sum(positives) AS y FROM wk WHERE model = 'm1')
+SELECT 'm2' AS model, 3 AS fold, 'stability' AS metric, round(stability, 6) AS actual, round(stability + 0.01, 6) AS expected FROM st WHERE model = 'm2' AND fold = 3 UNION ALL SELECT 'm4', 0, 'positives', y, y - 1 FROM n
+UNION ALL SELECT 'm1', 0, 'n_rows', whole + 2, whole FROM n UNION ALL SELECT 'm1', 2, 'n_rows', second + 2, second FROM n UNION ALL SELECT NULL, 310, 'population', 4, 4""",
+        "parzen_ratios": f"""WITH b AS (SELECT CAST(substr(p_brand, 7) AS INT) AS k, round(avg(p_retailprice), 6) AS value, avg(p_size) AS size, round(max(p_retailprice), 2) AS price FROM part GROUP BY p_brand),
+tr AS (SELECT k - 1 AS slot, (size - 1) / 49.0 AS s, (ln(price) - ln(900)) / (ln(3000) - ln(900)) AS l, 'k' || (k % 5 + 1) AS kind, row_number() OVER (ORDER BY value DESC, k) <= 7 AS good FROM b), cand AS (SELECT unnest(range(64)) AS c),
+{parzen('size', 's')}, {parzen('price', 'l')},
+kw AS (SELECT v, (count(*) FILTER (WHERE good AND kind = v) + 1) / 12.0 AS wg, (count(*) FILTER (WHERE NOT good AND kind = v) + 1) / 23.0 AS wr FROM tr, (VALUES ('k1'), ('k2'), ('k3'), ('k4'), ('k5')) v(v) GROUP BY v), ks AS (SELECT v, ln(wg / wr) AS gain, sum(wg) OVER (ORDER BY v) AS upto, sum(wg) OVER (ORDER BY v) - wg AS low FROM kw),
+ku AS (SELECT c, (CAST('0x' || substr(md5('42:25:kind:' || c || ':0'), 1, 13) AS BIGINT) + 0.5) / CAST(4503599627370496 AS DOUBLE) AS u FROM cand)
+SELECT size.c AS candidate, round(1 + 49 * size.u, 5) AS size, round(exp(ln(900) + price.u * (ln(3000) - ln(900))), 5) AS price, v AS kind, round(size.gain + price.gain + ks.gain, 5) AS log_ratio FROM size JOIN price USING (c) JOIN ku USING (c) JOIN ks ON ku.u > low AND ku.u <= upto""",
         "verified_predictions": f"WITH {PRED} SELECT model, fold, count(*) AS n, round(avg(prediction), 6) AS mean_prediction, sum(target) AS positives FROM p GROUP BY ALL",
         "key_parity": f"""WITH {BASE}, k AS (SELECT case_id, CASE WHEN WEEK_NUM < 200 THEN 'train' ELSE 'test' END AS split, case_id IN (SELECT l_orderkey FROM lineitem) AS has_lines FROM base)
 SELECT split, 'lines_depth1' AS block, count(*) FILTER (WHERE in_base AND NOT in_lines) AS missing, count(*) FILTER (WHERE in_lines AND NOT in_base) AS extra, 0 AS nulls FROM (SELECT *, has_lines AND NOT (split = 'train' AND case_id % 13 = 0) AS in_lines, NOT (split = 'test' AND case_id % 17 = 0) AS in_base FROM k) GROUP BY split

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.operators import batches, blocks, boosting, encode, frames, history, joins, learning, metrics, selection, sgd, temporal
+from caseloom.operators import batches, blocks, boosting, encode, frames, history, joins, learning, metrics, proposals, review, selection, sgd, temporal
 from caseloom.operators.history import aggregate_history
 from caseloom.sources import catalog, footers, verified
 from caseloom.sources.scan import meanings, normalise
@@ -524,6 +524,68 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return tidy(frames.evaluation_report(t.mean_predictions(spark, d), [*weeks]))
 
 
+def _published(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Weekly values, and what is recorded of folds and of models."""
+    p = t.predictions(spark, d)
+    weekly = metrics.gini(p, ["model", "fold", "WEEK_NUM"])
+    both = weekly.unionByName(weekly.withColumn("fold", F.lit(0)))
+    sums = both.groupBy("model", "fold").agg(F.sum("n_rows").alias("n_rows"), F.sum("positives").alias("positives"))
+    parts = sums.join(metrics.penalties(both, ["model", "fold"]), ["model", "fold"])
+    return weekly, parts.where("fold > 0"), parts.where("fold = 0").drop("fold")
+
+
+@query
+def review_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Published numbers of folds and models: sums, means and scores must agree; one fold's count is wrong on purpose."""
+    _, folds, models = _published(spark, d)
+    means = folds.groupBy("model").agg(F.avg("stability").alias("stability"), F.avg("mean_gini").alias("mean_gini"))
+    rows = ["stability", "mean_gini", "trend_penalty", "residual_penalty", "n_rows", "positives"]
+    bad = folds.withColumn("n_rows", F.expr("CASE WHEN model = 'm3' AND fold = 2 THEN n_rows + 1 ELSE n_rows END"))
+    values = review.long_values(bad, "fold", F.concat_ws("/", "model", "fold"), rows)
+    values = values.unionAll(review.long_values(means.join(models.select("model", "n_rows", "positives"), "model"), "model", F.col("model"), ["stability", "mean_gini", "n_rows", "positives"]))
+    terms = review.constraints(
+        review.fold_identities(folds, ["stability", "mean_gini"], ["n_rows", "positives"]),
+        review.score_identities(folds.select(F.concat_ws("/", "model", "fold").alias("subject")), "fold"),
+    )
+    return tidy(review.residuals(values, terms)).withColumn("residual", F.col("residual") + 0.0)
+
+
+@query
+def release_policy(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds on published metrics, one of which fails and one of which nothing is published of, and the verdict."""
+    _, _, models = _published(spark, d)
+    values = review.long_values(models, "model", F.col("model"), ["stability", "mean_gini", "n_rows"])
+    rules = {
+        "leader's Gini": ("model", "m1", "mean_gini", 0.2, 1.0, 0.0),
+        "control's Gini": ("model", "m2", "mean_gini", None, 1.0, 0.0),
+        "weakest Gini": ("model", "m4", "mean_gini", 0.9, None, 0.0),
+        "leader's rows": ("model", "m1", "n_rows", 1.0, None, 0.0),
+        "unknown model": ("model", "m9", "stability", None, None, 0.0),
+    }
+    return tidy(review.policy(values, review.policy_rules(spark, rules)))
+
+
+@query
+def evidence_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded numbers that the weekly ones do not give: two were changed, and one week's count of one model."""
+    weekly, folds, models = _published(spark, d)
+    folds = folds.withColumn("stability", F.expr("CASE WHEN model = 'm2' AND fold = 3 THEN stability + 0.01 ELSE stability END"))
+    models = models.withColumn("positives", F.expr("CASE WHEN model = 'm4' THEN positives - 1 ELSE positives END"))
+    weekly = weekly.withColumn("n_rows", F.expr("CASE WHEN model = 'm1' AND WEEK_NUM = 310 THEN n_rows + 2 ELSE n_rows END"))
+    return tidy(review.evidence_faults(weekly, folds, models))
+
+
+@query
+def parzen_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates after 25 trials, one a brand: a number, one on a logarithmic scale, and a choice."""
+    part = t.table(spark, d, "part")
+    brands = part.groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 6).alias("value"), F.avg("p_size").alias("size"), F.round(F.max("p_retailprice"), 2).alias("price"))
+    number = F.substring_index("p_brand", "#", -1).cast("int")
+    trials = brands.select((number - 1).alias("slot"), "value", "size", "price", F.concat(F.lit("k"), (number % 5 + 1).cast("string")).alias("kind"))
+    space = [proposals.Number("size", 1, 50), proposals.Number("price", 900, 3000, log=True), proposals.Choice("kind", ("k1", "k2", "k3", "k4", "k5"))]
+    return tidy(proposals.candidates(spark, space, trials, 25), 5)
+
+
 def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
     h = short(aggregate_history(t.history(spark, d), "lines", 1, ["quantityA", "priceA"], dates=t.DATES, ties=TIES, ends=False))
     names = ["rows__count", "quantityA__mean", "quantityA__sum", "priceA__max", "shippedD__mean"]
