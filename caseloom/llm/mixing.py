@@ -3,7 +3,9 @@
 A source of n documents and target weight w is to give total * w rows, so each of its documents is repeated
 r = total * w / n times on average. A document's count inverts the Poisson distribution of mean r at a
 uniform number hashed from seed and id: the same whatever the partitions, and independent between documents.
-Copies are dealt to partitions, and ordered within them, by a hash of seed, id and copy: a global shuffle.
+Copies are dealt to partitions by a hash of seed, id, copy, the row itself and the partition that it comes from, so
+that rows of one id, or of equal content, spread over all partitions; within them they are ordered by a hash of seed, id
+and copy, and copies for which that is equal by a hash of the row. Counts do not depend on partitions.
 
 Null sources make a source of their own. Rows that repeat an id draw the same count; a null id draws as the
 text 'null'. Sources with weight 0 or not named in given weights vanish. An empty table stays empty.
@@ -86,6 +88,7 @@ def mix(
     # A step list that is empty is a source to leave out; else u is all but certain to lie below the last step.
     copies = drawn.where("times > 0").select("row", "id_text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_no"))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col("id_text"), F.col("copy_no").cast("string")).cast("binary"))
-    keyed = copies.withColumn("shuffle_key", key)
+    keyed = copies.select("row", "copy_no", key.alias("shuffle_key"), F.xxhash64("row").alias("content"), F.spark_partition_id().alias("origin"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key").select("row.*", "copy_no", "shuffle_key")
+    dealt = keyed.repartition(n, "shuffle_key", "content", "origin").sortWithinPartitions("shuffle_key", "content")
+    return dealt.select("row.*", "copy_no", "shuffle_key")
