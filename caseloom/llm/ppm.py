@@ -11,8 +11,9 @@ by Spark; the counts lie in the shared folder. A broadcast tier of the commonest
 others of a document, each once with its number of times, are joined by window; windows never seen in training
 descend to shorter contexts, each once, whatever number of documents holds it.
 
-The word baseline counts words over all training texts. A broadcast tier of the commonest words serves most
-lookups, the others are joined by word: those are rare, so no key of that join is hot.
+The word baseline counts words over all training texts. A broadcast tier of the commonest words, bounded by their
+number and their bytes, serves most lookups. The others of a document, each once with its number of times, are joined
+by word: one row a document and word. Such a word is rare, or longer than TIER_WORD bytes; Spark splits the join's keys.
 
 Null text counts as empty: the end mark alone. Long texts are counted and scored in stretches of CHUNK bytes, each
 with the context before it. Rows that repeat an id are scored each; null ids train. An empty table gives no row;
@@ -37,8 +38,8 @@ SYMBOLS, END = 257, 256
 MOST_ORDER = 6
 #: Bytes that are counted at once, and distinct words and windows that a task holds before it passes them on.
 CHUNK, HELD_WORDS, HELD_WINDOWS = 4 << 20, 400_000, 2_000_000
-#: Words of the broadcast tier: at most this many, of at most TIER_BYTES bytes each.
-TIER, TIER_BYTES = 131_072, 64
+#: Words of the broadcast tier: at most this many, of at most so many bytes together, none longer than TIER_WORD bytes.
+TIER, TIER_TOTAL, TIER_WORD = 131_072, 16 << 20, 1 << 16
 #: Windows of the broadcast tier at most, and steps of a doubling by which their least count is found.
 WINDOW_TIER, STEPS = 1_048_576, 16
 #: Bytes that are scored at once, as far as texts allow, few enough for a processor's cache, and factors that windows are hashed by.
@@ -135,13 +136,17 @@ def seen_windows(counts: DataFrame) -> DataFrame:
     return counts.select("w", "n", F.log10(F.col("n") / (n + F.when(d < SYMBOLS, d).otherwise(0))).alias("lp"))
 
 
-def commonest(counted: DataFrame, size: int) -> DataFrame:
-    """At most size rows whose n is highest; rows of a like n go together, so that no task and no driver sorts them."""
+def commonest(counted: DataFrame, size: int, weight: Column | None = None, total: int = 0) -> DataFrame:
+    """At most size rows whose n is highest, of at most total in weight, if one is given.
+
+    Rows of a like n go together, so that no task and no driver sorts them.
+    """
     step = F.floor(F.log2("n") * STEPS).cast("int")
+    of = F.lit(0) if weight is None else weight
     least = None
-    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        size -= r["count"]
-        if size < 0:
+    for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.sum(of).alias("weight")).orderBy(F.desc("step")).collect():
+        size, total = size - r["rows"], total - r["weight"]
+        if min(size, total) < 0:
             break
         least = r["step"]
     return counted.where(step >= least if least is not None else F.lit(False))
@@ -261,7 +266,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, kinds = n_words + n_texts, distinct + (n_texts > 0)
     whole = total + 0.1 * (kinds + 1)
-    common = commonest(counts.where(F.length("word") <= TIER_BYTES), tier_size).select("word", "n").toArrow()
+    common = commonest(counts.where(F.length("word") <= TIER_WORD), tier_size, F.length("word"), TIER_TOTAL).select("word", "n").toArrow()
     tier = spark.sparkContext.broadcast(dict(zip(common["word"].to_pylist(), common["n"].to_pylist(), strict=True)))
     del common
     windows = materialize(window_counts(training, text_col, order), "windows")
@@ -269,7 +274,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     near_windows = spark.sparkContext.broadcast(window_table(commonest(seen, window_tier)))
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), held.alias("held_out"), F.monotonically_increasing_id().alias("rid"))
-    schema = schema_with(rows.drop("text"), "n_tokens long, near_known long, near_score double, score double, rare array<binary>, far array<struct<w:long,m:long>>")
+    schema = schema_with(rows.drop("text"), "n_tokens long, near_known long, near_score double, score double, rare array<struct<word:binary,m:long>>, far array<struct<w:long,m:long>>")
     end_score = float(np.log10((n_texts + 0.1) / whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +282,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         near = Tier({w: float(np.log10((c + 0.1) / whole)) for w, c in tier.value.items()})
         pair = pa.struct([("w", pa.int64()), ("m", pa.int64())])
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
+            rare_w, rare_m, rare_size = [], [], []
             far_w, far_m, far_size = [], [], []
             for part in chunks(encoded(b.column(0)), SCORED):
                 if len(part) == 1:
@@ -309,21 +315,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
                     out[0].append(len(found) + 1)
                     out[1].append(len(found) - len(far) + (n_texts > 0))
                     out[2].append(float(np.nansum(each)) + end_score)
-                    out[4].append([found[i] for i in far])
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
+                    rare = Counter([found[i] for i in far])
+                    rare_w += rare.keys()
+                    rare_m += rare.values()
+                    rare_size.append(len(rare))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            rare_pairs = pa.StructArray.from_arrays([pa.array(rare_w, pa.binary()), pa.array(rare_m, pa.int64())], names=["word", "m"])
+            rare_lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *rare_size]), pa.int32()), rare_pairs)
             none = [np.zeros(0, np.int64)]
             pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(none + x), pa.int64()) for x in (far_w, far_m)], fields=list(pair))
             ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *far_size]))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), lists], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), rare_lists, lists], schema.names)
 
     near = materialize(rows.mapInArrow(run, schema), "scored")
-    rare = near.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
+    rare = near.select("rid", F.explode("rare").alias("rare")).select("rid", "rare.*").join(counts, "word", "left")
     lost = near.select("rid", F.explode("far").alias("far")).select("rid", "far.*")
     unseen = materialize(lost.select("w").distinct().join(seen, "w", "left_anti"), "unseen")
     priced = seen.select("w", "lp").unionByName(escaped_windows(windows, unseen, order))
     c = F.coalesce("n", F.lit(0))
-    by_word = rare.select("rid", F.log10((c + 0.1) / whole).alias("far_score"), (c > 0).cast("long").alias("far_known"), F.lit(0.0).alias("far_lp"))
+    by_word = rare.select("rid", (F.col("m") * F.log10((c + 0.1) / whole)).alias("far_score"), F.when(c > 0, F.col("m")).otherwise(0).alias("far_known"), F.lit(0.0).alias("far_lp"))
     by_window = lost.join(priced, "w").select("rid", F.lit(0.0).alias("far_score"), F.lit(0).cast("long").alias("far_known"), (F.col("m") * F.col("lp")).alias("far_lp"))
     far = by_word.unionByName(by_window).groupBy("rid").agg(*[F.sum(x).alias(x) for x in ("far_score", "far_known", "far_lp")])
     joined = near.drop("rare", "far").join(far, "rid", "left")
