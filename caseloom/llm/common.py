@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
@@ -19,8 +20,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _own_folder: list[str] = []
-#: Paths that materialize has written and nothing has deleted yet.
-_written: list[str] = []
+#: Paths that materialize has written and nothing has deleted yet; those of the current run of settled, in its thread.
+_written: set[str] = set()
+_run: ContextVar[list[str] | None] = ContextVar("run", default=None)
 _path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -42,7 +44,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/caseloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written.add(path)
+    if (own := _run.get()) is not None:
+        own.append(path)
     found = spark.read.schema(df.schema).parquet(path)
     _path_of[found] = path
     return found
@@ -51,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _written.remove(path)
+    _written.discard(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -61,11 +65,19 @@ def discard(df: DataFrame) -> None:
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """make() materialised; what was materialised on the way to it is deleted."""
-    before = set(_written)
-    found = materialize(make(), name)
-    for path in [p for p in _written if p not in before and p != _path_of[found]]:
-        _delete(found.sparkSession, path)
+    """make() materialised; what was materialised on the way to it, in this thread, is deleted. Other threads' is left alone."""
+    outer, own = _run.get(), []
+    token = _run.set(own)
+    try:
+        found = materialize(make(), name)
+    finally:
+        _run.reset(token)
+    kept = _path_of[found]
+    for path in own:
+        if path != kept and path in _written:
+            _delete(found.sparkSession, path)
+    if outer is not None:
+        outer.append(kept)
     return found
 
 

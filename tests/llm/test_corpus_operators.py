@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontam, langid, licenses, mixing, ppm, secrets, simhash, tokencount, topk, urlfilter
+from caseloom.llm import common, decontam, langid, licenses, mixing, ppm, secrets, simhash, tokencount, topk, urlfilter
 from caseloom.llm.components import connected_components
 from caseloom.llm.queries import model_path
 
@@ -35,6 +35,45 @@ def docs(request, odd_docs, no_docs, real_docs):
     return {"odd": odd_docs, "none": no_docs, "real": real_docs}[request.param]
 
 
+# intermediates
+
+
+def test_runs_in_two_threads_keep_their_own_intermediates(spark):
+    from threading import Event, Thread
+
+    first_wrote, second_wrote, kept, errors = Event(), Event(), {}, []
+
+    def first():
+        def make():
+            df = common.materialize(spark.range(5), "one")
+            first_wrote.set()
+            second_wrote.wait(60)
+            return df
+
+        kept["first"] = common.settled(make, "first")
+
+    def second():
+        first_wrote.wait(60)
+        kept["second"] = common.materialize(spark.range(7), "two")
+        second_wrote.set()
+
+    def guarded(f):
+        try:
+            f()
+        except Exception as error:
+            errors.append(error)
+
+    threads = [Thread(target=guarded, args=(f,)) for f in (first, second)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and kept["first"].count() == 5 and kept["second"].count() == 7
+    before = {*common._written}
+    outer = common.settled(lambda: common.settled(lambda: common.materialize(spark.range(3), "in"), "inner"), "outer")
+    assert outer.count() == 3 and len(common._written - before) == 1, "nested runs leave the last result alone"
+
+
 # language ID
 
 
@@ -451,6 +490,35 @@ def test_high_rates_are_inverted_around_the_mean(spark):
         assert got[i] == k
 
 
+def test_rows_of_one_id_spread_over_all_partitions(spark):
+    docs = spark.range(40_000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source")).repartition(6)
+    for rows in (docs, docs.withColumn("text", F.lit("same")).withColumn("doc_id", F.lit(None).cast("long"))):
+        mixed = mixing.mix(rows, partitions=8, total=60_000)
+        sizes = [r["count"] for r in mixed.groupBy(F.spark_partition_id()).count().collect()]
+        if rows is docs:  # equal rows from six partitions can go to six places a copy at most
+            assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / 8
+        else:
+            assert not sizes or len(sizes) > 1
+
+
+def test_a_frequent_long_word_is_one_row_a_document(spark, monkeypatch):
+    rule, huge = "=" * 80, "h" * 300
+    docs = spark.createDataFrame([(k, f"{rule}\nword{k} {rule} text {rule} {huge} {huge}\n" * 5) for k in range(60)], "doc_id long, text string")
+    whole = {r["doc_id"]: tuple(r) for r in ppm.score(docs).collect()}
+    monkeypatch.setattr(ppm, "TIER_WORD", 64)  # both go by the join
+    seen = []
+    keep = ppm.materialize
+    monkeypatch.setattr(ppm, "materialize", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    joined = {r["doc_id"]: tuple(r) for r in ppm.score(docs).collect()}
+    scored = dict(seen)["scored"]
+    assert scored.select(F.explode("rare").alias("r")).where(F.length("r.word") > 64).groupBy("r.word").count().where("count > 60").count() == 0
+    for k, row in whole.items():
+        assert [x if isinstance(x, (int, bool)) else round(x, 6) for x in joined[k]] == [x if isinstance(x, (int, bool)) else round(x, 6) for x in row]
+    counts = spark.createDataFrame([(bytes([65 + k]) * 100, 50) for k in range(20)] + [(b"z", 60)], "word binary, n long")
+    assert ppm.commonest(counts, 1000, F.length("word"), 50).count() == 1, "a tier ends where its bytes do"
+
+
+
 # URL filters
 
 
