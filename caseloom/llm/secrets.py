@@ -4,8 +4,9 @@ Long runs of letters, digits and a few marks are candidates. Two models of chara
 strings and one of ordinary words and identifiers, give each candidate a log-likelihood ratio; candidates
 above the margin are spans of kind ``random``. The models are trained from labelled samples: random strings
 written from digests (as base64 text, as upper-case hexadecimal and as lower-case letters with digits), and
-ordinary strings made of words as programmers and sites make them, with digits, capitals, dates, paths and
-lower-case UUIDs. The words come from a bounded sample of the corpus and from a fixed list. Patterns of well-known secrets
+ordinary strings made of words as programmers and sites make them, with digits, capitals, dates and paths, rules and
+alphabets in their order. The words come from a bounded sample of the corpus and from a fixed list. The margin falls
+with the number of groups of digits (MARGINS); UUIDs of either case are ordinary. Patterns of well-known secrets
 count whatever the models say. A candidate that reaches beyond each of them is judged by all its characters
 outside of them together, and where that fails, by each part of LEAST_PART characters and more that they leave;
 random spans may so overlap others.
@@ -39,6 +40,13 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 CODES = 128
 #: Log-likelihood ratio from which a candidate is a secret: a thousand to one.
 MARGIN = math.log(1000)
+#: The same for candidates without a group of digits, with one, two, and more: random strings of these alphabets have
+#: several, so that without them more evidence is asked for. Names of parts no sample holds seldom have any.
+MARGINS = (30.0, 20.0, 15.0, MARGIN)
+#: UUIDs are ordinary by their shape.
+UUID = r"(?i)\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"
+# Alphabets and digits in their order, forwards and backwards, as tables and tests write them.
+SEQUENCES = [x for s in (ALPHABET[:26], ALPHABET[26:52], "0123456789ABCDEF", "0123456789abcdef") for x in (s, s[::-1])]
 #: Taken from each pair's ratio: words of languages that no sample holds look a little random.
 DISCOUNT = 0.75
 #: Characters of a candidate, and of a text, that are handled as one block.
@@ -170,7 +178,8 @@ def log_ratios(docs: DataFrame, text_col: str = "text", random_rows: int = 2000,
     """For each pair of codes, the log of its probability among random strings over that among ordinary ones, less DISCOUNT."""
     spark = docs.sparkSession
     rules = spark.createDataFrame([(c * 24,) for c in ALPHABET], "s string").select(F.explode(F.array_repeat("s", 50)).alias("s"))  # as lines are drawn
-    samples = [random_strings(docs, random_rows), ordinary_forms(ordinary_words(docs, text_col, sample_docs)).unionByName(rules)]
+    orders = spark.createDataFrame([(x,) for x in SEQUENCES], "s string").select(F.explode(F.array_repeat("s", 300)).alias("s"))
+    samples = [random_strings(docs, random_rows), ordinary_forms(ordinary_words(docs, text_col, sample_docs)).unionByName(rules).unionByName(orders)]
     known = [ord(c) for c in ALPHABET]
     logs = []
     for s in samples:
@@ -233,18 +242,24 @@ def crossing(candidates: str, assign: str) -> str:
     return f"filter({found}, c -> c IS NOT NULL AND NOT exists(c.crossed, b -> b.at <= c.span.at AND c.span.end <= b.end))"
 
 
-def spans(docs: DataFrame, text_col: str = "text", table: list[float] | None = None) -> DataFrame:
-    """docs with spans added: structs (at, kind, end, body) by start, then kind; kind indexes KINDS."""
+def spans(docs: DataFrame, text_col: str = "text", table: list[float] | None = None, margins: tuple[float, ...] = MARGINS) -> DataFrame:
+    """docs with spans added: structs (at, kind, end, body) by start, then kind; kind indexes KINDS.
+
+    margins: the ratio asked of candidates with 0, 1, ... groups of digits; the last holds for all further numbers.
+    """
     table = log_ratios(docs, text_col) if table is None else table
     columns = [c for c in docs.columns if c.lower() != "spans"]
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("k_row"), F.coalesce(F.col(text_col), F.lit("")).alias("k_text"))
     assign = f"filter({spans_of('k_text', ASSIGN, 0)}, s -> length(regexp_replace(s.body, {quoted(ASSIGN_HEAD)}, '')) >= {ASSIGN_VALUE})"
     base = own.select("k_row", "k_text", F.expr(assign).alias("k_assign"), F.expr(f"concat({spans_of('k_text', ACCESS, 1)}, {spans_of('k_text', HEX, 2)})").alias("k_keys"))
     candidates = base.select("k_row", F.array_sort(F.concat("k_assign", "k_keys")).alias("k_base"), F.expr(crossing(spans_of("k_text", CANDIDATE, 3), "k_assign")).alias("k_more"))
-    judge = lambda p: F.struct(p.alias("span"), ratio(p["body"], table).alias("r"))
+    of_body = lambda p: F.when(p["body"].rlike(UUID), -math.inf).otherwise(ratio(p["body"], table))
+    judge = lambda p: F.struct(p.alias("span"), of_body(p).alias("r"), F.regexp_count(p["body"], F.lit("[0-9]+")).alias("groups"))
+    asked = lambda groups: F.element_at(F.array(*map(F.lit, margins)), F.least(groups, F.lit(len(margins) - 1)) + 1)
     judged = candidates.withColumn("k_parts", F.expr(f"transform(k_more, c -> {outside('c.span', 'c.crossed')})")).withColumn("k_parts", F.transform("k_parts", lambda parts: F.transform(parts, judge)))
-    random = lambda p: (p["r"] >= MARGIN) & (p["span"]["end"] - p["span"]["at"] >= LEAST_PART)
-    whole = lambda parts: F.aggregate(parts, F.lit(0.0), lambda r, p: r + p["r"]) >= MARGIN
+    random = lambda p: (p["r"] >= asked(p["groups"])) & (p["span"]["end"] - p["span"]["at"] >= LEAST_PART)
+    total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda r, p: r + p["r"])
+    whole = lambda parts: total(parts) >= asked(F.aggregate(parts, F.lit(0), lambda n, p: n + p["groups"]))
     more = F.flatten(F.zip_with("k_more", "k_parts", lambda c, parts: F.when(whole(parts), F.array(c["span"])).otherwise(F.transform(F.filter(parts, random), lambda p: p["span"]))))
     return judged.select("k_row.*", F.array_sort(F.concat("k_base", more)).alias("spans"))
 

@@ -7,6 +7,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -758,12 +759,15 @@ def test_parts_of_candidates_outside_base_spans_are_judged(spark):
     table[ord("-") * secrets.CODES + ord("-")] = -9.0
     text = "x " + "Q" * 25 + "0123456789abcdef0" + "-" * 30 + " " + "Q" * 10 + "0123456789abcdef0" + "Q" * 19
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    got = rows(secrets.spans(docs, table=table), secrets.joined(F.col("spans")))
+    got = rows(secrets.spans(docs, table=table, margins=(secrets.MARGIN,)), secrets.joined(F.col("spans")))
     assert got == [("random:2:27,hex:27:44,random:75:121,hex:85:102",)], "the first candidate by one part, the second by its parts together"
 
 
 ORDINARY = [
     "550e8400-e29b-41d4-a716-446655440000",
+    "550E8400-E29B-41D4-A716-446655440000",
+    "abcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOP",
     "com/blog/2023/05/17/how-we-built-it-2023",
     "VERSION_2024_10_RELEASE_CANDIDATE_3",
     "MAX_NUMBER_OF_CONNECTIONS_PER_HOST",
@@ -779,6 +783,8 @@ ORDINARY = [
 
 
 def pair_ratio(text, table):
+    if re.fullmatch("(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", text):
+        return -math.inf
     return sum(table[ord(a) * secrets.CODES + ord(b)] for a, b in zip(text, text[1:], strict=False))
 
 
@@ -801,7 +807,22 @@ def test_ordinary_strings_are_no_secrets_and_random_ones_are(spark, real_docs):
     assert not {*wrong} & {*ORDINARY} and len(wrong) <= 0.01 * len(plain)
     assert np.mean(found[: len(keys)]) > 0.97
     got = secrets.spans(docs, table=table).select("doc_id", secrets.ratio(F.expr("substring(text, 3, length(text) - 4)"), table).alias("r")).orderBy("doc_id").collect()
-    assert [r["r"] for r in got] == pytest.approx([pair_ratio(t, [float(f"{x:.4f}") for x in table]) for t in [*keys, *plain]])
+    want = [pair_ratio(t, [float(f"{x:.4f}") for x in table]) for t in [*keys, *plain]]
+    assert all(r["r"] == pytest.approx(x) for r, x in zip(got, want, strict=True) if x > -math.inf)
+
+
+def test_names_of_source_text_are_no_secrets(spark):
+    """500 names and paths of a programming language's own library, none of them trained on; and random keys beside them."""
+    table = secrets.log_ratios(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    names = (Path(__file__).parent / "source_names.txt").read_text().split()
+    assert len(names) >= 500
+    rng = random.Random(4)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choices(c, k=n)) for n in (24, 32, 40) for c in (chars, chars + "-_", chars[:26] + chars[52:]) for _ in range(50)]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate([*names, *keys])], "doc_id int, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.spans(docs, table=table).select("doc_id", "spans").collect()}
+    assert [names[i] for i in range(len(names)) if found[i]] == []
+    assert np.mean([bool(found[i]) for i in range(len(names), len(found))]) >= 0.95
 
 
 def test_long_candidates_and_many_spans(spark):

@@ -161,10 +161,12 @@ def all_spans(text, table):
                 free.append((at, a))
             at = max(at, b)
         ratios = [pair_ratio(text[a:b], table) for a, b in free]
-        if sum(ratios) >= secrets.MARGIN:
+        groups = [len(re.findall("[0-9]+", text[a:b])) for a, b in free]
+        asked = lambda n: secrets.MARGINS[min(n, 3)]
+        if sum(ratios) >= asked(sum(groups)):
             more.append((m.start(), 3, m.end()))
         else:
-            more += [(a, 3, b) for (a, b), r in zip(free, ratios, strict=True) if r >= secrets.MARGIN and b - a >= secrets.LEAST_PART]
+            more += [(a, 3, b) for (a, b), r, n in zip(free, ratios, groups, strict=True) if r >= asked(n) and b - a >= secrets.LEAST_PART]
     return sorted(base), sorted(base + more)
 
 
