@@ -305,20 +305,61 @@ def test_edited_license_is_found(spark):
 
 
 def longest(text, template):
-    """Pairs of a template in the longest chain of matches, tried one by one."""
-    w, t = words(text), template.split()
-    pairs = {(a, b): i for i, (a, b) in enumerate(zip(t, t[1:], strict=False))}
-    met, best = [(i, pairs[p]) for i, p in enumerate(zip(w, w[1:], strict=False)) if p in pairs], {}
+    """Grams of a template in the longest chain of matches, tried one by one."""
+    w, t = words(text), words(template)
+    k = 4 if len(t) >= 20 else 2
+    pairs, at = [tuple(t[i : i + k]) for i in range(len(t) - k + 1)], {}
+    for i, p in enumerate(pairs):
+        at.setdefault(p, []).append(i)
+    met, best = [(i, q) for i in range(len(w) - k + 1) for q in at.get(tuple(w[i : i + k]), ())], {}
     for d, p in met:
         best[d, p] = 1 + max((n for (e, q), n in best.items() if e < d and q < p and abs(d - p - e + q) <= 3), default=0)
     return max(best.values(), default=0) / len(pairs)
 
 
+def least_cover(template):
+    return 0.4 if len(words(template)) >= 20 else 0.75
+
+
+def test_license_bodies_are_found_after_edits(spark):
+    rng = random.Random(6)
+    filler = "river green mountain silver cloud paper engine quiet orange bridge of the and in this".split()
+    bodies = {t: label for t, label in licenses.TEMPLATES.items() if licenses.gram_size(t) == 4}
+    assert len(bodies) == 10
+    texts, want = [], []
+    for t, label in bodies.items():
+        w = words(t)
+        for _ in range(3):
+            changed = {*rng.sample(range(len(w)), max(1, len(w) // 20))}  # a word in twenty
+            edited = [rng.choice(filler) if k in changed else x for k, x in enumerate(w)]
+            at = rng.randrange(len(edited))
+            edited[at:at] = ["by", "us"]
+            texts.append(" ".join(rng.choices(filler, k=50) + edited + rng.choices(filler, k=50)))
+            want.append(label)
+    plain = [" ".join(rng.choices(filler + words(" ".join(bodies)), k=400)) for _ in range(30)]
+    ids = ["SPDX-License-Identifier: GPL-2.0-only", "// SPDX-License-Identifier: BSD-3-Clause"]
+    docs = spark.createDataFrame(list(enumerate([*texts, *plain, *ids])), "doc_id int, text string")
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert all(label in found[i].split(",") for i, label in enumerate(want))
+    assert all(found[len(texts) + i] in ("", "mit", "gpl") for i in range(len(plain))) and [found[len(texts) + 30 + i] for i in range(2)] == ["gpl", "bsd"]
+
+
+def test_templates_are_a_parameter(spark, monkeypatch):
+    own = {"the house rules of our club": "house", " ".join(f"w{k}" for k in range(30)): "long"}
+    docs = spark.createDataFrame([(1, "x The House Rules, of our club"), (2, " ".join(f"W{k}" for k in range(5, 28))), (3, "MIT license")], "doc_id int, text string")
+    for most in (licenses.BROADCAST_GRAMS, 3):  # by shuffle, too
+        monkeypatch.setattr(licenses, "BROADCAST_GRAMS", most)
+        assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs, templates=own).collect()} == {1: "house", 2: "long", 3: "mit"}
+    assert licenses.digest_of(own) == licenses.digest_of(dict(reversed(own.items()))) != licenses.digest_of({**own, "one more": "x"})
+    with pytest.raises(ValueError, match="two words"):
+        licenses.scan(docs, templates={"one": "x"})
+
+
 def test_no_pair_of_a_template_counts_twice(spark):
     rng = random.Random(4)
     pool = "gnu lesser general public license mozilla version x".split()
     texts = ["general public license general public license", "public license x public license x public license", "public license " * 2000, "license version mozilla public license"]
-    texts += ["mozilla public mozilla public license", "SPDX-License-Identifier SPDX-License-Identifier: BSD-3-Clause"]
+    texts += ["mozilla public mozilla public license", "SPDX-License-Identifier SPDX-License-Identifier: None-3-Clause"]
     texts += ["gnu lesser x general y public license"] + [" ".join(rng.choices(pool, k=rng.randrange(40))) for _ in range(60)]
     texts += ["permission is hereby granted x y free of charge z to any person a obtaining a copy b c of this software " * 2]
     found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
@@ -326,7 +367,7 @@ def test_no_pair_of_a_template_counts_twice(spark):
     for i, t in enumerate(texts):
         cover = {p: longest(t, p) for p in licenses.TEMPLATES}
         assert found[i]["score"] == pytest.approx(max([*cover.values(), *(longest(t, p) for p in licenses.BASE)]))
-        want = {licenses.TEMPLATES[p] for p, c in cover.items() if c >= 0.75} | {*places(t)[2].split(",")} - {""}
+        want = {licenses.TEMPLATES[p] for p, c in cover.items() if c >= least_cover(p)} | {*places(t)[2].split(",")} - {""}
         assert found[i]["labels"] == ",".join(sorted(want))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from test_corpus_operators import LEAST, PATTERNS, brute, contamination, fingerprint, long_probability, longest, pair_ratio, places, poisson_count
+from test_corpus_operators import LEAST, PATTERNS, brute, contamination, fingerprint, least_cover, long_probability, longest, pair_ratio, places, poisson_count
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -116,7 +116,7 @@ def test_licenses(spark, folder, data):
         assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (n, len(at), min(at, default=None), max(at, default=None), labels)
         if n < 1000:
             cover = {p: longest(r["text"], p) for p in licenses.TEMPLATES}
-            assert got["labels"] == ",".join(sorted({licenses.TEMPLATES[p] for p, c in cover.items() if c >= 0.75} | {*labels.split(",")} - {""}))
+            assert got["labels"] == ",".join(sorted({licenses.TEMPLATES[p] for p, c in cover.items() if c >= least_cover(p)} | {*labels.split(",")} - {""}))
             assert got["score"] == pytest.approx(max([*cover.values(), *(longest(r["text"], p) for p in licenses.BASE)]))
 
 
