@@ -1,11 +1,13 @@
 """Exact top-k inner-product search: ball-tree branch and bound over shards.
 
-Candidates are dealt to shards of bounded size and queries to blocks of bounded size by hashes; each pair of a
-block and a shard is one task. First each query probes one shard alone: the kth score that it finds there is a
-floor below which no shard need look, and goes with the query into all tasks. In a task, the nodes of the shard's
-ball tree are bounded for the whole block at once, subtrees below a query's floor are cut off, and each query
-visits its remaining leaves in descending order of the inner-product upper bound, until the bound falls below its
-current kth score.
+Rows are dealt by the nearest of at most MOST_PIVOTS pivots, vectors of the table that a hash draws; a pivot's rows
+make a ball around it, and are cut into shards of bounded size by a hash, as are queries into blocks. First each query
+probes one shard of the ball whose pivot has the highest product with it: the kth score that it finds there is a floor.
+The inner product with any row of a ball is bounded by that with its pivot and by its radius; only shards of balls whose
+bound reaches the floor are searched, and their rows go only to the blocks with such queries. In a task, one block and
+one shard, the nodes of the shard's ball tree are bounded for the whole block at once, subtrees below a query's floor
+are cut off, and each query visits its remaining leaves in descending order of the inner-product upper bound, until the
+bound falls below its current kth score. ``Plan.pairs`` tells how many pairs of query and shard were left.
 
 Scores are exact integers. Rows whose id or vector is null, or whose vector holds a null or non-finite
 component, take no part; neither do candidates of another length than the query, or with the query's own
@@ -16,15 +18,22 @@ go to the smaller id. Scores must fit 64 bits. An empty table, or one without qu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import beside, discard, materialize, schema_with
 
 LEAF = 64
+#: Pivots at most: a pass over the rows takes as many products a row, and the driver and each task hold them.
+MOST_PIVOTS = 2048
 #: Whole numbers up to this are exact as doubles.
 EXACT = float(1 << 53)
 
@@ -149,6 +158,138 @@ def usable(vector: Column) -> Column:
     return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+class Pivots:
+    """Pivots by the length of their vectors. A length without one has a ball around zero."""
+
+    def __init__(self, vectors: list[list[int]]) -> None:
+        distinct = sorted({tuple(v) for v in vectors})
+        self.n = len(distinct)
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in {len(v) for v in distinct}:
+            at = [i for i, v in enumerate(distinct) if len(v) == length]
+            self.of[length] = np.array(at), np.array([distinct[i] for i in at], float).reshape(len(at), length)
+
+    def balls(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the balls of vectors of this length, and their centres."""
+        return self.of.get(length, (np.array([self.n + length]), np.zeros((1, length))))
+
+    def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ball of each row, and its distance from the centre."""
+        at, centres = self.balls(v.shape[1])
+        near = ((centres * centres).sum(axis=1) - 2 * (v @ centres.T)).argmin(axis=1)
+        away = v - centres[near]
+        return at[near], np.sqrt((away * away).sum(axis=1))
+
+    def bounds(self, q: np.ndarray, radius: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Balls that hold rows, the products of their centres with the queries, and upper bounds of any row's product."""
+        at, centres = self.balls(q.shape[1])
+        held = np.array([i in radius for i in at.tolist()], bool)
+        at, centres = at[held], centres[held]
+        reach = np.array([radius[i] for i in at.tolist()])
+        size = np.sqrt((q * q).sum(axis=1))[:, None]
+        product = q @ centres.T
+        return at, product, product + size * reach + 1e-9 * (1 + np.abs(q) @ np.abs(centres).T + size * reach)
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of each length, and their vectors."""
+    sizes = np.diff(column.offsets.to_numpy())
+    for length in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == length)
+        yield at, column.take(pa.array(at)).flatten().to_numpy().astype(float).reshape(len(at), length)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What search prepares: queries and candidates in their balls, and the pairs of query and shard that are left."""
+
+    queries: DataFrame
+    candidates: DataFrame
+    pairs: DataFrame
+    n_shards: int
+
+
+def in_balls(rows: DataFrame, vector: str, pivots: Broadcast) -> DataFrame:
+    """rows with ball and away, its centre's distance."""
+    place = rows.columns.index(vector)
+    schema = schema_with(rows, "ball int, away double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ball, away = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for at, v in by_length(b.column(place)):
+                ball[at], away[at] = pivots.value.nearest(v)
+            yield beside(b.columns, [pa.array(ball), pa.array(away)], schema)
+
+    return rows.mapInArrow(run, schema)
+
+
+def choices(queries: DataFrame, pivots: Broadcast, radius: dict[int, float], shards: dict[int, int], probe: bool) -> DataFrame:
+    """own, q, floor, block_ball, block and the shards (ball, part) that a query asks: one to probe, or all that may reach its floor."""
+    schema = schema_with(queries, "asked array<struct<ball:int,part:int>>")
+    q_at, floor_at = queries.columns.index("q"), queries.columns.index("floor")
+    draw_at = queries.columns.index("draw")
+    known = queries.sparkSession.sparkContext.broadcast((radius, shards))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        radius, shards = known.value
+        for b in batches:
+            floor = b.column(floor_at).to_numpy(zero_copy_only=False).astype(float)
+            draw = b.column(draw_at).to_numpy()
+            asked: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            for at, q in by_length(b.column(q_at)):
+                balls, product, bound = pivots.value.bounds(q, radius)
+                if not len(balls):
+                    continue
+                if probe:
+                    for row, ball in zip(at.tolist(), balls[product.argmax(axis=1)].tolist(), strict=True):
+                        asked[row] = [{"ball": ball, "part": int(draw[row] % shards[ball])}]
+                else:
+                    low = np.where(np.isnan(floor[at]), -np.inf, floor[at])[:, None]
+                    for row, here in zip(at.tolist(), bound >= low, strict=True):
+                        asked[row] = [{"ball": ball, "part": p} for ball in balls[here].tolist() for p in range(shards[ball])]
+            yield beside(b.columns, [pa.array(asked, pa.list_(pa.struct([("ball", pa.int32()), ("part", pa.int32())])))], schema)
+
+    found = queries.mapInArrow(run, schema)
+    return found.select("own", "q", "floor", "block_ball", "block", F.inline("asked"))
+
+
+def met(asks: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id and score of each block in each shard that it asks; rows go to such blocks alone."""
+    keys = ["ball", "part", "block_ball", "block"]
+    wanted = asks.select(*[F.col(c).alias(f"w_{c}") for c in keys]).distinct()
+    have = candidates.join(wanted, (F.col("ball") == F.col("w_ball")) & (F.col("part") == F.col("w_part"))).select("id", "v", "n", *wanted.columns)
+    run = lambda a, b: searched(a, b, k)
+    return asks.groupBy(*keys).cogroup(have.groupBy(*wanted.columns)).applyInPandas(run, "query_id long, vec_id long, score long")
+
+
+def prepare(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int, scale: int, shard_rows: int, block_rows: int, most_pivots: int) -> Plan:
+    spark = vectors.sparkSession
+    good = vectors.where(F.col(id_col).isNotNull() & F.coalesce(usable(F.col(vector_col)), F.lit(False)))
+    rows = good.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("asks"))
+    rows = materialize(rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")), "vectors")
+    n = rows.count()
+    drawn = rows.orderBy(F.xxhash64("v"), "v").limit(min(most_pivots, max(1, -(-n // shard_rows)))).select("v").collect()
+    pivots = spark.sparkContext.broadcast(Pivots([r[0] for r in drawn]))
+    dealt = materialize(in_balls(rows, "v", pivots), "balls")
+    discard(rows)
+    balls = {r["ball"]: r for r in dealt.groupBy("ball").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}  # one row a ball
+    shards, radius = {b: -(-r["n"] // shard_rows) for b, r in balls.items()}, {b: r["radius"] for b, r in balls.items()}
+    parts = F.broadcast(spark.createDataFrame([*shards.items()], "ball int, shards int"))
+    candidates = dealt.join(parts, "ball").select("id", "v", "n", "ball", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int").alias("part"))
+
+    queries = in_balls(dealt.where("asks").groupBy(F.col("id").alias("own")).agg(F.min("v").alias("q")), "q", pivots).withColumnRenamed("ball", "block_ball")
+    sizes = [(r["block_ball"], -(-r["count"] // block_rows)) for r in queries.groupBy("block_ball").count().collect()]  # one row a ball
+    blocks = F.broadcast(spark.createDataFrame(sizes, "block_ball int, blocks int"))
+    draw = F.pmod(F.xxhash64("own", F.lit("draw")), F.lit(1 << 30)).cast("int").alias("draw")
+    queries = queries.join(blocks, "block_ball").select("own", "q", "block_ball", F.pmod(F.xxhash64("own", F.lit("block")), F.col("blocks")).cast("int").alias("block"), draw)
+    probes = choices(queries.withColumn("floor", F.lit(None).cast("double")), pivots, radius, shards, True)
+    best = met(probes, candidates, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").cast("double").alias("least"))
+    floors = best.select(F.col("query_id").alias("own"), F.when(F.col("found") == k, F.col("least")).alias("floor"))
+    queries = materialize(queries.join(floors, "own", "left"), "queries")
+    return Plan(queries, candidates, choices(queries, pivots, radius, shards, False), sum(shards.values()))
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -158,26 +299,10 @@ def search(
     scale: int = 256,
     shard_rows: int = 4096,
     block_rows: int = 4096,
+    most_pivots: int = MOST_PIVOTS,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best other rows."""
-    good = vectors.where(F.col(id_col).isNotNull() & F.coalesce(usable(F.col(vector_col)), F.lit(False)))
-    rows = good.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("asks"))
-    rows = materialize(rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")), "vectors")
-    n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
-    dealt = lambda of, *by: F.pmod(F.xxhash64(*by), F.lit(of)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = rows.select("id", "v", "n", dealt(shards, "id", "v").alias("shard"))
-    queries = rows.where("asks").groupBy(F.col("id").alias("own")).agg(F.min("v").alias("q"))
-
-    def search_shards(asks: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
-        run = lambda a, b: searched(a, b, k)
-        return asks.groupBy(*keys).cogroup(have.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
-
-    probes = queries.select("own", "q", F.lit(None).cast("double").alias("floor"), dealt(shards, "own", F.lit("probe")).alias("shard"))
-    met = search_shards(probes, candidates, ["shard"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").cast("double").alias("least"))
-    floors = met.select(F.col("query_id").alias("own"), F.when(F.col("found") == k, F.col("least")).alias("floor"))
-    asks = queries.join(floors, "own", "left").select("own", "q", "floor", dealt(blocks, "own", F.lit("block")).alias("block"), every(shards).alias("shard"))
-    found = search_shards(asks, candidates.select("*", every(blocks).alias("block")), ["block", "shard"])
+    plan = prepare(vectors, is_query, id_col, vector_col, k, scale, shard_rows, block_rows, most_pivots)
+    found = met(plan.pairs, plan.candidates, k)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -391,6 +391,27 @@ def test_topk_equals_brute_force(spark, shard_rows):
     assert topk.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_shards_that_cannot_reach_the_floor_are_not_asked(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 8)) * 4
+    data = [(i, (centres[i % 20] + rng.normal(size=8) * 0.05).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    asks = F.col("vec_id") % 50 == 0
+    plan = topk.prepare(df, asks, "vec_id", "embedding", 5, 256, 50, 16, topk.MOST_PIVOTS)
+    sent, n = plan.pairs.count(), plan.queries.count()
+    assert n == 40 and plan.n_shards >= 40
+    assert sent < 0.5 * n * plan.n_shards, "most pairs of query and shard are cut before anything is sent"
+    good = np.array([[math.floor(256 * x) for x in v] for _, v in data])
+    want = []
+    for q in range(0, 2000, 50):
+        scores = good @ good[q]
+        best = sorted((-int(x), i) for i, x in enumerate(scores) if i != q)[:5]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(best)]
+    for pivots in (topk.MOST_PIVOTS, 3, 1):
+        found = topk.search(df, asks, shard_rows=50, block_rows=16, most_pivots=pivots)
+        assert rows(found, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 # simhash
 
 
