@@ -48,7 +48,7 @@ def static_block(frame: DataFrame, family: str, predictors: Sequence[str], order
     )
 
 
-def assemble(base: DataFrame, blocks: list[DataFrame], check: bool = True) -> DataFrame:
+def assemble(base: DataFrame, blocks: list[DataFrame], check: bool | str = True) -> DataFrame:
     return one_to_one(base, blocks, ["case_id"], check)
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .encode import drift_scores, frequency_encode, frequency_maps
+from .learning import median_rounds
 from .metrics import auc
 from .ranks import quantiles
 
@@ -369,6 +370,11 @@ def boost(train: DataFrame, held: DataFrame | None, features: list[str], setting
         rows.unpersist()
 
 
+def refit(train: DataFrame, features: list[str], best_rounds: list[int], settings: Settings = Settings(), key: str = "case_id") -> Booster:
+    """The frozen model: as many rounds as the median of the folds' best, on all rows, without held ones."""
+    return boost(train, None, features, replace(settings, rounds=median_rounds(best_rounds)), key)
+
+
 def best_of(curve: tuple[float, ...]) -> int:
     """The first round of the highest value."""
     return max(range(len(curve)), key=lambda k: (curve[k], -k)) + 1

@@ -100,7 +100,7 @@ def sided_frame(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequ
         drawn = [rows.where(F.col("side") == s.name) for s in sides]
         rows = reduce(DataFrame.unionAll, [df if s.most is None else df.orderBy(sample_hash(F.col(CASE), s.seed), CASE).limit(s.most) for df, s in zip(drawn, sides, strict=True)])
     wanted = {b: [f.name for f in features if f.block == b] for b in blocks if b != "base"}
-    return one_to_one(rows, [blocks[b].select(CASE, *names) for b, names in wanted.items() if names], [CASE], check=check)
+    return one_to_one(rows, [blocks[b].select(CASE, *names) for b, names in wanted.items() if names], [CASE], check="inline" if check else False)
 
 
 def feature_frame(base: DataFrame, blocks: Mapping[str, DataFrame], features: Sequence[Feature], weeks: tuple[int, int], max_rows: int | None = None, seed: int = 42, check: bool = True) -> DataFrame:

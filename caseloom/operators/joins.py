@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Counted rows up to which a side is broadcast by hint; larger sides are left to Spark.
 BROADCAST_ROWS = 500_000
+#: Values up to which a list of keys is part of the condition itself.
+LISTED = 1000
 
 
 def assert_unique(df: DataFrame, keys: list[str], what: str) -> None:
@@ -28,20 +31,45 @@ def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(right, keys, how)
 
 
-def one_to_one(base: DataFrame, blocks: list[DataFrame], keys: list[str], check: bool = True) -> DataFrame:
-    """Left joins of blocks to base; each side has one row a key, and no column twice."""
-    if check:
+def once(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """df, which fails where it is computed if a key repeats: the same shuffle by key serves a join, so nothing is computed twice."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(1).alias("_"))
+    found = df.groupBy(*keys).agg(F.first(row).alias("_row"), F.count(F.lit(1)).alias("_times"))
+    fail = F.raise_error(F.concat(F.lit(f"{what}: {', '.join(keys)} is not unique: "), F.to_json(F.struct(*keys))))
+    kept = found.select(*keys, F.when(F.col("_times") > 1, fail).otherwise(F.col("_row")).alias("_row"))
+    return kept.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]) if rest else kept.where(F.col("_row").isNotNull()).select(*keys)
+
+
+def one_to_one(base: DataFrame, blocks: list[DataFrame], keys: list[str], check: bool | str = True) -> DataFrame:
+    """Left joins of blocks to base; each side has one row a key, and no column twice.
+
+    check: True looks at the keys of all sides beforehand, which computes each side once more; "inline" lets the result
+    fail where it is computed; False trusts the caller.
+    """
+    if check is True:
         assert_unique(base, keys, "base")
     seen = set(base.columns)
     for b in blocks:
         if clash := (seen & set(b.columns)) - set(keys):
             raise ValueError(f"columns twice: {', '.join(sorted(clash))}")
-        if check:
+        if check is True:
             assert_unique(b, keys, "block")
         seen |= set(b.columns)
+    if check == "inline":
+        base, blocks = once(base, keys, "base"), [once(b, keys, "block") for b in blocks]
     return reduce(lambda a, b: a.join(b, keys, "left"), blocks, base)
 
 
+def members(rows: DataFrame, ids: DataFrame | Sequence, key: str = "case_id") -> DataFrame:
+    """rows whose key is among ids: a short list of values goes into the scan, any other set is joined."""
+    if not isinstance(ids, DataFrame):
+        if len(ids) <= LISTED:
+            return rows.where(F.col(key).isin(list(ids)))
+        ids = rows.sparkSession.createDataFrame([(x,) for x in ids], rows.select(key).schema)
+    return rows.join(small(ids.select(key).distinct()), key, "left_semi")
+
+
 def aligned_violations(frames: dict[str, DataFrame], key: str, metadata: list[str]) -> DataFrame:
     """(model, case, problem) where a model's population or metadata differ from the first model's."""
     (first, base), *rest = frames.items()

@@ -230,6 +230,8 @@ UNION ALL SELECT split, 'orders_depth0', count(*) FILTER (WHERE in_base AND NOT
 f AS MATERIALIZED (SELECT b.WEEK_NUM, b.target, a.* FROM base b LEFT JOIN a USING (case_id) WHERE WEEK_NUM BETWEEN 0 AND 339), tr AS (SELECT * FROM f WHERE WEEK_NUM < 250), bo AS (SELECT * EXCLUDE (target), CASE WHEN WEEK_NUM < 250 THEN 0 ELSE 1 END AS target FROM f),
 {first_cut('t', 'tr', FEATURES)}, {first_cut('d', 'bo', FEATURES)}, m AS (SELECT name, t.gain AS target_gain, d.gain AS drift_gain, t.gain / max(t.gain) OVER () AS ts, d.gain / max(d.gain) OVER () AS ds FROM t JOIN d USING (name))
 SELECT name, round(target_gain, 4) AS target_gain, round(drift_gain, 4) AS drift_gain, round(ts * greatest(0, 1 - 0.35 * ds), 4) AS score FROM m""",
+        "sharded_source": f"""WITH {BASE}, l AS (SELECT l_linenumber % 3 AS k, l_linenumber - 1 AS g, l_quantity AS q, l_extendedprice AS p, nullif(l_returnflag, 'N') AS f FROM lineitem JOIN base ON l_orderkey = case_id WHERE WEEK_NUM < 200)
+SELECT CASE WHEN k < 2 THEN f END AS flagM, count(*) AS n, round(sum(CASE WHEN k = 0 THEN CAST(q AS INT) WHEN k = 1 THEN q END), 2) AS quantity, round(sum(CASE WHEN k = 2 THEN p END), 2) AS price, CAST(max(g) AS BIGINT) AS last FROM l GROUP BY 1""",
         "footer_catalog": " UNION ALL ".join(map(stored_table, COLUMNS)),
         "probability_metrics": f"WITH {PRED}, {suite('p', 'model', 'prediction')} SELECT * FROM suite",
         "clipped_metrics": f"WITH {PRED}, pc AS (SELECT * REPLACE (greatest(least(prediction, 1 - 1e-7), 1e-7) AS prediction) FROM p), {suite('pc', 'model', 'greatest(least(prediction, 1 - 1e-7), 1e-7)')} SELECT * FROM suite",

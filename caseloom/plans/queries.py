@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import batches, blocks, boosting, encode, frames, history, joins, learning, metrics, proposals, review, selection, sgd, temporal
 from caseloom.operators.history import aggregate_history
-from caseloom.sources import catalog, footers, verified
+from caseloom.sources import catalog, footers, manifest, scan, verified
 from caseloom.sources.scan import meanings, normalise
 from caseloom.sources.workspace import workspace
 
@@ -124,7 +124,7 @@ def feature_assembly(spark: SparkSession, d: str) -> DataFrame:
     b = blocks.base_block(t.base(spark, d)).select("case_id", "WEEK_NUM", "target")
     h = short(aggregate_history(t.history(spark, d), "lines", 1, ["quantityA"], ties=TIES, ends=False)).select("case_id", "rows__count", "quantityA__sum")
     s = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("statusM"))
-    return tidy(blocks.assemble(b, [h, s]), 4)
+    return tidy(blocks.assemble(b, [h, s], "inline"), 4)
 
 
 @query
@@ -398,6 +398,26 @@ def catalog_profile(spark: SparkSession, d: str) -> DataFrame:
     return tidy(catalog.file_profiles(frames, "case_id"))
 
 
+@query
+def sharded_source(spark: SparkSession, d: str) -> DataFrame:
+    """Line items stored as three shards that disagree on columns and types, found by their names and scanned as one source."""
+    folder, li = workspace(spark, "shards"), t.table(spark, d, "lineitem")
+    key, group, flag = F.col("l_orderkey"), (F.col("l_linenumber") - 1).cast("long").alias("num_group1"), F.nullif("l_returnflag", F.lit("N")).alias("flagM")
+    shards = [
+        [key.alias("case_id"), group, F.col("l_quantity").cast("int").alias("quantityA"), flag],
+        [key.cast("string").alias("case_id"), group.cast("int"), F.col("l_quantity").cast("string").alias("quantityA"), flag],
+        [key.cast("int").alias("case_id"), group, F.col("l_extendedprice").alias("priceA")],
+    ]
+    for k, columns in enumerate(shards):
+        li.where(F.col("l_linenumber") % 3 == k).select(*columns).write.parquet(f"{folder}/train_lines_1_{k}.parquet")
+    t.base(spark, d).write.parquet(f"{folder}/train_base.parquet")
+    names = [f"{folder}/train_base.parquet", *(f"{folder}/train_lines_1_{k}.parquet" for k in range(3))]
+    base, lines = manifest.select_sources(manifest.logical_sources(names), {"train"}, {"lines"})
+    known = scan.scan_base(spark, list(base.files)).where("WEEK_NUM < 200")
+    found, _ = scan.scan_source(spark, list(lines.files), known.select("case_id", "date_decision"))
+    return tidy(found.groupBy("flagM").agg(F.count(F.lit(1)).alias("n"), F.sum("quantityA").alias("quantity"), F.sum("priceA").alias("price"), F.max("num_group1").alias("last")), 2)
+
+
 @query
 def footer_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Rows, missing values and key bounds of all stored tables, from their footers alone."""

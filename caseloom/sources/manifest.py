@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.schema import TableIdentity, parse_file_name
+from caseloom.functions.schema import Sealed, TableIdentity, fingerprint, parse_file_name
+from caseloom.operators.frames import block_totals
 
 from .footers import list_files
 from .verified import digested
@@ -84,6 +88,40 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def write_document(spark: SparkSession, payload: dict, path: str) -> None:
+    """One JSON file with sorted keys, put in place by a rename; a file that holds anything else is refused."""
+    data = json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    place, early = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        out = system.create(early, False)
+        out.write(bytearray(data))
+        out.close()
+        if system.rename(early, place):
+            return
+        system.delete(early, False)  # another run was first
+    if spark.read.text(path, wholetext=True).first()[0].encode() != data:
+        raise ValueError(f"{path} holds another document")
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def feature_manifest(blocks: Mapping[str, DataFrame]) -> dict:
+    """Totals, columns and schema fingerprints of blocks, sealed by a digest: one entry a block."""
+    totals = {r["block"]: r.asDict() for r in block_totals(blocks).collect()}  # one row a block
+    entries = [totals[b] | {"schema_sha256": fingerprint([(f.name, f.dataType.simpleString(), True) for f in df.schema]), "columns": df.columns} for b, df in sorted(blocks.items())]
+    whole = {k: sum(e[k] for e in entries) for k in ("feature_columns", "categorical_columns")}
+    return Sealed({"blocks": entries, "totals": whole | {"blocks": len(entries)}}).payload()
+
+
+def write_feature_manifest(spark: SparkSession, blocks: Mapping[str, DataFrame], path: str) -> dict:
+    found = feature_manifest(blocks)
+    write_document(spark, found, path)
+    return found
+
+
 def write_submission(predictions: DataFrame, path: str, key: str = "case_id", value: str = "prediction") -> None:
     """CSV that reads back to the same doubles (17 digits, by Java's rules); existing output is refused unless it holds the same rows."""
     rows = predictions.select(F.col(key).cast("string").alias(key), F.format_string("%.17g", value).alias(value))

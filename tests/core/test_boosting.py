@@ -99,6 +99,11 @@ def test_rounds_end_behind_the_best(spark, cases, model):
     assert auc == pytest.approx(model.curve[model.best_round - 1], abs=1e-9)
 
 
+def test_the_frozen_model_has_the_median_of_rounds(cases):
+    settings = Settings(rounds=50, depth=2, bins=8)
+    assert boosting.refit(cases[0], NAMES, [1, 2, 9], settings).best_round == 2
+
+
 def test_a_model_does_not_depend_on_partitions(cases):
     settings = Settings(rounds=2, depth=2, bins=16, row_share=0.7, feature_share=0.8)
     one, other = (boosting.boost(cases[0].repartition(n), None, NAMES, settings) for n in (1, 5))

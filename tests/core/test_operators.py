@@ -566,3 +566,33 @@ def test_metrics_need_one_scan(spark, tmp_path):
     for part in parts:
         for r in part.collect():
             assert all(got[r["g"]][c] == pytest.approx(v) for c, v in r.asDict().items())
+
+
+def test_keys_are_checked_where_they_are_joined(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "case_id long, x string")
+    block = spark.createDataFrame([(1, 5.0), (3, 6.0)], "case_id long, `y.z` double")
+    found = joins.one_to_one(base, [block, spark.createDataFrame([(2,)], "case_id long")], ["case_id"], "inline")
+    assert sorted(found.collect()) == [(1, "a", 5.0), (2, "b", None)]
+    for odd in ([base.unionAll(base), block], [base, block.unionAll(block)]):
+        with pytest.raises(Exception, match="is not unique"):
+            joins.one_to_one(odd[0], odd[1:], ["case_id"], "inline").collect()
+
+
+def test_members(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 5, k) for k in range(20)], "case_id long, v int")
+    assert joins.members(rows, [1, 3, 99]).count() == 8 and joins.members(rows, []).count() == 0
+    monkeypatch.setattr(joins, "LISTED", 1)
+    assert joins.members(rows, [1, 3, 3, 99]).count() == 8
+    assert joins.members(rows, rows.where("case_id = 4")).count() == 4
+
+
+def test_documents_are_put_in_place_once(spark, tmp_path):
+    path = f"{tmp_path}/a b/m.json"
+    blocks_ = {"base": spark.createDataFrame([(1, 0, 3)], "case_id long, target int, WEEK_NUM int"), "h": spark.createDataFrame([(1, "x", 2.0)], "case_id long, kM string, xA double")}
+    found = manifest.write_feature_manifest(spark, blocks_, path)
+    assert manifest.read_document(spark, path) == found == manifest.write_feature_manifest(spark, blocks_, path)
+    assert [(b["block"], b["n_rows"], b["feature_columns"], b["categorical_columns"]) for b in found["blocks"]] == [("base", 1, 1, 0), ("h", 1, 2, 1)]
+    assert schema.Sealed.opened(found).content["totals"] == {"blocks": 2, "feature_columns": 3, "categorical_columns": 1}
+    with pytest.raises(ValueError, match="another document"):
+        manifest.write_document(spark, {"x": "é"}, path)
+    assert len([p for p in (tmp_path / "a b").iterdir() if not p.name.startswith(".")]) == 1
