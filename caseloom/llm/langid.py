@@ -209,7 +209,8 @@ def train(
         place = F.when(F.col(lang_col) == lang, i).otherwise(place)
         share = F.when(F.col(lang_col) == lang, min(1.0, docs_per_language / counts[lang])).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col(order_by), F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20)
-    sample = rows.where(drawn).select(place.cast("int").alias("lang"), F.col(text_col).alias("text"))
+    # Rows that repeat an id and text are drawn together, so each text counts once: the sample stays bounded.
+    sample = rows.where(drawn).select(place.cast("int").alias("lang"), F.col(text_col).alias("text")).distinct()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

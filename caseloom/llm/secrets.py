@@ -167,7 +167,8 @@ def ordinary_words(docs: DataFrame, text_col: str, sample_docs: int) -> DataFram
     """w, next: neighbouring words of about sample_docs documents, and of the fixed list."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     drawn = F.pmod(F.xxhash64(F.col(text_col), F.lit("secrets")), F.lit(1 << 20)) < share * (1 << 20)
-    found = docs.where(drawn).select(F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{3,15}(?![A-Za-z0-9+/_-])"), F.lit(0)).alias("all"))
+    # Rows of equal text are drawn together, so each text counts once: the sample stays bounded.
+    found = docs.where(drawn).select(text_col).distinct().select(F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{3,15}(?![A-Za-z0-9+/_-])"), F.lit(0)).alias("all"))
     pairs = found.select(F.explode(F.transform("all", lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get("all", i + 1), w).alias("next")))).alias("p")).select("p.*")
     n = len(WORDS)
     fixed = docs.sparkSession.createDataFrame([(w, WORDS[(7 * i + 13 * k + k * i) % n]) for i, w in enumerate(WORDS) for k in range(16)], "w string, next string")

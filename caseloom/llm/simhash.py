@@ -17,7 +17,7 @@ POSTING distinct fingerprints. Sizes are counted before postings are dealt, so n
 
 Null and wordless texts have fingerprint zero, linked like any other. Texts count whole, however long. A
 component's id is its smallest non-null id. Rows that repeat an id are rows of their own. An empty table gives no
-row.
+row. near_duplicates leaves out columns but id and text, whatever their names; keep_one keeps all.
 """
 
 from __future__ import annotations

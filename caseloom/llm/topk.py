@@ -13,7 +13,8 @@ Scores are exact integers. Rows whose id or vector is null, or whose vector hold
 component, take no part; neither do candidates of another length than the query, or with the query's own
 id. Repeated ids each count as candidates; rows that repeat id and vector are counted before they are dealt, so
 that no shard outgrows its size. Where the query's own id repeats with other vectors, its least vector asks. Ties
-go to the smaller id. Scores must fit 64 bits. An empty table, or one without queries, gives no row.
+go to the smaller id. Scores must fit 64 bits. An empty table, or one without queries, gives no row. Columns but id and
+vector are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ index is a broadcast of the rule list, which is a parameter.
 Of the base rules that fit, the strongest wins, and among equally strong ones the first of the list; without a
 base rule, any fitting rule that blocks does. Null URLs, and those without ``://``, have empty host and path and
 are judged as such. URLs are judged whole, however long. Repeated rows are judged each. An empty table stays
-empty.
+empty. Columns but id and URL are left out, whatever their names.
 """
 
 from __future__ import annotations
