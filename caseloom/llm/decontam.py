@@ -15,6 +15,7 @@ nothing, and no documents give no row. Columns of the documents that are named a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
     """Documents with hits: their key, n_hit (words inside any window), hit (those positions), items (sorted)."""
-    windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, n), "benchmark")
+    windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, n).withColumn("no", F.monotonically_increasing_id()), "benchmark")
     strings = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 16)
     sizes = sorted((r[0], r[1]) for r in windows.groupBy("size").agg(F.sum(strings(F.col("win")) + strings(F.col("items")) + 16 * F.col("size"))).collect())
     small = sum(bytes_ for _, bytes_ in sizes) <= BROADCAST_BYTES
@@ -77,7 +78,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     def around(size: int) -> Column:
         return F.array(*[F.struct((F.col("start") + i).alias("at"), F.slice("c", i + 1, size).alias("text_win"), hash_of(F.col("c"), i, size).alias("h")) for i in range(gram_size(size)[1])])
 
-    one = windows.select("size", by_size(lambda size: hash_of(F.col("win"), 0, size)).alias("h"), "win", "items")
+    one = windows.select("size", by_size(lambda size: hash_of(F.col("win"), 0, size)).alias("h"), "win", "no")
     known = windows.select("size", F.explode(by_size(grams)).alias("h")).distinct()
     none = F.array().cast("array<struct<size:int,start:int,h:bigint,c:array<string>>>")
     sized = lambda size: F.transform(scanned_grams(F.col("w"), size), lambda g: F.struct(F.lit(size).alias("size"), g["start"].alias("start"), g["h"].alias("h"), g["c"].alias("c")))
@@ -86,9 +87,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     met = scanned.join(near(known), ["size", "h"], "left_semi").select(*KEY, "size", F.explode(by_size(around)).alias("x")).select(*KEY, "size", "x.*")
     hit = met.join(near(one), ["size", "h"]).where(F.col("text_win") == F.col("win"))
     runs = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + (r["size"] - 1))))
-    sets = hit.groupBy(*KEY).agg(F.collect_set(F.struct("at", "size")).alias("runs"), F.collect_set("items").alias("items"))
-    sets = sets.select(*KEY, F.array_sort(F.array_distinct(runs)).alias("hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    return sets.select(*KEY, F.size("hit").cast("long").alias("n_hit"), "hit", "items")
+    sets = hit.groupBy(*KEY).agg(F.collect_set(F.struct("at", "size")).alias("runs"), F.collect_set("no").alias("nos"))
+    sets = sets.select(*KEY, F.array_sort(F.array_distinct(runs)).alias("hit"), "nos")
+    # Hits carry a window's number; its items, which may be very many, are joined once a document and window.
+    items = sets.select(*[F.col(c).alias(f"of_{c}") for c in KEY], F.explode("nos").alias("no")).join(near(windows.select("no", "items")), "no")
+    items = items.select(*[f"of_{c}" for c in KEY], F.explode("items").alias("item")).groupBy(*[f"of_{c}" for c in KEY]).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"of_{c}") for c in KEY])
+    return sets.join(items, same).select(*KEY, F.size("hit").cast("long").alias("n_hit"), "hit", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13, least_share: float = 0.05) -> DataFrame:
