@@ -12,7 +12,7 @@ from caseloom.functions.columns import calendar, decision_date, null_share, samp
 from caseloom.functions.schema import assert_no_leak, feature_name
 
 from .joins import one_to_one
-from .ranks import below
+from .ranks import below, parts_for
 
 
 def base_block(base: DataFrame) -> DataFrame:
@@ -72,8 +72,9 @@ def deterministic_sample(frame: DataFrame, n: int, seed: int, key: str = "case_i
 def case_partitions(base: DataFrame, rows: int, key: str = "case_id") -> DataFrame:
     """Disjoint ranges of at most rows ids: number, least and greatest id, count. Null ids are in none.
 
-    Ids are ranked within buckets of their order and shifted by the buckets' sizes, so no task sees all.
+    Ids are ranked within buckets of their order, more the more rows there are, and shifted by the buckets' sizes, so no
+    task sees all.
     """
     ids = base.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_n", F.lit(1))
     part = F.floor(F.col("below__n") / F.lit(rows)).alias("part")
-    return below(ids, [], key, ["_n"]).groupBy(part).agg(F.min(key).alias("least"), F.max(key).alias("greatest"), F.count(F.lit(1)).alias("n_cases"))
+    return below(ids, [], key, ["_n"], parts=parts_for(base.count())).groupBy(part).agg(F.min(key).alias("least"), F.max(key).alias("greatest"), F.count(F.lit(1)).alias("n_cases"))

@@ -180,8 +180,8 @@ def quantile_edges(rows: DataFrame, bins: int, groups: list[str]) -> DataFrame:
 
 
 def _quantile_bins(rows: DataFrame, bins: int, groups: list[str], upper: bool) -> DataFrame:
-    edges = F.broadcast(quantile_edges(rows, bins, groups))
-    met = rows.join(edges, groups) if groups else rows.crossJoin(edges)  # one row a group
+    edges = quantile_edges(rows, bins, groups)
+    met = rows.join(edges, groups) if groups else rows.crossJoin(F.broadcast(edges))  # one row; with groups, one a group
     p = F.col("prediction")
     return _bins(met, groups, F.size(F.filter("inner", lambda e: p >= e if upper else p > e)))
 

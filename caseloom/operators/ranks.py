@@ -10,26 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Buckets between a power of two and the next.
+#: Buckets between a power of two and the next, unless a number of rows asks for more.
 PARTS = 256
+#: Distinct values that a bucket shall hold about at most, were they spread over one power of two.
+BUCKET_ROWS = 1 << 20
 
 
-def order_bucket(c: Column) -> Column:
+def parts_for(rows: int) -> int:
+    """Buckets for so many distinct values: as many as keep a window's share bounded, up to 2^24."""
+    return min(1 << 24, max(PARTS, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length()))
+
+
+def order_bucket(c: Column, parts: int = PARTS) -> Column:
     """A whole number that never falls as c grows; null for null and NaN, which have no place in the order."""
     size = F.abs(c.cast("double"))
     exponent = F.greatest(F.floor(F.log2(F.when(size > 0, size))), F.lit(-1000)).cast("long")
     exponent = F.least(exponent, F.lit(1023))
-    part = F.least(F.floor(size / F.pow(F.lit(2.0), exponent.cast("double")) * PARTS), F.lit(2 * PARTS - 1)).cast("long")
-    place = (exponent + 1100) * (2 * PARTS) + part
+    part = F.least(F.floor(size / F.pow(F.lit(2.0), exponent.cast("double")) * parts), F.lit(2 * parts - 1)).cast("long")
+    place = (exponent + 1100) * (2 * parts) + part
     return F.when(~F.isnan(c), F.when(size == 0, F.lit(0).cast("long")).otherwise(F.when(c > 0, place).otherwise(-place)))
 
 
-def below(rows: DataFrame, groups: list[str], value: str, sums: list[str], descending: bool = False) -> DataFrame:
+def below(rows: DataFrame, groups: list[str], value: str, sums: list[str], descending: bool = False, parts: int = PARTS) -> DataFrame:
     """rows, one a group and value, with below_<s>: the sum of s over the values before, in the given order.
 
     Rows whose value is null or NaN have no place and are left out.
     """
-    dealt = rows.withColumn("_bucket", order_bucket(F.col(value)))
+    dealt = rows.withColumn("_bucket", order_bucket(F.col(value), parts))
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
     total = dealt.groupBy(*groups, "_bucket").agg(*[F.sum(s).alias(f"_total_{s}") for s in sums])
@@ -49,7 +56,7 @@ def quantiles(rows: DataFrame, groups: list[str], value: str, shares: list[float
     counted = known.groupBy(*groups, F.col(value).cast("double").alias("_value")).agg(times.alias("n"))
     ranked = below(counted, groups, "_value", ["n"])
     size = known.groupBy(*groups).agg(times.alias("_size"))
-    met = ranked.join(F.broadcast(size), groups) if groups else ranked.crossJoin(F.broadcast(size))  # one row a group
+    met = ranked.join(size, groups) if groups else ranked.crossJoin(F.broadcast(size))  # one row; with groups, one a group
     at = [(F.col("_size") - 1) * F.lit(s) for s in shares]
     value_at = lambda rank: F.max(F.when((F.col("below_n") <= rank) & (rank < F.col("below_n") + F.col("n")), F.col("_value")))
     ends = [x.alias(f"_{k}_{i}") for i, h in enumerate(at) for k, x in (("low", value_at(F.floor(h))), ("high", value_at(F.ceil(h))), ("rest", F.max(h - F.floor(h))))]

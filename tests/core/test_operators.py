@@ -596,3 +596,11 @@ def test_documents_are_put_in_place_once(spark, tmp_path):
     with pytest.raises(ValueError, match="another document"):
         manifest.write_document(spark, {"x": "é"}, path)
     assert len([p for p in (tmp_path / "a b").iterdir() if not p.name.startswith(".")]) == 1
+
+
+def test_more_rows_make_more_buckets(spark):
+    assert (ranks.parts_for(0), ranks.parts_for(1 << 28), ranks.parts_for((1 << 28) + 1), ranks.parts_for(10**11)) == (256, 256, 512, 1 << 17)
+    rows = spark.range(2000).select((F.col("id") * F.col("id") - 900_000).alias("v"), F.lit(1).alias("n"))
+    for parts in (1, 256, 1 << 14):
+        found = {r["v"]: r["below_n"] for r in ranks.below(rows, [], "v", ["n"], parts=parts).collect()}
+        assert found == {v: k for k, v in enumerate(sorted(found))}
