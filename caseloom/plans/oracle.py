@@ -232,6 +232,14 @@ f AS MATERIALIZED (SELECT b.WEEK_NUM, b.target, a.* FROM base b LEFT JOIN a USIN
 SELECT name, round(target_gain, 4) AS target_gain, round(drift_gain, 4) AS drift_gain, round(ts * greatest(0, 1 - 0.35 * ds), 4) AS score FROM m""",
         "sharded_source": f"""WITH {BASE}, l AS (SELECT l_linenumber % 3 AS k, l_linenumber - 1 AS g, l_quantity AS q, l_extendedprice AS p, nullif(l_returnflag, 'N') AS f FROM lineitem JOIN base ON l_orderkey = case_id WHERE WEEK_NUM < 200)
 SELECT CASE WHEN k < 2 THEN f END AS flagM, count(*) AS n, round(sum(CASE WHEN k = 0 THEN CAST(q AS INT) WHEN k = 1 THEN q END), 2) AS quantity, round(sum(CASE WHEN k = 2 THEN p END), 2) AS price, CAST(max(g) AS BIGINT) AS last FROM l GROUP BY 1""",
+        "built_catalog": """SELECT 'train' AS split, 'base' AS family, 0 AS depth, count(*) AS rows, 0 AS null_case_ids, count(DISTINCT o_orderkey) AS unique_cases, 1 AS max_rows_per_case, 5 AS n_columns, 1 AS row_groups FROM orders
+UNION ALL SELECT 'train', 'lines', 1, (SELECT count(*) FROM lineitem), 0, count(*), max(n), 8, 3 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)""",
+        "written_block": f"WITH {HISTORY}, a AS (SELECT case_id, coalesce(sum(quantityA), 0) AS q FROM h GROUP BY 1) SELECT count(*) AS n_rows, round(sum(q), 2) AS quantity, min(case_id) AS first, max(case_id) AS last, 0 AS overlaps FROM a",
+        "member_cases": """SELECT 'segment' AS chosen, count(*) AS n, count(DISTINCT o_custkey) AS cases, round(sum(o_totalprice), 2) AS price FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+UNION ALL SELECT 'list', count(*), count(DISTINCT o_custkey), round(sum(o_totalprice), 2) FROM orders WHERE o_custkey BETWEEN 1 AND 59""",
+        "bag_comparison": "SELECT 'dealt' AS other, true AS same UNION ALL SELECT 'twice', false UNION ALL SELECT 'changed', NOT bool_or(o_orderkey = 7) FROM orders",
+        "weekly_stream": f"WITH {BASE} SELECT CAST(CAST(date_trunc('week', date_decision) AS DATE) AS VARCHAR) AS week_start, count(*) AS n_rows, sum(target) AS positives FROM base GROUP BY date_trunc('week', date_decision) HAVING date_trunc('week', date_decision) + INTERVAL 14 DAY <= (SELECT max(date_decision) FROM base)",
+        "reloaded_scores": f"WITH {BASE} SELECT count(*) AS n_rows, 0 AS changed, 0 AS outside FROM base WHERE WEEK_NUM BETWEEN 250 AND {WEEK_MAX}",
         "footer_catalog": " UNION ALL ".join(map(stored_table, COLUMNS)),
         "probability_metrics": f"WITH {PRED}, {suite('p', 'model', 'prediction')} SELECT * FROM suite",
         "clipped_metrics": f"WITH {PRED}, pc AS (SELECT * REPLACE (greatest(least(prediction, 1 - 1e-7), 1e-7) AS prediction) FROM p), {suite('pc', 'model', 'greatest(least(prediction, 1 - 1e-7), 1e-7)')} SELECT * FROM suite",

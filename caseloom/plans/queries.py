@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseloom.operators import batches, blocks, boosting, encode, frames, history, joins, learning, metrics, proposals, review, selection, sgd, temporal
@@ -12,6 +13,7 @@ from caseloom.operators.history import aggregate_history
 from caseloom.sources import catalog, footers, manifest, scan, verified
 from caseloom.sources.scan import meanings, normalise
 from caseloom.sources.workspace import workspace
+from caseloom.streaming.weekly import weekly_counts
 
 from . import tables as t
 
@@ -418,6 +420,55 @@ def sharded_source(spark: SparkSession, d: str) -> DataFrame:
     return tidy(found.groupBy("flagM").agg(F.count(F.lit(1)).alias("n"), F.sum("quantityA").alias("quantity"), F.sum("priceA").alias("price"), F.max("num_group1").alias("last")), 2)
 
 
+@query
+def built_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog of a stored base and of line items as a folder of several files: footers for all but the keys."""
+    folder = workspace(spark, "catalog")
+    t.lines(spark, d).repartition(3).write.parquet(f"{folder}/train_lines_1.parquet")
+    t.base(spark, d).coalesce(1).write.parquet(f"{folder}/train_base.parquet")
+    found = catalog.build_catalog(spark, [f"{folder}/train_base.parquet", f"{folder}/train_lines_1.parquet"])
+    return catalog.entries_frame(spark, found).select("split", "family", "depth", "rows", "null_case_ids", "unique_cases", "max_rows_per_case", "n_columns", "row_groups")
+
+
+@query
+def written_block(spark: SparkSession, d: str) -> DataFrame:
+    """A block written in ranges of its key and read again: rows, sums, and ranges that do not overlap."""
+    path = f"{workspace(spark, 'block')}/lines"
+    h = short(aggregate_history(t.history(spark, d), "lines", 1, ["quantityA"], ties=TIES, ends=False)).select("case_id", F.col("quantityA__sum").alias("quantity"))
+    manifest.write_block(h, path)
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("q"), F.min("case_id").alias("low"), F.max("case_id").alias("high"))
+    before = F.max("high").over(W.orderBy("low").rowsBetween(W.unboundedPreceding, -1))  # one row a file
+    return tidy(files.withColumn("overlaps", F.coalesce((before >= F.col("low")).cast("int"), F.lit(0))).agg(F.sum("n").alias("n_rows"), F.sum("q").alias("quantity"), F.min("low").alias("first"), F.max("high").alias("last"), F.sum("overlaps").alias("overlaps")), 2)
+
+
+@query
+def member_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of the customers of one market segment, and of a short list of customers."""
+    o = t.table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), "o_totalprice")
+    buyers = t.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("case_id"))
+    parts = {"segment": joins.members(o, buyers), "list": joins.members(o, list(range(1, 60)))}
+    return tidy(frames.concat_exact([df.agg(F.lit(k).alias("chosen"), F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("cases"), F.sum("o_totalprice").alias("price")) for k, df in parts.items()]), 2)
+
+
+@query
+def bag_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Whether two frames hold the same rows, in whatever order: the table dealt anew, a row twice, a value changed."""
+    o = t.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    others = {"dealt": o.repartition(5, "o_custkey"), "twice": o.unionAll(o.limit(1)), "changed": o.withColumn("o_custkey", F.expr("o_custkey + if(o_orderkey = 7, 1, 0)"))}
+    return spark.createDataFrame([(k, joins.same_rows(o, df)) for k, df in others.items()], "other string, same boolean")
+
+
+@query
+def weekly_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Closed weeks of the base as a stream: all rows at once, weeks a week behind the last day."""
+    folder = workspace(spark, "stream")
+    rows = t.base(spark, d).select("date_decision", "target")
+    rows.write.parquet(f"{folder}/in")
+    closed = weekly_counts(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    closed.writeStream.option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{folder}/out").select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "n_rows", "positives")
+
+
 @query
 def footer_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Rows, missing values and key bounds of all stored tables, from their footers alone."""
@@ -651,6 +702,16 @@ def boosting_curve(spark: SparkSession, d: str) -> DataFrame:
     return tidy(frames.concat_exact(made, ["growth", "round"]))
 
 
+@query
+def reloaded_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A boosted model stored and read again: how many rows both score, and how many otherwise."""
+    train, rest, names = _features(spark, d)
+    model = boosting.boost(train, None, names, boosting.Settings(rounds=2, depth=3, bins=32))
+    again = boosting.check_reload(model, rest, "case_id", f"{workspace(spark, 'model')}/m")
+    a, b = (m.score(rest, ["case_id"]).withColumnRenamed("prediction", k) for k, m in (("a", model), ("b", again)))
+    return a.join(b, "case_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if((F.col("a") <= 0) | (F.col("a") >= 1)).alias("outside"))
+
+
 @query
 def averaged_sgd(spark: SparkSession, d: str) -> DataFrame:
     """The linear baseline by averaged descent: mean loss of each round, and Gini of each week behind training."""
