@@ -4,7 +4,7 @@ A rule is a regular expression over host and path together, with the literal tok
 must hold. Each rule is filed under the one of its tokens that is rarest over all URLs of the table; a URL
 fetches the rules filed under its own tokens, and only those expressions run, each compiled when it is first
 fetched. Rules without a literal token are fetched by every URL. One pass without a shuffle judges the rows; the
-index is a broadcast of the rule list, which is a parameter.
+index is a broadcast of the rule list, which is a parameter; ``rules_from`` reads one from a table, with its digest.
 
 Of the base rules that fit, the strongest wins, and among equally strong ones the first of the list; without a
 base rule, any fitting rule that blocks does. Null URLs, and those without ``://``, have empty host and path and
@@ -14,9 +14,10 @@ empty. Columns but id and URL are left out, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass, field
+from dataclasses import astuple, dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,7 +57,44 @@ BASE_RULES = [
 ]
 # Words that, as a whole token of the host, mark a site of spam, gambling or pornography.
 SPAM_WORDS = "casino poker betting jackpot pills viagra pharmacy porn xxx escort payday lottery".split()
-OWN_RULES = [Rule(f"host-{w}", "block", rf"(?:[^/]*[^a-z0-9/])?{w}(?:[^a-z0-9/][^/]*)?(?:/.*)?\Z", (w,), False) for w in SPAM_WORDS]
+
+
+def word_rule(verdict: str, word: str) -> Rule:
+    """Fits a host that holds the word between other characters than letters and digits."""
+    return Rule(f"host-{word}", verdict, rf"(?:[^/]*[^a-z0-9/])?{re.escape(word)}(?:[^a-z0-9/][^/]*)?(?:/.*)?\Z", (word,), False)
+
+
+def path_word_rule(verdict: str, words: str) -> Rule:
+    """Fits a path that holds these words, in whatever case, between other characters than letters and digits."""
+    tokens = tuple(TOKEN.findall(words.lower()))
+    inner = "[^A-Za-z0-9]+".join(f"(?i:{t})" for t in tokens)
+    return Rule(f"path-{words}", verdict, rf"[^/]*/(?:.*[^A-Za-z0-9])?{inner}(?:[^A-Za-z0-9].*)?\Z", tokens, False)
+
+
+def site_rule(verdict: str, text: str) -> Rule:
+    """A rule of the method, not a base one: a host and its subdomains, and what its paths start with."""
+    host, _, path = text.partition("/")
+    made = host_rule(verdict, host.lower(), f"/{path}") if path else Rule("", verdict, rf"(?:[^/]*\.)?{re.escape(host.lower())}(?:/.*)?\Z", tuple(TOKEN.findall(host.lower())), False)
+    return replace(made, name=f"site-{text}", base=False, strength=0)
+
+
+OWN_RULES = [word_rule("block", w) for w in SPAM_WORDS]
+KINDS = {"host": word_rule, "path": path_word_rule, "site": site_rule}
+
+
+def rules_from(table: DataFrame) -> tuple[list[Rule], str]:
+    """The method's own rules of a table (verdict, kind, text), and a digest of them; the list is broadcast, so it is the caller's to bound.
+
+    kind: host (a word of the host), path (words of the path that follow each other) or site (host, or host/path).
+    """
+    rows = sorted({(r["verdict"], r["kind"], r["text"]) for r in table.select("verdict", "kind", "text").collect()}, key=repr)
+    for verdict, kind, text in rows:
+        if verdict not in ("allow", "block") or kind not in KINDS or not TOKEN.search((text or "").lower()):
+            raise ValueError(f"no rule: {verdict}, {kind}, {text}")
+        if kind == "host" and not TOKEN.fullmatch(text):
+            raise ValueError(f"a word of a host holds small letters and digits alone: {text}")
+    digest = hashlib.sha256("\n".join("\t".join(r) for r in rows).encode()).hexdigest()
+    return [KINDS[kind](verdict, text) for verdict, kind, text in rows], digest
 
 
 def host_of(url: Column) -> Column:

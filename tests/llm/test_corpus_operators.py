@@ -39,6 +39,21 @@ def docs(request, odd_docs, no_docs, real_docs):
 # intermediates
 
 
+def test_url_rules_of_a_table(spark):
+    listed = [("block", "host", "casino"), ("block", "path", "free Money"), ("block", "site", "Bad.example"), ("block", "site", "shop.example/Deals/"), ("allow", "path", "docs"), ("block", "host", "casino")]
+    rules, digest = urlfilter.rules_from(spark.createDataFrame(listed, "verdict string, kind string, text string"))
+    assert len(rules) == 5 and digest == urlfilter.rules_from(spark.createDataFrame(listed[::-1], "verdict string, kind string, text string"))[1]
+    urls = {
+        "http://big-casino.net/": "block", "http://casinos.net/": "allow", "https://a.b/x/FREE-money/y": "block", "https://a.b/free/other/money": "allow", "https://a.b/carefree-money": "allow",
+        "http://BAD.example": "block", "http://www.bad.example/x": "block", "http://notbad.example/": "allow", "https://shop.example/Deals/1": "block", "https://shop.example/deals/1": "allow", "https://shop.example/": "allow", "mailto:x": "allow",
+    }
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id int, url string")
+    assert dict(rows(urlfilter.judge(df, rules=rules), "page_id", "verdict")) == dict(enumerate(urls.values()))
+    for odd in (("deny", "host", "x"), ("block", "regex", "x"), ("block", "site", "--"), ("block", "host", "a-b")):
+        with pytest.raises(ValueError, match="rule|word"):
+            urlfilter.rules_from(spark.createDataFrame([odd], "verdict string, kind string, text string"))
+
+
 def test_runs_in_two_threads_keep_their_own_intermediates(spark):
     from threading import Event, Thread
 
