@@ -224,7 +224,8 @@ def histograms(rows: DataFrame, model: Booster, tree: Tree, open_nodes: list[int
         yield pa.RecordBatch.from_arrays(columns, ["node", "feature", "bin", "g", "h", "n"])
 
     made = rows.where("NOT held").select("target", "key", "bins").mapInArrow(run, "node int, feature int, bin int, g long, h long, n long")
-    return made.groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+    # A task gives each cell once, so nothing is lost by dealing cells as the window over bins needs them.
+    return made.repartition("node", "feature").groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
 
 
 def candidate_cuts(sums: DataFrame, settings: Settings) -> DataFrame:

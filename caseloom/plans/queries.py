@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -664,6 +665,19 @@ def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[s
     return rows.where("WEEK_NUM < 250"), rows.where("WEEK_NUM BETWEEN 250 AND 339"), names
 
 
+@contextmanager
+def _kept_features(spark: SparkSession, d: str) -> Iterator[tuple[DataFrame, DataFrame, list[str]]]:
+    """_features of which several passes are made, for queries whose result no longer reads them."""
+    train, rest, names = _features(spark, d)
+    train, rest = train.persist(), rest.persist()
+    try:
+        learning.guard(train, rest, names)
+        yield train, rest, names
+    finally:
+        train.unpersist()
+        rest.unpersist()
+
+
 @query
 def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
     train, rest, names = _features(spark, d)
@@ -674,31 +688,28 @@ def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gbt_screen(spark: SparkSession, d: str) -> DataFrame:
-    train, rest, names = _features(spark, d)
-    learning.guard(train, rest, names)
-    return tidy(boosting.gain_screen(train, rest, names, settings=boosting.Settings(rounds=5, depth=3, bins=32)))
+    with _kept_features(spark, d) as (train, rest, names):
+        return tidy(boosting.gain_screen(train, rest, names, settings=boosting.Settings(rounds=5, depth=3, bins=32)))
 
 
 @query
 def first_cut_screen(spark: SparkSession, d: str) -> DataFrame:
     """The screen by each feature's best single cut: gains of the first level of the target's and the drift's model."""
-    train, rest, names = _features(spark, d)
-    learning.guard(train, rest, names)
     of = boosting.Settings(bins=32)
-    both = train.withColumn("target", F.lit(0)).unionByName(rest.withColumn("target", F.lit(1)))
-    target, drift = (boosting.first_level_gains(df, tuple(names), of).withColumnRenamed("gain", f"{k}_gain") for k, df in (("target", train), ("drift", both)))
+    with _kept_features(spark, d) as (train, rest, names):
+        both = train.withColumn("target", F.lit(0)).unionByName(rest.withColumn("target", F.lit(1)))
+        target, drift = (boosting.first_level_gains(df, tuple(names), of).withColumnRenamed("gain", f"{k}_gain") for k, df in (("target", train), ("drift", both)))
     return tidy(encode.drift_scores(target.join(drift, "name")), 4)
 
 
 @query
 def boosting_curve(spark: SparkSession, d: str) -> DataFrame:
     """AUC after each round on the weeks behind training, of the three ways in which trees grow."""
-    train, rest, names = _features(spark, d)
-    learning.guard(train, rest, names)
     made = []
-    for growth in boosting.GROWTHS:
-        model = boosting.boost(train, rest, names, boosting.Settings(rounds=4, depth=3, bins=32, patience=2, growth=growth, leaves=6))
-        made.append(model.curve_frame(spark).select(F.lit(growth).alias("growth"), "round", "auc", (F.col("round") == model.best_round).alias("best")))
+    with _kept_features(spark, d) as (train, rest, names):
+        for growth in boosting.GROWTHS:
+            model = boosting.boost(train, rest, names, boosting.Settings(rounds=4, depth=3, bins=32, patience=2, growth=growth, leaves=6))
+            made.append(model.curve_frame(spark).select(F.lit(growth).alias("growth"), "round", "auc", (F.col("round") == model.best_round).alias("best")))
     return tidy(frames.concat_exact(made, ["growth", "round"]))
 
 
