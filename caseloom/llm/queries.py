@@ -105,7 +105,8 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, codebooks = vectorcodes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     coded = materialize(coded.select("vec_id", "code", "error", "label"), "codes")
-    per_label = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    # Written, so that the join's sides are plain and a hot label's rows can be split.
+    per_label = materialize(coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error")), "labels")
     digits = ",".join(str(x) for book in codebooks for entry in book.tolist() for x in entry)
     digest = F.lit(hashlib.sha256(digits.encode()).hexdigest())
     return coded.join(per_label, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
