@@ -70,6 +70,16 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def check_reload(model: PipelineModel, rows: DataFrame, key: str, path: str) -> PipelineModel:
+    """The model saved at path and read again, which must score every row alike."""
+    save(model, path)
+    again = load(path)
+    a, b = score(model, rows, [key]), score(again, rows, [key]).withColumnRenamed("prediction", "again")
+    if a.join(b, key).where(~F.col("prediction").eqNullSafe(F.col("again"))).head(1):
+        raise ValueError("the stored model scores otherwise")
+    return again
+
+
 def gain_screen(train: DataFrame, validation: DataFrame, features: list[str], seed: int = 42, rounds: int = 10) -> DataFrame:
     """name, target_gain, drift_gain, score: importance for the target, less that for telling train from validation."""
     guard(train, validation, features)

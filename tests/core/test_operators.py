@@ -531,6 +531,9 @@ def test_learning_guards(spark, tmp_path):
     again = learning.score(learning.load(f"{tmp_path}/m"), rest, ["case_id"])
     parts = {n: {r["case_id"]: r["prediction"] for r in learning.score(m, rest, ["case_id"]).collect()} for n, m in both.items()}
     assert {r["case_id"]: r["prediction"] for r in again.collect()} == parts["b"]
+    learning.check_reload(both["a"], rest, "case_id", f"{tmp_path}/n")
+    with pytest.raises(Exception, match="already exists|overwrite"):
+        learning.check_reload(both["a"], rest, "case_id", f"{tmp_path}/n")
     mixed = learning.score_ensemble(both, {"a": 0.9, "b": 0.1}, rest, ["case_id"])
     assert {r["case_id"]: r["prediction"] for r in mixed.collect()} == pytest.approx({k: 0.9 * parts["a"][k] + 0.1 * parts["b"][k] for k in parts["a"]})
     with pytest.raises(ValueError):
