@@ -88,7 +88,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     hit = met.join(near(one), ["size", "h"]).where(F.col("text_win") == F.col("win"))
     runs = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + (r["size"] - 1))))
     sets = hit.groupBy(*KEY).agg(F.collect_set(F.struct("at", "size")).alias("runs"), F.collect_set("no").alias("nos"))
-    sets = sets.select(*KEY, F.array_sort(F.array_distinct(runs)).alias("hit"), "nos")
+    # Read twice, so written: else the scan of all texts would run twice.
+    sets = materialize(sets.select(*KEY, F.array_sort(F.array_distinct(runs)).alias("hit"), "nos"), "hits")
     # Hits carry a window's number; its items, which may be very many, are joined once a document and window.
     items = sets.select(*[F.col(c).alias(f"of_{c}") for c in KEY], F.explode("nos").alias("no")).join(near(windows.select("no", "items")), "no")
     items = items.select(*[f"of_{c}" for c in KEY], F.explode("items").alias("item")).groupBy(*[f"of_{c}" for c in KEY]).agg(F.array_sort(F.collect_set("item")).alias("items"))
