@@ -225,8 +225,22 @@ def in_balls(rows: DataFrame, vector: str, pivots: Broadcast) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def packed(sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(ball, first block, blocks): balls of few queries share a block, those of more than most are cut."""
+    out, block, held = [], 0, 0
+    for ball, n in sorted(sizes.items()):
+        if held and held + n > most:
+            block, held = block + 1, 0
+        blocks = -(-n // most)
+        out.append((ball, block, blocks))
+        held += n
+        if blocks > 1:
+            block, held = block + blocks, 0
+    return out
+
+
 def choices(queries: DataFrame, pivots: Broadcast, radius: dict[int, float], shards: dict[int, int], probe: bool) -> DataFrame:
-    """own, q, floor, block_ball, block and the shards (ball, part) that a query asks: one to probe, or all that may reach its floor."""
+    """own, q, floor, block and the shards (ball, part) that a query asks: one to probe, or all that may reach its floor."""
     schema = schema_with(queries, "asked array<struct<ball:int,part:int>>")
     q_at, floor_at = queries.columns.index("q"), queries.columns.index("floor")
     draw_at = queries.columns.index("draw")
@@ -252,12 +266,12 @@ def choices(queries: DataFrame, pivots: Broadcast, radius: dict[int, float], sha
             yield beside(b.columns, [pa.array(asked, pa.list_(pa.struct([("ball", pa.int32()), ("part", pa.int32())])))], schema)
 
     found = queries.mapInArrow(run, schema)
-    return found.select("own", "q", "floor", "block_ball", "block", F.inline("asked"))
+    return found.select("own", "q", "floor", "block", F.inline("asked"))
 
 
 def met(asks: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id and score of each block in each shard that it asks; rows go to such blocks alone."""
-    keys = ["ball", "part", "block_ball", "block"]
+    keys = ["ball", "part", "block"]
     wanted = asks.select(*[F.col(c).alias(f"w_{c}") for c in keys]).distinct()
     have = candidates.join(wanted, (F.col("ball") == F.col("w_ball")) & (F.col("part") == F.col("w_part"))).select("id", "v", "n", *wanted.columns)
     run = lambda a, b: searched(a, b, k)
@@ -280,10 +294,10 @@ def prepare(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str,
     candidates = dealt.join(parts, "ball").select("id", "v", "n", "ball", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int").alias("part"))
 
     queries = in_balls(dealt.where("asks").groupBy(F.col("id").alias("own")).agg(F.min("v").alias("q")), "q", pivots).withColumnRenamed("ball", "block_ball")
-    sizes = [(r["block_ball"], -(-r["count"] // block_rows)) for r in queries.groupBy("block_ball").count().collect()]  # one row a ball
-    blocks = F.broadcast(spark.createDataFrame(sizes, "block_ball int, blocks int"))
+    sizes = {r["block_ball"]: r["count"] for r in queries.groupBy("block_ball").count().collect()}  # one row a ball
+    blocks = F.broadcast(spark.createDataFrame(packed(sizes, block_rows), "block_ball int, first int, blocks int"))
     draw = F.pmod(F.xxhash64("own", F.lit("draw")), F.lit(1 << 30)).cast("int").alias("draw")
-    queries = queries.join(blocks, "block_ball").select("own", "q", "block_ball", F.pmod(F.xxhash64("own", F.lit("block")), F.col("blocks")).cast("int").alias("block"), draw)
+    queries = queries.join(blocks, "block_ball").select("own", "q", (F.col("first") + F.pmod(F.xxhash64("own", F.lit("block")), F.col("blocks"))).cast("int").alias("block"), draw)
     probes = choices(queries.withColumn("floor", F.lit(None).cast("double")), pivots, radius, shards, True)
     best = met(probes, candidates, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").cast("double").alias("least"))
     floors = best.select(F.col("query_id").alias("own"), F.when(F.col("found") == k, F.col("least")).alias("floor"))

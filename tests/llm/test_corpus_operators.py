@@ -406,6 +406,10 @@ def test_topk_equals_brute_force(spark, shard_rows):
     assert topk.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_queries_of_small_balls_share_a_block():
+    assert topk.packed({0: 3, 1: 4, 2: 5, 3: 25, 4: 1, 5: 9}, 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (3, 2, 3), (4, 5, 1), (5, 5, 1)]
+
+
 def test_shards_that_cannot_reach_the_floor_are_not_asked(spark):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(20, 8)) * 4
