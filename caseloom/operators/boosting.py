@@ -1,7 +1,8 @@
 """Gradient boosting over binned features, one aggregation a tree level for all features at once.
 
 Features are cut into bins at exact quantiles of the training rows; missing values have a bin of their own, which goes
-to either side of a cut, whichever gains more. Each row then is one byte a feature. A level of a tree is one pass:
+to either side of a cut, whichever gains more. Each row then is one byte a feature, and rows are kept in blocks, a
+feature's bytes side by side, so that a pass costs neither a row nor a small task at a time. A level of a tree is one pass:
 tasks sum up gradients, their weights and rows by (node, feature, bin), Spark adds these up, and a window over bins
 finds the best cut of each node, so that what reaches the driver is one row a node. Gradients are added as whole
 numbers, so a model does not depend on how rows are dealt.
@@ -21,18 +22,21 @@ from dataclasses import asdict, dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .encode import drift_scores, frequency_encode, frequency_maps
 from .learning import median_rounds
-from .metrics import auc
+from .metrics import scored_auc
 from .ranks import quantiles
 
 GROWTHS = ("level", "leaves", "oblivious")
 #: Gradients and weights lie within 1; as whole numbers of this unit their sums are exact over 2^33 rows.
 UNIT = float(1 << 30)
 MISSING = 255
+#: Rows of a block at least, where a partition has as many.
+BLOCK_ROWS = 1 << 16
+#: Bytes of blocks that a task of a pass takes, once each core has one.
+TASK_BYTES = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -99,16 +103,16 @@ class Booster:
 
     def score(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """keep and prediction, for rows that hold the model's features."""
-        made = binned(rows, self.features, self.edges, [F.col(c) for c in keep])
-        schema = made.select(*keep).schema.add("prediction", "double")
+        wide = rows.select(*keep, values_of(self.features).alias("values"))
+        schema = wide.select(*keep).schema.add("prediction", "double")
         n = len(keep)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                p = 1 / (1 + np.exp(-margins(matrix(b.column(n), len(self.features)), self)))
+                p = 1 / (1 + np.exp(-margins(binned(b.column(n), self.edges), self)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(p)], schema.names)
 
-        return made.select(*keep, "bins").mapInArrow(run, schema)
+        return wide.mapInArrow(run, schema)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """One line of JSON; an existing path is refused."""
@@ -126,12 +130,20 @@ def check_reload(model: Booster, rows: DataFrame, key: str, path: str) -> Booste
     """The model saved at path and read again, which must score every row alike."""
     model.save(rows.sparkSession, path)
     again = load(rows.sparkSession, path)
-    a, b = model.score(rows, [key]), again.score(rows, [key]).withColumnRenamed("prediction", "again")
-    if a.join(b, key).where("prediction != again").head(1):
+    if both_scores(model, again, rows, [key]).where("prediction != again").head(1):
         raise ValueError("the stored model scores otherwise")
     return again
 
 
+def both_scores(model: Booster, again: Booster, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, prediction and again: the scores of two models in one pass over rows."""
+    own = [f"_value_{k}" for k in range(len(again.features))]
+    wide = rows.select(*keep, *model.features, *[F.col(c).alias(o) for c, o in zip(again.features, own, strict=True)])
+    first = model.score(wide, [*keep, *own]).withColumnRenamed("prediction", "_prediction")
+    second = replace(again, features=tuple(own)).score(first, [*keep, "_prediction"])
+    return second.select(*keep, F.col("_prediction").alias("prediction"), F.col("prediction").alias("again"))
+
+
 # binning
 
 
@@ -144,38 +156,72 @@ def bin_edges(train: DataFrame, features: tuple[str, ...], bins: int) -> tuple[t
     return tuple(of.get(k, ()) for k in range(len(features)))
 
 
-def binned(rows: DataFrame, features: tuple[str, ...], edges: tuple[tuple[float, ...], ...], keep: list[Column]) -> DataFrame:
-    """keep and bins: a byte a feature, the number of edges below its value, or MISSING."""
-    wide = rows.select(*keep, F.array(*[F.col(c).cast("double") for c in features]).alias("bins"))
-    schema = wide.drop("bins").schema.add("bins", "binary")
+def values_of(features: tuple[str, ...]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in features])
+
+
+def binned(values: pa.Array, edges: tuple[tuple[float, ...], ...]) -> np.ndarray:
+    """A line of bytes a feature: the number of edges below a row's value, or MISSING."""
+    rows = values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), len(edges))
+    found = np.empty((len(edges), len(values)), np.uint8)
+    for k, e in enumerate(edges):
+        found[k] = np.searchsorted(e, rows[:, k])
+    found[~np.isfinite(rows.T)] = MISSING
+    return found
+
+
+def packed(rows: DataFrame, features: tuple[str, ...], edges: tuple[tuple[float, ...], ...], key: str) -> DataFrame:
+    """Rows in blocks: their number, their sum of targets, and as bytes the targets, hashes of keys, and bins by feature."""
+    wide = rows.select(F.col("target").cast("double").alias("target"), F.xxhash64(key).alias("key"), values_of(features).alias("values"))
+    names = ["n", "total", "targets", "keys", "bins"]
+
+    def block(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        y, k, x = (np.concatenate(c, axis=-1) for c in zip(*parts, strict=True))
+        columns = [pa.array([len(y)], pa.int64()), pa.array([float(y.sum())]), *(pa.array([c.tobytes()], pa.binary()) for c in (y, k, x))]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
         for b in batches:
-            values = b.columns[-1].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, len(features))
-            found = np.stack([np.searchsorted(e, values[:, k]) for k, e in enumerate(edges)], axis=1).astype(np.uint8)
-            found[~np.isfinite(values)] = MISSING
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([r.tobytes() for r in found], pa.binary())], schema.names)
+            if b.num_rows:
+                parts.append((b.column(0).to_numpy(), b.column(1).to_numpy(), binned(b.column(2), edges)))
+                n += b.num_rows
+            if n >= BLOCK_ROWS:
+                yield block(parts)
+                parts, n = [], 0
+        if parts:
+            yield block(parts)
 
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(run, "n long, total double, targets binary, keys binary, bins binary")
 
 
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+def unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Targets, hashes of keys, and bins by feature, a block at a time."""
+    for b in batches:
+        for y, k, x in zip(*(b.column(c) for c in ("targets", "keys", "bins")), strict=True):
+            yield np.frombuffer(y.as_buffer(), float), np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.uint8).reshape(width, -1)
 
 
 def places(x: np.ndarray, tree: Tree) -> np.ndarray:
-    """The node that each row reaches."""
-    node, rows = np.zeros(len(x), int), np.arange(len(x))
+    """The node that each row reaches. x: a line of bytes a feature."""
+    width, n = x.shape
     feature, cut, missing_left = (np.array(c) for c in (tree.feature, tree.cut, tree.missing_left))
+    inner, nodes = feature >= 0, np.arange(len(feature))
+    # Leaves lead to themselves: any byte goes left, and left is the leaf.
+    line, last, left = np.maximum(feature, 0) * n, np.where(inner, cut, MISSING).astype(np.int16), np.where(inner, 2 * nodes + 1, nodes)
+    missing_left = missing_left & inner
+    node, rows, flat = np.zeros(n, int), np.arange(n), x.reshape(-1)
     for _ in range(int(math.log2(len(feature) + 1)) - 1):
-        b = x[rows, np.maximum(feature[node], 0)]
-        left = np.where(b == MISSING, missing_left[node], b <= cut[node])
-        node = np.where(feature[node] < 0, node, 2 * node + np.where(left, 1, 2))
+        b = flat[line[node] + rows]
+        right = b > last[node]
+        if missing_left.any():
+            right &= ~((b == MISSING) & missing_left[node])
+        node = left[node] + right
     return node
 
 
 def margins(x: np.ndarray, model: Booster) -> np.ndarray:
-    total = np.full(len(x), model.base)
+    total = np.full(x.shape[1], model.base)
     for tree in model.trees:
         total += np.array(tree.value)[places(x, tree)]
     return total
@@ -205,27 +251,28 @@ def histograms(rows: DataFrame, model: Booster, tree: Tree, open_nodes: list[int
     place[open_nodes] = np.arange(len(open_nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, len(open_nodes) * len(chosen) * size), np.int64)
-        for b in batches:
-            x, y = matrix(b.column(2), width), b.column(0).to_numpy()
+        sums = np.zeros((3, len(open_nodes), len(chosen), size), np.int64)
+        for y, keys, x in unpacked(batches, width):
             p = 1 / (1 + np.exp(-margins(x, model)))
             at = place[places(x, tree)]
             used = at >= 0
             if settings.row_share < 1:
-                used &= taken(settings.seed, round_no, b.column(1).to_numpy(), settings.row_share)
-            g, h = np.rint((p - y) * UNIT), np.rint(p * (1 - p) * UNIT)
-            cell = (at[used, None] * len(chosen) + np.arange(len(chosen))) * size + x[used][:, chosen]
-            for k, w in enumerate((g[used], h[used], np.ones(int(used.sum())))):
-                sums[k] += np.bincount(cell.ravel(), np.repeat(w, len(chosen)), sums.shape[1]).astype(np.int64)
+                used &= taken(settings.seed, round_no, keys, settings.row_share)
+            weights, start = (np.rint((p - y) * UNIT)[used], np.rint(p * (1 - p) * UNIT)[used], None), at[used] * size
+            for k, f in enumerate(chosen):
+                cell = start + x[f][used]
+                for s, w in zip(sums, weights, strict=True):
+                    s[:, k] += np.bincount(cell, w, len(open_nodes) * size).astype(np.int64).reshape(-1, size)
+        sums = sums.reshape(3, -1)
         full = np.flatnonzero(sums[2] > 0 if settings.growth != "oblivious" else listed)
         node, rest = np.divmod(full, len(chosen) * size)
         feature, bin_no = np.divmod(rest, size)
         columns = [pa.array(c, k) for c, k in ((np.array(open_nodes)[node], pa.int32()), (chosen[feature], pa.int32()), (bin_no, pa.int32()), *((sums[k][full], pa.int64()) for k in range(3)))]
         yield pa.RecordBatch.from_arrays(columns, ["node", "feature", "bin", "g", "h", "n"])
 
-    made = rows.where("NOT held").select("target", "key", "bins").mapInArrow(run, "node int, feature int, bin int, g long, h long, n long")
+    made = rows.select("targets", "keys", "bins").mapInArrow(run, "node int, feature int, bin int, g long, h long, n long")
     # A task gives each cell once, so nothing is lost by dealing cells as the window over bins needs them.
-    return made.repartition("node", "feature").groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+    return made.repartition("node", "feature").groupBy("node", "feature", "bin").agg(*[F.expr(f"sum({c}) AS {c}") for c in ("g", "h", "n")])
 
 
 def candidate_cuts(sums: DataFrame, settings: Settings) -> DataFrame:
@@ -233,40 +280,37 @@ def candidate_cuts(sums: DataFrame, settings: Settings) -> DataFrame:
 
     The gain is what the squared sums of gradients over their weights grow by.
     """
-    over = W.partitionBy("node", "feature")
-    known = F.col("bin") != MISSING
-    of = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))).over(over), F.lit(0))
-    upto = over.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    wide = sums.select("node", "feature", F.col("bin").alias("cut"), *[F.sum(c).over(upto).alias(f"l_{c}") for c in "ghn"], *[of(c, ~known).alias(f"m_{c}") for c in "ghn"], *[F.sum(c).over(over).alias(f"t_{c}") for c in "ghn"])
-    sides = F.explode(F.when(F.col("m_n") > 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
-    both = wide.where(F.col("cut") != MISSING).withColumn("missing_left", sides)
-    left = {c: F.col(f"l_{c}") + F.when(F.col("missing_left"), F.col(f"m_{c}")).otherwise(0) for c in "ghn"}
-    both = both.select("node", "feature", "cut", "missing_left", *[left[c].alias(f"left_{c}") for c in "ghn"], *[(F.col(f"t_{c}") - left[c]).alias(f"right_{c}") for c in "ghn"])
-    part = lambda g, h: F.pow(F.col(g) / UNIT, 2) / (F.col(h) / UNIT + settings.l2)
-    total = F.pow((F.col("left_g") + F.col("right_g")) / UNIT, 2) / ((F.col("left_h") + F.col("right_h")) / UNIT + settings.l2)
-    enough = [F.col(f"{s}_n") >= settings.min_rows for s in ("left", "right")] + [F.col(f"{s}_h") >= settings.min_weight * UNIT for s in ("left", "right")]
-    kept = both.where(enough[0] & enough[1] & enough[2] & enough[3])
-    return kept.withColumn("gain", part("left_g", "left_h") + part("right_g", "right_h") - total)
+    # As SQL text: a level is planned anew each time, and text costs the driver one call where columns cost hundreds.
+    over = "OVER (PARTITION BY node, feature"
+    unit, l2, least = f"{UNIT!r}D", f"{float(settings.l2)!r}D", f"{settings.min_weight * UNIT!r}D"
+    upto = [f"sum({c}) {over} ORDER BY bin ROWS UNBOUNDED PRECEDING) AS l_{c}" for c in "ghn"]
+    missing = [f"coalesce(sum(if(bin = {MISSING}, {c}, NULL)) {over}), 0) AS m_{c}" for c in "ghn"]
+    wide = sums.selectExpr("node", "feature", "bin AS cut", *upto, *missing, *[f"sum({c}) {over}) AS t_{c}" for c in "ghn"])
+    both = wide.where(f"cut != {MISSING}").selectExpr("*", "explode(if(m_n > 0, array(false, true), array(false))) AS missing_left")
+    left = {c: f"(l_{c} + if(missing_left, m_{c}, 0))" for c in "ghn"}
+    sides = both.selectExpr("node", "feature", "cut", "missing_left", *[f"{left[c]} AS left_{c}" for c in "ghn"], *[f"t_{c} - {left[c]} AS right_{c}" for c in "ghn"])
+    kept = sides.where(" AND ".join(f"{s}_n >= {settings.min_rows} AND {s}_h >= {least}" for s in ("left", "right")))
+    part = lambda g, h: f"power({g} / {unit}, 2) / ({h} / {unit} + {l2})"
+    return kept.selectExpr("*", f"{part('left_g', 'left_h')} + {part('right_g', 'right_h')} - {part('(left_g + right_g)', '(left_h + right_h)')} AS gain")
 
 
 def best_cuts(cuts: DataFrame, by: list[str]) -> DataFrame:
     """The cut of the largest gain of each group; ties go to the first feature, the lowest cut, missing to the right."""
-    rest = [c for c in cuts.columns if c not in (*by, "gain", "feature", "cut", "missing_left")]
     order = [x for x in ("feature", "cut", "missing_left") if x not in by]
-    least = F.min(F.struct((-F.col("gain")).alias("loss"), *order, *rest)).alias("best")
-    return cuts.where("gain > 0").groupBy(*by).agg(least).select(*by, (-F.col("best.loss")).alias("gain"), *[f"best.{c}" for c in (*order, *rest)])
+    rest = [c for c in cuts.columns if c not in (*by, "gain", "feature", "cut", "missing_left")]
+    least = F.expr(f"min(struct(-gain AS loss, {', '.join([*order, *rest])})) AS best")
+    return cuts.where("gain > 0").groupBy(*by).agg(least).selectExpr(*by, "-best.loss AS gain", *[f"best.{c}" for c in (*order, *rest)])
 
 
 def first_level_gains(rows: DataFrame, features: tuple[str, ...], settings: Settings = Settings()) -> DataFrame:
     """(name, gain): the best gain of a single cut of all training rows by each feature, 0 if none helps. rows: target and features."""
-    edges = bin_edges(rows, features, settings.bins)
-    made = prepared(rows, None, features, edges, "target")
+    made = prepared(rows, None, features, settings.bins, "target")
     try:
         tree = leaf_tree(settings.depth, 0.0)
-        sums = histograms(made, Booster(features, edges, base_margin(made)), tree, [0], replace(settings, row_share=1.0, feature_share=1.0))
+        sums = histograms(made.train, made.start, tree, [0], replace(settings, row_share=1.0, feature_share=1.0))
         best = best_cuts(candidate_cuts(sums, settings), ["feature"]).select("feature", "gain").collect()  # one row a feature
     finally:
-        made.unpersist()
+        made.release()
     of = {r["feature"]: r["gain"] for r in best}
     return rows.sparkSession.createDataFrame([(f, float(of.get(k, 0.0))) for k, f in enumerate(features)], "name string, gain double")
 
@@ -296,9 +340,11 @@ def grow(rows: DataFrame, model: Booster, settings: Settings) -> tuple[Tree, lis
     for _ in range(settings.depth):
         cuts = candidate_cuts(histograms(rows, model, tree, open_nodes, settings), settings)
         if settings.growth == "oblivious":
-            common = best_cuts(cuts.groupBy("feature", "cut", "missing_left").agg(F.sum("gain").alias("gain")).withColumn("all", F.lit(1)), ["all"]).first()
-            here = common and (F.col("feature") == common["feature"]) & (F.col("cut") == common["cut"]) & (F.col("missing_left") == common["missing_left"])
-            best = cuts.where(here).collect() if common else []
+            # The nodes of a cut come with it, as the cuts of a level are worked out by a pass.
+            rest = ", ".join(c for c in cuts.columns if c not in ("feature", "cut", "missing_left"))
+            alike = cuts.groupBy("feature", "cut", "missing_left").agg(F.expr("sum(gain) AS gain"), F.expr(f"collect_list(struct({rest})) AS nodes"))
+            common = best_cuts(alike.withColumn("all", F.lit(1)), ["all"]).first()
+            best = [{**n.asDict(), **{c: common[c] for c in ("feature", "cut", "missing_left")}} for n in common["nodes"]] if common else []
         else:
             best = best_cuts(cuts, ["node"]).collect()  # one row a node
         best = sorted(best, key=lambda r: (-r["gain"], r["node"]))
@@ -313,35 +359,60 @@ def grow(rows: DataFrame, model: Booster, settings: Settings) -> tuple[Tree, lis
     return tree, gains
 
 
-def base_margin(rows: DataFrame) -> float:
-    mean = rows.where("NOT held").agg(F.avg("target")).first()[0]
-    if mean is None or not 0 < mean < 1:
-        raise ValueError("training rows need both classes")
-    return math.log(mean / (1 - mean))
+@dataclass(frozen=True)
+class Prepared:
+    """A model without trees, and blocks of training and held rows, which are kept until they are released."""
+
+    start: Booster
+    train: DataFrame
+    held: DataFrame | None
+    kept: tuple[DataFrame, ...]
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
 
 
-def prepared(train: DataFrame, held: DataFrame | None, features: tuple[str, ...], edges: tuple[tuple[float, ...], ...], key: str) -> DataFrame:
-    """target, key (hashed), held and bins of all rows, kept for the passes."""
-    columns = lambda h: [F.col("target").cast("double").alias("target"), F.xxhash64(key).alias("key"), F.lit(h).alias("held")]
-    rows = binned(train, features, edges, columns(False))
-    return (rows if held is None else rows.unionAll(binned(held, features, edges, columns(True)))).persist()
+def prepared(train: DataFrame, held: DataFrame | None, features: tuple[str, ...], bins: int, key: str) -> Prepared:
+    edges = bin_edges(train, features, bins)
+    kept = tuple(packed(df, features, edges, key).persist() for df in (train, held) if df is not None)
+    try:
+        sizes = [df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("total")).first() for df in kept]
+        n, total = sizes[0]
+        if not (n and 0 < total < n):
+            raise ValueError("training rows need both classes")
+    except BaseException:
+        for df in kept:
+            df.unpersist()
+        raise
+    start = Booster(features, edges, math.log(total / n / (1 - total / n)))
+    blocks = [df.coalesce(tasks_for(df.sparkSession, rows, len(features))) for df, (rows, _) in zip(kept, sizes, strict=True)]
+    return Prepared(start, blocks[0], blocks[1] if held is not None else None, kept)
+
+
+def tasks_for(spark: SparkSession, rows: int, width: int) -> int:
+    """Tasks of a pass: one a core, more where a task would have more than TASK_BYTES of blocks."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows * (width + 16) // TASK_BYTES))
 
 
 def curve_of(rows: DataFrame, model: Booster, first: int) -> list[float]:
-    """AUC on held rows after each round from first on, of all those rounds in one pass."""
+    """AUC on held rows after each round from first on, of all those rounds in one pass. Rows of equal scores are counted in it."""
     rounds, width = range(first, len(model.trees) + 1), len(model.features)
+    names = ["round", "prediction", "pos", "neg"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b.column(1), width)
+        for y, _, x in unpacked(batches, width):
             total = margins(x, replace(model, trees=model.trees[: first - 1]))
             for r in rounds:
                 tree = model.trees[r - 1]
                 total = total + np.array(tree.value)[places(x, tree)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r, np.int32)), b.column(0), pa.array(np.round(total, 9))], ["round", "target", "prediction"])
+                scores, at = np.unique(np.round(total, 9), return_inverse=True)
+                counts = [np.bincount(at[y == t], minlength=len(scores)) for t in (1, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(scores), r, np.int32)), pa.array(scores), *map(pa.array, counts)], names)
 
-    made = rows.where("held").select("target", "bins").mapInArrow(run, "round int, target double, prediction double")
-    found = {r["round"]: r["auc"] for r in auc(made, ["round"]).collect()}  # one row a round
+    made = rows.select("targets", "keys", "bins").mapInArrow(run, "round int, prediction double, pos long, neg long")
+    scored = made.groupBy("round", "prediction").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = {r["round"]: r["auc"] for r in scored_auc(scored, ["round"]).collect()}  # one row a round
     if any(found.get(r) is None for r in rounds):
         raise ValueError("held rows need both classes")
     return [float(found[r]) for r in rounds]
@@ -352,23 +423,33 @@ def boost(train: DataFrame, held: DataFrame | None, features: list[str], setting
 
     The curve is worked out for as many rounds at once as patience allows, which ends where a check each round would.
     """
-    names = tuple(features)
-    edges = bin_edges(train, names, settings.bins)
-    rows = prepared(train, held, names, edges, key)
-    try:
-        model = Booster(names, edges, base_margin(rows))
-        while len(model.trees) < settings.rounds:
-            tree, gains = grow(rows, model, settings)
-            model = replace(model, trees=(*model.trees, tree), cuts=(*model.cuts, tuple(gains)))
-            n = len(model.trees)
-            if held is not None and (n - len(model.curve) == settings.patience or n == settings.rounds):
-                model = replace(model, curve=(*model.curve, *curve_of(rows, model, len(model.curve) + 1)))
-                if (stop := stopped(model.curve, settings.patience)) < n:
-                    return replace(model, trees=model.trees[: best_of(model.curve[:stop])], cuts=model.cuts[: best_of(model.curve[:stop])], curve=model.curve[:stop])
-        best = best_of(model.curve) if held is not None else len(model.trees)
-        return replace(model, trees=model.trees[:best], cuts=model.cuts[:best])
-    finally:
-        rows.unpersist()
+    return boost_each(train, held, features, [settings], key)[0]
+
+
+def boost_each(train: DataFrame, held: DataFrame | None, features: list[str], settings: list[Settings], key: str = "case_id") -> list[Booster]:
+    """A model of each of the settings, from the same rows: these are binned once for settings of as many bins."""
+    found: dict[int, Booster] = {}
+    for bins in dict.fromkeys(s.bins for s in settings):
+        rows = prepared(train, held, tuple(features), bins, key)
+        try:
+            found |= {k: boosted(rows, s) for k, s in enumerate(settings) if s.bins == bins}
+        finally:
+            rows.release()
+    return [found[k] for k in range(len(settings))]
+
+
+def boosted(rows: Prepared, settings: Settings) -> Booster:
+    model = rows.start
+    while len(model.trees) < settings.rounds:
+        tree, gains = grow(rows.train, model, settings)
+        model = replace(model, trees=(*model.trees, tree), cuts=(*model.cuts, tuple(gains)))
+        n = len(model.trees)
+        if rows.held is not None and (n - len(model.curve) == settings.patience or n == settings.rounds):
+            model = replace(model, curve=(*model.curve, *curve_of(rows.held, model, len(model.curve) + 1)))
+            if (stop := stopped(model.curve, settings.patience)) < n:
+                return replace(model, trees=model.trees[: best_of(model.curve[:stop])], cuts=model.cuts[: best_of(model.curve[:stop])], curve=model.curve[:stop])
+    best = best_of(model.curve) if rows.held is not None else len(model.trees)
+    return replace(model, trees=model.trees[:best], cuts=model.cuts[:best])
 
 
 def refit(train: DataFrame, features: list[str], best_rounds: list[int], settings: Settings = Settings(), key: str = "case_id") -> Booster:

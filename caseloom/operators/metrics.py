@@ -26,8 +26,13 @@ def auc(rows: DataFrame, groups: list[str]) -> DataFrame:
     Scores are ranked within buckets of their order, and only sums of buckets are ranked beyond them, so a pooled
     group is no single task's work.
     """
+    return scored_auc(by_score(rows, groups), groups)
+
+
+def scored_auc(scores: DataFrame, groups: list[str]) -> DataFrame:
+    """auc() of scores whose rows are counted: groups, prediction, pos, neg, one row a group and prediction."""
     before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    scored = by_score(rows, groups).withColumn("bucket", order_bucket(F.col("prediction")))
+    scored = scores.withColumn("bucket", order_bucket(F.col("prediction")))
     ranked = scored.withColumn("neg_below", F.coalesce(F.sum("neg").over(before(*groups, "bucket").orderBy("prediction")), F.lit(0)))
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     buckets = ranked.groupBy(*groups, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), wins.alias("wins"))

@@ -55,11 +55,12 @@ def quantiles(rows: DataFrame, groups: list[str], value: str, shares: list[float
     times = F.sum(weight) if weight else F.count(F.lit(1))
     counted = known.groupBy(*groups, F.col(value).cast("double").alias("_value")).agg(times.alias("n"))
     ranked = below(counted, groups, "_value", ["n"])
-    size = known.groupBy(*groups).agg(times.alias("_size"))
+    size = counted.groupBy(*groups).agg(F.sum("n").alias("_size"))  # of the counted values, so that rows are read once
     met = ranked.join(size, groups) if groups else ranked.crossJoin(F.broadcast(size))  # one row; with groups, one a group
-    at = [(F.col("_size") - 1) * F.lit(s) for s in shares]
-    value_at = lambda rank: F.max(F.when((F.col("below_n") <= rank) & (rank < F.col("below_n") + F.col("n")), F.col("_value")))
-    ends = [x.alias(f"_{k}_{i}") for i, h in enumerate(at) for k, x in (("low", value_at(F.floor(h))), ("high", value_at(F.ceil(h))), ("rest", F.max(h - F.floor(h))))]
+    # As SQL text, which costs the driver one call a share where columns cost dozens.
+    at = [f"((_size - 1) * {float(s)!r}D)" for s in shares]
+    value_at = lambda rank: f"max(CASE WHEN below_n <= {rank} AND {rank} < below_n + n THEN _value END)"
+    ends = [F.expr(f"{x} AS _{k}_{i}") for i, h in enumerate(at) for k, x in (("low", value_at(f"floor({h})")), ("high", value_at(f"ceil({h})")), ("rest", f"max({h} - floor({h}))"))]
     picked = met.groupBy(*groups).agg(*ends)
-    low, high, rest = ([F.col(f"_{k}_{i}") for i in range(len(shares))] for k in ("low", "high", "rest"))
-    return picked.select(*groups, F.array(*[a + (b - a) * r for a, b, r in zip(low, high, rest, strict=True)]).alias("quantiles"))
+    between = ", ".join(f"_low_{i} + (_high_{i} - _low_{i}) * _rest_{i}" for i in range(len(shares)))
+    return picked.select(*groups, F.expr(f"array({between}) AS quantiles"))

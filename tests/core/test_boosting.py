@@ -140,3 +140,32 @@ def test_useless_features_come_last(spark, cases):
 def test_classes_are_needed(cases):
     with pytest.raises(ValueError, match="both classes"):
         boosting.boost(cases[0].where("target = 1"), None, NAMES)
+
+
+def tasks_of(spark, group, act):
+    """act's result, and the number of tasks of its jobs."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found, tracker = act(), spark.sparkContext.statusTracker()
+        stages = {k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds}
+        return found, sum(s.numCompletedTasks for s in map(tracker.getStageInfo, stages) if s)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_passes_do_not_take_a_task_a_partition(spark, cases):
+    many, settings = cases[0].repartition(60), Settings(rounds=2, depth=3, bins=8, growth="oblivious")
+    found, tasks = tasks_of(spark, "passes", lambda: boosting.boost(many, None, NAMES, settings))
+    assert found == boosting.boost(cases[0], None, NAMES, settings)
+    assert tasks < 60 * 9, "rows are read for the bins and for the blocks; six levels read few blocks"
+
+
+def test_models_of_the_same_rows_are_binned_once(spark, cases):
+    ways = [Settings(rounds=2, depth=2, bins=16, growth=g, leaves=3) for g in boosting.GROWTHS]
+    calls = []
+    made, boosting.prepared = boosting.prepared, lambda *a: calls.append(a) or made(*a)
+    try:
+        found = boosting.boost_each(*cases, NAMES, ways)
+    finally:
+        boosting.prepared = made
+    assert len(calls) == 1 and found == [boosting.boost(*cases, NAMES, w) for w in ways]
