@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Counted rows up to which a side is broadcast by hint; larger sides are left to Spark.
@@ -103,17 +103,27 @@ def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key), key, "left_semi")
 
 
+def key_parts(spark: SparkSession) -> int:
+    """Parts to which keys are dealt where a task shall hold one part and no more."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def key_parity(splits: dict[str, dict[str, DataFrame]], key: str = "case_id", base: str = "base") -> DataFrame:
     """(split, block, missing, extra, nulls): how many keys of a split's base a block lacks, or has beside them, in one pass.
 
     A key gets a bit for each block that holds it; keys are grouped by their bits, and those few groups give all counts.
+    Rows are dealt by key before any is grouped, into as many parts as spark.sql.shuffle.partitions says, which are not
+    put together again: a task groups the keys of its part alone. Whole numbers stay numbers.
     """
     names = {split: [base, *sorted(b for b in blocks if b != base)] for split, blocks in splits.items()}
     if any(base not in blocks or len(blocks) > 63 for blocks in splits.values()):
         raise ValueError(f"a split needs {base}, and 62 blocks beside it at most")
-    bits = [splits[s][b].select(F.lit(s).alias("split"), F.col(key).cast("string").alias("k"), F.lit(1 << i).cast("long").alias("bit")) for s, blocks in names.items() for i, b in enumerate(blocks)]
+    frames = [splits[s][b] for s, blocks in names.items() for b in blocks]
+    kind = "long" if {df.schema[key].dataType.typeName() for df in frames} <= {"long", "integer", "short", "byte"} else "string"
+    bits = [splits[s][b].select(F.lit(s).alias("split"), F.col(key).cast(kind).alias("k"), F.lit(1 << i).cast("long").alias("bit")) for s, blocks in names.items() for i, b in enumerate(blocks)]
     rows = reduce(DataFrame.unionAll, bits)
-    masks = rows.where(F.col("k").isNotNull()).groupBy("split", "k").agg(F.bit_or("bit").alias("mask")).groupBy("split", "mask").agg(F.count(F.lit(1)).alias("n"))
+    dealt = rows.where(F.col("k").isNotNull()).repartition(key_parts(frames[0].sparkSession), "k")
+    masks = dealt.groupBy("split", "k").agg(F.bit_or("bit").alias("mask")).groupBy("split", "mask").agg(F.count(F.lit(1)).alias("n"))
     nulls = rows.where(F.col("k").isNull()).groupBy("split", F.col("bit").alias("bit")).agg(F.count(F.lit(1)).alias("nulls"))
     named = splits[next(iter(splits))][base].sparkSession.createDataFrame([(s, b, 1 << i) for s, blocks in names.items() for i, b in enumerate(blocks) if i], "split string, block string, bit long")
     has, of_base = F.col("mask").bitwiseAND(F.col("bit")) != 0, F.col("mask").bitwiseAND(F.lit(1)) != 0

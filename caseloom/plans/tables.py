@@ -50,10 +50,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMERIC, CATEGORICAL, DATES = ["quantityA", "priceA", "discountP"], ["flagM", "statusL"], ["shippedD"]
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised: dates as days from the decision, rows of known cases alone."""
-    raw = lines(spark, sf_dir)
-    return normalise(raw, meanings([raw]), base(spark, sf_dir).select("case_id", "date_decision"))
+def history(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Normalised: dates as days from the decision, rows of known cases alone. parts: how many the cases are dealt to, which stay apart."""
+    raw, cases = lines(spark, sf_dir), base(spark, sf_dir).select("case_id", "date_decision")
+    return normalise(raw, meanings([raw]), cases.repartition(parts, "case_id") if parts else cases)
 
 
 def folds() -> list[Fold]:

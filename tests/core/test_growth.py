@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from caseloom.operators import joins
 from caseloom.plans.queries import queries
 
 
@@ -12,3 +13,11 @@ def test_catalog_files_are_one_row_group_each(spark, tiny):
     finally:
         spark.conf.unset("parquet.block.size")
     assert found == {"base": 1, "lines": 3}
+
+
+def test_keys_are_dealt_before_they_are_grouped(spark):
+    side = lambda n: spark.range(n).withColumnRenamed("id", "case_id")
+    found = joins.key_parity({"train": {"base": side(50), "a": side(40)}, "test": {"base": side(5), "a": side(9)}})
+    assert {tuple(r) for r in found.collect()} == {("train", "a", 10, 0, 0), ("test", "a", 0, 4, 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "as string) AS k" not in plan
