@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from caseloom.operators import joins
+from dataclasses import replace
+
+from caseloom.operators import boosting, joins
+from caseloom.plans import queries as plans
 from caseloom.plans.queries import queries
 
 
@@ -21,3 +24,18 @@ def test_keys_are_dealt_before_they_are_grouped(spark):
     assert {tuple(r) for r in found.collect()} == {("train", "a", 10, 0, 0), ("test", "a", 0, 4, 0)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "as string) AS k" not in plan
+
+
+def test_features_are_computed_once(spark, tiny):
+    train, rest, _ = plans._features(spark, tiny)
+    for df in (train, rest):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan, "learners read stored features"
+
+
+def test_two_models_score_in_one_pass(spark):
+    rows = spark.createDataFrame([(k, k % 2, float(k)) for k in range(80)], "case_id long, target int, a double")
+    model = boosting.boost(rows, None, ["a"], boosting.Settings(rounds=1, depth=1, bins=8))
+    both = boosting.both_scores(model, replace(model, base=model.base + 1), rows, ["case_id"])
+    assert "Join" not in both._jdf.queryExecution().optimizedPlan().toString()
+    assert both.where("prediction < again").count() == 80
