@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -66,3 +67,20 @@ def test_rounds_end_where_loss_stays(train):
         sgd.fit(train.where("target = 0"), NAMES)
     with pytest.raises(ValueError, match="positive"):
         sgd.fit(train, NAMES, alpha=0)
+
+
+def test_steps_of_few_features_are_quick_and_the_same():
+    rng = np.random.default_rng(7)
+    x, y, w = rng.normal(size=(6000, 5)), (rng.random(6000) < 0.2).astype(float), rng.normal(size=6)
+    seconds, found = {}, {}
+    for step in (sgd.one_pass, sgd.wide_pass):
+        for _ in range(3):
+            start = time.perf_counter()
+            found[step] = step(x, y, w, sgd.first_step(1e-4), 1e-4)
+            seconds[step] = min(seconds.get(step, math.inf), time.perf_counter() - start)
+    (one, one_total, one_loss), (other, total, loss) = found.values()
+    assert one == pytest.approx(other, rel=1e-9) and one_total == pytest.approx(total, rel=1e-9) and one_loss == pytest.approx(loss)
+    assert seconds[sgd.one_pass] < 0.7 * seconds[sgd.wide_pass]
+    x = rng.normal(size=(50, sgd.NARROW + 1))
+    found = [step(x, y[:50], np.zeros(sgd.NARROW + 2), 1000.0, 1e-4) for step in (sgd.one_pass, sgd.narrow_pass)]
+    assert found[0][0] == pytest.approx(found[1][0])
